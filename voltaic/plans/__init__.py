@@ -7,6 +7,7 @@ import importlib
 # modules whose import registers queries, in survey order
 PLAN_MODULES = [
     "voltaic.plans.business",
+    "voltaic.plans.relational",
 ]
 
 

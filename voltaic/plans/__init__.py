@@ -8,6 +8,8 @@ import importlib
 PLAN_MODULES = [
     "voltaic.plans.business",
     "voltaic.plans.relational",
+    "voltaic.plans.text",
+    "voltaic.plans.search",
 ]
 
 

@@ -10,6 +10,7 @@ PLAN_MODULES = [
     "voltaic.plans.relational",
     "voltaic.plans.text",
     "voltaic.plans.search",
+    "voltaic.plans.conversation",
 ]
 
 

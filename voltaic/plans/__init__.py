@@ -11,6 +11,7 @@ PLAN_MODULES = [
     "voltaic.plans.text",
     "voltaic.plans.search",
     "voltaic.plans.conversation",
+    "voltaic.plans.generated",
 ]
 
 

@@ -173,3 +173,39 @@ def r5(spark, d):
     emb = Tables(spark, d).embeddings
     q = S.centroids(emb, "label", "embedding").withColumnRenamed("label", "query_id")
     return S.vector_search(emb, q, 5).select("query_id", "rank", "vec_id", "cosine")
+
+
+_R3_SQL = f"""
+WITH {CHUNKS_SQL},
+post AS (SELECT doc_id, chunk_id, token, COUNT(*) AS tf
+         FROM (SELECT doc_id, chunk_id, unnest({TOK.format(c='content')}) AS token FROM chunks) GROUP BY ALL)
+SELECT token, COUNT(*) AS df, SUM(tf) AS cf FROM post GROUP BY token"""
+
+
+@register("x1_incremental_index_refresh", _R3_SQL)
+def x1(spark, d):
+    """The index built by the streaming refresh (file source, ``foreachBatch`` upserts per batch
+    id, ``availableNow``) equals a full rebuild; returns its term statistics."""
+    from voltaic.streaming.refresh import index_term_stats, new_index_dir, refresh_now
+    idx = new_index_dir(spark)
+    refresh_now(spark, d, idx, glob="documents.parquet")
+    return index_term_stats(spark, idx)
+
+
+@register("s5_ctas_chunks", f"""
+WITH {CHUNKS_SQL}
+SELECT doc_id, chunk_id, section, page, content FROM chunks""")
+def s5(spark, d):
+    """``CREATE OR REPLACE TABLE .. AS SELECT``: chunks written as parquet on shared storage
+    (overwrite), then read back."""
+    from voltaic.session import scratch_path
+    path = scratch_path(spark, "contract-chunks")
+    r1(spark, d).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("s7_file_listing")
+def s7(spark, d):
+    """File listing of the data folder (``binaryFile`` source; the content column is pruned)."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from voltaic.operators.relational import top_n_per_group
 from voltaic.operators.text import TOKEN_PATTERN, small
+from voltaic.session import cut_lineage
 
 CHUNK_SIZE = 2000
 CHARS_PER_PAGE = 3000
@@ -70,32 +71,72 @@ def write_index(postings: DataFrame, stats: DataFrame, path: str, buckets: int =
     stats.write.mode("overwrite").parquet(f"{path}/chunk_stats")
 
 
-def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 5,
-         qid_col: str = "query_id", qtext_col: str = "query", k1: float = 1.2, b: float = 0.75,
-         ids: tuple[str, str] = ("doc_id", "chunk_id")) -> DataFrame:
-    """Top ``k`` chunks per query by BM25 -> ``(query_id, rank, doc_id, chunk_id, score)``.
-
-    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; score rounded to 6 digits; ties by ids.
-    """
-    id_list = list(ids)
+def _query_terms(queries: DataFrame, qid_col: str, qtext_col: str) -> tuple[DataFrame, DataFrame]:
     qt = (queries.select(qid_col, F.explode(F.regexp_extract_all(F.lower(F.col(qtext_col)),
                                                                   F.lit(TOKEN_PATTERN), 0)).alias("token"))
           .distinct())
-    terms = small(qt.select("token").distinct())
-    qt = small(qt)
-    # postings of query terms only; df is aggregated on that slice
-    hit = postings.join(terms, "token")
-    dfreq = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = stats.select(F.count(F.lit(1))).scalar()
-    avgdl = stats.select(F.sum("dl").cast("double") / F.count(F.lit(1))).scalar()
+    return small(qt), small(qt.select("token").distinct())
+
+
+def _score(hit: DataFrame, qt: DataFrame, corpus, qid_col: str, id_list: list[str], k: int,
+           k1: float, b: float) -> DataFrame:
+    """``hit(ids.., token, tf, dl)`` restricted to query terms -> top-k per query."""
+    dfreq = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # one row per query term
+    n, avgdl = corpus["n"], corpus["avgdl"]
     idf = F.ln(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    m = hit.join(dfreq, "token").join(stats, id_list)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = (m.join(qt, "token").groupBy(qid_col, *id_list).agg(F.sum(part).alias("_s"))
+    # dfreq has one row per query term and the term list was size-checked: the bound is proven
+    m = hit.join(F.broadcast(dfreq), "token").join(qt, "token")
+    scored = (m.groupBy(qid_col, *id_list).agg(F.sum(part).alias("_s"))
               .withColumn("score", F.round("_s", 6)).drop("_s"))
     return top_n_per_group(scored, [qid_col], [F.desc("score"), *[F.asc(c) for c in id_list]], k)
 
 
+def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 5,
+         qid_col: str = "query_id", qtext_col: str = "query", k1: float = 1.2, b: float = 0.75,
+         ids: tuple[str, str] = ("doc_id", "chunk_id")) -> DataFrame:
+    """R4, K4 over a built index: top ``k`` chunks per query by BM25
+    -> ``(query_id, rank, doc_id, chunk_id, score)``.
+
+    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; score rounded to 6 digits; ties by ids. Only the
+    postings of query terms are read (broadcast semi join); ``N`` and mean length are one scalar
+    subquery over the chunk statistics.
+    """
+    id_list = list(ids)
+    qt, terms = _query_terms(queries, qid_col, qtext_col)
+    hit = postings.join(terms, "token", "left_semi").join(stats, id_list)
+    corpus = stats.select(F.struct(F.count(F.lit(1)).alias("n"),
+                                   (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl"))).scalar()
+    return _score(hit, qt, corpus, qid_col, id_list, k, k1, b)
+
+
+def bm25_chunks(chunks: DataFrame, queries: DataFrame, k: int = 5, qid_col: str = "query_id",
+                qtext_col: str = "query", k1: float = 1.2, b: float = 0.75,
+                ids: tuple[str, str] = ("doc_id", "chunk_id"), text_col: str = "content",
+                checkpoint: bool = True) -> DataFrame:
+    """R4 without a stored index: the same ranking straight from chunks, in one tokenising pass.
+
+    Each chunk is tokenised once; its token count rides along with every token, tokens are cut to
+    the query terms (broadcast semi join) *before* the (chunk, token) aggregation, so the shuffle
+    carries only matching postings.
+    """
+    id_list = list(ids)
+    qt, terms = _query_terms(queries, qid_col, qtext_col)
+    arr = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
+    # tokenise once into a column; size and explode both read it (an inline expression would be
+    # re-evaluated for every exploded token)
+    toks = (chunks.select(*id_list, arr.alias("_t"))
+            .select(*id_list, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("token")))
+    hit = (toks.join(terms, "token", "left_semi").groupBy(*id_list, "token")
+           .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    if checkpoint:
+        # read twice below (document frequency, scoring): cut lineage once into shared storage
+        hit = cut_lineage(hit)
+    corpus = chunks.select(F.struct(F.count(F.lit(1)).alias("n"),
+                                    (F.sum(F.size(arr)).cast("double") / F.count(F.lit(1))).alias("avgdl"))).scalar()
+    return _score(hit, qt, corpus, qid_col, id_list, k, k1, b)
+
+
 def cosine(a, b):
     """Exact cosine of two numeric arrays with Spark higher-order functions (no UDF)."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),

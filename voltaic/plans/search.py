@@ -51,8 +51,11 @@ def _index(spark, d, where=None):
 
 
 def _bm25(spark, d, queries, k, where=None):
-    chunks, postings, stats = _index(spark, d, where)
-    return chunks, S.bm25(postings, stats, queries, k, k1=K1, b=B)
+    docs = Tables(spark, d).documents
+    chunks = S.chunk(docs, keep=["lang", "source"])
+    if where is not None:
+        chunks = chunks.where(where)
+    return chunks, S.bm25_chunks(chunks, queries, k, k1=K1, b=B)
 
 
 @register("r1_chunks", f"""

@@ -107,4 +107,5 @@ def top_n_per_group(df: DataFrame, group: list[str], order_by: list[Column], n:
     the reducer, not its full size.
     """
     w = Window.partitionBy(*group).orderBy(*order_by)
-    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+    ranked = df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+    return ranked.withColumn(rank_col, F.col(rank_col).cast("long"))

@@ -17,7 +17,7 @@ CENTS = "CAST(ROUND({c} * 100) AS BIGINT)"
 @register("c1_pack_history", """
 WITH lu AS (SELECT conv_id, MAX(turn) AS last_user FROM conversations WHERE role = 'user' GROUP BY conv_id)
 SELECT c.conv_id, COUNT(*) AS n_messages,
-       to_json(list({'role': role, 'content': text} ORDER BY turn)) AS messages_json
+       CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS messages_json
 FROM conversations c JOIN lu USING (conv_id) WHERE c.turn <= lu.last_user GROUP BY c.conv_id""")
 def c1(spark, d):
     """Chat history packed into the model's message list, latest user turn last."""

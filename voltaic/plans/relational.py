@@ -69,13 +69,13 @@ def p4_p5(spark, d):
 
 @register("p6_wrapped_month_range", """
 SELECT month(l_shipdate) AS ship_month, COUNT(*) AS n_lines,
-       SUM(CASE WHEN month(l_shipdate) BETWEEN 10 AND 3 THEN 1 ELSE 0 END) AS n_naive_between
+       CAST(SUM(CASE WHEN month(l_shipdate) BETWEEN 10 AND 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_naive_between
 FROM lineitem WHERE month(l_shipdate) >= 10 OR month(l_shipdate) <= 3 GROUP BY 1""")
 def p6(spark, d):
     """Month range that wraps the year (Oct..Mar); the naive BETWEEN 10 AND 3 is empty."""
     li = Tables(spark, d).lineitem
     return (li.where(X.month_in_wrapped("l_shipdate", 10, 3))
-            .groupBy(F.month("l_shipdate").alias("ship_month"))
+            .groupBy(F.month("l_shipdate").cast("long").alias("ship_month"))
             .agg(F.count(F.lit(1)).alias("n_lines"),
                  F.count_if(F.month("l_shipdate").between(10, 3)).alias("n_naive_between")))
 
@@ -98,7 +98,8 @@ def p10(spark, d):
 
 @register("p12_chart_intent", f"""
 SELECT conv_id, COUNT(*) AS n_user_turns,
-       SUM(CASE WHEN regexp_matches(lower(text), '{"|".join(CHART_WORDS)}') THEN 1 ELSE 0 END) AS n_chart_requests
+       CAST(SUM(CASE WHEN regexp_matches(lower(text), '{"|".join(CHART_WORDS)}') THEN 1 ELSE 0 END) AS BIGINT)
+         AS n_chart_requests
 FROM conversations WHERE role = 'user' GROUP BY 1""")
 def p12(spark, d):
     """Keyword intent flag (lower-cased text contains any word of a list)."""
@@ -114,7 +115,7 @@ SELECT o_orderstatus AS status, COUNT(*) AS n_rows, COUNT(o_orderkey) AS n_keys,
        CAST(SUM({CENTS.format(c='o_totalprice')}) AS DOUBLE) / 100 AS total_price,
        CAST(SUM({CENTS.format(c='o_totalprice')}) AS DOUBLE) / COUNT(o_totalprice) / 100 AS avg_price,
        MIN(o_totalprice) AS min_price, MAX(o_totalprice) AS max_price,
-       SUM(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS n_urgent
+       CAST(SUM(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS n_urgent
 FROM orders GROUP BY 1""")
 def a1_a7(spark, d):
     """A1 COUNT(*), A2 COUNT(col), A3 COUNT(DISTINCT), A4 SUM, A5 AVG, A6 MIN/MAX, A7 conditional count."""
@@ -177,24 +178,25 @@ def j1(spark, d):
     """Entity x calendar fact grid, 12 months ending at the latest order month."""
     t = Tables(spark, d)
     as_of = t.orders.select(F.max("o_orderdate")).scalar()
-    return R.period_grid(t.customer.select(F.col("c_custkey").alias("customer_id")), as_of, 12)
+    g = R.period_grid(t.customer.select(F.col("c_custkey").alias("customer_id")), as_of, 12)
+    return g.withColumn("months_ago", F.col("months_ago").cast("long"))
 
 
 @register("j5_key_audit", """
 SELECT 'orders: duplicate c_custkey' AS "check",
-       (SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT COUNT(*) n FROM customer GROUP BY c_custkey HAVING COUNT(*) > 1)) AS n_bad,
+       (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) FROM (SELECT COUNT(*) n FROM customer GROUP BY c_custkey HAVING COUNT(*) > 1)) AS n_bad,
        (SELECT COUNT(*) FROM customer) AS n_rows
 UNION ALL SELECT 'orders: duplicate o_orderkey',
-       (SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT COUNT(*) n FROM orders GROUP BY o_orderkey HAVING COUNT(*) > 1)),
+       (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) FROM (SELECT COUNT(*) n FROM orders GROUP BY o_orderkey HAVING COUNT(*) > 1)),
        (SELECT COUNT(*) FROM orders)
 UNION ALL SELECT 'orders: orphan o_custkey',
        (SELECT COUNT(*) FROM orders o WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)),
        (SELECT COUNT(*) FROM orders)
 UNION ALL SELECT 'events: duplicate c_custkey',
-       (SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT COUNT(*) n FROM customer GROUP BY c_custkey HAVING COUNT(*) > 1)),
+       (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) FROM (SELECT COUNT(*) n FROM customer GROUP BY c_custkey HAVING COUNT(*) > 1)),
        (SELECT COUNT(*) FROM customer)
 UNION ALL SELECT 'events: duplicate event_id',
-       (SELECT COALESCE(SUM(n - 1), 0) FROM (SELECT COUNT(*) n FROM events GROUP BY event_id HAVING COUNT(*) > 1)),
+       (SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) FROM (SELECT COUNT(*) n FROM events GROUP BY event_id HAVING COUNT(*) > 1)),
        (SELECT COUNT(*) FROM events)
 UNION ALL SELECT 'events: orphan user_id',
        (SELECT COUNT(*) FROM events e WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id)),
@@ -280,7 +282,7 @@ def f_string(spark, d):
     return c.select("c_custkey", X.preview("c_name", 8).alias("name_preview"),
                     F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("padded_key"),
                     F.concat(F.lit("IT001E"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("pod"),
-                    F.lower("c_mktsegment").alias("segment_lower"), F.length("c_name").alias("name_len"),
+                    F.lower("c_mktsegment").alias("segment_lower"), F.length("c_name").cast("long").alias("name_len"),
                     X.tidy_label(F.lower(F.concat("c_mktsegment", F.lit("_client")))).alias("segment_label"),
                     F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), "c_mktsegment").alias("nation_segment"))
 
@@ -301,7 +303,8 @@ def f_date(spark, d):
                     X.months_back(F.col("o_orderdate"), 3).alias("three_months_back"),
                     F.add_months(day, 1).alias("plus_one_month"), F.date_sub(day, 30).alias("minus_30_days"),
                     (F.col("o_orderdate") - F.expr("INTERVAL 5 HOURS")).alias("minus_5_hours"),
-                    F.month("o_orderdate").alias("month_no"), F.year("o_orderdate").alias("year_no"))
+                    F.month("o_orderdate").cast("long").alias("month_no"),
+                    F.year("o_orderdate").cast("long").alias("year_no"))
 
 
 @register("f_scalar_json", """
@@ -317,7 +320,7 @@ def f_json(spark, d):
     return e.select("event_id", F.variant_get(v, "$.k", "int").alias("k"),
                     (F.variant_get(v, "$.k", "int") + 1).alias("k_plus_one"),
                     F.try_variant_get(v, "$.missing", "string").isNull().alias("missing_is_null"),
-                    F.size(F.array("event_type", F.lit("x"))).alias("n_tags"))
+                    F.size(F.array("event_type", F.lit("x"))).cast("long").alias("n_tags"))
 
 
 @register("f20_locale_amounts", f"""

@@ -80,7 +80,7 @@ def r2(spark, d):
 WITH {CHUNKS_SQL},
 post AS (SELECT doc_id, chunk_id, token, COUNT(*) AS tf
          FROM (SELECT doc_id, chunk_id, unnest({TOK.format(c='content')}) AS token FROM chunks) GROUP BY ALL)
-SELECT token, COUNT(*) AS df, SUM(tf) AS cf FROM post GROUP BY token""")
+SELECT token, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS cf FROM post GROUP BY token""")
 def r3(spark, d):
     """Index build (postings per chunk and token) and per-term statistics."""
     _, postings, _ = _index(spark, d)
@@ -182,7 +182,7 @@ _R3_SQL = f"""
 WITH {CHUNKS_SQL},
 post AS (SELECT doc_id, chunk_id, token, COUNT(*) AS tf
          FROM (SELECT doc_id, chunk_id, unnest({TOK.format(c='content')}) AS token FROM chunks) GROUP BY ALL)
-SELECT token, COUNT(*) AS df, SUM(tf) AS cf FROM post GROUP BY token"""
+SELECT token, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS cf FROM post GROUP BY token"""
 
 
 @register("x1_incremental_index_refresh", _R3_SQL)

@@ -72,7 +72,8 @@ def t1(spark, d):
     """Tokenisation (letters/digits runs of the lower-cased text): token and distinct counts."""
     docs = Tables(spark, d).documents
     arr = F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN_PATTERN), 0)
-    return docs.select("doc_id", F.size(arr).alias("n_tokens"), F.size(F.array_distinct(arr)).alias("n_distinct"))
+    return docs.select("doc_id", F.size(arr).cast("long").alias("n_tokens"),
+                       F.size(F.array_distinct(arr)).cast("long").alias("n_distinct"))
 
 
 @register("t2_t3_quality_score", f"""
@@ -90,8 +91,8 @@ def t2_t3(spark, d):
 @register("t4_a13_score_stats_by_source", f"""
 WITH {LEXICON_SQL}
 SELECT d.source, COUNT(*) AS n_docs, ROUND(AVG(score), 3) AS avg_score, ROUND(MIN(score), 3) AS min_score,
-       ROUND(MAX(score), 3) AS max_score, SUM(CASE WHEN score < -0.3 THEN 1 ELSE 0 END) AS negatives,
-       SUM(CASE WHEN score > 0.3 THEN 1 ELSE 0 END) AS positives
+       ROUND(MAX(score), 3) AS max_score, CAST(SUM(CASE WHEN score < -0.3 THEN 1 ELSE 0 END) AS BIGINT) AS negatives,
+       CAST(SUM(CASE WHEN score > 0.3 THEN 1 ELSE 0 END) AS BIGINT) AS positives
 FROM documents d JOIN sc USING (doc_id) GROUP BY d.source""")
 def t4(spark, d):
     """Score statistics per category; the score is computed once, upstream."""
@@ -313,4 +314,4 @@ def t16(spark, d):
     """Markup to text over the whole ``pages.html`` column (reading order kept)."""
     p = Tables(spark, d).pages
     txt = T.html_to_text(F.col("html"))
-    return p.select("page_id", "url", txt.alias("text"), F.length(txt).alias("n_chars"))
+    return p.select("page_id", "url", txt.alias("text"), F.length(txt).cast("long").alias("n_chars"))

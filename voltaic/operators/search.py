@@ -148,23 +148,23 @@ def cosine(a, b):
 
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                   vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "qvec",
-                  max_queries: int = 10_000) -> DataFrame:
+                  max_queries: int = 1_000) -> DataFrame:
     """Exact cosine top ``k`` per query vector -> ``(query_id, rank, vec_id, cosine)``.
 
     The query set must be bounded (checked against ``max_queries``); it rides along as one array
-    literal (a scalar subquery), each corpus row scores every query, and the per-query top-k uses
-    the partial ``WindowGroupLimit``. Work is linear in the corpus; nothing is shuffled but the
-    per-task top-k rows. For query sets over the bound, split them and union the results.
+    literal, each corpus row scores every query, and the per-query top-k uses the partial
+    ``WindowGroupLimit``. Work is linear in the corpus; nothing is shuffled but the per-task top-k
+    rows. For query sets over the bound, split them and union the results.
     """
-    nq = queries.limit(max_queries + 1).count()
-    if nq > max_queries:
-        raise ValueError(f"{nq}+ query vectors: split the query set into batches of {max_queries}")
-    # one row holding the bounded query array, attached to every corpus row by a broadcast
-    qrow = queries.select(F.collect_list(F.struct(F.col(qid_col).alias("q"), F.col(qvec_col).alias("v")))
-                          .alias("_qs")).withColumn("_one", F.lit(1))
-    c = corpus.withColumn("_one", F.lit(1)).join(F.broadcast(qrow), "_one")
-    scored = c.select(id_col, F.explode(F.transform(
-        "_qs", lambda q: F.struct(q["q"].alias(qid_col), cosine(q["v"], F.col(vec_col)).alias("_c")))).alias("_x"))
+    rows = queries.select(qid_col, qvec_col).limit(max_queries + 1).collect()
+    if len(rows) > max_queries:
+        raise ValueError(f"more than {max_queries} query vectors: split the query set into batches")
+    # the bounded query set (count checked) travels with the plan as one array literal: every corpus
+    # row scores every query inside the row, no join
+    qarr = F.array(*[F.struct(F.lit(r[qid_col]).alias("q"),
+                              F.array(*[F.lit(float(x)) for x in r[qvec_col]]).alias("v")) for r in rows])
+    scored = corpus.select(id_col, F.explode(F.transform(
+        qarr, lambda q: F.struct(q["q"].alias(qid_col), cosine(q["v"], F.col(vec_col)).alias("_c")))).alias("_x"))
     scored = scored.select(id_col, F.col(f"_x.{qid_col}").alias(qid_col),
                            F.round("_x._c", 6).alias("cosine"))
     return top_n_per_group(scored, [qid_col], [F.desc("cosine"), F.asc(id_col)], k)

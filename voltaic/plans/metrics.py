@@ -8,7 +8,8 @@ Grain rules (why results never fan out):
 * every relationship is many-to-one (``to`` columns are the target's primary key), so joining a fact
   table to the dimension tables on its path keeps exactly one row per fact row;
 * metrics are aggregated per base table first, at the requested dimensions, and only the aggregates
-  are joined across base tables (drill-across, J4) with a null-safe full outer join;
+  are combined across base tables (drill-across, J4): stacked and grouped once on the dimensions,
+  which equals a null-safe full outer join of the parts;
 * a dimension that is not reachable from a metric's base table by many-to-one steps is rejected.
 
 At scale each base table is scanned once with only the columns its facts, dimensions and filters
@@ -255,24 +256,19 @@ class SemanticModel:
             for m in ms:
                 c = F.expr(m.expr)
                 aggs.append((c.cast(m.cast) if m.cast else c).alias(m.name))
-            if dims:
-                part = rows.groupBy(*[F.col(d) for d in dims]).agg(*aggs)
-            else:  # one-row global aggregate, keyed so sibling aggregates meet by an equi-join
-                part = rows.agg(*aggs).withColumn("_one", F.lit(1))
+            part = rows.groupBy(*[F.col(d) for d in dims]).agg(*aggs) if dims else rows.agg(*aggs)
             parts.append(part)
 
         out = parts[0]
-        for p in parts[1:]:  # drill-across on the shared dimensions
-            if dims:
-                cond = None
-                for d in dims:
-                    c = out[d].eqNullSafe(p[d])
-                    cond = c if cond is None else cond & c
-                keep = [F.coalesce(out[d], p[d]).alias(d) for d in dims]
-                rest = [out[c] for c in out.columns if c not in dims] + [p[c] for c in p.columns if c not in dims]
-                out = out.join(p, cond, "full_outer").select(*keep, *rest)
-            else:
-                out = out.join(p, "_one", "full_outer")
+        if len(parts) > 1:
+            # drill-across: every metric is non-null in exactly one part, so stacking the
+            # pre-aggregated parts and taking max per metric at the shared dimensions is exact; one
+            # shuffle on the dimensions (null keys group together, like a null-safe full outer join)
+            for p in parts[1:]:
+                out = out.unionByName(p, allowMissingColumns=True)
+            names = [c for c in out.columns if c not in dims]
+            out = (out.groupBy(*[F.col(d) for d in dims]).agg(*[F.max(c).alias(c) for c in names]) if dims
+                   else out.agg(*[F.max(c).alias(c) for c in names]))
         for m in metrics:
             mm = self.metrics[m]
             if isinstance(mm, DerivedMetric):

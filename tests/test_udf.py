@@ -28,10 +28,11 @@ def test_timeout_marks_failure(spark):
         time.sleep(float(x))
         return "done"
     register_function("slow_for_test", slow)
-    df = spark.createDataFrame([(0, "0"), (1, "3")], "idx long, code string")
+    df = spark.createDataFrame([(0, "0"), (1, "3"), (2, "0.1")], "idx long, code string").coalesce(1)
     out = {r.idx: r for r in run_rows(df, "idx", "code", "slow_for_test", timeout=1.0)
            .select("idx", *result_fields()).collect()}
     assert out[0].success and not out[1].success and "timed out" in out[1].error
+    assert out[2].success  # the row after a timed-out one does not wait behind it
 
 
 def test_completion_scores_distinct_prompts_once(spark):

@@ -79,22 +79,28 @@ def fold_events(log: DataFrame, conv_col: str = "conv_id", seq_cols: list[str] |
     e = log.select(conv_col, seq.alias("_seq"), step.alias("_step"), piece.alias("_piece"),
                    F.when(ev == FINAL_TEXT, _get(v, "$.text")).alias("_final"),
                    F.when(ev == TOOL_RESULT, sql).alias("_sql"))
-    # keep a first-only step just at its first occurrence
-    w = Window.partitionBy(conv_col, "_step").orderBy("_seq")
-    keep = F.when(F.col("_step").isin(FIRST_ONLY_STEPS), F.row_number().over(w) == 1).otherwise(F.lit(True))
-    e = e.withColumn("_step", F.when(keep, F.col("_step")))
 
     def ordered(c: str) -> Column:
         arr = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("_seq").alias("s"),
                                                                                 F.col(c).alias("v")))))
         return F.transform(arr, lambda x: x["v"])
 
+    repeat = F.when(~F.col("_step").isin(FIRST_ONLY_STEPS), F.col("_step"))
+    # a first-only step counts once, at its earliest event: min of its sequence within the same
+    # grouping (no window, no second shuffle)
+    firsts = [F.min(F.when(F.col("_step") == k, F.col("_seq"))).alias(f"_first_{k}") for k in FIRST_ONLY_STEPS]
+    e = e.withColumn("_repeat", repeat)
     g = e.groupBy(conv_col).agg(
         F.array_join(ordered("_piece"), "").alias("_text"),
         F.min_by("_final", F.when(F.col("_final").isNotNull(), F.col("_seq"))).alias("_final"),
         F.max_by("_sql", F.when(F.coalesce(F.col("_sql"), F.lit("")) != "", F.col("_seq"))).alias("sql"),
-        F.array_join(ordered("_step"), ",").alias("_steps"),
-        F.count(F.lit(1)).alias("n_events"))
+        F.array_sort(F.collect_list(F.when(F.col("_repeat").isNotNull(), F.struct(
+            F.col("_seq").alias("s"), F.col("_repeat").alias("v"))))).alias("_rep"),
+        *firsts, F.count(F.lit(1)).alias("n_events"))
+    first_steps = F.filter(F.array(*[F.struct(F.col(f"_first_{k}").alias("s"), F.lit(k).alias("v"))
+                                     for k in FIRST_ONLY_STEPS]), lambda x: x["s"].isNotNull())
+    all_steps = F.array_sort(F.concat(F.col("_rep"), first_steps))
+    g = g.withColumn("_steps", F.array_join(F.transform(all_steps, lambda x: x["v"]), ","))
     text = F.when(F.col("_text") != "", F.col("_text")).otherwise(F.coalesce(F.col("_final"), F.lit("")))
     steps = F.when(F.coalesce(F.col("sql"), F.lit("")) != "",
                    F.concat_ws(",", F.when(F.col("_steps") != "", F.col("_steps")), F.lit("sql_execution"))

@@ -53,7 +53,22 @@ def register_function(name: str, fn: Callable[[str], object]) -> None:
     FUNCTIONS[name] = fn
 
 
-def _run_one(fn: Callable[[str], object], value: str, timeout: float, pool: cf.ThreadPoolExecutor) -> dict:
+class _Runner:
+    """One worker thread per task; a timed-out call is abandoned with its thread (it cannot be
+    killed), and later rows get a fresh thread so they never queue behind it."""
+
+    def __init__(self):
+        self.pool = cf.ThreadPoolExecutor(max_workers=1)
+
+    def abandon(self):
+        self.pool.shutdown(wait=False, cancel_futures=True)
+        self.pool = cf.ThreadPoolExecutor(max_workers=1)
+
+    def close(self):
+        self.pool.shutdown(wait=False, cancel_futures=True)
+
+
+def _run_one(fn: Callable[[str], object], value: str, timeout: float, runner: "_Runner") -> dict:
     t0 = time.perf_counter()
     err = io.StringIO()
 
@@ -62,10 +77,11 @@ def _run_one(fn: Callable[[str], object], value: str, timeout: float, pool: cf.T
             return fn(value)
 
     try:
-        out = pool.submit(call).result(timeout=timeout)
+        out = runner.pool.submit(call).result(timeout=timeout)
         ok, output, error = True, "" if out is None else str(out), ""
     except cf.TimeoutError:
         # like a thread join with timeout: the call is abandoned, the row is marked failed
+        runner.abandon()
         ok, output, error = False, "", f"timed out after {timeout} s"
     except Exception as e:  # noqa: BLE001 - the row's failure is the result
         ok, output, error = False, "", f"{type(e).__name__}: {e}"
@@ -83,10 +99,13 @@ def run_rows(df: DataFrame, index_col: str, input_col: str, function: str, timeo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = FUNCTIONS[function]
-        with cf.ThreadPoolExecutor(max_workers=1) as pool:
+        runner = _Runner()
+        try:
             for b in batches:
-                res = [_run_one(fn, v, timeout, pool) for v in b[input_col].tolist()]
+                res = [_run_one(fn, v, timeout, runner) for v in b[input_col].tolist()]
                 yield pd.DataFrame({index_col: b[index_col].values, out_col: res})
+        finally:
+            runner.close()
 
     return df.select(index_col, input_col).mapInPandas(run, schema)
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from voltaic.functions.scalar import strip_inline_images
+
 
 def pack_history(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  text_col: str = "text") -> DataFrame:
@@ -59,6 +61,8 @@ def fold_events(log: DataFrame, conv_col: str = "conv_id", seq_cols: list[str] |
       use, ``sql_generation`` per tool result with SQL, ``error`` per error; ``thinking``,
       ``response`` and ``chart`` only at their first occurrence), then ``sql_execution`` when an
       SQL was seen; comma-joined.
+
+    Inline base64 images in the text are replaced by a placeholder (F21).
     """
     seq_cols = seq_cols or ["seq"]
     v = F.parse_json(F.col(data_col))
@@ -102,6 +106,7 @@ def fold_events(log: DataFrame, conv_col: str = "conv_id", seq_cols: list[str] |
     all_steps = F.array_sort(F.concat(F.col("_rep"), first_steps))
     g = g.withColumn("_steps", F.array_join(F.transform(all_steps, lambda x: x["v"]), ","))
     text = F.when(F.col("_text") != "", F.col("_text")).otherwise(F.coalesce(F.col("_final"), F.lit("")))
+    text = strip_inline_images(text)  # inline base64 images are replaced before display
     steps = F.when(F.coalesce(F.col("sql"), F.lit("")) != "",
                    F.concat_ws(",", F.when(F.col("_steps") != "", F.col("_steps")), F.lit("sql_execution"))
                    ).otherwise(F.col("_steps"))

@@ -294,5 +294,5 @@ FROM (SELECT COALESCE(od.k, ev.k) AS k, n_supplies, total_revenue, n_tickets
       FROM od FULL OUTER JOIN ev ON od.k = ev.k) x
 LEFT JOIN customer c ON x.k = c.c_custkey""")
 def j4(spark, d):
-    """Bills and tickets per customer, each aggregated at its own grain, then full outer joined."""
+    """Bills and tickets per customer, each aggregated at its own grain, then combined on the key."""
     return build_model(spark, d).query(["n_supplies", "total_revenue", "n_tickets"], ["customer_id"])

@@ -64,7 +64,8 @@ g AS (SELECT conv_id, COALESCE(string_agg(piece, '' ORDER BY ts, event_id), '')
              arg_max(sql, (ts, event_id)) FILTER (WHERE sql <> '') AS sql,
              COALESCE(string_agg(kstep, ',' ORDER BY ts, event_id), '') AS steps, COUNT(*) AS n_events
       FROM e2 GROUP BY conv_id)
-SELECT conv_id, CASE WHEN t <> '' THEN t ELSE COALESCE(final, '') END AS text, COALESCE(sql, '') AS sql,
+SELECT conv_id, regexp_replace(CASE WHEN t <> '' THEN t ELSE COALESCE(final, '') END,
+       '!\[.*?\]\(data:image/png;base64,.*?\)', '[chart shown above]', 'g') AS text, COALESCE(sql, '') AS sql,
        CASE WHEN COALESCE(sql, '') <> '' THEN CASE WHEN steps <> '' THEN steps || ',' ELSE '' END || 'sql_execution'
             ELSE steps END AS steps, n_events
 FROM g""")

@@ -17,7 +17,7 @@ SF_SMALL = os.environ.get("VOLTAIC_TEST_SF", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     ckpt = tempfile.mkdtemp(prefix="voltaic-test-ckpt-")
-    s = get_session("local[*]", 8, extra={"spark.checkpoint.dir": ckpt})
+    s = get_session("local[*]", 8, extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"})
     s.sparkContext.setCheckpointDir(ckpt)
     yield s
     s.stop()

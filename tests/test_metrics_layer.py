@@ -62,3 +62,29 @@ def test_describe_lists_every_entry(spark, model):
     kinds = {r.kind: r.n for r in d.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert kinds["table"] == 7 and kinds["relationship"] == 6
     assert kinds["metric"] == len(model.metrics) and kinds["dimension"] == len(model.dimensions)
+
+
+@pytest.mark.parametrize("metrics,dims,where", [
+    (["total_kwh"], ["city"], None),
+    (["total_kwh", "total_smc", "cost_per_kwh", "avg_kwh"], ["province", "segment"], None),
+    (["n_supplies", "avg_bill", "n_tickets", "avg_resolution", "n_customers"], ["segment"], None),
+    (["total_production", "production_cost", "avg_hours", "total_capacity"], ["plant_type"], None),
+    (["total_revenue"], ["supply_month"], "city = 'NATION_3'"),
+    (["total_kwh"], [], "segment = 'BUILDING' AND plant_type = 'SMALL'"),
+])
+def test_eager_aggregation_equals_row_level(model, metrics, dims, where):
+    def rows(eager):
+        df = model.query(metrics, dims, where=where, eager=eager)
+        return sorted(tuple(r) for r in df.collect())
+    assert rows(True) == rows(False)
+
+
+def test_eager_plan_aggregates_before_joining(model):
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        model.query(["total_kwh"], ["city"]).explain()
+    plan = buf.getvalue()
+    # the line table is grouped by its order key before it meets the orders table
+    assert "HashAggregate(keys=[l_orderkey" in plan

@@ -57,7 +57,8 @@ def assign_ids(df: DataFrame, order_by: list[str], start: Column | int, id_col:
     The rows are range-partitioned and sorted (``orderBy``), each row gets its position inside its
     partition, per-partition counts (one row per partition, size bounded by the partition count) give
     the offsets, and a join adds them back. Equivalent to the unpartitioned ``row_number`` window,
-    but every step runs in parallel.
+    but every step runs in parallel. ``order_by`` must be unique per row, so a recomputed
+    partition (after an executor loss) numbers its rows the same way.
     """
     start_c = start if isinstance(start, Column) else F.lit(start)
     s = df.orderBy(*order_by).withColumn("_pid", F.spark_partition_id())

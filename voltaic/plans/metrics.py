@@ -76,6 +76,10 @@ class Metric:
     synonyms: list[str] = field(default_factory=list)
     comment: str = ""
     cast: str | None = None  # result type, e.g. "double" for exact decimal sums shown as doubles
+    # optional decomposition for eager aggregation: partial aggregates ``(sum|count|min|max, expr)``
+    # and a final expression over them (``{0}``, ``{1}``.. name the partials); must equal ``expr``
+    parts: list[tuple[str, str]] | None = None
+    final: str | None = None
 
 
 @dataclass
@@ -184,6 +188,103 @@ class SemanticModel:
             return []
         return [n for n in pool if re.search(rf"(?<![\w.]){re.escape(n)}(?!\w)", text)]
 
+    def _joins_for(self, base: str, dims: list[str], needs: list[str]) -> list[Relationship]:
+        """Relationships to join from ``base``, each after the one that brings its ``from`` table."""
+        tables_needed = {self.dimensions[d].table for d in dims}
+        for f in needs:
+            if f in self.facts:
+                tables_needed.add(self.facts[f].table)
+                tables_needed.update(self.facts[f].requires)
+        joins: list[Relationship] = []
+        for t in sorted(tables_needed):
+            for r in self.path(base, t):
+                if r not in joins:
+                    joins.append(r)
+        return joins
+
+    def _eager_part(self, base: str, ms: list[Metric], dims: list[str], where, where_dims: list[str]) -> DataFrame:
+        """Aggregate before every join (eager aggregation) for decomposable metrics.
+
+        The fact table is reduced to one row per (local dimensions, foreign keys) first; each join
+        then meets at most one row per key of the next table, and the partials are re-aggregated
+        after it. For a star path (lines -> supplies -> customers -> cities) the big shuffle carries
+        pre-aggregated rows and the later joins see one row per supply, then per customer.
+        """
+        keep = list(dict.fromkeys(dims + where_dims))
+        parts: list[tuple[str, str, str]] = []
+        finals: dict[str, str] = {}
+        for m in ms:
+            names = []
+            for agg, expr in m.parts:
+                n = f"_p{len(parts)}"
+                parts.append((n, agg, expr))
+                names.append(n)
+            finals[m.name] = m.final.format(*names)
+        first = {"sum": "SUM", "count": "COUNT", "min": "MIN", "max": "MAX"}
+        merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+        fact_names = self._names_in(" ".join(e for _, _, e in parts), self.facts)
+        pending = self._joins_for(base, keep, fact_names)
+
+        def dims_of(table):
+            return [d for d in keep if self.dimensions[d].table == table]
+
+        def fks(joined, todo):
+            """Foreign keys still needed: joins not yet made whose ``from`` table is present."""
+            return list(dict.fromkeys(c for r in todo for c in r.from_columns
+                                      if r.from_table in joined and r.to_table not in joined))
+
+        def merged():
+            return [merge[agg](F.col(n)).alias(n) for n, agg, _ in parts]
+
+        def where_ok(have):
+            return where is not None and all(d in have for d in where_dims)
+
+        def filt(df):
+            return df.where(where if isinstance(where, Column) else F.expr(where))
+
+        joined, have = {base}, dims_of(base)
+        src = self.tables[base].loader()
+        if fact_names:
+            src = src.withColumns({f: F.expr(self.facts[f].expr) for f in fact_names})
+        # the input of every partial is evaluated on the fact rows (facts and raw columns alike)
+        cur = src.select(*[F.expr(self.dimensions[d].expr).alias(d) for d in have],
+                         *[F.expr(expr).alias(f"{n}_in") for n, _, expr in parts],
+                         *[F.col(c) for c in fks(joined, pending)])
+        applied = where_ok(have)
+        if applied:
+            cur = filt(cur)  # filter on local dimensions before any aggregation (pushdown)
+        cur = cur.groupBy(*have, *fks(joined, pending)).agg(
+            *[F.expr(f"{first[agg]}({n}_in)").alias(n) for n, agg, _ in parts])
+        for i, r in enumerate(pending):
+            if r.to_table in joined:
+                continue
+            rest = pending[i + 1:]
+            rdims = dims_of(r.to_table)
+            rfks = list(dict.fromkeys(c for rr in rest for c in rr.from_columns if rr.from_table == r.to_table))
+            right = self.tables[r.to_table].loader().select(
+                *[F.col(c).alias(f"_k{j}") for j, c in enumerate(r.to_columns)],
+                *[F.expr(self.dimensions[d].expr).alias(d) for d in rdims], *[F.col(c) for c in rfks])
+            cond = None
+            for j, a in enumerate(r.from_columns):
+                c = cur[a] == right[f"_k{j}"]
+                cond = c if cond is None else cond & c
+            # left: a dangling key keeps its partials, with null dimension values
+            cur = cur.join(right, cond, "left").drop(*[f"_k{j}" for j in range(len(r.to_columns))])
+            joined.add(r.to_table)
+            have = have + rdims
+            if not applied and where_ok(have):
+                cur, applied = filt(cur), True
+            if any(rr.to_table not in joined for rr in rest):
+                cur = cur.groupBy(*have, *fks(joined, rest)).agg(*merged())
+        if where is not None and not applied:
+            cur = filt(cur)
+        out = cur.groupBy(*[F.col(d) for d in dims]).agg(*merged()) if dims else cur.agg(*merged())
+        sel = []
+        for m in ms:
+            c = F.expr(finals[m.name])
+            sel.append((c.cast(m.cast) if m.cast else c).alias(m.name))
+        return out.select(*dims, *sel)
+
     def _base_rows(self, base: str, dims: list[str], extra_dims: list[str], needs: list[str]) -> DataFrame:
         """Fact rows of ``base`` with every needed table joined along many-to-one paths."""
         tables_needed = {self.dimensions[d].table for d in dims + extra_dims}
@@ -213,7 +314,7 @@ class SemanticModel:
 
     def query(self, metrics: list[str], dimensions: list[str] | None = None,
               where: str | Column | None = None, order_by: list[str | Column] | None = None,
-              limit: int | None = None, where_dims: list[str] | None = None) -> DataFrame:
+              limit: int | None = None, where_dims: list[str] | None = None, eager: bool = True) -> DataFrame:
         """Aggregate ``metrics`` at ``dimensions``.
 
         ``where`` is a SQL string over dimension names (they are found by name) or a ``Column``; for a
@@ -245,6 +346,11 @@ class SemanticModel:
             for d in dims + where_dims:  # grain check before any plan is built
                 self.path(base, self.dimensions[d].table)
             fact_names = self._names_in(" ".join(m.expr for m in ms), self.facts)
+            local_facts = all(not self.facts[f].requires for f in
+                              self._names_in(" ".join(e for m in ms for _, e in (m.parts or [])), self.facts))
+            if eager and all(m.parts and m.final for m in ms) and local_facts:
+                parts.append(self._eager_part(base, ms, dims, where, where_dims))
+                continue
             rows = self._base_rows(base, dims, where_dims, fact_names)
             proj = [F.expr(self.dimensions[d].expr).alias(d) for d in dict.fromkeys(dims + where_dims)]
             proj += [F.expr(self.facts[f].expr).alias(f) for f in fact_names]

@@ -90,32 +90,52 @@ def build_model(spark: SparkSession, sf_dir: str) -> SemanticModel:
     # quirk 2 of the survey: logical name over a differently named physical column
     m.dimension("plant_state", "plants", "p_brand", ["stato impianto"])
 
-    # M8-M23 metrics, M24 derived
-    m.metric("total_kwh", "consumption", "CAST(SUM(kwh) AS DOUBLE)", ["consumo totale"], cast="double")
-    m.metric("total_smc", "consumption", SUM_CENTS.format(f="smc_cents"), ["gas totale"])
-    m.metric("total_revenue", "supplies", SUM_CENTS.format(f="bill_cents"), ["fatturato"])
+    # M8-M23 metrics, M24 derived. ``parts``/``final`` restate each additive metric as partial
+    # aggregates (sum/count) and a final expression, so the planner may aggregate before joining.
+    m.metric("total_kwh", "consumption", "CAST(SUM(kwh) AS DOUBLE)", ["consumo totale"], cast="double",
+             parts=[('sum', 'kwh')], final='CAST({0} AS DOUBLE)')
+    m.metric("total_smc", "consumption", SUM_CENTS.format(f="smc_cents"), ["gas totale"],
+             parts=[('sum', 'smc_cents')], final='CAST({0} AS DOUBLE) / 100')
+    m.metric("total_revenue", "supplies", SUM_CENTS.format(f="bill_cents"), ["fatturato"],
+             parts=[('sum', 'bill_cents')], final='CAST({0} AS DOUBLE) / 100')
     m.metric("cost_per_kwh", "consumption",
-             "CAST(SUM(energy_cost_cents) AS DOUBLE) / 100 / NULLIF(SUM(kwh), 0)", ["costo medio kwh"])
-    m.metric("n_supplies", "supplies", "COUNT(o_orderkey)", ["numero forniture"])
-    m.metric("revenue_cents", "supplies", "SUM(bill_cents)", ["fatturato centesimi"])
-    m.metric("avg_bill", "supplies", AVG_CENTS.format(f="bill_cents"), ["bolletta media"])
+             "CAST(SUM(energy_cost_cents) AS DOUBLE) / 100 / NULLIF(SUM(kwh), 0)", ["costo medio kwh"],
+             parts=[('sum', 'energy_cost_cents'), ('sum', 'kwh')], final='CAST({0} AS DOUBLE) / 100 / NULLIF({1}, 0)')
+    m.metric("n_supplies", "supplies", "COUNT(o_orderkey)", ["numero forniture"],
+             parts=[('count', 'o_orderkey')], final='{0}')
+    m.metric("revenue_cents", "supplies", "SUM(bill_cents)", ["fatturato centesimi"],
+             parts=[('sum', 'bill_cents')], final='{0}')
+    m.metric("avg_bill", "supplies", AVG_CENTS.format(f="bill_cents"), ["bolletta media"],
+             parts=[('sum', 'bill_cents'), ('count', 'bill_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
     m.metric("n_active_customers", "supplies", "COUNT(DISTINCT o_custkey)", ["clienti attivi"])
-    m.metric("avg_kwh", "consumption", AVG_PLAIN.format(f="kwh"), ["consumo medio"])
-    m.metric("n_customers", "customers", "COUNT(c_custkey)", ["numero clienti"])
-    m.metric("n_tickets", "tickets", "COUNT(event_id)", ["numero ticket"])
-    m.metric("avg_resolution", "tickets", AVG_CENTS.format(f="resolution_cents"), ["tempo medio"])
-    m.metric("total_production", "consumption", "CAST(SUM(kwh) AS DOUBLE)", ["produzione totale"])
+    m.metric("avg_kwh", "consumption", AVG_PLAIN.format(f="kwh"), ["consumo medio"],
+             parts=[('sum', 'kwh'), ('count', 'kwh')], final='CAST({0} AS DOUBLE) / {1}')
+    m.metric("n_customers", "customers", "COUNT(c_custkey)", ["numero clienti"],
+             parts=[('count', 'c_custkey')], final='{0}')
+    m.metric("n_tickets", "tickets", "COUNT(event_id)", ["numero ticket"],
+             parts=[('count', 'event_id')], final='{0}')
+    m.metric("avg_resolution", "tickets", AVG_CENTS.format(f="resolution_cents"), ["tempo medio"],
+             parts=[('sum', 'resolution_cents'), ('count', 'resolution_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
+    m.metric("total_production", "consumption", "CAST(SUM(kwh) AS DOUBLE)", ["produzione totale"],
+             parts=[('sum', 'kwh')], final='CAST({0} AS DOUBLE)')
     m.metric("production_cost", "consumption",
-             "CAST(SUM(production_cost_cents) AS DOUBLE) / 10000", ["costo produzione totale"])
+             "CAST(SUM(production_cost_cents) AS DOUBLE) / 10000", ["costo produzione totale"],
+             parts=[('sum', 'production_cost_cents')], final='CAST({0} AS DOUBLE) / 10000')
     m.metric("potential_revenue", "consumption", SUM_CENTS.format(f="potential_revenue_cents"),
-             ["ricavo potenziale"])
-    m.metric("avg_hours", "consumption", AVG_PLAIN.format(f="hours"), ["ore medie"])
+             ["ricavo potenziale"],
+             parts=[('sum', 'potential_revenue_cents')], final='CAST({0} AS DOUBLE) / 100')
+    m.metric("avg_hours", "consumption", AVG_PLAIN.format(f="hours"), ["ore medie"],
+             parts=[('sum', 'hours'), ('count', 'hours')], final='CAST({0} AS DOUBLE) / {1}')
     m.metric("avg_availability", "consumption", AVG_CENTS.format(f="availability_cents"),
-             ["disponibilità media"])
-    m.metric("total_capacity", "plants", "CAST(SUM(capacity) AS BIGINT)", ["capacità totale"])
-    m.metric("n_plants", "plants", "COUNT(p_partkey)", ["numero impianti"])
+             ["disponibilità media"],
+             parts=[('sum', 'availability_cents'), ('count', 'availability_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
+    m.metric("total_capacity", "plants", "CAST(SUM(capacity) AS BIGINT)", ["capacità totale"],
+             parts=[('sum', 'capacity')], final='CAST({0} AS BIGINT)')
+    m.metric("n_plants", "plants", "COUNT(p_partkey)", ["numero impianti"],
+             parts=[('count', 'p_partkey')], final='{0}')
     m.derived("production_margin", "potential_revenue - production_cost",
               ["potential_revenue", "production_cost"], ["margine"])
     # not a named metric in the domain (Q8 averages a fact directly), kept here for reuse
-    m.metric("avg_efficiency", "plants", AVG_CENTS.format(f="efficiency_cents"), ["efficienza media"])
+    m.metric("avg_efficiency", "plants", AVG_CENTS.format(f="efficiency_cents"), ["efficienza media"],
+             parts=[('sum', 'efficiency_cents'), ('count', 'efficiency_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
     return m

@@ -47,7 +47,7 @@ def event_log(spark, d):
     return e.select(F.col("user_id").alias("conv_id"), "ts", "event_id", kind.alias("event"), data.alias("data"))
 
 
-@register("c2_fold_event_log", """
+@register("c2_fold_event_log", r"""
 WITH m AS (SELECT user_id AS conv_id, ts, event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
 e AS (SELECT conv_id, ts, event_id,
         CASE event_type WHEN 'click' THEN 'planning' WHEN 'view' THEN 'response'

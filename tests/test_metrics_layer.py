@@ -88,3 +88,8 @@ def test_eager_plan_aggregates_before_joining(model):
     plan = buf.getvalue()
     # the line table is grouped by its order key before it meets the orders table
     assert "HashAggregate(keys=[l_orderkey" in plan
+
+
+def test_eager_count_over_empty_selection_is_zero(model):
+    r = model.query(["n_customers", "n_supplies"], where="segment = 'NO_SUCH_SEGMENT'").first()
+    assert r.n_customers == 0 and r.n_supplies == 0

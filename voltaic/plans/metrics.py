@@ -221,7 +221,8 @@ class SemanticModel:
                 names.append(n)
             finals[m.name] = m.final.format(*names)
         first = {"sum": "SUM", "count": "COUNT", "min": "MIN", "max": "MAX"}
-        merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+        # counts merge by summing and are never null (an empty global aggregate counts 0)
+        merge = {"sum": F.sum, "count": lambda c: F.coalesce(F.sum(c), F.lit(0)), "min": F.min, "max": F.max}
         fact_names = self._names_in(" ".join(e for _, _, e in parts), self.facts)
         pending = self._joins_for(base, keep, fact_names)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from voltaic.session import cut_lineage
+
 
 def key_audit(fact: DataFrame, fact_key: str, fk: str, dim: DataFrame, pk: str, name: str) -> DataFrame:
     """Declared-key audit -> rows (check, n_bad, n_rows).
@@ -54,15 +56,18 @@ def period_grid(entities: DataFrame, as_of: Column, n_months: int, month_col: st
 def assign_ids(df: DataFrame, order_by: list[str], start: Column | int, id_col: str = "id") -> DataFrame:
     """S4/W1 at scale: ``start + row_number() over (order by ..)`` without a single-partition window.
 
-    The rows are range-partitioned and sorted (``orderBy``), each row gets its position inside its
-    partition, per-partition counts (one row per partition, size bounded by the partition count) give
-    the offsets, and a join adds them back. Equivalent to the unpartitioned ``row_number`` window,
+    The rows are range-partitioned and sorted (``orderBy``), each row gets its partition and its
+    position inside it, and that numbered table is written once to the shared checkpoint folder;
+    per-partition counts (one row per partition, size bounded by the partition count) give the
+    offsets, and a broadcast join adds them back. Equivalent to the unpartitioned ``row_number`` window,
     but every step runs in parallel. ``order_by`` must be unique per row, so a recomputed
     partition (after an executor loss) numbers its rows the same way.
     """
     start_c = start if isinstance(start, Column) else F.lit(start)
-    s = df.orderBy(*order_by).withColumn("_pid", F.spark_partition_id())
-    s = s.withColumn("_mid", F.monotonically_increasing_id())
+    s = (df.orderBy(*order_by).withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    # sort and number once, store in the shared folder; counts and rows then read the same numbers
+    s = cut_lineage(s, "numbered")
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: the only unpartitioned window in the library, on a bounded input

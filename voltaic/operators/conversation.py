@@ -24,9 +24,10 @@ def pack_history(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """``(conv_id, n_messages, messages)`` where ``messages`` is
     ``array<struct<role, content>>`` in turn order, ending with the latest user turn (turns after it,
     which answer it, are not yet part of the request)."""
-    w = Window.partitionBy(conv_col)
-    last_user = F.max(F.when(F.col(role_col) == "user", F.col(turn_col))).over(w)
-    c = conv.withColumn("_last_user", last_user).where(F.col(turn_col) <= F.col("_last_user"))
+    # latest user turn per conversation: a partial aggregate (one row per conversation and map
+    # task), joined back on the key; no window buffering a whole conversation
+    last_user = conv.groupBy(conv_col).agg(F.max(F.when(F.col(role_col) == "user", F.col(turn_col))).alias("_last_user"))
+    c = conv.join(last_user, conv_col).where(F.col(turn_col) <= F.col("_last_user"))
     g = c.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct(
         F.col(turn_col).alias("t"), F.col(role_col).alias("role"), F.col(text_col).alias("content")))).alias("_m"))
     msgs = F.transform("_m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))

@@ -42,12 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's checkpoint dir). If neither is
-    set we are not on a cluster, so a scratch folder is made and registered for the session.
+    set, a local-mode session (tests) gets a scratch folder; on a cluster this is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this "
+                               "cluster; a machine-local folder would not survive executor loss")
         d = tempfile.mkdtemp(prefix="voltaic-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -2,10 +2,6 @@
 from voltaic.plans import load_all
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def formatted(df) -> str:
     import io
     import contextlib

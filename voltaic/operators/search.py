@@ -64,9 +64,13 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def token_bucket(c, buckets: int):
+    return F.pmod(F.xxhash64(c), F.lit(buckets))
+
+
 def write_index(postings: DataFrame, stats: DataFrame, path: str, buckets: int = 64) -> None:
     """Persist the index under ``path`` (shared storage): postings partitioned by token hash bucket."""
-    (postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
+    (postings.withColumn("bucket", token_bucket("token", buckets))
      .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     stats.write.mode("overwrite").parquet(f"{path}/chunk_stats")
 
@@ -110,6 +114,18 @@ def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 5,
     return _score(hit, qt, corpus, qid_col, id_list, k, k1, b)
 
 
+def search_index(spark, path: str, queries: DataFrame, k: int = 5, buckets: int = 64,
+                 qid_col: str = "query_id", qtext_col: str = "query", k1: float = 1.2,
+                 b: float = 0.75) -> DataFrame:
+    """R4 over an index stored by :func:`write_index`: only the token buckets of the query terms are
+    read (partition pruning on ``bucket``); the bucket list is bounded by the checked term count."""
+    _, terms = _query_terms(queries, qid_col, qtext_col)
+    wanted = [r[0] for r in terms.select(token_bucket("token", buckets)).distinct().collect()]
+    postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted)).drop("bucket")
+    stats = spark.read.parquet(f"{path}/chunk_stats")
+    return bm25(postings, stats, queries, k, qid_col, qtext_col, k1, b)
+
+
 def bm25_chunks(chunks: DataFrame, queries: DataFrame, k: int = 5, qid_col: str = "query_id",
                 qtext_col: str = "query", k1: float = 1.2, b: float = 0.75,
                 ids: tuple[str, str] = ("doc_id", "chunk_id"), text_col: str = "content",

@@ -26,7 +26,7 @@ def test_chunk_ids_pages_and_no_cap(spark, sf_dir):
     assert [r.chunk_id for r in ch] == list(range(1, full + 1))
     for r in ch:
         assert r.page == -(-r.chunk_id * 2000 // 3000)
-        assert r.section == f"Section {r.chunk_id}"
+        assert r.section == f"Sezione {r.chunk_id}"
 
 
 def test_drill_across_totals_equal_single_fact(spark, sf_dir):

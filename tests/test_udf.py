@@ -39,3 +39,20 @@ def test_completion_scores_distinct_prompts_once(spark):
     df = spark.createDataFrame([(1, "urgent: no power"), (2, "urgent: no power"), (3, "thanks")], "id long, p string")
     out = {r.id: r.completion for r in complete(df, "p").collect()}
     assert out[1] == out[2] and out[1].startswith("1) MEDIUM") and out[3].startswith("1) LOW")
+
+
+def test_event_fold_replaces_inline_images_and_appends_errors(spark):
+    from voltaic.operators.conversation import fold_events
+    log = spark.createDataFrame([
+        (1, 1, "response.text.delta", '{"text": "see ![c](data:image/png;base64,AAAA) here"}'),
+        (1, 2, "error", '{"message": "boom"}'),
+        (1, 3, "response.tool_result", '{"sql": "SELECT 1"}'),
+        (2, 1, "response.text", '{"text": "final only"}'),
+        (2, 2, "response.thinking.delta", '{"text": "hmm"}'),
+        (2, 3, "response.thinking.delta", '{"text": "more"}'),
+    ], "conv_id long, seq long, event string, data string")
+    out = {r.conv_id: r for r in fold_events(log).collect()}
+    assert out[1].text == "see [Grafico visualizzato sopra] here\nErrore: boom"
+    assert out[1].sql == "SELECT 1"
+    assert out[1].steps == "response,error,sql_generation,sql_execution"
+    assert out[2].text == "final only" and out[2].steps == "thinking" and out[2].sql == ""

@@ -84,11 +84,12 @@ def tidy_label(c) -> Column:
     return F.initcap(F.regexp_replace(_c(c), "_", " "))
 
 
-# Fixed value: the inline-image pattern the chat log replaces before display.
+# The inline-image pattern the chat log replaces before display, and its placeholder.
 INLINE_IMAGE = r"!\[.*?\]\(data:image/png;base64,.*?\)"
+IMAGE_PLACEHOLDER = "[Grafico visualizzato sopra]"
 
 
-def strip_inline_images(c, placeholder: str = "[chart shown above]") -> Column:
+def strip_inline_images(c, placeholder: str = IMAGE_PLACEHOLDER) -> Column:
     return F.regexp_replace(_c(c), INLINE_IMAGE, placeholder)
 
 

@@ -44,6 +44,8 @@ THINKING = "response.thinking.delta"
 CHART = "response.chart"
 ERROR = "error"
 FIRST_ONLY_STEPS = ["thinking", "response", "chart"]
+# Fixed value: prefix of an error message appended to the reply text.
+ERROR_PREFIX = "\nErrore: "
 
 
 def _get(data: Column, path: str) -> Column:
@@ -55,7 +57,7 @@ def fold_events(log: DataFrame, conv_col: str = "conv_id", seq_cols: list[str] |
     """Fold an event log ``(conv, seq.., event, data JSON)`` into ``(conv, text, sql, steps,
     n_events)``.
 
-    * ``text``: text deltas and ``"\\nError: " || message`` of error events, concatenated in order;
+    * ``text``: text deltas and ``"\\nErrore: " || message`` of error events, concatenated in order;
       if that is empty, the first final-text event's text;
     * ``sql``: the last non-empty ``sql`` of a tool result;
     * ``steps``: step kinds in order (``planning`` per status, ``tool_call`` or ``search`` per tool
@@ -79,7 +81,7 @@ def fold_events(log: DataFrame, conv_col: str = "conv_id", seq_cols: list[str] |
             .when(ev == CHART, "chart")
             .when(ev == ERROR, "error"))
     piece = (F.when(ev == TEXT_DELTA, F.coalesce(_get(v, "$.text"), F.lit("")))
-             .when(ev == ERROR, F.concat(F.lit("\nError: "), F.coalesce(_get(v, "$.message"), F.lit("")))))
+             .when(ev == ERROR, F.concat(F.lit(ERROR_PREFIX), F.coalesce(_get(v, "$.message"), F.lit("")))))
     seq = F.struct(*[F.col(c) for c in seq_cols])
     e = log.select(conv_col, seq.alias("_seq"), step.alias("_step"), piece.alias("_piece"),
                    F.when(ev == FINAL_TEXT, _get(v, "$.text")).alias("_final"),

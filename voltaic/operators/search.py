@@ -19,15 +19,17 @@ from voltaic.operators.relational import top_n_per_group
 from voltaic.operators.text import TOKEN_PATTERN, small
 from voltaic.session import cut_lineage
 
+# Chunk size, characters per page and the section label of the domain's chunk table.
 CHUNK_SIZE = 2000
 CHARS_PER_PAGE = 3000
+SECTION_LABEL = "Sezione "
 
 
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_SIZE,
           min_len: int = 10, keep: list[str] | None = None) -> DataFrame:
     """Fixed-size chunks of the *whole* text (no chunk cap).
 
-    ``chunk_id`` 1..n per document, ``section`` = ``'Section ' || chunk_id``,
+    ``chunk_id`` 1..n per document, ``section`` = ``'Sezione ' || chunk_id``,
     ``page = ceil(chunk_id * size / 3000)``; chunks of ``min_len`` characters or fewer are dropped.
     The chunk count comes from the text length, and the generator runs per row (no join, no shuffle).
     """
@@ -37,7 +39,7 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     c = docs.select(id_col, *keep, text_col, F.explode(idx).alias("_i"))
     cid = (F.col("_i") + 1).cast("long")
     out = c.select(id_col, *keep, cid.alias("chunk_id"),
-                   F.concat(F.lit("Section "), cid.cast("string")).alias("section"),
+                   F.concat(F.lit(SECTION_LABEL), cid.cast("string")).alias("section"),
                    F.ceil(cid * size / CHARS_PER_PAGE).cast("long").alias("page"),
                    F.substring(F.col(text_col), F.col("_i") * size + 1, size).alias("content"))
     return out.where(F.length("content") > min_len)

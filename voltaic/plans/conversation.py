@@ -52,7 +52,7 @@ WITH m AS (SELECT user_id AS conv_id, ts, event_id, event_type, CAST(json_extrac
 e AS (SELECT conv_id, ts, event_id,
         CASE event_type WHEN 'click' THEN 'planning' WHEN 'view' THEN 'response'
              WHEN 'purchase' THEN CASE WHEN k % 2 = 1 THEN 'sql_generation' END WHEN 'error' THEN 'error' END AS step,
-        CASE event_type WHEN 'view' THEN 'w' || k || ' ' WHEN 'error' THEN chr(10) || 'Error: code ' || k END AS piece,
+        CASE event_type WHEN 'view' THEN 'w' || k || ' ' WHEN 'error' THEN chr(10) || 'Errore: code ' || k END AS piece,
         CASE WHEN event_type = 'signup' THEN 'final ' || k END AS final,
         CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 2 = 1 THEN 'SELECT ' || k ELSE '' END END AS sql
       FROM m),
@@ -65,7 +65,7 @@ g AS (SELECT conv_id, COALESCE(string_agg(piece, '' ORDER BY ts, event_id), '')
              COALESCE(string_agg(kstep, ',' ORDER BY ts, event_id), '') AS steps, COUNT(*) AS n_events
       FROM e2 GROUP BY conv_id)
 SELECT conv_id, regexp_replace(CASE WHEN t <> '' THEN t ELSE COALESCE(final, '') END,
-       '!\[.*?\]\(data:image/png;base64,.*?\)', '[chart shown above]', 'g') AS text, COALESCE(sql, '') AS sql,
+       '!\[.*?\]\(data:image/png;base64,.*?\)', '[Grafico visualizzato sopra]', 'g') AS text, COALESCE(sql, '') AS sql,
        CASE WHEN COALESCE(sql, '') <> '' THEN CASE WHEN steps <> '' THEN steps || ',' ELSE '' END || 'sql_execution'
             ELSE steps END AS steps, n_events
 FROM g""")

@@ -14,7 +14,7 @@ K1, B = 1.2, 0.75
 
 CHUNKS_SQL = f"""
 chunks AS (
-  SELECT doc_id, lang, source, i + 1 AS chunk_id, 'Section ' || CAST(i + 1 AS VARCHAR) AS section,
+  SELECT doc_id, lang, source, i + 1 AS chunk_id, 'Sezione ' || CAST(i + 1 AS VARCHAR) AS section,
          CAST(ceil((i + 1) * 2000 / 3000) AS BIGINT) AS page, substr(text, i * 2000 + 1, 2000) AS content
   FROM (SELECT doc_id, lang, source, text,
                unnest(range(0, CAST(ceil(length(text) / 2000) AS BIGINT))) AS i FROM documents)

@@ -62,7 +62,7 @@ agg AS (SELECT doc_id, SUM(tf * COALESCE(weight, 0)) AS s, SUM(tf) AS n FROM tf
         GROUP BY doc_id),
 sc AS (SELECT d.doc_id, COALESCE(tanh(agg.s / agg.n), 0) AS score FROM documents d LEFT JOIN agg USING (doc_id))"""
 
-BAND_SQL = "CASE WHEN {s} > 0.3 THEN 'POSITIVE' WHEN {s} < -0.3 THEN 'NEGATIVE' ELSE 'NEUTRAL' END"
+BAND_SQL = "CASE WHEN {s} > 0.3 THEN 'POSITIVO' WHEN {s} < -0.3 THEN 'NEGATIVO' ELSE 'NEUTRO' END"
 
 
 @register("t1_tokens", rf"""

@@ -75,3 +75,16 @@ def test_top_n_per_group_keeps_k(spark):
     out = R.top_n_per_group(df, ["g"], [F.desc("v")], 4)
     assert out.count() == 12
     assert {r.v for r in out.where("g = 0").collect()} == {999, 996, 993, 990}
+
+
+def test_entities_on_a_known_text(spark):
+    from voltaic.operators.text import entities
+    df = spark.createDataFrame([(1, "Scrivi a mario.rossi@email.it o chiama +39 02 1234567. Guasto in Via Roma 15, "
+                                    "Milano; vedi https://example.com/x?y=1 e Piazza Duomo a Monza. Milanese no.")],
+                               "id long, text string")
+    r = entities(df, "id", "text").first()
+    assert r.emails == "mario.rossi@email.it" and r.n_emails == 1
+    assert r.phones == "+39 02 1234567"
+    assert r.links == "https://example.com/x?y=1"
+    assert r.streets == "Piazza Duomo;Via Roma"
+    assert r.places == "Milano;Monza" and r.n_places == 2

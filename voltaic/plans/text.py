@@ -277,17 +277,21 @@ def t12(spark, d):
     return a.select("doc_id", "question_id", "answer", F.round("score", 3).alias("score"))
 
 
-def _ent_sql(p: str) -> str:
-    return f"list_sort(list_distinct(regexp_extract_all(text, '{p}')))"
+def _ent_sql(p: str, group: int = 0) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all(text, '{p}', {group})))"
+
+
+def _ent_cols(name: str, p: str, group: int = 0) -> str:
+    return f"array_to_string({_ent_sql(p, group)}, ';') AS {name}, len({_ent_sql(p, group)}) AS n_{name}"
 
 
 @register("t13_entities", f"""
-SELECT doc_id, array_to_string({_ent_sql(T.EMAIL_PATTERN)}, ';') AS emails, len({_ent_sql(T.EMAIL_PATTERN)}) AS n_emails,
-       array_to_string({_ent_sql(T.PHONE_PATTERN)}, ';') AS phones, len({_ent_sql(T.PHONE_PATTERN)}) AS n_phones,
-       array_to_string({_ent_sql(T.URL_PATTERN)}, ';') AS links, len({_ent_sql(T.URL_PATTERN)}) AS n_links
+SELECT doc_id, {_ent_cols('emails', T.EMAIL_PATTERN)}, {_ent_cols('phones', T.PHONE_PATTERN)},
+       {_ent_cols('links', T.URL_PATTERN)}, {_ent_cols('streets', T.STREET_PATTERN)},
+       {_ent_cols('places', T.PLACE_PATTERN, 1)}
 FROM documents""")
 def t13(spark, d):
-    """Entity extraction (e-mail, phone, link) by pattern, distinct and sorted per text."""
+    """Entity extraction (e-mail, phone, link, street, place) by pattern, distinct and sorted."""
     return T.entities(Tables(spark, d).documents, "doc_id", "text")
 
 

@@ -88,3 +88,21 @@ def test_entities_on_a_known_text(spark):
     assert r.links == "https://example.com/x?y=1"
     assert r.streets == "Piazza Duomo;Via Roma"
     assert r.places == "Milano;Monza" and r.n_places == 2
+
+
+def test_classify_by_descriptors(spark):
+    from voltaic.operators.text import classify_by_descriptors
+    docs = spark.createDataFrame([
+        (1, "La bolletta di gennaio ha un importo sbagliato"),
+        (2, "Guasto al contatore, manca la corrente da ieri"),
+        (3, "Grazie, servizio eccellente e personale gentile"),
+        (4, "nessuna parola in comune")], "id long, text string")
+    desc = spark.createDataFrame([
+        ("Reclamo fatturazione", "bolletta importo fattura addebito"),
+        ("Problema tecnico", "guasto contatore corrente tensione"),
+        ("Complimento", "grazie eccellente gentile complimenti")], "label string, descriptor string")
+    got = {r.id: (r.label, round(r.score, 3)) for r in classify_by_descriptors(docs, "id", "text", desc).collect()}
+    assert got[1][0] == "Reclamo fatturazione"
+    assert got[2][0] == "Problema tecnico"
+    assert got[3][0] == "Complimento" and got[3][1] > 0.9
+    assert got[4] == ("Reclamo fatturazione", 0.333)  # nothing shared: uniform, first label

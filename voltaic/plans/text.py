@@ -319,3 +319,30 @@ def t16(spark, d):
     p = Tables(spark, d).pages
     txt = T.html_to_text(F.col("html"))
     return p.select("page_id", "url", txt.alias("text"), F.length(txt).cast("long").alias("n_chars"))
+
+
+# The label list of the domain's classification call (each label is its own descriptor).
+FEEDBACK_LABELS = ["Problema tecnico urgente", "Richiesta informazioni", "Reclamo commerciale", "Complimento",
+                   "Richiesta modifica contratto"]
+
+
+@register("t11b_classify_by_label_names", rf"""
+WITH lab(ord, label) AS (VALUES {_sql_values(list(enumerate(FEEDBACK_LABELS, 1)))}),
+dt AS (SELECT DISTINCT label, unnest({TOK.format(c='label')}) AS token FROM lab),
+doc_t AS (SELECT DISTINCT doc_id, unnest({TOK.format(c='text')}) AS token FROM documents),
+hit AS (SELECT * FROM doc_t WHERE token IN (SELECT token FROM dt)),
+idf AS (SELECT token, ln((SELECT COUNT(*) FROM documents) / COUNT(*)) AS idf FROM hit GROUP BY token),
+s AS (SELECT doc_id, label, SUM(idf) AS s FROM hit JOIN dt USING (token) JOIN idf USING (token) GROUP BY ALL),
+g AS (SELECT d.doc_id, lab.label, lab.ord, COALESCE(s.s, 0) AS s FROM documents d CROSS JOIN lab
+      LEFT JOIN s ON s.doc_id = d.doc_id AND s.label = lab.label),
+m AS (SELECT doc_id, MAX(s) AS m FROM g GROUP BY doc_id),
+z AS (SELECT doc_id, SUM(exp(s - m)) AS z FROM g JOIN m USING (doc_id) GROUP BY doc_id),
+b AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, ord) AS r FROM g)
+SELECT doc_id, label, ROUND(1.0 / z, 3) AS score FROM b JOIN z USING (doc_id) WHERE r = 1""")
+def t11b(spark, d):
+    """T11 (label-list form): classify every text into the given label names by IDF-weighted token
+    overlap with each label; argmax label and softmax score rounded to 3."""
+    docs = Tables(spark, d).documents
+    desc = spark.createDataFrame([(x, x) for x in FEEDBACK_LABELS], "label string, descriptor string")
+    c = T.classify_by_descriptors(docs, "doc_id", "text", desc)
+    return c.select("doc_id", "label", F.round("score", 3).alias("score"))

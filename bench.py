@@ -23,7 +23,8 @@ HEADLINE = [
     "m7_customer_star_metrics",       # metrics layer, drill-across of four facts
     "q21_production_margin_by_type",  # derived metric over lineitem + part
     "r2_chunk_stats",                 # chunk all documents, count and mean length
-    "r3_index_term_stats",            # document frequency of every word
+    "r3_index_term_stats",            # postings and per-term statistics of all chunks
+    "t1b_word_document_frequency",    # document frequency of every word (BASELINE yardstick 3)
     "r4_k4_bm25_benchmark",           # BM25 top-k search
     "t2_t3_quality_score",            # lexicon sentiment over all documents
     "t6_summaries",                   # extractive summaries of all documents

@@ -346,3 +346,14 @@ def t11b(spark, d):
     desc = spark.createDataFrame([(x, x) for x in FEEDBACK_LABELS], "label string, descriptor string")
     c = T.classify_by_descriptors(docs, "doc_id", "text", desc)
     return c.select("doc_id", "label", F.round("score", 3).alias("score"))
+
+
+@register("t1b_word_document_frequency", rf"""
+SELECT token, COUNT(DISTINCT doc_id) AS df
+FROM (SELECT doc_id, unnest({TOK.format(c='text')}) AS token FROM documents) GROUP BY token""")
+def t1b(spark, d):
+    """Document frequency of every word over whole documents (distinct (doc, token) pairs
+    first, map-side, then a count per token)."""
+    docs = Tables(spark, d).documents
+    pairs = T.tokens(docs, ["doc_id"], "text", pos=False).distinct()
+    return pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))

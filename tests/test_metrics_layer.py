@@ -93,3 +93,22 @@ def test_eager_plan_aggregates_before_joining(model):
 def test_eager_count_over_empty_selection_is_zero(model):
     r = model.query(["n_customers", "n_supplies"], where="segment = 'NO_SUCH_SEGMENT'").first()
     assert r.n_customers == 0 and r.n_supplies == 0
+
+
+def test_dangling_keys_form_a_null_group_in_both_plans(spark):
+    from voltaic.plans.metrics import SemanticModel
+    cust = spark.createDataFrame([(1, "A"), (2, "B")], "ck long, seg string")
+    orders = spark.createDataFrame([(10, 1, 5), (11, 2, 7), (12, 3, 9)], "ok long, oc long, amt long")  # 3 dangles
+    tickets = spark.createDataFrame([(100, 1), (101, 4), (102, None)], "tk long, tc long")
+    m = SemanticModel("dangling")
+    m.table("c", lambda: cust, ["ck"])
+    m.table("o", lambda: orders, ["ok"])
+    m.table("t", lambda: tickets, ["tk"])
+    m.relate("o_c", "o", ["oc"], "c", ["ck"])
+    m.relate("t_c", "t", ["tc"], "c", ["ck"])
+    m.dimension("seg", "c", "seg")
+    m.metric("amount", "o", "SUM(amt)", parts=[("sum", "amt")], final="{0}")
+    m.metric("n_tickets", "t", "COUNT(tk)", parts=[("count", "tk")], final="{0}")
+    for eager in (True, False):
+        got = {r.seg: (r.amount, r.n_tickets) for r in m.query(["amount", "n_tickets"], ["seg"], eager=eager).collect()}
+        assert got == {"A": (5, 1), "B": (7, None), None: (9, 2)}, eager

@@ -353,10 +353,11 @@ class SemanticModel:
                 parts.append(self._eager_part(base, ms, dims, where, where_dims))
                 continue
             rows = self._base_rows(base, dims, where_dims, fact_names)
-            proj = [F.expr(self.dimensions[d].expr).alias(d) for d in dict.fromkeys(dims + where_dims)]
-            proj += [F.expr(self.facts[f].expr).alias(f) for f in fact_names]
-            # raw columns referenced directly by metric expressions stay reachable through "*"
-            rows = rows.select("*", *proj) if proj else rows
+            # dimensions and facts are added by name (a same-named raw column is replaced, never
+            # duplicated); raw columns referenced directly by metric expressions stay available
+            new_cols = {d: F.expr(self.dimensions[d].expr) for d in dict.fromkeys(dims + where_dims)}
+            new_cols.update({f: F.expr(self.facts[f].expr) for f in fact_names})
+            rows = rows.withColumns(new_cols) if new_cols else rows
             if where is not None:
                 rows = rows.where(where if isinstance(where, Column) else F.expr(where))
             aggs = []

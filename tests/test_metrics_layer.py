@@ -112,3 +112,19 @@ def test_dangling_keys_form_a_null_group_in_both_plans(spark):
     for eager in (True, False):
         got = {r.seg: (r.amount, r.n_tickets) for r in m.query(["amount", "n_tickets"], ["seg"], eager=eager).collect()}
         assert got == {"A": (5, 1), "B": (7, None), None: (9, 2)}, eager
+
+
+def test_dimension_named_like_a_foreign_key(spark):
+    from voltaic.plans.metrics import SemanticModel
+    cust = spark.createDataFrame([(1, "A"), (2, "B")], "ck long, seg string")
+    orders = spark.createDataFrame([(10, 1, 5), (11, 2, 7), (12, 1, 9)], "ok long, oc long, amt long")
+    m = SemanticModel("fkdim")
+    m.table("c", lambda: cust, ["ck"])
+    m.table("o", lambda: orders, ["ok"])
+    m.relate("o_c", "o", ["oc"], "c", ["ck"])
+    m.dimension("oc", "o", "oc")
+    m.dimension("seg", "c", "seg")
+    m.metric("amount", "o", "SUM(amt)", parts=[("sum", "amt")], final="{0}")
+    for eager in (True, False):
+        got = {(r.oc, r.seg): r.amount for r in m.query(["amount"], ["oc", "seg"], eager=eager).collect()}
+        assert got == {(1, "A"): 14, (2, "B"): 7}, eager

@@ -230,9 +230,10 @@ class SemanticModel:
             return [d for d in keep if self.dimensions[d].table == table]
 
         def fks(joined, todo):
-            """Foreign keys still needed: joins not yet made whose ``from`` table is present."""
+            """Foreign keys still needed: joins not yet made whose ``from`` table is present (a key
+            already carried as a same-named dimension is not added twice)."""
             return list(dict.fromkeys(c for r in todo for c in r.from_columns
-                                      if r.from_table in joined and r.to_table not in joined))
+                                      if r.from_table in joined and r.to_table not in joined and c not in keep))
 
         def merged():
             return [merge[agg](F.col(n)).alias(n) for n, agg, _ in parts]
@@ -261,7 +262,8 @@ class SemanticModel:
                 continue
             rest = pending[i + 1:]
             rdims = dims_of(r.to_table)
-            rfks = list(dict.fromkeys(c for rr in rest for c in rr.from_columns if rr.from_table == r.to_table))
+            rfks = list(dict.fromkeys(c for rr in rest for c in rr.from_columns
+                                      if rr.from_table == r.to_table and c not in rdims))
             right = self.tables[r.to_table].loader().select(
                 *[F.col(c).alias(f"_k{j}") for j, c in enumerate(r.to_columns)],
                 *[F.expr(self.dimensions[d].expr).alias(d) for d in rdims], *[F.col(c) for c in rfks])

@@ -357,3 +357,29 @@ def t1b(spark, d):
     docs = Tables(spark, d).documents
     pairs = T.tokens(docs, ["doc_id"], "text", pos=False).distinct()
     return pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+@register("t6_t7_summary_translated", rf"""
+WITH g(src, dst, word, target) AS (VALUES {_sql_values(GLOSSARY)}),
+s AS (SELECT doc_id, trim(unnest({SENT.format(c='text')})) AS sentence,
+             generate_subscripts({SENT.format(c='text')}, 1) - 1 AS spos FROM documents WHERE lang = 'en'),
+s2 AS (SELECT * FROM s WHERE sentence <> ''),
+st AS (SELECT doc_id, spos, unnest({TOK.format(c='sentence')}) AS token FROM s2),
+dtf AS (SELECT doc_id, token, COUNT(*) AS dtf FROM st GROUP BY ALL),
+sc AS (SELECT st.doc_id, st.spos, CAST(SUM(dtf) AS DOUBLE) / COUNT(*) AS score
+       FROM st JOIN dtf USING (doc_id, token) GROUP BY ALL),
+top AS (SELECT doc_id, spos, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, spos) AS r FROM sc),
+summ AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY spos) AS summary
+         FROM top JOIN s2 USING (doc_id, spos) WHERE r <= 3 GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest({TOK.format(c='summary')}) AS token,
+               generate_subscripts({TOK.format(c='summary')}, 1) AS pos FROM summ),
+it AS (SELECT doc_id, string_agg(COALESCE(g.target, token), ' ' ORDER BY pos) AS t FROM tok
+       LEFT JOIN g ON g.word = tok.token AND g.src = 'en' AND g.dst = 'it' GROUP BY doc_id)
+SELECT summ.doc_id, summ.summary, COALESCE(it.t, '') AS summary_it FROM summ LEFT JOIN it USING (doc_id)""")
+def t6_t7(spark, d):
+    """T6 then T7 (nested calls): extractive summary of each English text, translated to Italian."""
+    docs = Tables(spark, d).documents.where(F.col("lang") == "en")
+    summ = T.summarize(docs, "doc_id", "text", 3)
+    g = spark.createDataFrame(GLOSSARY, "src string, dst string, word string, target string")
+    it = T.translate(summ, "doc_id", "summary", g, "en", "it", "summary_it")
+    return summ.join(it, "doc_id").select("doc_id", "summary", "summary_it")

@@ -58,7 +58,8 @@ cnt AS (SELECT token, SUM(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS c1,
 tot AS (SELECT SUM(c1) AS n1, SUM(c0) AS n0, COUNT(*) AS v FROM cnt),
 lex AS (SELECT token, ln((c1 + 1) / (n1 + v)) - ln((c0 + 1) / (n0 + v)) AS weight FROM cnt, tot),
 tf AS (SELECT doc_id, token, COUNT(*) AS tf FROM tok GROUP BY ALL),
-agg AS (SELECT doc_id, SUM(tf * COALESCE(weight, 0)) AS s, SUM(tf) AS n FROM tf LEFT JOIN lex USING (token)
+agg AS (SELECT doc_id, SUM(tf * COALESCE(weight, 0)) AS s, SUM(CASE WHEN weight IS NOT NULL THEN tf END) AS n
+        FROM tf LEFT JOIN lex USING (token)
         GROUP BY doc_id),
 sc AS (SELECT d.doc_id, COALESCE(tanh(agg.s / agg.n), 0) AS score FROM documents d LEFT JOIN agg USING (doc_id))"""
 
@@ -115,7 +116,8 @@ cnt AS (SELECT token, SUM(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS c1,
 tot AS (SELECT SUM(c1) AS n1, SUM(c0) AS n0, COUNT(*) AS v FROM cnt),
 lex AS (SELECT token, ln((c1 + 1) / (n1 + v)) - ln((c0 + 1) / (n0 + v)) AS weight FROM cnt, tot),
 tf AS (SELECT k, token, COUNT(*) AS tf FROM tok GROUP BY ALL),
-agg AS (SELECT k, SUM(tf * COALESCE(weight, 0)) AS s, SUM(tf) AS n FROM tf LEFT JOIN lex USING (token) GROUP BY k),
+agg AS (SELECT k, SUM(tf * COALESCE(weight, 0)) AS s, SUM(CASE WHEN weight IS NOT NULL THEN tf END) AS n
+        FROM tf LEFT JOIN lex USING (token) GROUP BY k),
 sc AS (SELECT u.lang, u.source, u.text, ROUND(COALESCE(tanh(agg.s / agg.n), 0), 3) AS score,
               COALESCE(tanh(agg.s / agg.n), 0) AS raw FROM u LEFT JOIN agg ON agg.k = u.text)
 SELECT lang, source, substr(text, 1, 80) || '...' AS preview, score, {BAND_SQL.format(s='raw')} AS band

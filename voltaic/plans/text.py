@@ -14,7 +14,7 @@ from voltaic.sources.tables import Tables
 TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
 SENT = r"regexp_extract_all({c}, '[^.!?\n]+[.!?]*')"
 
-# Word glossary (English to Italian, English to German) for T7.
+# Word glossary (English to Italian and German, Italian to English and German) for T7.
 GLOSSARY = [
     ("en", "it", "the", "il"), ("en", "it", "and", "e"), ("en", "it", "of", "di"), ("en", "it", "is", "è"),
     ("en", "it", "with", "con"), ("en", "it", "for", "per"), ("en", "it", "this", "questo"),
@@ -28,6 +28,18 @@ GLOSSARY = [
     ("en", "de", "as", "als"), ("en", "de", "are", "sind"), ("en", "de", "was", "war"),
     ("en", "de", "it", "es"), ("en", "de", "to", "zu"), ("en", "de", "in", "in"), ("en", "de", "a", "ein"),
     ("en", "de", "by", "durch"), ("en", "de", "be", "sein"), ("en", "de", "at", "bei"),
+    ("it", "en", "il", "the"), ("it", "en", "la", "the"), ("it", "en", "di", "of"), ("it", "en", "e", "and"),
+    ("it", "en", "non", "not"), ("it", "en", "bolletta", "bill"), ("it", "en", "contatore", "meter"),
+    ("it", "en", "guasto", "fault"), ("it", "en", "servizio", "service"), ("it", "en", "contratto", "contract"),
+    ("it", "en", "grazie", "thanks"), ("it", "en", "corrente", "power"), ("it", "en", "mese", "month"),
+    ("it", "en", "consumi", "consumption"), ("it", "en", "per", "for"), ("it", "en", "con", "with"),
+    ("it", "en", "in", "in"), ("it", "en", "un", "a"), ("it", "en", "una", "a"), ("it", "en", "ho", "have"),
+    ("it", "de", "il", "der"), ("it", "de", "la", "die"), ("it", "de", "di", "von"), ("it", "de", "e", "und"),
+    ("it", "de", "non", "nicht"), ("it", "de", "bolletta", "Rechnung"), ("it", "de", "contatore", "Zähler"),
+    ("it", "de", "guasto", "Störung"), ("it", "de", "servizio", "Service"), ("it", "de", "contratto", "Vertrag"),
+    ("it", "de", "grazie", "danke"), ("it", "de", "corrente", "Strom"), ("it", "de", "mese", "Monat"),
+    ("it", "de", "consumi", "Verbrauch"), ("it", "de", "per", "für"), ("it", "de", "con", "mit"),
+    ("it", "de", "in", "in"), ("it", "de", "un", "ein"), ("it", "de", "una", "eine"), ("it", "de", "ho", "habe"),
 ]
 QUALITY_LABELS = ["high", "low"]
 # The two questions asked of every text in T12.

@@ -12,6 +12,7 @@ PLAN_MODULES = [
     "voltaic.plans.search",
     "voltaic.plans.conversation",
     "voltaic.plans.generated",
+    "voltaic.plans.domain",
 ]
 
 

@@ -1,4 +1,4 @@
-"""The domain's own questions (Q1-Q11, Q14, Q16, Q21, Q22) on the domain model over the generated
+"""The domain's own questions (Q1-Q11, Q14-Q17, Q21, Q22) on the domain model over the generated
 domain tables. Each oracle rebuilds the five tables from the generators' SQL and asks the same
 question in plain SQL."""
 
@@ -169,3 +169,34 @@ SELECT customer_type AS TIPO_CLIENTE, COUNT(customer_id) AS NUMERO_CLIENTI FROM
 def q22d(spark, d):
     """Q22 on the domain tables: customers per type."""
     return model(spark, d).query(["NUMERO_CLIENTI"], ["TIPO_CLIENTE"])
+
+
+def _series(base, order, x, series, kind):
+    from voltaic.plans.conversation import _series_sql
+    return DOMAIN + ",\n" + _series_sql(base, order, x, series, kind)[len("WITH "):]
+
+
+@register("q15_domain_bars_mean_kwh", _series(f"""
+SELECT c.customer_type AS TIPO_CLIENTE, CAST(SUM({C.format(c='e.kwh')}) AS DOUBLE) / COUNT(e.kwh) / 100 AS CONSUMO_MEDIO_KWH
+FROM CONSUMI_ENERGIA e LEFT JOIN CLIENTI c ON e.customer_id = c.customer_id
+WHERE e.month >= (SELECT CAST(date_trunc('month', max(o_orderdate)) - INTERVAL 5 MONTH AS DATE) FROM orders)
+GROUP BY 1""", "TIPO_CLIENTE", "TIPO_CLIENTE", ["CONSUMO_MEDIO_KWH"], "hbar"))
+def q15d(spark, d):
+    """Q15 on the domain tables: bars of mean monthly kWh per customer type, last 6 months."""
+    from voltaic.operators.conversation import chart_series
+    t = Tables(spark, d)
+    start = F.add_months(t.orders.select(F.trunc(F.max("o_orderdate").cast("date"), "MM")).scalar(), -5)
+    g = model(spark, d).query(["CONSUMO_MEDIO_KWH"], ["TIPO_CLIENTE"], where=F.col("MESE") >= start, where_dims=["MESE"])
+    return chart_series(g, ["TIPO_CLIENTE"]).withColumn("row_no", F.col("row_no").cast("long"))
+
+
+@register("q17_domain_production_trend", _series(f"""
+SELECT CAST(date_trunc('month', p.day) AS DATE) AS MESE_PRODUZIONE, i.kind AS TIPO,
+       CAST(SUM(p.energy_cents) AS DOUBLE) / 100 AS PRODUZIONE_TOTALE_MWH
+FROM PRODUZIONE_ENERGIA p LEFT JOIN IMPIANTI i ON p.plant_id = i.plant_id GROUP BY 1, 2""",
+    "MESE_PRODUZIONE, TIPO", "MESE_PRODUZIONE", ["PRODUZIONE_TOTALE_MWH"], "hbar"))
+def q17d(spark, d):
+    """Q17 on the domain tables: monthly production per plant type, first 50 rows as series."""
+    from voltaic.operators.conversation import chart_series
+    g = model(spark, d).query(["PRODUZIONE_TOTALE_MWH"], ["MESE_PRODUZIONE", "TIPO"])
+    return chart_series(g, ["MESE_PRODUZIONE", "TIPO"]).withColumn("row_no", F.col("row_no").cast("long"))

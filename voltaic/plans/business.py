@@ -205,7 +205,7 @@ SELECT
   (SELECT ROUND(CAST(SUM({CENTS.format(c='l.l_tax')}) AS DOUBLE) / 100, 0) FROM lineitem l
     JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE {MONTH.format(c='o.o_orderdate')} >= (SELECT s FROM lo)) AS tot_smc,
   ROUND(CAST(SUM({CENTS.format(c='o_totalprice')}) AS DOUBLE) / 100, 0) AS tot_cost,
-  ROUND(CAST(SUM({CENTS.format(c='o_totalprice')}) AS DOUBLE) / COUNT(o_totalprice) / 100, 2) AS avg_cost,
+  ((2 * SUM({CENTS.format(c='o_totalprice')}) + COUNT(o_totalprice)) // (2 * COUNT(o_totalprice))) / 100.0::DOUBLE AS avg_cost,
   COUNT(DISTINCT o_custkey) AS num_customers
 FROM orders WHERE {MONTH.format(c='o_orderdate')} >= (SELECT s FROM lo)""")
 def q23(spark, d):
@@ -213,10 +213,11 @@ def q23(spark, d):
     t = Tables(spark, d)
     start = F.add_months(_latest_month(t.orders, "o_orderdate"), -3)
     k = build_model(spark, d).query(
-        ["total_kwh", "total_smc", "total_revenue", "avg_bill", "n_active_customers"],
+        ["total_kwh", "total_smc", "total_revenue", "avg_bill_cents_rounded", "n_active_customers"],
         where=F.col("supply_month") >= start, where_dims=["supply_month"])
     return k.select(F.round("total_kwh", 0).alias("tot_kwh"), F.round("total_smc", 0).alias("tot_smc"),
-                    F.round("total_revenue", 0).alias("tot_cost"), F.round("avg_bill", 2).alias("avg_cost"),
+                    F.round("total_revenue", 0).alias("tot_cost"),
+                    (F.col("avg_bill_cents_rounded") / 100.0).alias("avg_cost"),
                     F.col("n_active_customers").alias("num_customers"))
 
 

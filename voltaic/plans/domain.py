@@ -1,4 +1,4 @@
-"""The domain's own questions (Q1-Q11, Q14-Q17, Q21, Q22) on the domain model over the generated
+"""The domain's own questions (Q1-Q11, Q14-Q23) on the domain model over the generated
 domain tables. Each oracle rebuilds the five tables from the generators' SQL and asks the same
 question in plain SQL."""
 
@@ -200,3 +200,49 @@ def q17d(spark, d):
     from voltaic.operators.conversation import chart_series
     g = model(spark, d).query(["PRODUZIONE_TOTALE_MWH"], ["MESE_PRODUZIONE", "TIPO"])
     return chart_series(g, ["MESE_PRODUZIONE", "TIPO"]).withColumn("row_no", F.col("row_no").cast("long"))
+
+
+@register("q18_domain_customers_by_type_province", f"""{DOMAIN}
+SELECT customer_type AS TIPO_CLIENTE, province AS PROVINCIA, COUNT(customer_id) AS NUMERO_CLIENTI FROM CLIENTI GROUP BY 1, 2""")
+def q18d(spark, d):
+    """Q18 on the domain tables: customers by type and province."""
+    return model(spark, d).query(["NUMERO_CLIENTI"], ["TIPO_CLIENTE", "PROVINCIA"])
+
+
+@register("q19_domain_top5_cities_energy", f"""{DOMAIN}
+SELECT c.city AS CITTA, CAST(SUM({C.format(c='e.kwh')}) AS DOUBLE) / 100 AS CONSUMO_TOTALE_KWH
+FROM CONSUMI_ENERGIA e LEFT JOIN CLIENTI c ON e.customer_id = c.customer_id
+GROUP BY 1 ORDER BY CONSUMO_TOTALE_KWH DESC, CITTA LIMIT 5""")
+def q19d(spark, d):
+    """Q19 on the domain tables: the 5 cities with the most energy consumed."""
+    return model(spark, d).query(["CONSUMO_TOTALE_KWH"], ["CITTA"],
+                                 order_by=[F.desc("CONSUMO_TOTALE_KWH"), F.asc("CITTA")], limit=5)
+
+
+@register("q20_domain_mean_bill_by_segment", f"""{DOMAIN}
+SELECT c.segment AS SEGMENTO,
+       CAST(SUM({C.format(c='e.total_cost')}) AS DOUBLE) / COUNT(e.total_cost) / 100 AS COSTO_MEDIO_BOLLETTA
+FROM CONSUMI_ENERGIA e LEFT JOIN CLIENTI c ON e.customer_id = c.customer_id GROUP BY 1""")
+def q20d(spark, d):
+    """Q20 on the domain tables: mean bill per customer segment."""
+    return model(spark, d).query(["COSTO_MEDIO_BOLLETTA"], ["SEGMENTO"])
+
+
+@register("q23_domain_kpi_last_3_months", f"""{DOMAIN}
+SELECT ROUND(CAST(SUM({C.format(c='kwh')}) AS DOUBLE) / 100, 0) AS TOT_KWH,
+       ROUND(CAST(SUM({C.format(c='smc')}) AS DOUBLE) / 100, 0) AS TOT_SMC,
+       ROUND(CAST(SUM({C.format(c='total_cost')}) AS DOUBLE) / 100, 0) AS TOT_COSTO,
+       ((2 * SUM({C.format(c='total_cost')}) + COUNT(total_cost)) // (2 * COUNT(total_cost))) / 100.0::DOUBLE AS AVG_COSTO,
+       COUNT(DISTINCT customer_id) AS NUM_CLIENTI
+FROM CONSUMI_ENERGIA
+WHERE month >= (SELECT CAST(date_trunc('month', max(o_orderdate)) - INTERVAL 3 MONTH AS DATE) FROM orders)""")
+def q23d(spark, d):
+    """Q23 on the domain tables: the KPI row of the last 3 months (``>= trunc(as_of) - 3 months``)."""
+    t = Tables(spark, d)
+    start = F.add_months(t.orders.select(F.trunc(F.max("o_orderdate").cast("date"), "MM")).scalar(), -3)
+    k = model(spark, d).query(["CONSUMO_TOTALE_KWH", "CONSUMO_TOTALE_SMC", "FATTURATO_TOTALE",
+                               "COSTO_MEDIO_CENTESIMI", "CLIENTI_ATTIVI"],
+                              where=F.col("MESE") >= start, where_dims=["MESE"])
+    return k.select(F.round("CONSUMO_TOTALE_KWH", 0).alias("TOT_KWH"), F.round("CONSUMO_TOTALE_SMC", 0).alias("TOT_SMC"),
+                    F.round("FATTURATO_TOTALE", 0).alias("TOT_COSTO"), (F.col("COSTO_MEDIO_CENTESIMI") / 100.0).alias("AVG_COSTO"),
+                    F.col("CLIENTI_ATTIVI").alias("NUM_CLIENTI"))

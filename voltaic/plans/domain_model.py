@@ -90,6 +90,12 @@ def build_domain_model(spark: SparkSession, sf_dir: str) -> SemanticModel:
              parts=[("count", "customer_id")], final="{0}")
     m.metric("CONSUMO_MEDIO_KWH", "CONSUMI_ENERGIA", "CAST(SUM(KWH_CENTS) AS DOUBLE) / COUNT(KWH_CENTS) / 100",
              **_avg("KWH_CENTS"))
+    m.metric("COSTO_MEDIO_BOLLETTA", "CONSUMI_ENERGIA",
+             "CAST(SUM(COSTO_TOTALE_CENTS) AS DOUBLE) / COUNT(COSTO_TOTALE_CENTS) / 100", **_avg("COSTO_TOTALE_CENTS"))
+    m.metric("COSTO_MEDIO_CENTESIMI", "CONSUMI_ENERGIA",
+             "(2 * SUM(COSTO_TOTALE_CENTS) + COUNT(COSTO_TOTALE_CENTS)) DIV (2 * COUNT(COSTO_TOTALE_CENTS))",
+             parts=[("sum", "COSTO_TOTALE_CENTS"), ("count", "COSTO_TOTALE_CENTS")], final="(2 * {0} + {1}) DIV (2 * {1})")
+    m.metric("CLIENTI_ATTIVI", "CONSUMI_ENERGIA", "COUNT(DISTINCT customer_id)")  # not decomposable: row plan
     m.metric("NUMERO_CLIENTI", "CLIENTI", "COUNT(customer_id)", parts=[("count", "customer_id")], final="{0}")
     m.metric("NUMERO_TICKET", "FEEDBACK_CLIENTI", "COUNT(ticket_id)", parts=[("count", "ticket_id")], final="{0}")
     m.metric("TEMPO_MEDIO_RISOLUZIONE", "FEEDBACK_CLIENTI",

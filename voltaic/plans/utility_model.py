@@ -107,6 +107,11 @@ def build_model(spark: SparkSession, sf_dir: str) -> SemanticModel:
              parts=[('sum', 'bill_cents')], final='{0}')
     m.metric("avg_bill", "supplies", AVG_CENTS.format(f="bill_cents"), ["bolletta media"],
              parts=[('sum', 'bill_cents'), ('count', 'bill_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
+    # mean bill rounded half-up to whole cents in integer arithmetic (ROUND(avg, 2) of a double can
+    # differ between engines at .xx5)
+    m.metric("avg_bill_cents_rounded", "supplies",
+             "(2 * SUM(bill_cents) + COUNT(bill_cents)) DIV (2 * COUNT(bill_cents))",
+             parts=[("sum", "bill_cents"), ("count", "bill_cents")], final="(2 * {0} + {1}) DIV (2 * {1})")
     m.metric("n_active_customers", "supplies", "COUNT(DISTINCT o_custkey)", ["clienti attivi"])
     m.metric("avg_kwh", "consumption", AVG_PLAIN.format(f="kwh"), ["consumo medio"],
              parts=[('sum', 'kwh'), ('count', 'kwh')], final='CAST({0} AS DOUBLE) / {1}')

@@ -15,13 +15,19 @@ def cents(c) -> Column:
     return F.round(_c(c) * 100).cast("long")
 
 
+def wide_sum(c) -> Column:
+    """Exact sum of integer cents that cannot overflow: accumulated as DECIMAL(38,0) (a BIGINT sum
+    of money over ~10^11 rows can pass 9.2e18)."""
+    return F.sum(_c(c).cast("decimal(38,0)"))
+
+
 def from_cents_sum(c) -> Column:
     """``sum(cents)`` back to a double amount; identical IEEE steps in Spark and in SQL oracles."""
-    return F.sum(_c(c)).cast("double") / 100
+    return wide_sum(c).cast("double") / 100
 
 
 def exact_avg_cents(c) -> Column:
-    return F.sum(_c(c)).cast("double") / F.count(_c(c)) / 100
+    return wide_sum(c).cast("double") / F.count(_c(c)) / 100
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

@@ -19,11 +19,11 @@ C = "CAST(ROUND({c} * 100) AS BIGINT)"
 
 
 def _sum(f):
-    return dict(parts=[("sum", f)], final="CAST({0} AS DOUBLE) / 100")
+    return dict(parts=[("wsum", f)], final="CAST({0} AS DOUBLE) / 100")
 
 
 def _avg(f):
-    return dict(parts=[("sum", f), ("count", f)], final="CAST({0} AS DOUBLE) / {1} / 100")
+    return dict(parts=[("wsum", f), ("count", f)], final="CAST({0} AS DOUBLE) / {1} / 100")
 
 
 def domain_tables(spark: SparkSession, sf_dir: str) -> dict:
@@ -79,42 +79,42 @@ def build_domain_model(spark: SparkSession, sf_dir: str) -> SemanticModel:
         m.dimension(name, table, expr, syn)
 
     # The domain's metric names.
-    m.metric("CONSUMO_TOTALE_KWH", "CONSUMI_ENERGIA", "CAST(SUM(KWH_CENTS) AS DOUBLE) / 100", **_sum("KWH_CENTS"))
-    m.metric("CONSUMO_TOTALE_SMC", "CONSUMI_ENERGIA", "CAST(SUM(SMC_CENTS) AS DOUBLE) / 100", **_sum("SMC_CENTS"))
-    m.metric("FATTURATO_TOTALE", "CONSUMI_ENERGIA", "CAST(SUM(COSTO_TOTALE_CENTS) AS DOUBLE) / 100",
+    m.metric("CONSUMO_TOTALE_KWH", "CONSUMI_ENERGIA", "CAST(SUM(CAST(KWH_CENTS AS DECIMAL(38,0))) AS DOUBLE) / 100", **_sum("KWH_CENTS"))
+    m.metric("CONSUMO_TOTALE_SMC", "CONSUMI_ENERGIA", "CAST(SUM(CAST(SMC_CENTS AS DECIMAL(38,0))) AS DOUBLE) / 100", **_sum("SMC_CENTS"))
+    m.metric("FATTURATO_TOTALE", "CONSUMI_ENERGIA", "CAST(SUM(CAST(COSTO_TOTALE_CENTS AS DECIMAL(38,0))) AS DOUBLE) / 100",
              **_sum("COSTO_TOTALE_CENTS"))
     m.metric("COSTO_MEDIO_PER_KWH", "CONSUMI_ENERGIA",
-             "CAST(SUM(COSTO_ENERGIA_CENTS) AS DOUBLE) / NULLIF(SUM(KWH_CENTS), 0)",
-             parts=[("sum", "COSTO_ENERGIA_CENTS"), ("sum", "KWH_CENTS")], final="CAST({0} AS DOUBLE) / NULLIF({1}, 0)")
+             "CAST(SUM(CAST(COSTO_ENERGIA_CENTS AS DECIMAL(38,0))) AS DOUBLE) / NULLIF(SUM(CAST(KWH_CENTS AS DECIMAL(38,0))), 0)",
+             parts=[("wsum", "COSTO_ENERGIA_CENTS"), ("wsum", "KWH_CENTS")], final="CAST({0} AS DOUBLE) / NULLIF({1}, 0)")
     m.metric("NUMERO_FORNITURE", "CONSUMI_ENERGIA", "COUNT(customer_id)",
              parts=[("count", "customer_id")], final="{0}")
-    m.metric("CONSUMO_MEDIO_KWH", "CONSUMI_ENERGIA", "CAST(SUM(KWH_CENTS) AS DOUBLE) / COUNT(KWH_CENTS) / 100",
+    m.metric("CONSUMO_MEDIO_KWH", "CONSUMI_ENERGIA", "CAST(SUM(CAST(KWH_CENTS AS DECIMAL(38,0))) AS DOUBLE) / COUNT(KWH_CENTS) / 100",
              **_avg("KWH_CENTS"))
     m.metric("COSTO_MEDIO_BOLLETTA", "CONSUMI_ENERGIA",
-             "CAST(SUM(COSTO_TOTALE_CENTS) AS DOUBLE) / COUNT(COSTO_TOTALE_CENTS) / 100", **_avg("COSTO_TOTALE_CENTS"))
+             "CAST(SUM(CAST(COSTO_TOTALE_CENTS AS DECIMAL(38,0))) AS DOUBLE) / COUNT(COSTO_TOTALE_CENTS) / 100", **_avg("COSTO_TOTALE_CENTS"))
     m.metric("COSTO_MEDIO_CENTESIMI", "CONSUMI_ENERGIA",
-             "(2 * SUM(COSTO_TOTALE_CENTS) + COUNT(COSTO_TOTALE_CENTS)) DIV (2 * COUNT(COSTO_TOTALE_CENTS))",
-             parts=[("sum", "COSTO_TOTALE_CENTS"), ("count", "COSTO_TOTALE_CENTS")], final="(2 * {0} + {1}) DIV (2 * {1})")
+             "(2 * SUM(CAST(COSTO_TOTALE_CENTS AS DECIMAL(38,0))) + COUNT(COSTO_TOTALE_CENTS)) DIV (2 * COUNT(COSTO_TOTALE_CENTS))",
+             parts=[("wsum", "COSTO_TOTALE_CENTS"), ("count", "COSTO_TOTALE_CENTS")], final="(2 * {0} + {1}) DIV (2 * {1})")
     m.metric("CLIENTI_ATTIVI", "CONSUMI_ENERGIA", "COUNT(DISTINCT customer_id)")  # not decomposable: row plan
     m.metric("NUMERO_CLIENTI", "CLIENTI", "COUNT(customer_id)", parts=[("count", "customer_id")], final="{0}")
     m.metric("NUMERO_TICKET", "FEEDBACK_CLIENTI", "COUNT(ticket_id)", parts=[("count", "ticket_id")], final="{0}")
     m.metric("TEMPO_MEDIO_RISOLUZIONE", "FEEDBACK_CLIENTI",
-             "CAST(SUM(ORE_RISOLUZIONE_CENTS) AS DOUBLE) / COUNT(ORE_RISOLUZIONE_CENTS) / 100",
+             "CAST(SUM(CAST(ORE_RISOLUZIONE_CENTS AS DECIMAL(38,0))) AS DOUBLE) / COUNT(ORE_RISOLUZIONE_CENTS) / 100",
              **_avg("ORE_RISOLUZIONE_CENTS"))
-    m.metric("PRODUZIONE_TOTALE_MWH", "PRODUZIONE_ENERGIA", "CAST(SUM(ENERGIA_CENTS) AS DOUBLE) / 100",
+    m.metric("PRODUZIONE_TOTALE_MWH", "PRODUZIONE_ENERGIA", "CAST(SUM(CAST(ENERGIA_CENTS AS DECIMAL(38,0))) AS DOUBLE) / 100",
              **_sum("ENERGIA_CENTS"))
-    m.metric("COSTO_PRODUZIONE_TOTALE", "PRODUZIONE_ENERGIA", "CAST(SUM(COSTO_PRODUZIONE_CENTS) AS DOUBLE) / 100",
+    m.metric("COSTO_PRODUZIONE_TOTALE", "PRODUZIONE_ENERGIA", "CAST(SUM(CAST(COSTO_PRODUZIONE_CENTS AS DECIMAL(38,0))) AS DOUBLE) / 100",
              **_sum("COSTO_PRODUZIONE_CENTS"))
-    m.metric("RICAVO_POTENZIALE", "PRODUZIONE_ENERGIA", "CAST(SUM(RICAVO_CENTS2) AS DOUBLE) / 10000",
-             parts=[("sum", "RICAVO_CENTS2")], final="CAST({0} AS DOUBLE) / 10000")
+    m.metric("RICAVO_POTENZIALE", "PRODUZIONE_ENERGIA", "CAST(SUM(CAST(RICAVO_CENTS2 AS DECIMAL(38,0))) AS DOUBLE) / 10000",
+             parts=[("wsum", "RICAVO_CENTS2")], final="CAST({0} AS DOUBLE) / 10000")
     m.metric("ORE_MEDIE_FUNZIONAMENTO", "PRODUZIONE_ENERGIA",
-             "CAST(SUM(ORE_CENTS) AS DOUBLE) / COUNT(ORE_CENTS) / 100", **_avg("ORE_CENTS"))
+             "CAST(SUM(CAST(ORE_CENTS AS DECIMAL(38,0))) AS DOUBLE) / COUNT(ORE_CENTS) / 100", **_avg("ORE_CENTS"))
     m.metric("DISPONIBILITA_MEDIA", "PRODUZIONE_ENERGIA",
-             "CAST(SUM(DISPONIBILITA_CENTS) AS DOUBLE) / COUNT(DISPONIBILITA_CENTS) / 100", **_avg("DISPONIBILITA_CENTS"))
+             "CAST(SUM(CAST(DISPONIBILITA_CENTS AS DECIMAL(38,0))) AS DOUBLE) / COUNT(DISPONIBILITA_CENTS) / 100", **_avg("DISPONIBILITA_CENTS"))
     m.metric("CAPACITA_TOTALE_MW", "IMPIANTI", "CAST(SUM(capacity_mw) AS BIGINT)",
              parts=[("sum", "capacity_mw")], final="CAST({0} AS BIGINT)")
     m.metric("NUMERO_IMPIANTI", "IMPIANTI", "COUNT(plant_id)", parts=[("count", "plant_id")], final="{0}")
-    m.metric("EFFICIENZA_MEDIA", "IMPIANTI", "CAST(SUM(EFFICIENZA_CENTS) AS DOUBLE) / COUNT(EFFICIENZA_CENTS) / 100",
+    m.metric("EFFICIENZA_MEDIA", "IMPIANTI", "CAST(SUM(CAST(EFFICIENZA_CENTS AS DECIMAL(38,0))) AS DOUBLE) / COUNT(EFFICIENZA_CENTS) / 100",
              **_avg("EFFICIENZA_CENTS"))
     m.derived("MARGINE_PRODUZIONE", "RICAVO_POTENZIALE - COSTO_PRODUZIONE_TOTALE",
               ["RICAVO_POTENZIALE", "COSTO_PRODUZIONE_TOTALE"], ["margine"])

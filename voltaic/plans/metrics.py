@@ -76,7 +76,8 @@ class Metric:
     synonyms: list[str] = field(default_factory=list)
     comment: str = ""
     cast: str | None = None  # result type, e.g. "double" for exact decimal sums shown as doubles
-    # optional decomposition for eager aggregation: partial aggregates ``(sum|count|min|max, expr)``
+    # optional decomposition for eager aggregation: partial aggregates ``(sum|wsum|count|min|max,
+    # expr)`` (``wsum``: exact sum of integers accumulated as DECIMAL(38,0), for money in cents)
     # and a final expression over them (``{0}``, ``{1}``.. name the partials); must equal ``expr``
     parts: list[tuple[str, str]] | None = None
     final: str | None = None
@@ -220,9 +221,10 @@ class SemanticModel:
                 parts.append((n, agg, expr))
                 names.append(n)
             finals[m.name] = m.final.format(*names)
-        first = {"sum": "SUM", "count": "COUNT", "min": "MIN", "max": "MAX"}
+        first = {"sum": "SUM", "wsum": "SUM", "count": "COUNT", "min": "MIN", "max": "MAX"}
         # counts merge by summing and are never null (an empty global aggregate counts 0)
-        merge = {"sum": F.sum, "count": lambda c: F.coalesce(F.sum(c), F.lit(0)), "min": F.min, "max": F.max}
+        merge = {"sum": F.sum, "wsum": lambda c: F.sum(c.cast("decimal(38,0)")),
+                 "count": lambda c: F.coalesce(F.sum(c), F.lit(0)), "min": F.min, "max": F.max}
         fact_names = self._names_in(" ".join(e for _, _, e in parts), self.facts)
         pending = self._joins_for(base, keep, fact_names)
 
@@ -250,7 +252,8 @@ class SemanticModel:
             src = src.withColumns({f: F.expr(self.facts[f].expr) for f in fact_names})
         # the input of every partial is evaluated on the fact rows (facts and raw columns alike)
         cur = src.select(*[F.expr(self.dimensions[d].expr).alias(d) for d in have],
-                         *[F.expr(expr).alias(f"{n}_in") for n, _, expr in parts],
+                         *[(F.expr(expr).cast("decimal(38,0)") if agg == "wsum" else F.expr(expr)).alias(f"{n}_in")
+                           for n, agg, expr in parts],
                          *[F.col(c) for c in fks(joined, pending)])
         applied = where_ok(have)
         if applied:

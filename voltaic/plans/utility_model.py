@@ -14,8 +14,8 @@ from pyspark.sql import SparkSession
 from voltaic.plans.metrics import SemanticModel
 from voltaic.sources.tables import Tables
 
-SUM_CENTS = "CAST(SUM({f}) AS DOUBLE) / 100"
-AVG_CENTS = "CAST(SUM({f}) AS DOUBLE) / COUNT({f}) / 100"
+SUM_CENTS = "CAST(SUM(CAST({f} AS DECIMAL(38,0))) AS DOUBLE) / 100"
+AVG_CENTS = "CAST(SUM(CAST({f} AS DECIMAL(38,0))) AS DOUBLE) / COUNT({f}) / 100"
 AVG_PLAIN = "CAST(SUM({f}) AS DOUBLE) / COUNT({f})"
 
 
@@ -95,23 +95,23 @@ def build_model(spark: SparkSession, sf_dir: str) -> SemanticModel:
     m.metric("total_kwh", "consumption", "CAST(SUM(kwh) AS DOUBLE)", ["consumo totale"], cast="double",
              parts=[('sum', 'kwh')], final='CAST({0} AS DOUBLE)')
     m.metric("total_smc", "consumption", SUM_CENTS.format(f="smc_cents"), ["gas totale"],
-             parts=[('sum', 'smc_cents')], final='CAST({0} AS DOUBLE) / 100')
+             parts=[('wsum', 'smc_cents')], final='CAST({0} AS DOUBLE) / 100')
     m.metric("total_revenue", "supplies", SUM_CENTS.format(f="bill_cents"), ["fatturato"],
-             parts=[('sum', 'bill_cents')], final='CAST({0} AS DOUBLE) / 100')
+             parts=[('wsum', 'bill_cents')], final='CAST({0} AS DOUBLE) / 100')
     m.metric("cost_per_kwh", "consumption",
-             "CAST(SUM(energy_cost_cents) AS DOUBLE) / 100 / NULLIF(SUM(kwh), 0)", ["costo medio kwh"],
-             parts=[('sum', 'energy_cost_cents'), ('sum', 'kwh')], final='CAST({0} AS DOUBLE) / 100 / NULLIF({1}, 0)')
+             "CAST(SUM(CAST(energy_cost_cents AS DECIMAL(38,0))) AS DOUBLE) / 100 / NULLIF(SUM(kwh), 0)", ["costo medio kwh"],
+             parts=[('wsum', 'energy_cost_cents'), ('sum', 'kwh')], final='CAST({0} AS DOUBLE) / 100 / NULLIF({1}, 0)')
     m.metric("n_supplies", "supplies", "COUNT(o_orderkey)", ["numero forniture"],
              parts=[('count', 'o_orderkey')], final='{0}')
-    m.metric("revenue_cents", "supplies", "SUM(bill_cents)", ["fatturato centesimi"],
-             parts=[('sum', 'bill_cents')], final='{0}')
+    m.metric("revenue_cents", "supplies", "SUM(CAST(bill_cents AS DECIMAL(38,0)))", ["fatturato centesimi"],
+             parts=[('wsum', 'bill_cents')], final='{0}')
     m.metric("avg_bill", "supplies", AVG_CENTS.format(f="bill_cents"), ["bolletta media"],
-             parts=[('sum', 'bill_cents'), ('count', 'bill_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
+             parts=[('wsum', 'bill_cents'), ('count', 'bill_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
     # mean bill rounded half-up to whole cents in integer arithmetic (ROUND(avg, 2) of a double can
     # differ between engines at .xx5)
     m.metric("avg_bill_cents_rounded", "supplies",
-             "(2 * SUM(bill_cents) + COUNT(bill_cents)) DIV (2 * COUNT(bill_cents))",
-             parts=[("sum", "bill_cents"), ("count", "bill_cents")], final="(2 * {0} + {1}) DIV (2 * {1})")
+             "(2 * SUM(CAST(bill_cents AS DECIMAL(38,0))) + COUNT(bill_cents)) DIV (2 * COUNT(bill_cents))",
+             parts=[("wsum", "bill_cents"), ("count", "bill_cents")], final="(2 * {0} + {1}) DIV (2 * {1})")
     m.metric("n_active_customers", "supplies", "COUNT(DISTINCT o_custkey)", ["clienti attivi"])
     m.metric("avg_kwh", "consumption", AVG_PLAIN.format(f="kwh"), ["consumo medio"],
              parts=[('sum', 'kwh'), ('count', 'kwh')], final='CAST({0} AS DOUBLE) / {1}')
@@ -120,20 +120,20 @@ def build_model(spark: SparkSession, sf_dir: str) -> SemanticModel:
     m.metric("n_tickets", "tickets", "COUNT(event_id)", ["numero ticket"],
              parts=[('count', 'event_id')], final='{0}')
     m.metric("avg_resolution", "tickets", AVG_CENTS.format(f="resolution_cents"), ["tempo medio"],
-             parts=[('sum', 'resolution_cents'), ('count', 'resolution_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
+             parts=[('wsum', 'resolution_cents'), ('count', 'resolution_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
     m.metric("total_production", "consumption", "CAST(SUM(kwh) AS DOUBLE)", ["produzione totale"],
              parts=[('sum', 'kwh')], final='CAST({0} AS DOUBLE)')
     m.metric("production_cost", "consumption",
-             "CAST(SUM(production_cost_cents) AS DOUBLE) / 10000", ["costo produzione totale"],
-             parts=[('sum', 'production_cost_cents')], final='CAST({0} AS DOUBLE) / 10000')
+             "CAST(SUM(CAST(production_cost_cents AS DECIMAL(38,0))) AS DOUBLE) / 10000", ["costo produzione totale"],
+             parts=[('wsum', 'production_cost_cents')], final='CAST({0} AS DOUBLE) / 10000')
     m.metric("potential_revenue", "consumption", SUM_CENTS.format(f="potential_revenue_cents"),
              ["ricavo potenziale"],
-             parts=[('sum', 'potential_revenue_cents')], final='CAST({0} AS DOUBLE) / 100')
+             parts=[('wsum', 'potential_revenue_cents')], final='CAST({0} AS DOUBLE) / 100')
     m.metric("avg_hours", "consumption", AVG_PLAIN.format(f="hours"), ["ore medie"],
              parts=[('sum', 'hours'), ('count', 'hours')], final='CAST({0} AS DOUBLE) / {1}')
     m.metric("avg_availability", "consumption", AVG_CENTS.format(f="availability_cents"),
              ["disponibilità media"],
-             parts=[('sum', 'availability_cents'), ('count', 'availability_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
+             parts=[('wsum', 'availability_cents'), ('count', 'availability_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
     m.metric("total_capacity", "plants", "CAST(SUM(capacity) AS BIGINT)", ["capacità totale"],
              parts=[('sum', 'capacity')], final='CAST({0} AS BIGINT)')
     m.metric("n_plants", "plants", "COUNT(p_partkey)", ["numero impianti"],
@@ -142,5 +142,5 @@ def build_model(spark: SparkSession, sf_dir: str) -> SemanticModel:
               ["potential_revenue", "production_cost"], ["margine"])
     # not a named metric in the domain (Q8 averages a fact directly), kept here for reuse
     m.metric("avg_efficiency", "plants", AVG_CENTS.format(f="efficiency_cents"), ["efficienza media"],
-             parts=[('sum', 'efficiency_cents'), ('count', 'efficiency_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
+             parts=[('wsum', 'efficiency_cents'), ('count', 'efficiency_cents')], final='CAST({0} AS DOUBLE) / {1} / 100')
     return m

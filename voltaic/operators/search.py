@@ -70,10 +70,17 @@ def token_bucket(c, buckets: int):
     return F.pmod(F.xxhash64(c), F.lit(buckets))
 
 
-def write_index(postings: DataFrame, stats: DataFrame, path: str, buckets: int = 64) -> None:
-    """Persist the index under ``path`` (shared storage): postings partitioned by token hash bucket."""
-    (postings.withColumn("bucket", token_bucket("token", buckets))
-     .repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+def write_index(postings: DataFrame, stats: DataFrame, path: str, buckets: int = 64, salts: int = 8) -> None:
+    """Persist the index under ``path`` (shared storage): postings partitioned by token hash bucket.
+
+    The write is spread by (bucket, salt) with the salt a hash of the chunk key, so a bucket holding
+    a very common token is written by ``salts`` tasks in parallel (several files per bucket folder)
+    instead of one; readers still prune by bucket.
+    """
+    p = postings.withColumn("bucket", token_bucket("token", buckets))
+    salt = F.pmod(F.xxhash64("doc_id", "chunk_id"), F.lit(salts))
+    (p.repartition(buckets * salts, "bucket", salt)
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     stats.write.mode("overwrite").parquet(f"{path}/chunk_stats")
 
 

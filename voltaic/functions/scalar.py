@@ -51,23 +51,6 @@ def month_in_wrapped(c, start: int, end: int) -> Column:
     return m.between(start, end) if start <= end else (m >= start) | (m <= end)
 
 
-def seeded_uniform(key, seed: int, lo: float, hi: float, scale: int = 2) -> Column:
-    """repeatable stand-in for ``UNIFORM(lo, hi, RANDOM())``.
-
-    An arithmetic generator ``((key * a + seed * c) mod m) / m`` mapped to [lo, hi] and rounded to
-    ``scale`` digits. Pure integer arithmetic, so any SQL engine can repeat it for an oracle.
-    """
-    a, c, m = 1103515245, 12345, 2147483648
-    r = F.pmod(_c(key).cast("long") * a + F.lit(seed * c), F.lit(m)).cast("double") / m
-    return F.round(F.lit(lo) + r * (hi - lo), scale)
-
-
-def seeded_int(key, seed: int, lo: int, hi: int) -> Column:
-    """Integer form of F4, inclusive on both ends (Spark's own ``uniform`` never returns ``hi``)."""
-    a, c = 1103515245, 12345
-    return (F.lit(lo) + F.pmod(_c(key).cast("long") * a + F.lit(seed * c), F.lit(hi - lo + 1))).cast("long")
-
-
 def code_lookup(key, values: list[str]) -> Column:
     """Simple ``CASE k WHEN 0 THEN v0 ...`` over a small code table, 0-based."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(_c(key), F.lit(len(values))).cast("int") + 1)

@@ -27,7 +27,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 @dataclass
@@ -444,6 +443,3 @@ class SemanticModel:
         key = _fold(term)
         return sorted({(k, n) for t, k, n in self.synonym_rows() if _fold(t) == key})
 
-
-def double(c: Column) -> Column:
-    return c.cast(T.DoubleType())

@@ -106,3 +106,24 @@ def test_classify_by_descriptors(spark):
     assert got[2][0] == "Problema tecnico"
     assert got[3][0] == "Complimento" and got[3][1] > 0.9
     assert got[4] == ("Reclamo fatturazione", 0.333)  # nothing shared: uniform, first label
+
+
+def test_partitioned_write_prunes_months(spark, sf_dir):
+    import contextlib
+    import io
+    import os
+    import tempfile
+    from voltaic.sources.generate import consumption, customers
+    from voltaic.sources.sinks import write_table
+    as_of = F.lit("2025-06-15").cast("date")
+    grid = consumption(customers(Tables(spark, sf_dir).customer, "c_custkey", as_of), as_of, 12)
+    path = os.path.join(tempfile.mkdtemp(prefix="sink-"), "consumption")
+    write_table(grid, path, partition_by=["month"], sort_within=["customer_id"], spread=4)
+    back = spark.read.parquet(path)
+    assert back.count() == grid.count()
+    one = back.where(F.col("month") == F.lit("2025-06-01").cast("date"))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        one.explain("formatted")
+    assert "PartitionFilters: [isnotnull(month" in buf.getvalue() and "2025-06-01" in buf.getvalue()
+    assert one.count() == Tables(spark, sf_dir).customer.count()

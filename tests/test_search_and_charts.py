@@ -46,3 +46,13 @@ def test_chart_shapes(spark):
         ("line", 1, "1", "y", 10.0), ("line", 2, "2", "y", 20.0)]
     big = spark.range(500).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
     assert chart_series(big, ["v"]).count() == 50  # first 50 rows only
+
+
+def test_respond_chart_or_table(spark, sf_dir):
+    from voltaic.operators.conversation import respond
+    from voltaic.plans.utility_model import build_model
+    df = build_model(spark, sf_dir).query(["n_customers", "total_revenue"], ["segment"])
+    kind, pdf = respond(df, "Mostrami un grafico a barre per segmento", ["segment"])
+    assert kind == "chart:grouped_bar" and set(pdf.series) == {"n_customers", "total_revenue"}
+    kind, pdf = respond(df, "Quanti clienti per segmento?", ["segment"])
+    assert kind == "table" and len(pdf) == 5 and list(pdf.columns) == ["segment", "n_customers", "total_revenue"]

@@ -153,3 +153,25 @@ def chart_series(df: DataFrame, order_by: list[str], max_rows: int = 50) -> Data
     base = top.select(F.lit(kind).alias("chart"), "row_no", x.alias("x"),
                       *[F.col(c).cast("double").alias(c) for c in series])
     return base.unpivot(["chart", "row_no", "x"], series, "series", "value")
+
+
+# Words that ask for a chart in a request (same list as the P12 intent flag).
+CHART_WORDS = ["grafico", "chart", "visualizza", "mostra", "plot", "istogramma", "torta", "barre"]
+
+
+def wants_chart(request: str) -> bool:
+    """P12 for one request held by the caller (the same rule the intent query applies to a column)."""
+    low = request.lower()
+    return any(w in low for w in CHART_WORDS)
+
+
+def respond(df: DataFrame, request: str, order_by: list[str], max_rows: int = 50):
+    """Entry point A after the query ran: chart series (C3) when the request asks for a chart, else
+    the first ``max_rows`` rows (S9). Either way at most ``max_rows`` source rows leave the cluster.
+
+    Returns ``(kind, pandas frame)`` with kind ``"chart:<shape>"`` or ``"table"``.
+    """
+    if wants_chart(request):
+        kind = chart_kind(df)[0]
+        return f"chart:{kind}", chart_series(df, order_by, max_rows).orderBy("row_no", "series").toPandas()
+    return "table", df.orderBy(*order_by).limit(max_rows).toPandas()

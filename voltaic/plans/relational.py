@@ -6,14 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voltaic.functions import scalar as X
+from voltaic.operators.conversation import CHART_WORDS
 from voltaic.operators import relational as R
 from voltaic.plans.registry import register
 from voltaic.sources.tables import Tables
 
 CENTS = "CAST(ROUND({c} * 100) AS BIGINT)"
 
-# Chart request words of the chat app (a prompt asking for a chart contains one).
-CHART_WORDS = ["grafico", "chart", "visualizza", "mostra", "plot", "istogramma", "torta", "barre"]
 # Order status code table and contact channels used as a 5-value code table.
 STATUS_LABELS = {"F": "CLOSED", "O": "OPEN", "P": "SUSPENDED"}
 CHANNELS = ["EMAIL", "TELEFONO", "APP", "SOCIAL", "SPORTELLO"]

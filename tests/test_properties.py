@@ -127,3 +127,10 @@ def test_partitioned_write_prunes_months(spark, sf_dir):
         one.explain("formatted")
     assert "PartitionFilters: [isnotnull(month" in buf.getvalue() and "2025-06-01" in buf.getvalue()
     assert one.count() == Tables(spark, sf_dir).customer.count()
+
+
+def test_cluster_conf_is_complete():
+    from voltaic.session import cluster_conf
+    c = cluster_conf(4000, "hdfs:///shared/ckpt")
+    assert c["spark.sql.shuffle.partitions"] == "12000" and c["spark.checkpoint.dir"] == "hdfs:///shared/ckpt"
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"

@@ -70,3 +70,30 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def cluster_conf(total_cores: int, checkpoint_dir: str) -> dict[str, str]:
+    """Settings for a large cluster run (pass to ``get_session(extra=...)`` or spark-submit).
+
+    * shuffle partitions at ~3x the cores: AQE coalesces small ones and splits skewed ones, so the
+      number only has to be large enough for the biggest shuffle (pre-aggregated postings, lines by
+      order key) to fit ~128 MB per task;
+    * 64 MB input splits: the text tables are CPU-heavy per byte (regex tokenising), so smaller
+      splits keep tasks short and even;
+    * skew join on, with a partition counted as skewed at 5x the median and 256 MB;
+    * the shared checkpoint folder for lineage cuts, staged tables and streaming state;
+    * dynamic partition overwrite, so a replayed batch rewrites only its own partition.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(3 * total_cores),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.files.maxPartitionBytes": "64m",
+        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.checkpoint.dir": checkpoint_dir,
+        "spark.sql.session.timeZone": "UTC",
+    }

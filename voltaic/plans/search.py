@@ -105,7 +105,8 @@ def r6(spark, d):
     """Attribute filter before scoring (English chunks), id and title columns, max 5 results."""
     q = Tables(spark, d).benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     chunks, res = _bm25(spark, d, q, 5, F.col("lang") == "en")
-    return res.join(chunks.select("doc_id", "chunk_id", "section", "source"), ["doc_id", "chunk_id"]).select(
+    # the result is bounded (checked query count x 5): it is the broadcast side
+    return F.broadcast(res).join(chunks.select("doc_id", "chunk_id", "section", "source"), ["doc_id", "chunk_id"]).select(
         "query_id", "rank", F.col("doc_id").alias("id"), F.col("section").alias("title"), "source", "score")
 
 
@@ -125,7 +126,7 @@ def q12(spark, d):
     """Three clause questions, top 3 chunks each, with the section label."""
     q = spark.createDataFrame(CLAUSE_QUESTIONS, "query_id int, query string")
     chunks, res = _bm25(spark, d, q, 3)
-    return res.join(chunks.select("doc_id", "chunk_id", "section"), ["doc_id", "chunk_id"]).select(
+    return F.broadcast(res).join(chunks.select("doc_id", "chunk_id", "section"), ["doc_id", "chunk_id"]).select(
         "query_id", "rank", "doc_id", "chunk_id", "section", "score")
 
 

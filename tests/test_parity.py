@@ -9,7 +9,7 @@ ORACLES = E.oracle_sql()
 
 
 def test_every_query_is_registered_with_survey_id():
-    assert len(QUERIES) >= 70
+    assert len(QUERIES) >= 100 and len(ORACLES) >= 100
     for name in QUERIES:
         assert name.split("_")[0][0] in "spjakwufgtrmqcvx", name
 

@@ -1,4 +1,4 @@
-"""The domain's own questions (Q1-Q11, Q14-Q23) on the domain model over the generated
+"""The domain's own questions (Q1-Q11, Q13-Q23) on the domain model over the generated
 domain tables. Each oracle rebuilds the five tables from the generators' SQL and asks the same
 question in plain SQL."""
 
@@ -246,3 +246,40 @@ def q23d(spark, d):
     return k.select(F.round("CONSUMO_TOTALE_KWH", 0).alias("TOT_KWH"), F.round("CONSUMO_TOTALE_SMC", 0).alias("TOT_SMC"),
                     F.round("FATTURATO_TOTALE", 0).alias("TOT_COSTO"), (F.col("COSTO_MEDIO_CENTESIMI") / 100.0).alias("AVG_COSTO"),
                     F.col("CLIENTI_ATTIVI").alias("NUM_CLIENTI"))
+
+
+# The document halves of the two mixed questions.
+SUSPENSION_Q = [(1, "Cosa dice il contratto sulle condizioni di sospensione?")]
+COMPLAINT_Q = [(1, "Cosa prevede il contratto per la gestione dei reclami sulla fatturazione?")]
+
+
+def _mixed_sql(question, data_col_sql: str, alias: str) -> str:
+    from voltaic.plans.search import bm25_sql
+    from voltaic.plans.text import _sql_values
+    q = f"queries(query_id, query) AS (VALUES {_sql_values(question)})"
+    return f"""{DOMAIN},{bm25_sql(q, 3)}
+SELECT rank, doc_id, chunk_id, score, ({data_col_sql}) AS {alias} FROM top WHERE rank <= 3"""
+
+
+@register("q13_domain_suspended_and_clause", _mixed_sql(
+    SUSPENSION_Q, "SELECT COUNT(customer_id) FROM CLIENTI WHERE contract_state = 'SOSPESO'", "NUMERO_CLIENTI_SOSPESI"))
+def q13d(spark, d):
+    """Q13 on the domain tables (R7): suspended customers next to the top 3 clauses on suspension."""
+    from voltaic.plans.search import _bm25
+    q = spark.createDataFrame(SUSPENSION_Q, "query_id int, query string")
+    _, res = _bm25(spark, d, q, 3)
+    n = model(spark, d).query(["NUMERO_CLIENTI"], where="STATO_CONTRATTO = 'SOSPESO'")
+    return res.select("rank", "doc_id", "chunk_id", "score", n.scalar().alias("NUMERO_CLIENTI_SOSPESI"))
+
+
+@register("q14_domain_billing_share_and_clause", _mixed_sql(
+    COMPLAINT_Q, "SELECT SUM(CASE WHEN category = 'FATTURAZIONE' THEN 1 ELSE 0 END) / COUNT(*) FROM FEEDBACK_CLIENTI",
+    "QUOTA_RECLAMI_FATTURAZIONE"))
+def q14d_mixed(spark, d):
+    """Q14 on the domain tables (A12, R7): share of billing tickets next to the top 3 complaint clauses."""
+    from voltaic.plans.search import _bm25
+    q = spark.createDataFrame(COMPLAINT_Q, "query_id int, query string")
+    _, res = _bm25(spark, d, q, 3)
+    tk = G.tickets(Tables(spark, d).events)
+    share = tk.select(F.count_if(F.col("category") == "FATTURAZIONE") / F.count(F.lit(1))).scalar()
+    return res.select("rank", "doc_id", "chunk_id", "score", share.alias("QUOTA_RECLAMI_FATTURAZIONE"))

@@ -134,3 +134,40 @@ def test_cluster_conf_is_complete():
     c = cluster_conf(4000, "hdfs:///shared/ckpt")
     assert c["spark.sql.shuffle.partitions"] == "12000" and c["spark.checkpoint.dir"] == "hdfs:///shared/ckpt"
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_checkpoint_folder_rules():
+    import pytest as _pytest
+    from voltaic.session import checkpoint_dir
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+        def set(self, k, v):
+            self[k] = v
+
+    class Ctx:
+        def __init__(self, master, ckpt=None):
+            self.master, self._c = master, ckpt
+
+        def getCheckpointDir(self):
+            return self._c
+
+        def setCheckpointDir(self, d):
+            self._c = d
+
+    class Session:
+        def __init__(self, master, conf=None, ckpt=None):
+            self.conf, self.sparkContext = Conf(conf or {}), Ctx(master, ckpt)
+
+    # the session's setting wins and is registered with the context
+    s = Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
+    assert checkpoint_dir(s) == "hdfs:///shared/ckpt" and s.sparkContext.getCheckpointDir() == "hdfs:///shared/ckpt"
+    # on a cluster without a shared folder: refuse instead of using a machine-local one
+    with _pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session("spark://master:7077"))
+    # local mode (tests): a scratch folder is made and registered
+    local = Session("local[2]")
+    d = checkpoint_dir(local)
+    assert d and local.conf.get("spark.checkpoint.dir") == d

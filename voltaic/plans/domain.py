@@ -1,4 +1,4 @@
-"""The domain's own questions (Q1-Q11, Q13-Q23) on the domain model over the generated
+"""The domain's own questions (Q1-Q11, Q13-Q24) on the domain model over the generated
 domain tables. Each oracle rebuilds the five tables from the generators' SQL and asks the same
 question in plain SQL."""
 
@@ -283,3 +283,20 @@ def q14d_mixed(spark, d):
     tk = G.tickets(Tables(spark, d).events)
     share = tk.select(F.count_if(F.col("category") == "FATTURAZIONE") / F.count(F.lit(1))).scalar()
     return res.select("rank", "doc_id", "chunk_id", "score", share.alias("QUOTA_RECLAMI_FATTURAZIONE"))
+
+
+_DOMAIN_TABLES = ["CLIENTI", "CONSUMI_ENERGIA", "FEEDBACK_CLIENTI", "IMPIANTI", "PRODUZIONE_ENERGIA"]
+
+
+@register("q24_domain_row_counts", f"""{DOMAIN}
+""" + "\nUNION ALL\n".join(f"SELECT '{t}' AS TABELLA, COUNT(*) AS RECORD FROM {t}" for t in _DOMAIN_TABLES))
+def q24d(spark, d):
+    """Q24 / U1 on the domain tables: row count of each generated domain table (the load check)."""
+    from voltaic.plans.domain_model import domain_tables
+    tb = domain_tables(spark, d)
+    parts = [tb[t]().agg(F.count(F.lit(1)).alias("RECORD")).select(F.lit(t).alias("TABELLA"), "RECORD")
+             for t in _DOMAIN_TABLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -5,11 +5,11 @@ Documents are sets of distinct word shingles; two link when ``den * |A and B| >=
 1. **Sets.** One pass over the texts hashes every shingle to 64 bits and writes, per document, the size
    and a 128-bit hash of its set, plus the routing keys of step 2. Equal sets are one class from here on.
 2. **Routing (which documents share a forest).** Two sets over the threshold differ in at most D
-   shingles, D known from their size range. Each set is cut into more than D slices of the hash space;
-   some slice of two linked sets is equal (pigeonhole), and enough slices are cut that a slice of
-   two or more shingles is among the equal ones unless most slices are tiny, when tiny ones are keys as
-   well. So no link is lost, and a passage or line that many documents share does not bring them
-   together as long as their slices hold other shingles too. Classes with an equal slice are connected.
+   shingles, D known from their sizes. The sets of a size class are cut into the same k > D slices of the
+   hash space, so two linked sets have k - D equal slices at least (pigeonhole). A set gives all but its
+   k - D - 1 smallest slices as keys; the largest equal slice of a linked pair is a key of both, so no
+   link is lost. Keys hold three or four shingles each, so a passage or line that many documents share
+   seldom fills one and does not bring those documents together. Classes with an equal key are connected.
 3. **Signature trees.** Each connected part is split into blocks of about ``BLOCK`` classes. For every pair
    of blocks a task builds one tree over either block: leaves carry token bitmaps, inner nodes the OR of
    their children's bitmaps with ranges of size. A dual traversal from both roots drops a pair of nodes
@@ -51,27 +51,33 @@ def size_classes(num: int, den: int, upto: int) -> np.ndarray:
 
 
 def slice_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Routing keys of one sorted set of shingle hashes."""
+    """Routing keys of one sorted set of shingle hashes.
+
+    In a size class all sets are cut into the same ``k`` slices. A set of ``n`` shingles shares at least
+    ``k - differ(n)`` equal slices with any partner, so it may leave out fewer slices than that: the
+    smallest. The largest equal slice of a pair is then a key of both sets.
+    """
     n = len(s)
-    bounds = size_classes(num, den, n)
+    bounds = size_classes(num, den, 2 * n + 20)
     own = int(np.searchsorted(bounds, n, "right")) - 1
     classes = [own] if own >= 0 else []
     if den * n >= num * int(bounds[own + 1]):       # a larger partner may be of the next class
         classes.append(own + 1)
     if not classes:
         return np.zeros(0, U64)
-    all_bounds = size_classes(num, den, 2 * n + 20)
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(H.finalise(s ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=U64)])
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(H.finalise(s ^ H.MIX[3]), dtype=U64)])
     out = []
     for j in classes:
-        differ = (den - num) * 2 * (int(all_bounds[j + 1]) - 1) // (den + num)
-        k = differ + 2 + differ // 10
+        top = int(bounds[j + 1]) - 1
+        most = (den - num) * 2 * top // (den + num)
+        differ = (den - num) * (n + min(top, den * n // num)) // (den + num)
+        k = most + 1 + most // 4
         cuts = np.searchsorted((s >> U64(32)) * U64(k) >> U64(32), np.arange(k + 1).astype(U64), "left")
         held = np.diff(cuts)
-        key = H.finalise((total[cuts[1:]] - total[cuts[:-1]]) + held.astype(U64) * H.MIX[0]
-                         + np.arange(k).astype(U64) * H.MIX[1] + np.full(k, j, U64) * H.MIX[2])
-        tiny = held < 2
-        out.append(key if tiny.sum() >= k - differ else key[~tiny])
+        least = np.partition(held, k - differ - 1)[k - differ - 1]     # fewer than k - differ are below it
+        keep = np.flatnonzero(held >= least)
+        out.append(H.finalise((total[cuts[keep + 1]] - total[cuts[keep]]) + held[keep].astype(U64) * H.MIX[0]
+                              + keep.astype(U64) * H.MIX[1] + np.full(len(keep), j, U64) * H.MIX[2]))
     return np.concatenate(out)
 
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voltaic.llm.jaccard import jaccard_join
+from voltaic.llm.linededup import drop_recurring_lines
+from voltaic.llm.mixing import block_positions, mix_sources, source_plan
 from voltaic.llm.registry import register
+from voltaic.llm.sharding import assign_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
+
+
+@register("op2_line_template_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_recurring_lines(table(spark, sf_dir, "documents"), min_texts=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+@register("op3_stratified_shards")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op5_temperature_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return block_positions(mix_sources(docs, source_plan(docs, max_repeat=2.0)))

@@ -23,16 +23,21 @@ from voltaic.session import cut_lineage
 DEPTH = 3
 MIN_TOKENS = 3
 SIMILAR = 0.7
-SPACE = r"[ \t\x0B\f\r]+"
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens, one space apart, with variable fields replaced."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), r"[^ ]*[0-9][^ ]*", "<*>")
+    """The line's tokens, one space apart, with variable fields replaced. Each pattern runs only over lines
+    that need it and never goes back over a token."""
+    line = F.trim(line)
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0B\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    line = F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]++", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(line)
 
 
 def tokens_of(form: Column) -> Column:
-    return F.length(form) - F.length(F.translate(form, " ", "")) + F.when(form == "", 0).otherwise(1)
+    return F.octet_length(form) - F.octet_length(F.replace(form, F.lit(" "), F.lit(""))) + F.when(form == "", 0).otherwise(1)
 
 
 def leaf_of(form: Column) -> Column:
@@ -43,8 +48,9 @@ def recurring_forms(docs: DataFrame, text_col: str, min_texts: int) -> tuple[Dat
     """(line forms of every text as hashes; hashes of the forms whose template recurs)."""
     lines = (docs.where(F.col(text_col).isNotNull())
              .select(F.xxhash64(text_col).alias("key"),
-                     F.explode(F.array_distinct(F.transform(F.split(text_col, "\n"), masked))).alias("form"))
-             .where(tokens_of(F.col("form")) >= MIN_TOKENS))
+                     F.explode(F.split(text_col, "\n")).alias("line"))
+             # one-element explode: the masked line is computed once and not again in every later expression
+             .select("key", F.explode(F.array(masked(F.col("line")))).alias("form")).where(tokens_of(F.col("form")) >= MIN_TOKENS))
     hashed = cut_lineage(lines.select("key", leaf_of(F.col("form")).alias("leaf"), F.xxhash64("form").alias("f"))
                          .distinct(), "line-forms")
     per_leaf = hashed.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))

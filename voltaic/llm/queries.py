@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltaic.llm.decontam import benchmark_hits, is_contaminated
 from voltaic.llm.jaccard import jaccard_join
+from voltaic.llm.langid import fold_of, identify, train
 from voltaic.llm.linededup import drop_recurring_lines
 from voltaic.llm.mixing import block_positions, mix_sources, source_plan
 from voltaic.llm.registry import register
@@ -40,3 +42,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return block_positions(mix_sources(docs, source_plan(docs, max_repeat=2.0)))
+
+
+@register("op7_winnowing_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                       is_contaminated().alias("contaminated"))
+
+
+@register("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
+    model = train(docs, ~held_out)
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltaic.llm.decontam import benchmark_hits, is_contaminated
+from voltaic.llm.html import extract_main_text
 from voltaic.llm.jaccard import jaccard_join
 from voltaic.llm.langid import fold_of, identify, train
 from voltaic.llm.linededup import drop_recurring_lines
 from voltaic.llm.mixing import block_positions, mix_sources, source_plan
+from voltaic.llm.pstable import embedding_dedup
 from voltaic.llm.registry import register
 from voltaic.llm.sharding import assign_shards
 
@@ -58,3 +60,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
     model = train(docs, ~held_out)
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op6_embedding_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), least_cosine=0.9)
+
+
+@register("op10_html_main_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))

@@ -12,8 +12,10 @@ from voltaic.llm.html import extract_main_text
 from voltaic.llm.jaccard import jaccard_join
 from voltaic.llm.langid import fold_of, identify, train
 from voltaic.llm.linededup import drop_recurring_lines
+from voltaic.llm.lm import fit as fit_network, score_documents
 from voltaic.llm.mixing import block_positions, mix_sources, source_plan
 from voltaic.llm.pstable import embedding_dedup
+from voltaic.llm.quality import fit as fit_quality, score_quality
 from voltaic.llm.registry import register
 from voltaic.llm.sharding import assign_shards
 
@@ -70,3 +72,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_html_main_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@register("op4_quality_neighbour_votes")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False))
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return score_quality(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op9_masked_pseudo_likelihood")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_network(docs))

@@ -3,7 +3,7 @@
 Documents are sets of distinct word shingles; two link when ``den * |A and B| >= num * |A or B|``.
 
 1. **Sets.** One pass over the texts hashes every shingle to 64 bits and writes, per document, the size
-   and a 128-bit hash of its set, plus the routing keys of step 2. Equal sets are one class from here on.
+   and a 128-bit hash of its set. Equal sets are one class from here on.
 2. **Routing (which documents share a forest).** Two sets over the threshold differ in at most D
    shingles, D known from their sizes. The sets of a size class are cut into the same k > D slices of the
    hash space, so two linked sets have k - D equal slices at least (pigeonhole). A set gives all but its
@@ -95,26 +95,37 @@ def _texts(batch, column: str, shingle: int):
         yield lo, hi, [H.shingle_set(words[first[i]:first[i + 1]], shingle) for i in range(hi - lo)]
 
 
-def _sign(shingle: int, num: int, den: int):
+def _sign(shingle: int):
+    """Size and set hash of every document."""
     def run(batches):
-        seen: dict = {}
         for batch in batches:
             for lo, hi, sets in _texts(batch, "text", shingle):
-                hashes, keys = [set_hash(s) for s in sets], []
-                for s, h in zip(sets, hashes):
-                    if h in seen:
-                        keys.append(np.zeros(0, U64))
-                    else:
+                hashes = [set_hash(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())],
+                    names=["id", "n", "h1", "h2"])
+    return run
+
+
+def _route(shingle: int, num: int, den: int):
+    """(routing key, set) rows; a set that the task has met before is left out."""
+    def run(batches):
+        seen: dict = {}
+        for batch in batches:
+            for _, _, sets in _texts(batch, "text", shingle):
+                owners, keys = [], []
+                for s in sets:
+                    h = set_hash(s)
+                    if len(s) and h not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen[h] = None
-                        keys.append(slice_keys(s, num, den) if len(s) else np.zeros(0, U64))
-                flat = np.concatenate(keys) if keys else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()),
-                     H.lists(flat.view(I64), [len(k) for k in keys], pa.int64())],
-                    names=["id", "n", "h1", "h2", "keys"])
+                        keys.append(slice_keys(s, num, den))
+                        owners.append(np.full(len(keys[-1]), h[0], I64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(I64)),
+                                                      pa.array(np.concatenate(owners))], names=["key", "h1"])
     return run
 
 
@@ -310,12 +321,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut_lineage(texts.mapInArrow(_sign(shingle, num, den),
-                                          "id long, n long, h1 long, h2 long, keys array<long>"), "signed")
+    signed = cut_lineage(texts.mapInArrow(_sign(shingle), "id long, n long, h1 long, h2 long"), "signed")
     classes = cut_lineage(signed.where("n > 0 and id is not null").groupBy("h1", "h2")
                           .agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    keys = signed.where("id is not null").select("h1", F.explode("keys").alias("key"))
+    # computed twice, for the hubs and for their members: keys are more bytes than the texts' shuffled share
+    # of them is worth, so they are not stored
+    keys = texts.where("id is not null and text is not null").select("text").mapInArrow(
+        _route(shingle, num, den), "key long, h1 long")
     hubs = keys.groupBy("key").agg(F.min("h1").alias("hub"), F.max("h1").alias("top")).where("hub <> top")
     routed = connected_components(keys.join(hubs.select("key", "hub"), "key"), "hub", "h1")
     comps = cut_lineage(routed.select(F.col("node").alias("h1"), F.col("root").alias("comp")), "routed")
@@ -339,7 +352,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .where("copies > 1 or links is not null")
              .select("h1", "h2", F.coalesce("root", "rep").alias("comp"),
                      (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
-    return signed.drop("keys").join(found, ["h1", "h2"], "left").select(
+    return signed.join(found, ["h1", "h2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")))
         .alias("component_id"),

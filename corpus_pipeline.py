@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltaic.llm.decontam import benchmark_hits, is_contaminated
-from voltaic.llm.graph import small_side
+from voltaic.llm.graph import free_names, small_side
 from voltaic.llm.jaccard import jaccard_join
 from voltaic.llm.langid import identify, train
 from voltaic.llm.mixing import mix_sources, source_plan
@@ -55,14 +55,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7 against ``benchmark``: documents with one hit word in twenty go."""
     bench = spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet"))
+    key, = free_names(docs, "_hit")
     hit = cut_lineage(benchmark_hits(docs, bench, window=13).where(is_contaminated())
-                      .select(F.col("text_key").alias("_hit")).distinct(), "pipeline-hit")
-    return docs.join(small_side(hit), F.xxhash64("text") == F.col("_hit"), "left_anti").select(*docs.columns)
+                      .select(F.col("text_key").alias(key)).distinct(), "pipeline-hit")
+    return docs.join(small_side(hit), F.xxhash64("text") == F.col(key), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: every document at least once, small sources up to twice."""
-    return mix_sources(docs, source_plan(docs, max_repeat=2.0), epoch="_epoch").select(*docs.columns)
+    epoch, = free_names(docs, "epoch")
+    return mix_sources(docs, source_plan(docs, max_repeat=2.0), epoch=epoch).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,17 @@ def small_side(stored: DataFrame) -> DataFrame:
     return F.broadcast(stored) if stored_bytes(stored) <= BROADCAST_BYTES else stored
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the smallest node of its component.
 

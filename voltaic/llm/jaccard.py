@@ -19,7 +19,7 @@ Documents are sets of distinct word shingles; two link when ``den * |A and B| >=
 4. **Components** of the local groups, by contraction (:mod:`voltaic.llm.graph`).
 
 Null, empty and blank texts have no words: size 0, no links, their own component. A row without an id is
-returned without a component. Rows that repeat an id count as documents of their own.
+returned without component or links. Rows that repeat an id count as documents of their own.
 """
 
 from __future__ import annotations
@@ -356,4 +356,5 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")))
         .alias("component_id"),
-        F.when(F.col("n") > 0, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+        F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
+        .alias("n_links"))

@@ -8,7 +8,7 @@ template, any other is its own. Lines whose template occurs in ``min_texts`` dif
 
 Lines are parted by newlines; lines with fewer than ``MIN_TOKENS`` tokens are never judged. Exact copies of
 a text count once. Null text stays null with no lines; a text all of whose lines go becomes empty. Other
-columns are kept. No whole group meets in one task: counts are aggregated before they are shuffled, and a
+columns are kept, but for input columns named ``n_lines`` or ``n_dropped``, which give way. No whole group meets in one task: counts are aggregated before they are shuffled, and a
 line reaches the shuffles as hashes unless its leaf is shared by ``min_texts`` texts.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltaic.llm.graph import small_side
+from voltaic.llm.graph import free_names, small_side
 from voltaic.session import cut_lineage
 
 DEPTH = 3
@@ -81,16 +81,17 @@ def recurring_forms(docs: DataFrame, text_col: str, min_texts: int) -> tuple[Dat
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = 5) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text_col``, and ``n_lines``, ``n_dropped``."""
     hashed, dropped = recurring_forms(docs, text_col, min_texts)
-    per_text = (hashed.select("key", "f").join(dropped, "f").groupBy("key")
-                .agg(F.collect_set("f").alias("_gone")).withColumnRenamed("key", "_key"))
+    key, gone, kept = free_names(docs, "_key", "_gone", "_kept")
+    per_text = (hashed.select("key", "f").join(dropped, "f").groupBy(F.col("key").alias(key))
+                .agg(F.collect_set("f").alias(gone)))
     per_text = cut_lineage(per_text, "line-gone")
     lines = F.split(F.col(text_col), "\n")
-    gone = lambda x: F.coalesce(F.array_contains(F.col("_gone"), F.xxhash64(masked(x))), F.lit(False))
-    rows = docs.withColumn("_key", F.xxhash64(text_col)).join(small_side(per_text), "_key", "left")
-    rows = rows.withColumn("_kept", F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x))))
-    n, kept = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("_kept"), F.lit(0))
+    stays = lambda x: ~F.array_contains(F.col(gone), F.xxhash64(masked(x)))
+    rows = docs.withColumn(key, F.xxhash64(text_col)).join(small_side(per_text), key, "left")
+    rows = rows.withColumn(kept, F.when(F.col(gone).isNull(), lines).otherwise(F.filter(lines, stays)))
     null = F.col(text_col).isNull()
+    n, left = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(kept), F.lit(0))
     rows = rows.withColumn("n_lines", F.when(null, 0).otherwise(n)).withColumn(
-        "n_dropped", F.when(null, 0).otherwise(n - kept))
-    return rows.withColumn(text_col, F.when(~null, F.array_join("_kept", "\n"))).select(
-        *docs.columns, "n_lines", "n_dropped")
+        "n_dropped", F.when(null, 0).otherwise(n - left))
+    return rows.withColumn(text_col, F.when(~null, F.array_join(kept, "\n"))).select(
+        *[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltaic.llm.graph import small_side
+from voltaic.llm.graph import free_names, small_side
 from voltaic.llm.ranks import bucket_count, bucket_of, rank_in_groups, seeded
 from voltaic.session import cut_lineage
 
@@ -110,12 +110,13 @@ def source_plan(docs: DataFrame, max_repeat: float | None = 2.0, target_entropy:
 def mix_sources(docs: DataFrame, plan: DataFrame, seed: str = "mix", id_col: str = "doc_id",
                 source_col: str = "source", epoch: str = "epoch") -> DataFrame:
     """Every row of ``docs`` once per block that takes it, with the block's number in ``epoch``."""
-    cuts = small_side(plan.select(F.col("src").alias("_src"), "full", F.col("cut").alias("_cut")))
-    taken = F.col("full") + (seeded(seed, id_col) <= F.col("_cut")).cast("int")
-    return (docs.withColumn("_key", source_key(source_col))
-            .join(cuts, F.col("_key") == F.col("_src")).withColumn("_taken", taken).where("_taken > 0")
-            .withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col("_taken"))))
-            .select(*[docs[c] for c in docs.columns], epoch))
+    src, full, cut, key, taken, block = free_names(docs, "_src", "_full", "_cut", "_key", "_taken", "_block")
+    cuts = small_side(plan.select(F.col("src").alias(src), F.col("full").alias(full), F.col("cut").alias(cut)))
+    times = F.col(full) + (seeded(seed, id_col) <= F.col(cut)).cast("int")
+    return (docs.withColumn(key, source_key(source_col)).join(cuts, F.col(key) == F.col(src))
+            .withColumn(taken, times).where(F.col(taken) > 0)
+            .withColumn(block, F.explode(F.sequence(F.lit(1), F.col(taken))))
+            .select(*[c for c in docs.columns if c != epoch], F.col(block).alias(epoch)))
 
 
 def block_positions(mixed: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text",

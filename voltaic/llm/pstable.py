@@ -181,5 +181,5 @@ def embedding_dedup(vectors: DataFrame, least_cosine: float = 0.9, id_col: str =
                    (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     got = hashed.select("id", "h1", "h2").join(out, ["h1", "h2"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return got.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+    return got.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
                       comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))

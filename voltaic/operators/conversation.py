@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from voltaic.functions.scalar import strip_inline_images
+from voltaic.operators.relational import assign_ids
 
 
 def pack_history(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
@@ -134,16 +134,15 @@ def chart_kind(df: DataFrame) -> tuple[str, list[str], list[str]]:
     return "none", txt, num
 
 
-def chart_series(df: DataFrame, order_by: list[str], max_rows: int = 50) -> DataFrame:
-    """Long-form series ``(chart, row_no, x, series, value)`` of the first ``max_rows`` rows.
+def chart_series(df: DataFrame, order_by: list[str], max_rows: int | None = None) -> DataFrame:
+    """Long-form series ``(chart, row_no, x, series, value)`` of every row of ``df``.
 
-    The cut happens on the cluster (ordered ``limit``); ``x`` is the first text column (for a line
+    Rows are numbered in parallel (:func:`assign_ids`; ``order_by`` is unique per row). A caller that
+    can show only so many points passes ``max_rows``: an ordered ``limit`` on the cluster. ``x`` is the first text column (for a line
     chart the first number), ``series`` the numeric column name, ``value`` a double.
     """
     kind, txt, num = chart_kind(df)
-    top = df.orderBy(*order_by).limit(max_rows)
-    # bounded: at most max_rows rows reach this window
-    top = top.withColumn("row_no", F.row_number().over(Window.orderBy(*order_by)))
+    top = assign_ids(df if max_rows is None else df.orderBy(*order_by).limit(max_rows), order_by, 0, "row_no")
     if kind == "line":
         x = F.col(num[0]).cast("string")
         series = num[1:]
@@ -167,11 +166,11 @@ def wants_chart(request: str) -> bool:
 
 def respond(df: DataFrame, request: str, order_by: list[str], max_rows: int = 50):
     """Entry point A after the query ran: chart series (C3) when the request asks for a chart, else
-    the first ``max_rows`` rows (S9). Either way at most ``max_rows`` source rows leave the cluster.
+    the first ``max_rows`` rows (S9). A chart gets its whole series.
 
     Returns ``(kind, pandas frame)`` with kind ``"chart:<shape>"`` or ``"table"``.
     """
     if wants_chart(request):
         kind = chart_kind(df)[0]
-        return f"chart:{kind}", chart_series(df, order_by, max_rows).orderBy("row_no", "series").toPandas()
+        return f"chart:{kind}", chart_series(df, order_by).orderBy("row_no", "series").toPandas()
     return "table", df.orderBy(*order_by).limit(max_rows).toPandas()

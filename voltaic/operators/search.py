@@ -12,8 +12,11 @@ most ``k`` rows per map task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voltaic.operators.relational import top_n_per_group
 from voltaic.operators.text import TOKEN_PATTERN, small
@@ -98,8 +101,7 @@ def _score(hit: DataFrame, qt: DataFrame, corpus, qid_col: str, id_list: list[st
     n, avgdl = corpus["n"], corpus["avgdl"]
     idf = F.ln(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    # dfreq has one row per query term and the term list was size-checked: the bound is proven
-    m = hit.join(F.broadcast(dfreq), "token").join(qt, "token")
+    m = hit.join(small(dfreq), "token").join(qt, "token")  # one row per query term: no bound of its own
     scored = (m.groupBy(qid_col, *id_list).agg(F.sum(part).alias("_s"))
               .withColumn("score", F.round("_s", 6)).drop("_s"))
     return top_n_per_group(scored, [qid_col], [F.desc("score"), *[F.asc(c) for c in id_list]], k)
@@ -171,28 +173,62 @@ def cosine(a, b):
     return dot / (na * nb)
 
 
+QUERY_BLOCK = 1_024     # query vectors multiplied in one pass over the corpus
+
+
+def _normal(rows: list) -> np.ndarray:
+    x = np.array(rows, dtype=np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _block_cosines(shared, k: int, names: list[str], qid_type):
+    """Per Arrow batch and query: the ``k`` best rows by (rounded cosine, id); null vectors score nothing."""
+    def run(batches):
+        ids, vectors = shared.value
+        queries = _normal(vectors)
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            ok = [i for i, v in enumerate(rows) if v and len(v) == queries.shape[1] and None not in v]
+            if not ok:
+                continue
+            key = np.array(batch.column(0).to_pylist(), dtype=object)[ok]
+            by_id = np.argsort(key, kind="stable")
+            got = np.round(queries @ _normal([rows[i] for i in ok])[by_id].T, 6)
+            best = np.argsort(-got, axis=1, kind="stable")[:, :k]
+            n = best.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[by_id][best].ravel().tolist(), batch.schema.field(0).type),
+                 pa.array([q for q in ids for _ in range(n)], qid_type),
+                 pa.array(np.take_along_axis(got, best, 1).ravel())], names=names)
+    return run
+
+
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
-                  vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "qvec",
-                  max_queries: int = 1_000) -> DataFrame:
+                  vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "qvec") -> DataFrame:
     """Exact cosine top ``k`` per query vector -> ``(query_id, rank, vec_id, cosine)``.
 
-    The query set must be bounded (checked against ``max_queries``); it rides along as one array
-    literal, each corpus row scores every query, and the per-query top-k uses the partial
-    ``WindowGroupLimit``. Work is linear in the corpus; nothing is shuffled but the per-task top-k
-    rows. For query sets over the bound, split them and union the results.
+    Any number of query vectors: they are broadcast in blocks of about ``QUERY_BLOCK``, each block one pass over
+    the corpus. A task normalises both sides once, multiplies whole Arrow batches and keeps the ``k``
+    best rows per query and batch, so only those are shuffled.
     """
-    rows = queries.select(qid_col, qvec_col).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors: split the query set into batches")
-    # the bounded query set (count checked) travels with the plan as one array literal: every corpus
-    # row scores every query inside the row, no join
-    qarr = F.array(*[F.struct(F.lit(r[qid_col]).alias("q"),
-                              F.array(*[F.lit(float(x)) for x in r[qvec_col]]).alias("v")) for r in rows])
-    scored = corpus.select(id_col, F.explode(F.transform(
-        qarr, lambda q: F.struct(q["q"].alias(qid_col), cosine(q["v"], F.col(vec_col)).alias("_c")))).alias("_x"))
-    scored = scored.select(id_col, F.col(f"_x.{qid_col}").alias(qid_col),
-                           F.round("_x._c", 6).alias("cosine"))
-    return top_n_per_group(scored, [qid_col], [F.desc("cosine"), F.asc(id_col)], k)
+    sc = corpus.sparkSession.sparkContext
+    qid_type = to_arrow_type(queries.schema[qid_col].dataType)
+    schema = ", ".join(f"{n} {f[c].dataType.simpleString()}" for n, f, c in
+                       ((id_col, corpus.schema, id_col), (qid_col, queries.schema, qid_col))) + ", cosine double"
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        rows = queries.where((F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b) & F.col(qvec_col).isNotNull()).select(
+            qid_col, qvec_col).collect()
+        if not rows:
+            continue
+        shared = sc.broadcast(([r[0] for r in rows], [list(map(float, r[1])) for r in rows]))
+        part = corpus.select(id_col, vec_col).mapInArrow(_block_cosines(shared, k, [id_col, qid_col, "cosine"], qid_type), schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = corpus.sparkSession.createDataFrame([], schema)
+    return top_n_per_group(out, [qid_col], [F.desc("cosine"), F.asc(id_col)], k)
 
 
 def centroids(df: DataFrame, key: str, vec_col: str) -> DataFrame:

@@ -17,6 +17,7 @@ import contextlib
 import io
 import json
 import sys
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,32 @@ def register_function(name: str, fn: Callable[[str], object]) -> None:
     FUNCTIONS[name] = fn
 
 
+class _ThreadStderr(io.TextIOBase):
+    """``sys.stderr`` with a stream per thread: a call that outlives its row writes to its own row's
+    buffer only. Installed once per process; other threads reach the stream that was there before."""
+
+    def __init__(self, outer):
+        self.outer, self.by_thread = outer, {}
+
+    def write(self, s):
+        return self.by_thread.get(threading.get_ident(), self.outer).write(s)
+
+    def flush(self):
+        self.by_thread.get(threading.get_ident(), self.outer).flush()
+
+
+@contextlib.contextmanager
+def _stderr_to(stream):
+    if not hasattr(sys.stderr, "by_thread"):
+        sys.stderr = _ThreadStderr(sys.stderr)
+    streams, me = sys.stderr.by_thread, threading.get_ident()
+    streams[me] = stream
+    try:
+        yield
+    finally:
+        streams.pop(me, None)
+
+
 class _Runner:
     """One worker thread per task; a timed-out call is abandoned with its thread (it cannot be
     killed), and later rows get a fresh thread so they never queue behind it."""
@@ -79,7 +106,7 @@ def _run_one(fn: Callable[[str], object], value: str, timeout: float, runner: "_
     err = io.StringIO()
 
     def call():
-        with contextlib.redirect_stderr(err):
+        with _stderr_to(err):
             return fn(value)
 
     try:
@@ -132,7 +159,7 @@ def apply_distinct(df: DataFrame, input_col: str, udf, out_col: str) -> DataFram
     keyed = df.withColumn("_h", F.sha2(F.col(input_col), 256))
     uniq = keyed.groupBy("_h").agg(F.first(input_col).alias("_in"))
     scored = uniq.select("_h", udf(F.col("_in")).alias(out_col))
-    return keyed.join(scored, "_h", "left").drop("_h")
+    return keyed.join(scored.withColumnRenamed("_h", "_h2"), F.col("_h").eqNullSafe(F.col("_h2")), "left").drop("_h", "_h2")
 
 
 # Words that raise the urgency of a request in the stand-in completion model.

@@ -6,6 +6,8 @@ plan stays one lazy DataFrame and the result does not depend on the day it runs.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,22 @@ MONTH = "CAST(date_trunc('month', {c}) AS DATE)"
 CENTS = "CAST(ROUND({c} * 100) AS BIGINT)"
 
 
-def _latest_month(df: DataFrame, col: str):
-    """``trunc(max(col), 'MM')`` as a scalar-subquery Column (no driver round trip)."""
-    return df.select(F.trunc(F.max(F.col(col)).cast("date"), "MM")).scalar()
+def _latest_month(df: DataFrame, col: str) -> datetime.date:
+    """``trunc(max(col), 'MM')``: one number, computed before the plan so that it can prune scans."""
+    return df.select(F.trunc(F.max(F.col(col)).cast("date"), "MM")).first()[0]
+
+
+def add_months(month: datetime.date, n: int) -> datetime.date:
+    y, m = divmod(month.year * 12 + month.month - 1 + n, 12)
+    return datetime.date(y, m + 1, 1)
+
+
+def in_months(col: str, start: datetime.date, end: datetime.date | None = None):
+    """Predicate on a raw timestamp column (typed literals, so it reaches the parquet scan): from the
+    first of ``start`` to before the first of ``end``."""
+    at = lambda x: F.lit(str(x)).cast("timestamp_ntz")
+    p = F.col(col) >= at(start)
+    return p if end is None else p & (F.col(col) < at(end))
 
 
 @register("q1_supplies_by_contract", f"""
@@ -73,9 +88,10 @@ GROUP BY 1""")
 def q5(spark, d):
     """Q5 (P7, F14, F15): total bill per month over the 6 calendar months ending at the latest."""
     t = Tables(spark, d)
-    start = F.add_months(_latest_month(t.orders, "o_orderdate"), -5)
+    start = add_months(_latest_month(t.orders, "o_orderdate"), -5)
     return build_model(spark, d).query(["total_revenue"], ["supply_month"],
-                                       where=F.col("supply_month") >= start, where_dims=["supply_month"])
+                                       where=F.col("supply_month") >= start, where_dims=["supply_month"],
+                                       scan={"supplies": in_months("o_orderdate", start)})
 
 
 @register("q6_top10_customers_last_month", f"""
@@ -90,7 +106,8 @@ def q6(spark, d):
     last = _latest_month(t.orders, "o_orderdate")
     return build_model(spark, d).query(
         ["total_revenue"], ["customer_id", "customer_name"], where=F.col("supply_month") == last,
-        where_dims=["supply_month"], order_by=[F.desc("total_revenue"), F.asc("customer_id")], limit=10)
+        where_dims=["supply_month"], order_by=[F.desc("total_revenue"), F.asc("customer_id")], limit=10,
+        scan={"supplies": in_months("o_orderdate", last)})
 
 
 @register("q7_capacity_by_plant_type", """
@@ -119,11 +136,12 @@ GROUP BY 1""")
 def q9(spark, d):
     """Q9 (M17): energy per plant in the month before the latest one."""
     t = Tables(spark, d)
-    prev = F.add_months(_latest_month(t.lineitem, "l_shipdate"), -1)
+    last = _latest_month(t.lineitem, "l_shipdate")
+    prev = add_months(last, -1)
     m = build_model(spark, d)
     # plant_id is the plant key; reading it through the relationship keeps the model's grain check
     return m.query(["total_production"], ["plant_id"], where=F.col("reading_month") == prev,
-                   where_dims=["reading_month"])
+                   where_dims=["reading_month"], scan={"consumption": in_months("l_shipdate", prev, last)})
 
 
 @register("q10_open_supplies_by_contract", """
@@ -211,10 +229,11 @@ FROM orders WHERE {MONTH.format(c='o_orderdate')} >= (SELECT s FROM lo)""")
 def q23(spark, d):
     """Q23 (A8, P7): KPI row of the last 3 months (``>= trunc(as_of) - 3 months``, quirk 10)."""
     t = Tables(spark, d)
-    start = F.add_months(_latest_month(t.orders, "o_orderdate"), -3)
+    start = add_months(_latest_month(t.orders, "o_orderdate"), -3)
     k = build_model(spark, d).query(
         ["total_kwh", "total_smc", "total_revenue", "avg_bill_cents_rounded", "n_active_customers"],
-        where=F.col("supply_month") >= start, where_dims=["supply_month"])
+        where=F.col("supply_month") >= start, where_dims=["supply_month"],
+        scan={"supplies": in_months("o_orderdate", start)})
     return k.select(F.round("total_kwh", 0).alias("tot_kwh"), F.round("total_smc", 0).alias("tot_smc"),
                     F.round("total_revenue", 0).alias("tot_cost"),
                     (F.col("avg_bill_cents_rounded") / 100.0).alias("avg_cost"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voltaic.operators import conversation as C
 from voltaic.operators.relational import share_of_total
+from voltaic.plans.business import _latest_month, add_months, in_months
 from voltaic.plans.registry import register
 from voltaic.plans.utility_model import build_model
 from voltaic.sources.tables import Tables
@@ -75,7 +76,7 @@ def c2(spark, d):
 
 
 def _series_sql(base: str, order: str, x: str, series: list[str], kind: str) -> str:
-    top = f"top AS (SELECT *, row_number() OVER (ORDER BY {order}) AS row_no FROM ({base}) ORDER BY {order} LIMIT 50)"
+    top = f"top AS (SELECT *, row_number() OVER (ORDER BY {order}) AS row_no FROM ({base}) ORDER BY {order})"
     parts = [f"SELECT '{kind}' AS chart, row_no, CAST({x} AS VARCHAR) AS x, '{s}' AS series, "
              f"CAST({s} AS DOUBLE) AS value FROM top" for s in series]
     return f"WITH {top}\n" + "\nUNION ALL\n".join(parts)
@@ -96,9 +97,10 @@ FROM (SELECT c.c_mktsegment AS segment, c.c_custkey, {MONTH.format(c='o.o_orderd
 def q15(spark, d):
     """Bars of the mean monthly bill per customer type over the last 6 months."""
     t = Tables(spark, d)
-    start = F.add_months(t.orders.select(F.trunc(F.max("o_orderdate").cast("date"), "MM")).scalar(), -5)
+    start = add_months(_latest_month(t.orders, "o_orderdate"), -5)
     cm = build_model(spark, d).query(["revenue_cents"], ["segment", "customer_id", "supply_month"],
-                                     where=F.col("supply_month") >= start, where_dims=["supply_month"])
+                                     where=F.col("supply_month") >= start, where_dims=["supply_month"],
+                                     scan={"supplies": in_months("o_orderdate", start)})
     base = cm.groupBy("segment").agg(
         (F.sum("revenue_cents").cast("double") / F.count("revenue_cents") / 100).alias("avg_monthly_bill"),
         F.count(F.lit(1)).alias("n_customer_months"))
@@ -128,6 +130,6 @@ FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2"""
 @register("q17_c3_production_trend", _series_sql(Q17_BASE, "reading_month, plant_type", "reading_month",
                                                  ["total_production"], "hbar"))
 def q17(spark, d):
-    """Monthly production per plant type; first 50 (month, type) rows as series."""
+    """Monthly production per plant type; every (month, type) row."""
     g = build_model(spark, d).query(["total_production"], ["reading_month", "plant_type"])
     return C.chart_series(g, ["reading_month", "plant_type"]).withColumn("row_no", F.col("row_no").cast("long"))

@@ -202,7 +202,13 @@ class SemanticModel:
                     joins.append(r)
         return joins
 
-    def _eager_part(self, base: str, ms: list[Metric], dims: list[str], where, where_dims: list[str]) -> DataFrame:
+    def _scan(self, table: str, scan: dict[str, Column] | None) -> DataFrame:
+        """The table, with the caller's predicate on its raw columns right on the scan."""
+        df = self.tables[table].loader()
+        return df.where(scan[table]) if scan and table in scan else df
+
+    def _eager_part(self, base: str, ms: list[Metric], dims: list[str], where, where_dims: list[str],
+                    scan: dict[str, Column] | None = None) -> DataFrame:
         """Aggregate before every join (eager aggregation) for decomposable metrics.
 
         The fact table is reduced to one row per (local dimensions, foreign keys) first; each join
@@ -246,7 +252,13 @@ class SemanticModel:
             return df.where(where if isinstance(where, Column) else F.expr(where))
 
         joined, have = {base}, dims_of(base)
-        src = self.tables[base].loader()
+        src = self._scan(base, scan)
+        for r in pending:
+            # a filtered table next to the base cuts the base rows before anything is aggregated or shuffled
+            if scan and r.from_table == base and r.to_table in scan:
+                keys = self._scan(r.to_table, scan).select(*[F.col(c).alias(f"_s{j}") for j, c in enumerate(r.to_columns)])
+                on = [src[c] == keys[f"_s{j}"] for j, c in enumerate(r.from_columns)]
+                src = src.join(keys, on, "left_semi")
         if fact_names:
             src = src.withColumns({f: F.expr(self.facts[f].expr) for f in fact_names})
         # the input of every partial is evaluated on the fact rows (facts and raw columns alike)
@@ -266,7 +278,7 @@ class SemanticModel:
             rdims = dims_of(r.to_table)
             rfks = list(dict.fromkeys(c for rr in rest for c in rr.from_columns
                                       if rr.from_table == r.to_table and c not in rdims))
-            right = self.tables[r.to_table].loader().select(
+            right = self._scan(r.to_table, scan).select(
                 *[F.col(c).alias(f"_k{j}") for j, c in enumerate(r.to_columns)],
                 *[F.expr(self.dimensions[d].expr).alias(d) for d in rdims], *[F.col(c) for c in rfks])
             cond = None
@@ -290,7 +302,8 @@ class SemanticModel:
             sel.append((c.cast(m.cast) if m.cast else c).alias(m.name))
         return out.select(*dims, *sel)
 
-    def _base_rows(self, base: str, dims: list[str], extra_dims: list[str], needs: list[str]) -> DataFrame:
+    def _base_rows(self, base: str, dims: list[str], extra_dims: list[str], needs: list[str],
+                   scan: dict[str, Column] | None = None) -> DataFrame:
         """Fact rows of ``base`` with every needed table joined along many-to-one paths."""
         tables_needed = {self.dimensions[d].table for d in dims + extra_dims}
         for f in needs:
@@ -302,12 +315,12 @@ class SemanticModel:
             for r in self.path(base, t):
                 if r not in joins:
                     joins.append(r)
-        df = self.tables[base].loader().alias(base)
+        df = self._scan(base, scan).alias(base)
         joined = {base}
         for r in joins:
             if r.to_table in joined:
                 continue
-            right = self.tables[r.to_table].loader().alias(r.to_table)
+            right = self._scan(r.to_table, scan).alias(r.to_table)
             cond = None
             for a, b in zip(r.from_columns, r.to_columns):
                 c = F.col(f"{r.from_table}.{a}") == F.col(f"{r.to_table}.{b}")
@@ -319,11 +332,13 @@ class SemanticModel:
 
     def query(self, metrics: list[str], dimensions: list[str] | None = None,
               where: str | Column | None = None, order_by: list[str | Column] | None = None,
-              limit: int | None = None, where_dims: list[str] | None = None, eager: bool = True) -> DataFrame:
+              limit: int | None = None, where_dims: list[str] | None = None, eager: bool = True,
+              scan: dict[str, Column] | None = None) -> DataFrame:
         """Aggregate ``metrics`` at ``dimensions``.
 
         ``where`` is a SQL string over dimension names (they are found by name) or a ``Column``; for a
-        ``Column`` list the dimensions it reads in ``where_dims``.
+        ``Column`` list the dimensions it reads in ``where_dims``. ``scan`` gives predicates on raw columns
+        by table that ``where`` implies; they go on the scans, where they prune files and row groups.
         """
         dims = list(dimensions or [])
         for d in dims:
@@ -354,9 +369,9 @@ class SemanticModel:
             local_facts = all(not self.facts[f].requires for f in
                               self._names_in(" ".join(e for m in ms for _, e in (m.parts or [])), self.facts))
             if eager and all(m.parts and m.final for m in ms) and local_facts:
-                parts.append(self._eager_part(base, ms, dims, where, where_dims))
+                parts.append(self._eager_part(base, ms, dims, where, where_dims, scan))
                 continue
-            rows = self._base_rows(base, dims, where_dims, fact_names)
+            rows = self._base_rows(base, dims, where_dims, fact_names, scan)
             # dimensions and facts are added by name (a same-named raw column is replaced, never
             # duplicated); raw columns referenced directly by metric expressions stay available
             new_cols = {d: F.expr(self.dimensions[d].expr) for d in dict.fromkeys(dims + where_dims)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltaic.operators import search as S
 from voltaic.plans.registry import register
 from voltaic.plans.text import TOK, _sql_values
-from voltaic.sources.tables import Tables
+from voltaic.sources.tables import Tables, table_path
 
 K1, B = 1.2, 0.75
 
@@ -105,8 +105,7 @@ def r6(spark, d):
     """Attribute filter before scoring (English chunks), id and title columns, max 5 results."""
     q = Tables(spark, d).benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     chunks, res = _bm25(spark, d, q, 5, F.col("lang") == "en")
-    # the result is bounded (checked query count x 5): it is the broadcast side
-    return F.broadcast(res).join(chunks.select("doc_id", "chunk_id", "section", "source"), ["doc_id", "chunk_id"]).select(
+    return res.join(chunks.select("doc_id", "chunk_id", "section", "source"), ["doc_id", "chunk_id"]).select(
         "query_id", "rank", F.col("doc_id").alias("id"), F.col("section").alias("title"), "source", "score")
 
 
@@ -126,7 +125,7 @@ def q12(spark, d):
     """Three clause questions, top 3 chunks each, with the section label."""
     q = spark.createDataFrame(CLAUSE_QUESTIONS, "query_id int, query string")
     chunks, res = _bm25(spark, d, q, 3)
-    return F.broadcast(res).join(chunks.select("doc_id", "chunk_id", "section"), ["doc_id", "chunk_id"]).select(
+    return res.join(chunks.select("doc_id", "chunk_id", "section"), ["doc_id", "chunk_id"]).select(
         "query_id", "rank", "doc_id", "chunk_id", "section", "score")
 
 
@@ -190,9 +189,10 @@ SELECT token, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS cf FROM post GROUP BY t
 def x1(spark, d):
     """The index built by the streaming refresh (file source, ``foreachBatch`` upserts per batch
     id, ``availableNow``) equals a full rebuild; returns its term statistics."""
-    from voltaic.streaming.refresh import index_term_stats, new_index_dir, refresh_now
+    from voltaic.streaming.refresh import index_term_stats, new_index_dir, refresh_now, table_files
     idx = new_index_dir(spark)
-    refresh_now(spark, d, idx, glob="documents.parquet")
+    folder, names = table_files(spark, table_path(d, "documents"))
+    refresh_now(spark, folder, idx, glob=names)
     return index_term_stats(spark, idx)
 
 
@@ -211,5 +211,5 @@ def s5(spark, d):
 @register("s7_file_listing")
 def s7(spark, d):
     """File listing of the data folder (``binaryFile`` source; the content column is pruned)."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(d)
     return f.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "modificationTime")

@@ -184,10 +184,10 @@ def t7(spark, d):
 @register("t8_prompts", f"""
 SELECT doc_id, '{PROMPT_INSTRUCTION}' || 'Source: ' || COALESCE(source, '') || '. Feedback: ' || COALESCE(text, '')
        AS prompt
-FROM documents WHERE lang = 'de'""")
+FROM documents""")
 def t8(spark, d):
-    """One prompt per row (instruction + columns, null -> ''), filtered before the call."""
-    docs = Tables(spark, d).documents.where(F.col("lang") == "de")
+    """One prompt per row (instruction + columns, null -> '') of every document."""
+    docs = Tables(spark, d).documents
     return docs.select("doc_id", T.build_prompt(PROMPT_INSTRUCTION, [("Source: ", F.col("source")),
                                                                        (". Feedback: ", F.col("text"))]).alias("prompt"))
 

@@ -2,13 +2,12 @@
 
 The library never picks a machine-local folder on a cluster: anything that cuts lineage or stages a
 table goes under the shared folder named by ``spark.checkpoint.dir``. Only when that setting is unset
-(local tests, a laptop) does :func:`checkpoint_dir` create a scratch folder and register it.
+(local tests, a laptop) does :func:`checkpoint_dir` use a folder of the session's warehouse and register it.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's checkpoint dir). If neither is
-    set, a local-mode session (tests) gets a scratch folder; on a cluster this is an error.
+    set, a local-mode session (tests) gets a folder in its warehouse; on a cluster this is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -51,7 +50,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this "
                                "cluster; a machine-local folder would not survive executor loss")
-        d = tempfile.mkdtemp(prefix="voltaic-ckpt-")
+        d = os.path.join(spark.conf.get("spark.sql.warehouse.dir", None) or "spark-warehouse", "_scratch")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)

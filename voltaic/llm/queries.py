@@ -29,7 +29,41 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
 
 
-@register("op2_line_template_dedup")
+def _masked_sql(line: str) -> str:
+    spaced = f"trim(regexp_replace({line}, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ')"
+    return f"regexp_replace({spaced}, '[^ ]*[0-9][^ ]*', '<*>', 'g')"
+
+
+@register("op2_line_template_dedup", f"""
+WITH forms AS (
+  SELECT DISTINCT key, form, tokens, [CAST(tokens AS VARCHAR), array_to_string(string_split(form, ' ')[1:3], ' ')] AS leaf
+  FROM (SELECT key, form, CASE WHEN form = '' THEN 0 ELSE length(form) - length(replace(form, ' ', '')) + 1 END AS tokens
+        FROM (SELECT text AS key, unnest(list_transform(string_split(text, chr(10)), lambda l: {_masked_sql('l')})) AS form
+              FROM documents WHERE text IS NOT NULL))
+  WHERE tokens >= 3),
+busy AS (SELECT leaf FROM forms GROUP BY leaf HAVING COUNT(DISTINCT key) >= 5),
+variants AS (SELECT DISTINCT leaf, form, tokens FROM forms JOIN busy USING (leaf)),
+counts AS (SELECT leaf, COUNT(*) AS variants FROM variants GROUP BY leaf HAVING COUNT(*) > 1),
+words AS (SELECT leaf, form, variants, unnest(string_split(form, ' ')) AS word, unnest(range(tokens)) AS pos
+          FROM variants JOIN counts USING (leaf)),
+often AS (SELECT leaf, pos, word, COUNT(*) AS n FROM words WHERE pos >= 3 GROUP BY leaf, pos, word, variants
+          HAVING 2 * COUNT(*) >= variants),
+common AS (SELECT leaf, pos, word FROM often
+           QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY n DESC, word) = 1),
+agrees AS (SELECT leaf, form, COUNT(*) AS agree FROM words JOIN common USING (leaf, pos, word) GROUP BY leaf, form),
+mapped AS (SELECT leaf, form, COALESCE(agree, 0) + least(tokens, 3) >= CAST(0.7 AS DOUBLE) * tokens AS general
+           FROM variants LEFT JOIN agrees USING (leaf, form)),
+templates AS (SELECT leaf, form, general, CASE WHEN general THEN leaf ELSE [form] END AS template FROM mapped),
+recurring AS (SELECT general, template FROM templates JOIN forms USING (leaf, form) GROUP BY general, template
+              HAVING COUNT(DISTINCT key) >= 5),
+gone AS (SELECT COALESCE(list(DISTINCT form), []) AS gone FROM templates JOIN recurring USING (general, template)),
+cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines,
+               list_filter(string_split(text, chr(10)), lambda l: NOT list_contains(gone, {_masked_sql('l')})) AS kept
+        FROM documents, gone)
+SELECT doc_id, CAST(COALESCE(len(lines), 0) AS INTEGER) AS n_lines,
+       CAST(COALESCE(len(lines) - len(kept), 0) AS INTEGER) AS n_dropped,
+       CASE WHEN lines IS NOT NULL THEN md5(COALESCE(array_to_string(kept, chr(10)), '')) END AS kept_md5
+FROM cut""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_recurring_lines(table(spark, sf_dir, "documents"), min_texts=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))

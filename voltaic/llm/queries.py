@@ -76,7 +76,42 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
-@register("op5_temperature_mixing")
+def _seeded_sql(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+@register("op5_temperature_mixing", f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS src,
+         len(regexp_extract_all(COALESCE(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS tokens,
+         {_seeded_sql("concat_ws('|', 'mix', COALESCE(CAST(doc_id AS VARCHAR), ''))")} AS h
+  FROM documents),
+totals AS (SELECT src, CAST(SUM(tokens) AS BIGINT) AS tokens FROM docs GROUP BY src),
+steps(n, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT n + 1, lo + greatest(i - 1, 0) * ((hi - lo) / 16), lo + i * ((hi - lo) / 16)
+  FROM (SELECT n, lo, hi, COALESCE(
+          (SELECT MIN(p.i) FROM (
+             SELECT r.i, MAX(pow(t.tokens, steps.lo + r.i * ((steps.hi - steps.lo) / 16)) / t.tokens)
+                         / MIN(pow(t.tokens, steps.lo + r.i * ((steps.hi - steps.lo) / 16)) / t.tokens) AS most
+             FROM totals t, (SELECT unnest(range(17)) AS i) r WHERE t.tokens > 0 GROUP BY r.i) p WHERE p.most <= 2.0), 16) AS i
+        FROM steps WHERE n < 8)),
+alpha AS (SELECT hi AS a FROM steps WHERE n = 8),
+powers AS (SELECT src, tokens, pow(tokens, a) AS p FROM totals, alpha WHERE tokens > 0),
+norm AS (SELECT SUM(p) AS z, MIN(p / tokens) AS least FROM powers),
+passes AS (SELECT src, tokens, ROUND(p / z * (z / least) / tokens, 9) AS passes FROM powers, norm
+           UNION ALL SELECT src, tokens, 1.0 FROM totals WHERE tokens = 0),
+plan AS (SELECT src, CAST(floor(passes) AS INTEGER) AS whole,
+                CAST(floor((passes - floor(passes)) * tokens) AS BIGINT) AS rest FROM passes),
+taken AS (SELECT d.*, whole + CASE WHEN rest > 0 AND SUM(tokens) OVER (PARTITION BY src ORDER BY h) <= rest THEN 1 ELSE 0 END
+                 AS times FROM docs d JOIN plan USING (src)),
+mixed AS (SELECT doc_id, source, src, tokens, CAST(unnest(range(1, times + 1)) AS INTEGER) AS epoch FROM taken)
+SELECT doc_id, source, epoch, CAST(tokens AS BIGINT) AS tokens,
+       row_number() OVER (PARTITION BY src, epoch ORDER BY
+         {_seeded_sql("concat_ws('|', 'mix', CAST(epoch AS VARCHAR), COALESCE(CAST(doc_id AS VARCHAR), ''))")}, doc_id, tokens) - 1
+         AS position
+FROM mixed""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return block_positions(mix_sources(docs, source_plan(docs, max_repeat=2.0)))

@@ -56,3 +56,30 @@ def test_event_fold_replaces_inline_images_and_appends_errors(spark):
     assert out[1].sql == "SELECT 1"
     assert out[1].steps == "response,error,sql_generation,sql_execution"
     assert out[2].text == "final only" and out[2].steps == "thinking" and out[2].sql == ""
+
+
+def test_event_fold_reads_every_kind(spark):
+    from voltaic.operators.conversation import fold_events
+    nested = '{"content": [{"type": "json", "json": {"sql": "SELECT 2", "text": "found", "charts": [{"mark": "bar"}]}}]}'
+    log = spark.createDataFrame([
+        (1, 1, "response.tool_use", '{"name": "Ricerca_Contratti"}'),
+        (1, 2, "response.tool_result", nested), (1, 3, "response.tool_result", nested),
+        (1, 4, "response.chart", '{"chart_spec": ""}'),
+        (1, 5, "response.tool_result.analyst.delta", '{"delta": {"sql": "SELECT 3", "text": " more"}}'),
+        (1, 6, "message.delta", '{"delta": {"content": [{"type": "text", "text": " end"}, {"type": "tool_results", '
+                                '"tool_results": {"content": [{"type": "json", "json": {"sql": "SELECT 4", "text": "!"}}]}}]}}'),
+        (1, 7, "response", '{"content": [{"type": "text", "text": "late"}]}'),
+        (2, 1, "response", '{"content": [{"type": "text", "text": "whole"}, {"type": "chart", "chart": {"chart_spec": "spec"}}]}'),
+        (2, 2, "response.text", '{"text": "ignored"}'), (2, 3, "unknown", None), (2, 4, "error", "{}"),
+        (3, 1, "response.status", "not json"),
+    ], "conv_id long, seq long, event string, data string")
+    out = {r.conv_id: r for r in fold_events(log).collect()}
+    assert out[1].text == "found more end!" and out[1].sql == "SELECT 4" and out[1].chart_spec == '{"mark":"bar"}'
+    assert out[1].steps == "search,sql_generation,chart,sql_generation,chart,sql_execution"
+    assert out[2].text == "whole\nErrore: {}" and out[2].chart_spec == "spec" and out[2].steps == "error"
+    assert (out[3].text, out[3].steps, out[3].n_events) == ("", "", 1)
+
+
+def test_event_log_of_the_queries_uses_every_kind(spark, sf_dir):
+    from voltaic.plans.conversation import event_log
+    assert event_log(spark, sf_dir).select("event").distinct().count() == 11

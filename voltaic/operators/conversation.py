@@ -1,7 +1,7 @@
 """Conversation logs and chart data.
 
 C1 packs a chat history into the message list a model call takes; C2 folds an agent's event log into
-(text, sql, steps); C3 turns an aggregate result into long-form chart series. All are grouped
+(text, sql, chart, steps); C3 turns an aggregate result into long-form chart series. All are grouped
 DataFrame jobs keyed by the conversation id; per-conversation ordering uses sorted arrays of
 ``(seq, value)`` structs, so the input order of rows never matters.
 
@@ -22,99 +22,153 @@ from voltaic.operators.relational import assign_ids
 def pack_history(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  text_col: str = "text") -> DataFrame:
     """``(conv_id, n_messages, messages)`` where ``messages`` is
-    ``array<struct<role, content>>`` in turn order, ending with the latest user turn (turns after it,
-    which answer it, are not yet part of the request)."""
+    ``array<struct<role, content: array<struct<type, text>>>>`` in turn order (one ``text`` part per
+    message), ending with the latest user turn (turns after it, which answer it, are not yet part of the
+    request)."""
     # latest user turn per conversation: a partial aggregate (one row per conversation and map
     # task), joined back on the key; no window buffering a whole conversation
     last_user = conv.groupBy(conv_col).agg(F.max(F.when(F.col(role_col) == "user", F.col(turn_col))).alias("_last_user"))
     c = conv.join(last_user, conv_col).where(F.col(turn_col) <= F.col("_last_user"))
     g = c.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(turn_col).alias("t"), F.col(role_col).alias("role"), F.col(text_col).alias("content")))).alias("_m"))
-    msgs = F.transform("_m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+        F.col(turn_col).alias("t"), F.col(role_col).alias("role"), F.col(text_col).alias("text")))).alias("_m"))
+    msgs = F.transform("_m", lambda x: F.struct(x["role"].alias("role"), F.array(
+        F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content")))
     return g.select(conv_col, F.size("_m").alias("n_messages"), msgs.alias("messages"))
 
 
-# Event kinds of the agent stream and the step each one contributes.
-TEXT_DELTA = "response.text.delta"
-FINAL_TEXT = "response.text"
+# Event kinds of the agent stream.
+THINKING = "response.thinking.delta"
 STATUS = "response.status"
 TOOL_USE = "response.tool_use"
+TEXT_DELTA = "response.text.delta"
+FINAL_TEXT = "response.text"
 TOOL_RESULT = "response.tool_result"
-THINKING = "response.thinking.delta"
+ANALYST_DELTA = "response.tool_result.analyst.delta"
 CHART = "response.chart"
+RESPONSE = "response"
 ERROR = "error"
-FIRST_ONLY_STEPS = ["thinking", "response", "chart"]
+MESSAGE_DELTA = "message.delta"
 # Fixed value: prefix of an error message appended to the reply text.
 ERROR_PREFIX = "\nErrore: "
 
-
-def _get(data: Column, path: str) -> Column:
-    return F.try_variant_get(data, path, "string")
+_RESULT = "array<struct<type: string, json: struct<sql: string, text: string, charts: array<string>>>>"
+EVENT_DATA = f"""text string, status string, name string, tool_name string, message string, sql string, chart_spec string,
+    content array<struct<type: string, text: string, chart: struct<chart_spec: string>,
+                         json: struct<sql: string, text: string, charts: array<string>>,
+                         tool_result: struct<content: {_RESULT}>>>,
+    delta struct<sql: string, text: string, content: array<struct<type: string, text: string,
+                                                                   tool_results: struct<content: {_RESULT}>>>>"""
+
+# What an event does to the reply, in order: add text, set it if still empty, add it unless it is already said,
+# replace the SQL or the chart, record a step, record a step once.
+ADD, IF_EMPTY, IF_UNSAID, SQL, CHART_SPEC, STEP, STEP_ONCE = range(7)
+_OPS = "array<struct<op: int, v: string>>"
+
+
+def _op(kind: int, value: Column | str, when: Column | None = None) -> Column:
+    """A one-element list, empty unless ``value`` is non-empty (and ``when`` holds)."""
+    value = F.lit(value) if isinstance(value, str) else value
+    ok = F.coalesce(value, F.lit("")) != ""
+    one = F.array(F.struct(F.lit(kind).alias("op"), value.alias("v")))
+    return F.when(ok if when is None else ok & F.coalesce(when, F.lit(False)), one).otherwise(
+        F.array().cast(_OPS)).cast(_OPS)
+
+
+def _each(items: Column, ops) -> Column:
+    return F.flatten(F.transform(F.coalesce(items, F.array()), ops))
+
+
+def _results(items: Column, text: int | None, steps: bool, charts: bool = True) -> Column:
+    """What the JSON parts of a tool result do."""
+    def one(c):
+        j, is_json = c["json"], c["type"] == "json"
+        first = F.get(j["charts"], 0)
+        parts = [_op(SQL, j["sql"], is_json)]
+        if steps:
+            parts.append(_op(STEP, "sql_generation", is_json & (j["sql"] != "")))
+        if text is not None:
+            parts.append(_op(text, j["text"], is_json))
+        if charts:
+            parts.append(_op(CHART_SPEC, first, is_json))
+        if charts and steps:
+            parts.append(_op(STEP, "chart", is_json & (F.size(j["charts"]) > 0)))
+        return F.concat(*parts)
+    return _each(items, one)
+
+
+def event_ops(event: Column, data: Column, raw: Column) -> Column:
+    """The operations of one event, by its kind (unknown kinds: none)."""
+    d = data
+    tool = F.coalesce(d["name"], d["tool_name"], F.lit("strumento"))
+    delta = lambda f: F.when(d["delta"].isNotNull(), d["delta"][f]).otherwise(d[f])
+    final = lambda c: F.concat(
+        _op(IF_EMPTY, c["text"], c["type"] == "text"), _op(CHART_SPEC, c["chart"]["chart_spec"], c["type"] == "chart"),
+        F.when(c["type"] == "tool_result", _results(c["tool_result"]["content"], None, False)).otherwise(
+            F.array().cast(_OPS)))
+    message = lambda c: F.concat(
+        _op(ADD, c["text"], c["type"] == "text"),
+        F.when(c["type"] == "tool_results", _results(c["tool_results"]["content"], ADD, False, charts=False)).otherwise(
+            F.array().cast(_OPS)))
+    return (F.when(event == THINKING, _op(STEP_ONCE, "thinking", d["text"] != ""))
+            .when(event == STATUS, _op(STEP, "planning", d["status"] != ""))
+            .when(event == TOOL_USE, _op(STEP, F.when(tool.contains("Ricerca") | F.lower(tool).contains("search"),
+                                                      "search").otherwise("tool_call")))
+            .when(event == TEXT_DELTA, F.concat(_op(ADD, d["text"]), _op(STEP_ONCE, "response")))
+            .when(event == FINAL_TEXT, _op(IF_EMPTY, d["text"]))
+            .when(event == TOOL_RESULT, F.concat(_op(SQL, d["sql"]), _op(STEP, "sql_generation", d["sql"] != ""),
+                                                 _results(d["content"], IF_UNSAID, True)))
+            .when(event == ANALYST_DELTA, F.concat(_op(SQL, delta("sql")), _op(ADD, delta("text"))))
+            .when(event == CHART, F.concat(_op(CHART_SPEC, d["chart_spec"]), _op(STEP_ONCE, "chart")))
+            .when(event == RESPONSE, _each(d["content"], final))
+            .when(event == ERROR, F.concat(_op(ADD, F.concat(F.lit(ERROR_PREFIX), F.coalesce(d["message"], raw))),
+                                           _op(STEP, "error")))
+            .when(event == MESSAGE_DELTA, _each(d["delta"]["content"], message))
+            .otherwise(F.array().cast(_OPS)))
 
 
 def fold_events(log: DataFrame, conv_col: str = "conv_id", seq_cols: list[str] | None = None,
                 event_col: str = "event", data_col: str = "data") -> DataFrame:
-    """Fold an event log ``(conv, seq.., event, data JSON)`` into ``(conv, text, sql, steps,
-    n_events)``.
-
-    * ``text``: text deltas and ``"\\nErrore: " || message`` of error events, concatenated in order;
-      if that is empty, the first final-text event's text;
-    * ``sql``: the last non-empty ``sql`` of a tool result;
-    * ``steps``: step kinds in order (``planning`` per status, ``tool_call`` or ``search`` per tool
-      use, ``sql_generation`` per tool result with SQL, ``error`` per error; ``thinking``,
-      ``response`` and ``chart`` only at their first occurrence), then ``sql_execution`` when an
-      SQL was seen; comma-joined.
-
-    Inline base64 images in the text are replaced by a placeholder (F21).
+    """Fold an event log ``(conv, seq.., event, data JSON)`` into ``(conv, text, sql, chart_spec,
+    steps, n_events)``.
+
+    All eleven kinds count. Each event becomes a list of operations before the grouping (only what it
+    does is shuffled, not its JSON); a conversation's operations are then applied in order:
+
+    * ``text``: text, analyst and message deltas and ``"\\nErrore: " || message`` (the whole data
+      without a message) are added; a final text counts only while the text is empty; a tool result's
+      text (its SQL may also stand flat in the data) is added unless the text already holds it;
+    * ``sql``, ``chart_spec``: the last non-empty one (the first chart of a tool result's list);
+    * ``steps``: step kinds in order, comma-joined (``thinking``, ``response`` and a chart event's
+      ``chart`` only if not yet there), then ``sql_execution`` when an SQL was seen.
+
+    Inline base64 images in the text are replaced by a placeholder (F21). Data that is not JSON or null
+    counts as empty; null ids form one conversation. Since later text depends on what was said before, one
+    conversation's operations are applied by one task.
     """
     seq_cols = seq_cols or ["seq"]
-    v = F.parse_json(F.col(data_col))
-    ev = F.col(event_col)
-    tool_name = F.coalesce(_get(v, "$.name"), _get(v, "$.tool_name"), F.lit(""))
-    sql = _get(v, "$.sql")
-    step = (F.when(ev == STATUS, F.when(F.coalesce(_get(v, "$.status"), F.lit("")) != "", "planning"))
-            .when(ev == TOOL_USE, F.when(tool_name.contains("Ricerca") | F.lower(tool_name).contains("search"),
-                                         "search").otherwise("tool_call"))
-            .when(ev == TEXT_DELTA, "response")
-            .when(ev == THINKING, F.when(F.coalesce(_get(v, "$.text"), F.lit("")) != "", "thinking"))
-            .when((ev == TOOL_RESULT) & (F.coalesce(sql, F.lit("")) != ""), "sql_generation")
-            .when(ev == CHART, "chart")
-            .when(ev == ERROR, "error"))
-    piece = (F.when(ev == TEXT_DELTA, F.coalesce(_get(v, "$.text"), F.lit("")))
-             .when(ev == ERROR, F.concat(F.lit(ERROR_PREFIX), F.coalesce(_get(v, "$.message"), F.lit("")))))
-    seq = F.struct(*[F.col(c) for c in seq_cols])
-    e = log.select(conv_col, seq.alias("_seq"), step.alias("_step"), piece.alias("_piece"),
-                   F.when(ev == FINAL_TEXT, _get(v, "$.text")).alias("_final"),
-                   F.when(ev == TOOL_RESULT, sql).alias("_sql"))
-
-    def ordered(c: str) -> Column:
-        arr = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("_seq").alias("s"),
-                                                                                F.col(c).alias("v")))))
-        return F.transform(arr, lambda x: x["v"])
-
-    repeat = F.when(~F.col("_step").isin(FIRST_ONLY_STEPS), F.col("_step"))
-    # a first-only step counts once, at its earliest event: min of its sequence within the same
-    # grouping (no window, no second shuffle)
-    firsts = [F.min(F.when(F.col("_step") == k, F.col("_seq"))).alias(f"_first_{k}") for k in FIRST_ONLY_STEPS]
-    e = e.withColumn("_repeat", repeat)
+    e = log.select(conv_col, F.struct(*[F.col(c) for c in seq_cols]).alias("_seq"), F.col(event_col).alias("_event"),
+                   F.col(data_col).alias("_raw"), F.from_json(F.col(data_col), EVENT_DATA).alias("_data"))
+    e = e.select(conv_col, "_seq", event_ops(F.col("_event"), F.col("_data"), F.coalesce("_raw", F.lit(""))).alias("_ops"))
     g = e.groupBy(conv_col).agg(
-        F.array_join(ordered("_piece"), "").alias("_text"),
-        F.min_by("_final", F.when(F.col("_final").isNotNull(), F.col("_seq"))).alias("_final"),
-        F.max_by("_sql", F.when(F.coalesce(F.col("_sql"), F.lit("")) != "", F.col("_seq"))).alias("sql"),
-        F.array_sort(F.collect_list(F.when(F.col("_repeat").isNotNull(), F.struct(
-            F.col("_seq").alias("s"), F.col("_repeat").alias("v"))))).alias("_rep"),
-        *firsts, F.count(F.lit(1)).alias("n_events"))
-    first_steps = F.filter(F.array(*[F.struct(F.col(f"_first_{k}").alias("s"), F.lit(k).alias("v"))
-                                     for k in FIRST_ONLY_STEPS]), lambda x: x["s"].isNotNull())
-    all_steps = F.array_sort(F.concat(F.col("_rep"), first_steps))
-    g = g.withColumn("_steps", F.array_join(F.transform(all_steps, lambda x: x["v"]), ","))
-    text = F.when(F.col("_text") != "", F.col("_text")).otherwise(F.coalesce(F.col("_final"), F.lit("")))
-    text = strip_inline_images(text)  # inline base64 images are replaced before display
-    steps = F.when(F.coalesce(F.col("sql"), F.lit("")) != "",
-                   F.concat_ws(",", F.when(F.col("_steps") != "", F.col("_steps")), F.lit("sql_execution"))
-                   ).otherwise(F.col("_steps"))
-    return g.select(conv_col, text.alias("text"), F.coalesce(F.col("sql"), F.lit("")).alias("sql"),
-                    steps.alias("steps"), "n_events")
+        F.array_sort(F.collect_list(F.when(F.size("_ops") > 0, F.struct("_seq", "_ops")))).alias("_all"),
+        F.count(F.lit(1)).alias("n_events"))
+    empty = F.lit("")
+    start = F.struct(empty.alias("text"), empty.alias("sql"), empty.alias("chart"), F.array().cast("array<string>").alias("steps"))
+
+    def apply(acc, x):
+        op, v = x["op"], x["v"]
+        added = (op == ADD) | ((op == IF_EMPTY) & (acc["text"] == "")) | ((op == IF_UNSAID) & ~F.contains(acc["text"], v))
+        step = (op == STEP) | ((op == STEP_ONCE) & ~F.array_contains(acc["steps"], v))
+        return F.struct(F.when(added, F.concat(acc["text"], v)).otherwise(acc["text"]).alias("text"),
+                        F.when(op == SQL, v).otherwise(acc["sql"]).alias("sql"),
+                        F.when(op == CHART_SPEC, v).otherwise(acc["chart"]).alias("chart"),
+                        F.when(step, F.concat(acc["steps"], F.array(v))).otherwise(acc["steps"]).alias("steps"))
+
+    ops = F.flatten(F.transform("_all", lambda x: x["_ops"]))
+    g = g.select(conv_col, "n_events", F.aggregate(ops, start, apply).alias("_r"))
+    steps = F.when(F.col("_r.sql") != "", F.concat(F.col("_r.steps"), F.array(F.lit("sql_execution")))).otherwise(F.col("_r.steps"))
+    return g.select(conv_col, strip_inline_images(F.col("_r.text")).alias("text"), F.col("_r.sql").alias("sql"),
+                    F.col("_r.chart").alias("chart_spec"), F.array_join(steps, ",").alias("steps"), "n_events")
 
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)

@@ -18,7 +18,7 @@ CENTS = "CAST(ROUND({c} * 100) AS BIGINT)"
 @register("c1_pack_history", """
 WITH lu AS (SELECT conv_id, MAX(turn) AS last_user FROM conversations WHERE role = 'user' GROUP BY conv_id)
 SELECT c.conv_id, COUNT(*) AS n_messages,
-       CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS messages_json
+       CAST(to_json(list({'role': role, 'content': [{'type': 'text', 'text': text}]} ORDER BY turn)) AS VARCHAR) AS messages_json
 FROM conversations c JOIN lu USING (conv_id) WHERE c.turn <= lu.last_user GROUP BY c.conv_id""")
 def c1(spark, d):
     """Chat history packed into the model's message list, latest user turn last."""
@@ -30,48 +30,86 @@ def c1(spark, d):
 def event_log(spark, d):
     """The ``events`` table read as an agent event log (conversation = user, order = ts, event_id).
 
-    Fixed mapping used by the tests: view -> text delta, click -> status, purchase -> tool result
-    (SQL only for odd ``k``), error -> error, signup -> final text.
+    Fixed mapping used by the tests; ``k`` is the event's number and decides between the kinds of a type,
+    so that all eleven occur: view -> text delta, thinking or message delta; click -> status or tool use;
+    purchase -> tool result, analyst delta or chart; signup -> final text or whole response; error -> error.
     """
-    e = Tables(spark, d).events
-    k = F.variant_get(F.parse_json("props"), "$.k", "int").cast("string")
-    et = F.col("event_type")
-    kind = (F.when(et == "view", C.TEXT_DELTA).when(et == "click", C.STATUS).when(et == "purchase", C.TOOL_RESULT)
-            .when(et == "error", C.ERROR).when(et == "signup", C.FINAL_TEXT))
-    odd = F.pmod(k.cast("int"), F.lit(2)) == 1
-    data = (F.when(et == "view", F.to_json(F.struct(F.concat(F.lit("w"), k, F.lit(" ")).alias("text"))))
-            .when(et == "click", F.to_json(F.struct(F.concat(F.lit("step_"), k).alias("status"))))
-            .when(et == "purchase", F.to_json(F.struct(F.when(odd, F.concat(F.lit("SELECT "), k))
-                                                       .otherwise(F.lit("")).alias("sql"))))
-            .when(et == "error", F.to_json(F.struct(F.concat(F.lit("code "), k).alias("message"))))
-            .when(et == "signup", F.to_json(F.struct(F.concat(F.lit("final "), k).alias("text")))))
+    e = Tables(spark, d).events.withColumn("k", F.variant_get(F.parse_json("props"), "$.k", "int"))
+    k = F.col("k")
+    s, et = k.cast("string"), F.col("event_type")
+    say = lambda pre, post="": F.concat(F.lit(pre), s, F.lit(post))
+    by3, by2 = k % 3, k % 2
+    sql = F.when(by2 == 1, say("SELECT ")).otherwise("")
+    result = F.array(F.struct(F.lit("json").alias("type"), F.struct(
+        sql.alias("sql"), F.concat(F.lit("t"), (k % 7).cast("string"), F.lit(" ")).alias("text"),
+        F.when(k % 5 == 0, F.array(say("c"))).alias("charts")).alias("json")))
+    body = F.struct(sql.alias("sql"), say("a", " ").alias("text"))
+    message = F.array(
+        F.struct(F.lit("text").alias("type"), say("m", " ").alias("text"), F.lit(None).cast(
+            "struct<content:array<struct<type:string,json:struct<sql:string,text:string>>>>").alias("tool_results")),
+        F.struct(F.lit("tool_results").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(F.array(F.struct(
+            F.lit("json").alias("type"), F.struct(say("SELECT m").alias("sql"), say("r", " ").alias("text")).alias("json"))
+        ).alias("content")).alias("tool_results")))
+    whole = F.concat(
+        F.lit('{"content":[{"type":"text","text":"whole '), s, F.lit('"},{"type":"chart","chart":{"chart_spec":"w'), s,
+        F.lit('"}},{"type":"tool_result","tool_result":{"content":[{"type":"json","json":{"sql":"SELECT w'), s, F.lit('"}}]}}]}'))
+    js = lambda c, name: F.to_json(F.struct(c.alias(name)))
+    kinds = [
+        ((et == "view") & (by3 == 0), C.TEXT_DELTA, js(say("w", " "), "text")),
+        ((et == "view") & (by3 == 1), C.THINKING, js(say("hm "), "text")),
+        (et == "view", C.MESSAGE_DELTA, js(F.struct(message.alias("content")), "delta")),
+        ((et == "click") & (by2 == 0), C.STATUS, js(say("step_"), "status")),
+        (et == "click", C.TOOL_USE, js(F.when(k % 4 == 1, "Ricerca_Contratti").otherwise("Analisi_Dati"), "name")),
+        ((et == "purchase") & (by3 == 0), C.TOOL_RESULT, js(result, "content")),
+        ((et == "purchase") & (by3 == 1), C.ANALYST_DELTA, F.when(by2 == 0, js(body, "delta")).otherwise(F.to_json(body))),
+        (et == "purchase", C.CHART, js(say("n"), "chart_spec")),
+        ((et == "signup") & (by2 == 0), C.FINAL_TEXT, js(say("final "), "text")),
+        (et == "signup", C.RESPONSE, whole),
+        (et == "error", C.ERROR, F.when(k % 10 == 0, "{}").otherwise(js(say("code "), "message")))]
+    kind = F.coalesce(*[F.when(on, name) for on, name, _ in kinds])
+    data = F.coalesce(*[F.when(on, value) for on, _, value in kinds])
     return e.select(F.col("user_id").alias("conv_id"), "ts", "event_id", kind.alias("event"), data.alias("data"))
 
 
 @register("c2_fold_event_log", r"""
-WITH m AS (SELECT user_id AS conv_id, ts, event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
-e AS (SELECT conv_id, ts, event_id,
-        CASE event_type WHEN 'click' THEN 'planning' WHEN 'view' THEN 'response'
-             WHEN 'purchase' THEN CASE WHEN k % 2 = 1 THEN 'sql_generation' END WHEN 'error' THEN 'error' END AS step,
-        CASE event_type WHEN 'view' THEN 'w' || k || ' ' WHEN 'error' THEN chr(10) || 'Errore: code ' || k END AS piece,
-        CASE WHEN event_type = 'signup' THEN 'final ' || k END AS final,
-        CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 2 = 1 THEN 'SELECT ' || k ELSE '' END END AS sql
-      FROM m),
-e2 AS (SELECT *, CASE WHEN step IN ('thinking', 'response', 'chart')
-                      THEN CASE WHEN row_number() OVER (PARTITION BY conv_id, step ORDER BY ts, event_id) = 1 THEN step END
-                      ELSE step END AS kstep FROM e),
-g AS (SELECT conv_id, COALESCE(string_agg(piece, '' ORDER BY ts, event_id), '') AS t,
-             arg_min(final, (ts, event_id)) FILTER (WHERE final IS NOT NULL) AS final,
-             arg_max(sql, (ts, event_id)) FILTER (WHERE sql <> '') AS sql,
-             COALESCE(string_agg(kstep, ',' ORDER BY ts, event_id), '') AS steps, COUNT(*) AS n_events
-      FROM e2 GROUP BY conv_id)
-SELECT conv_id, regexp_replace(CASE WHEN t <> '' THEN t ELSE COALESCE(final, '') END,
-       '!\[.*?\]\(data:image/png;base64,.*?\)', '[Grafico visualizzato sopra]', 'g') AS text, COALESCE(sql, '') AS sql,
-       CASE WHEN COALESCE(sql, '') <> '' THEN CASE WHEN steps <> '' THEN steps || ',' ELSE '' END || 'sql_execution'
-            ELSE steps END AS steps, n_events
-FROM g""")
+WITH RECURSIVE m AS (SELECT user_id AS conv_id, ts, event_id, event_type AS et, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
+e AS (SELECT conv_id, et, k, row_number() OVER (PARTITION BY conv_id ORDER BY ts, event_id) AS i,
+  CASE WHEN et = 'view' AND k % 3 = 0 THEN 'w' || k || ' '
+       WHEN et = 'view' AND k % 3 = 2 THEN 'm' || k || ' r' || k || ' '
+       WHEN et = 'purchase' AND k % 3 = 1 THEN 'a' || k || ' '
+       WHEN et = 'error' THEN chr(10) || 'Errore: ' || CASE WHEN k % 10 = 0 THEN '{}' ELSE 'code ' || k END END AS added,
+  CASE WHEN et = 'signup' THEN CASE WHEN k % 2 = 0 THEN 'final ' || k ELSE 'whole ' || k END END AS if_empty,
+  CASE WHEN et = 'purchase' AND k % 3 = 0 THEN 't' || (k % 7) || ' ' END AS if_unsaid,
+  CASE WHEN et = 'view' AND k % 3 = 2 THEN 'SELECT m' || k
+       WHEN et = 'purchase' AND k % 3 < 2 AND k % 2 = 1 THEN 'SELECT ' || k
+       WHEN et = 'signup' AND k % 2 = 1 THEN 'SELECT w' || k END AS new_sql,
+  CASE WHEN et = 'purchase' AND k % 3 = 0 AND k % 5 = 0 THEN 'c' || k
+       WHEN et = 'purchase' AND k % 3 = 2 THEN 'n' || k
+       WHEN et = 'signup' AND k % 2 = 1 THEN 'w' || k END AS new_chart,
+  CASE WHEN et = 'click' THEN CASE WHEN k % 2 = 0 THEN ['planning'] WHEN k % 4 = 1 THEN ['search'] ELSE ['tool_call'] END
+       WHEN et = 'purchase' AND k % 3 = 0 THEN list_concat(CASE WHEN k % 2 = 1 THEN ['sql_generation'] ELSE [] END,
+                                                           CASE WHEN k % 5 = 0 THEN ['chart'] ELSE [] END)
+       WHEN et = 'error' THEN ['error'] ELSE [] END AS new_steps,
+  CASE WHEN et = 'view' AND k % 3 = 0 THEN 'response' WHEN et = 'view' AND k % 3 = 1 THEN 'thinking'
+       WHEN et = 'purchase' AND k % 3 = 2 THEN 'chart' END AS once
+  FROM m),
+f AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS t, '' AS sql, '' AS chart, CAST([] AS VARCHAR[]) AS steps
+  FROM (SELECT DISTINCT conv_id FROM e)
+  UNION ALL
+  SELECT f.conv_id, e.i,
+    f.t || CASE WHEN added IS NOT NULL THEN added WHEN if_empty IS NOT NULL AND f.t = '' THEN if_empty
+                WHEN if_unsaid IS NOT NULL AND NOT contains(f.t, if_unsaid) THEN if_unsaid ELSE '' END,
+    COALESCE(new_sql, f.sql), COALESCE(new_chart, f.chart),
+    list_concat(f.steps, CASE WHEN once IS NOT NULL AND NOT list_contains(f.steps, once) THEN [once] ELSE new_steps END)
+  FROM f JOIN e ON e.conv_id = f.conv_id AND e.i = f.i + 1),
+n AS (SELECT conv_id, COUNT(*) AS n_events FROM e GROUP BY conv_id)
+SELECT f.conv_id, regexp_replace(t, '!\[.*?\]\(data:image/png;base64,.*?\)', '[Grafico visualizzato sopra]', 'g') AS text,
+       sql, chart AS chart_spec,
+       array_to_string(CASE WHEN sql <> '' THEN list_append(steps, 'sql_execution') ELSE steps END, ',') AS steps, n_events
+FROM f JOIN n ON n.conv_id = f.conv_id AND n.n_events = f.i""")
 def c2(spark, d):
-    """Fold an event log per conversation (deltas, last SQL, first-only steps)."""
+    """Fold an event log per conversation (all eleven kinds, last SQL and chart, ordered steps)."""
     return C.fold_events(event_log(spark, d), "conv_id", ["ts", "event_id"], "event", "data")
 
 

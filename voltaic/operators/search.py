@@ -1,17 +1,23 @@
 """Document search (R1-R7): fixed-size chunking, a postings index, BM25 top-k, exact vector search.
 
-Index layout (R3): ``postings(doc_id, chunk_id, token, tf)`` and ``chunk_stats(doc_id, chunk_id,
-dl)``; document frequency and corpus statistics are aggregates of those. Written to parquet, the
-postings table is partitioned by a hash bucket of the token so a query reads only its terms' buckets.
-
-Query plan (R4): query terms are a small table (checked, then broadcast) joined to postings on the
-token; only the matched postings are aggregated. Top-k per query is ``row_number() <= k``, which Spark
+Index layout (R3): ``postings(doc_id, chunk_id, token, tf, dl, attributes..)`` and ``chunk_stats(doc_id,
+chunk_id, dl, attributes..)``; document frequency and corpus statistics are aggregates of those. Written to
+parquet, the postings table is partitioned by a hash bucket of the token, so a query reads only its terms'
+buckets; chunk length and attributes stand in each posting (dictionary-encoded), so a search joins nothing
+else and filters by attribute in the scan. :func:`stored_index` writes the index of a table once and every
+later search of the session reads it.
+
+Query plan (R4): query terms are joined to postings on the token (broadcast behind a check of their size);
+only the matched postings are aggregated. Top-k per query is ``row_number() <= k``, which Spark
 plans with a partial ``WindowGroupLimit`` before the shuffle, so a query matching a hot term ships at
 most ``k`` rows per map task.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from voltaic.operators.relational import top_n_per_group
-from voltaic.operators.text import TOKEN_PATTERN, small
-from voltaic.session import cut_lineage
+from voltaic.operators.text import BROADCAST_MAX_ROWS, TOKEN_PATTERN, small
+from voltaic.session import checkpoint_dir, cut_lineage
 
 # Chunk size, characters per page and the section label of the domain's chunk table.
 CHUNK_SIZE = 2000
@@ -48,18 +54,26 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return out.where(F.length("content") > min_len)
 
 
+def section(chunk_id: str):
+    """The section label of a chunk number."""
+    return F.concat(F.lit(SECTION_LABEL), F.col(chunk_id).cast("string"))
+
+
 def build_index(chunks: DataFrame, id_cols: tuple[str, str] = ("doc_id", "chunk_id"),
-                text_col: str = "content") -> tuple[DataFrame, DataFrame]:
-    """``(postings, chunk_stats)`` from chunks.
+                text_col: str = "content", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(postings, chunk_stats)`` from chunks, both with the attribute columns ``keep``.
 
-    ``postings(doc_id, chunk_id, token, tf)``; ``chunk_stats(doc_id, chunk_id, dl)`` with ``dl`` the
+    ``postings(doc_id, chunk_id, token, tf, dl)``; ``chunk_stats(doc_id, chunk_id, dl)`` with ``dl`` the
     token count of the chunk (0 for a chunk without tokens, so it still counts in ``N``).
     """
-    ids = list(id_cols)
+    ids = [*id_cols, *keep]
     arr = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
+    # tokenise once into a column: an inline expression would be evaluated for every exploded token
+    toks = chunks.select(*ids, arr.alias("_t")).select(*ids, "_t", F.size("_t").cast("long").alias("dl"))
     stats = chunks.select(*ids, F.size(arr).cast("long").alias("dl"))
-    postings = (chunks.select(*ids, F.explode(arr).alias("token"))
-                .groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("tf")))
+    postings = (toks.select(*ids, "dl", F.explode("_t").alias("token"))
+                .groupBy(*id_cols, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"),
+                                                *[F.first(c).alias(c) for c in keep]))
     return postings, stats
 
 
@@ -73,36 +87,59 @@ def token_bucket(c, buckets: int):
     return F.pmod(F.xxhash64(c), F.lit(buckets))
 
 
-def write_index(postings: DataFrame, stats: DataFrame, path: str, buckets: int = 64, salts: int = 8) -> None:
+def write_index(postings: DataFrame, stats: DataFrame, path: str, buckets: int = 64) -> None:
     """Persist the index under ``path`` (shared storage): postings partitioned by token hash bucket.
 
-    The write is spread by (bucket, salt) with the salt a hash of the chunk key, so a bucket holding
-    a very common token is written by ``salts`` tasks in parallel (several files per bucket folder)
-    instead of one; readers still prune by bucket.
+    The write is rebalanced by bucket: AQE joins small buckets in one task and splits a bucket that holds a
+    very common token over several (several files in its folder); readers still prune by bucket.
     """
     p = postings.withColumn("bucket", token_bucket("token", buckets))
-    salt = F.pmod(F.xxhash64("doc_id", "chunk_id"), F.lit(salts))
-    (p.repartition(buckets * salts, "bucket", salt)
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    p.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stats.write.mode("overwrite").parquet(f"{path}/chunk_stats")
 
 
-def _query_terms(queries: DataFrame, qid_col: str, qtext_col: str) -> tuple[DataFrame, DataFrame]:
+def stored_index(docs: DataFrame, keep: tuple[str, ...] = ("lang", "source"), buckets: int = 64) -> str:
+    """The folder of the index over ``docs`` (a plain scan of stored files), written on first use.
+
+    The folder lies under the shared checkpoint folder and is named after the files' paths, lengths and
+    modification times, so a changed table gets a new index. Spark's ``_SUCCESS`` marker of the statistics,
+    which are written last, says that an index is whole.
+    """
+    spark = docs.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    state = hashlib.sha256(repr((keep, buckets, CHUNK_SIZE)).encode())
+    for f in sorted(docs.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        state.update(f"{f}|{status.getLen()}|{status.getModificationTime()}\n".encode())
+    path = os.path.join(checkpoint_dir(spark), f"search-index-{state.hexdigest()[:24]}")
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/chunk_stats/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        postings, stats = build_index(chunk(docs, keep=list(keep)), keep=keep)
+        write_index(postings, stats, path, buckets)
+    return path
+
+
+def _query_terms(queries: DataFrame, qid_col: str, qtext_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(query and token, token, whether the tokens are few enough to broadcast)."""
     qt = (queries.select(qid_col, F.explode(F.regexp_extract_all(F.lower(F.col(qtext_col)),
                                                                   F.lit(TOKEN_PATTERN), 0)).alias("token"))
           .distinct())
-    return small(qt), small(qt.select("token").distinct())
+    terms = qt.select("token").distinct()
+    few = terms.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+    return small(qt), F.broadcast(terms) if few else terms, few
 
 
-def _score(hit: DataFrame, qt: DataFrame, corpus, qid_col: str, id_list: list[str], k: int,
+def _score(hit: DataFrame, qt: DataFrame, few: bool, corpus, qid_col: str, id_list: list[str], k: int,
            k1: float, b: float) -> DataFrame:
     """``hit(ids.., token, tf, dl)`` restricted to query terms -> top-k per query."""
-    dfreq = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # one row per query term
+    dfreq = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # at most one row per query term
     n, avgdl = corpus["n"], corpus["avgdl"]
     idf = F.ln(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    m = hit.join(small(dfreq), "token").join(qt, "token")  # one row per query term: no bound of its own
-    scored = (m.groupBy(qid_col, *id_list).agg(F.sum(part).alias("_s"))
+    # what a posting is worth does not depend on the query: computed once, before it meets the queries
+    worth = hit.join(F.broadcast(dfreq) if few else dfreq, "token").select(*id_list, "token", part.alias("_p"))
+    scored = (worth.join(qt, "token").groupBy(qid_col, *id_list).agg(F.sum("_p").alias("_s"))
               .withColumn("score", F.round("_s", 6)).drop("_s"))
     return top_n_per_group(scored, [qid_col], [F.desc("score"), *[F.asc(c) for c in id_list]], k)
 
@@ -114,27 +151,30 @@ def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 5,
     -> ``(query_id, rank, doc_id, chunk_id, score)``.
 
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``; score rounded to 6 digits; ties by ids. Only the
-    postings of query terms are read (broadcast semi join); ``N`` and mean length are one scalar
-    subquery over the chunk statistics.
+    postings of query terms go on (semi join); ``N`` and mean length are one scalar subquery over the
+    chunk statistics.
     """
     id_list = list(ids)
-    qt, terms = _query_terms(queries, qid_col, qtext_col)
-    hit = postings.join(terms, "token", "left_semi").join(stats, id_list)
+    qt, terms, few = _query_terms(queries, qid_col, qtext_col)
+    hit = postings.join(terms, "token", "left_semi")
     corpus = stats.select(F.struct(F.count(F.lit(1)).alias("n"),
                                    (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl"))).scalar()
-    return _score(hit, qt, corpus, qid_col, id_list, k, k1, b)
+    return _score(hit, qt, few, corpus, qid_col, id_list, k, k1, b)
 
 
 def search_index(spark, path: str, queries: DataFrame, k: int = 5, buckets: int = 64,
                  qid_col: str = "query_id", qtext_col: str = "query", k1: float = 1.2,
-                 b: float = 0.75) -> DataFrame:
-    """R4 over an index stored by :func:`write_index`: only the token buckets of the query terms are
-    read (partition pruning on ``bucket``); the bucket list is bounded by the checked term count."""
-    _, terms = _query_terms(queries, qid_col, qtext_col)
+                 b: float = 0.75, where=None) -> DataFrame:
+    """R4, R6 over an index stored by :func:`write_index`: only the token buckets of the query terms are
+    read (partition pruning on ``bucket``; at most ``buckets`` numbers reach the driver). ``where`` filters
+    by attributes before anything is counted, so frequencies and lengths are those of the filtered chunks."""
+    _, terms, _ = _query_terms(queries, qid_col, qtext_col)
     wanted = [r[0] for r in terms.select(token_bucket("token", buckets)).distinct().collect()]
-    postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted)).drop("bucket")
+    postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted))
     stats = spark.read.parquet(f"{path}/chunk_stats")
-    return bm25(postings, stats, queries, k, qid_col, qtext_col, k1, b)
+    if where is not None:
+        postings, stats = postings.where(where), stats.where(where)
+    return bm25(postings.drop("bucket"), stats, queries, k, qid_col, qtext_col, k1, b)
 
 
 def bm25_chunks(chunks: DataFrame, queries: DataFrame, k: int = 5, qid_col: str = "query_id",
@@ -148,7 +188,7 @@ def bm25_chunks(chunks: DataFrame, queries: DataFrame, k: int = 5, qid_col: str
     carries only matching postings.
     """
     id_list = list(ids)
-    qt, terms = _query_terms(queries, qid_col, qtext_col)
+    qt, terms, few = _query_terms(queries, qid_col, qtext_col)
     arr = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
     # tokenise once into a column; size and explode both read it (an inline expression would be
     # re-evaluated for every exploded token)
@@ -161,7 +201,7 @@ def bm25_chunks(chunks: DataFrame, queries: DataFrame, k: int = 5, qid_col: str
         hit = cut_lineage(hit)
     corpus = chunks.select(F.struct(F.count(F.lit(1)).alias("n"),
                                     (F.sum(F.size(arr)).cast("double") / F.count(F.lit(1))).alias("avgdl"))).scalar()
-    return _score(hit, qt, corpus, qid_col, id_list, k, k1, b)
+    return _score(hit, qt, few, corpus, qid_col, id_list, k, k1, b)
 
 
 def cosine(a, b):

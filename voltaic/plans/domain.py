@@ -265,9 +265,9 @@ SELECT rank, doc_id, chunk_id, score, ({data_col_sql}) AS {alias} FROM top WHERE
     SUSPENSION_Q, "SELECT COUNT(customer_id) FROM CLIENTI WHERE contract_state = 'SOSPESO'", "NUMERO_CLIENTI_SOSPESI"))
 def q13d(spark, d):
     """Q13 on the domain tables (R7): suspended customers next to the top 3 clauses on suspension."""
-    from voltaic.plans.search import _bm25
+    from voltaic.plans.search import _search
     q = spark.createDataFrame(SUSPENSION_Q, "query_id int, query string")
-    _, res = _bm25(spark, d, q, 3)
+    res = _search(spark, d, q, 3)
     n = model(spark, d).query(["NUMERO_CLIENTI"], where="STATO_CONTRATTO = 'SOSPESO'")
     return res.select("rank", "doc_id", "chunk_id", "score", n.scalar().alias("NUMERO_CLIENTI_SOSPESI"))
 
@@ -277,9 +277,9 @@ def q13d(spark, d):
     "QUOTA_RECLAMI_FATTURAZIONE"))
 def q14d_mixed(spark, d):
     """Q14 on the domain tables (A12, R7): share of billing tickets next to the top 3 complaint clauses."""
-    from voltaic.plans.search import _bm25
+    from voltaic.plans.search import _search
     q = spark.createDataFrame(COMPLAINT_Q, "query_id int, query string")
-    _, res = _bm25(spark, d, q, 3)
+    res = _search(spark, d, q, 3)
     tk = G.tickets(Tables(spark, d).events)
     share = tk.select(F.count_if(F.col("category") == "FATTURAZIONE") / F.count(F.lit(1))).scalar()
     return res.select("rank", "doc_id", "chunk_id", "score", share.alias("QUOTA_RECLAMI_FATTURAZIONE"))

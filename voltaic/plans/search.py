@@ -41,21 +41,10 @@ sc AS (SELECT qt.query_id, h.doc_id, h.chunk_id,
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_id) AS rank FROM sc)"""
 
 
-def _index(spark, d, where=None):
-    docs = Tables(spark, d).documents
-    chunks = S.chunk(docs, keep=["lang", "source"])
-    if where is not None:
-        chunks = chunks.where(where)
-    postings, stats = S.build_index(chunks)
-    return chunks, postings, stats
-
-
-def _bm25(spark, d, queries, k, where=None):
-    docs = Tables(spark, d).documents
-    chunks = S.chunk(docs, keep=["lang", "source"])
-    if where is not None:
-        chunks = chunks.where(where)
-    return chunks, S.bm25_chunks(chunks, queries, k, k1=K1, b=B)
+def _search(spark, d, queries, k, where=None):
+    """BM25 over the stored index of ``documents`` (written by the first search or R3 of the session)."""
+    path = S.stored_index(Tables(spark, d).documents)
+    return S.search_index(spark, path, queries, k, k1=K1, b=B, where=where)
 
 
 @register("r1_chunks", f"""
@@ -82,9 +71,9 @@ post AS (SELECT doc_id, chunk_id, token, COUNT(*) AS tf
          FROM (SELECT doc_id, chunk_id, unnest({TOK.format(c='content')}) AS token FROM chunks) GROUP BY ALL)
 SELECT token, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS cf FROM post GROUP BY token""")
 def r3(spark, d):
-    """Index build (postings per chunk and token) and per-term statistics."""
-    _, postings, _ = _index(spark, d)
-    return S.term_stats(postings)
+    """The stored index (postings per chunk and token, written on first use) and per-term statistics."""
+    path = S.stored_index(Tables(spark, d).documents)
+    return S.term_stats(spark.read.parquet(f"{path}/postings"))
 
 
 @register("r4_k4_bm25_benchmark", f"""
@@ -93,10 +82,17 @@ SELECT query_id, rank, doc_id, chunk_id, score FROM top WHERE rank <= 5""")
 def r4(spark, d):
     """BM25 search, every benchmark text as a query, top 5 chunks each."""
     q = Tables(spark, d).benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    _, res = _bm25(spark, d, q, 5)
+    res = _search(spark, d, q, 5)
     return res.select("query_id", "rank", "doc_id", "chunk_id", "score")
 
 
+def _with_attributes(spark, d, res):
+    """Section and source of the hits, from the index's chunk table (a semi-small side: k rows per query)."""
+    stats = spark.read.parquet(f"{S.stored_index(Tables(spark, d).documents)}/chunk_stats")
+    return res.withColumn("section", S.section("chunk_id")).join(
+        stats.select("doc_id", "chunk_id", "source"), ["doc_id", "chunk_id"])
+
+
 @register("r6_filtered_search", f"""
 WITH {bm25_sql("queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)", 5, "lang = 'en'")}
 SELECT top.query_id, top.rank, top.doc_id AS id, c.section AS title, c.source, top.score
@@ -104,8 +100,8 @@ FROM top JOIN chunks c USING (doc_id, chunk_id) WHERE top.rank <= 5""")
 def r6(spark, d):
     """Attribute filter before scoring (English chunks), id and title columns, max 5 results."""
     q = Tables(spark, d).benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    chunks, res = _bm25(spark, d, q, 5, F.col("lang") == "en")
-    return res.join(chunks.select("doc_id", "chunk_id", "section", "source"), ["doc_id", "chunk_id"]).select(
+    res = _search(spark, d, q, 5, F.col("lang") == "en")
+    return _with_attributes(spark, d, res).select(
         "query_id", "rank", F.col("doc_id").alias("id"), F.col("section").alias("title"), "source", "score")
 
 
@@ -124,8 +120,8 @@ FROM top JOIN chunks c USING (doc_id, chunk_id) WHERE top.rank <= 3""")
 def q12(spark, d):
     """Three clause questions, top 3 chunks each, with the section label."""
     q = spark.createDataFrame(CLAUSE_QUESTIONS, "query_id int, query string")
-    chunks, res = _bm25(spark, d, q, 3)
-    return res.join(chunks.select("doc_id", "chunk_id", "section"), ["doc_id", "chunk_id"]).select(
+    res = _search(spark, d, q, 3)
+    return res.withColumn("section", S.section("chunk_id")).select(
         "query_id", "rank", "doc_id", "chunk_id", "section", "score")
 
 
@@ -138,7 +134,7 @@ def q13(spark, d):
     """A data answer (suspended supplies) next to the top 3 matching clauses."""
     t = Tables(spark, d)
     q = spark.createDataFrame(SUSPENSION_QUESTION, "query_id int, query string")
-    _, res = _bm25(spark, d, q, 3)
+    res = _search(spark, d, q, 3)
     n = t.orders.where(F.col("o_orderstatus") == "P").select(F.count(F.lit(1))).scalar()
     return res.select("rank", "doc_id", "chunk_id", "score", n.alias("n_suspended"))
 
@@ -152,7 +148,7 @@ def q14(spark, d):
     """Share of complaint tickets (``error`` events) next to the top 3 clauses."""
     t = Tables(spark, d)
     q = spark.createDataFrame(COMPLAINT_QUESTION, "query_id int, query string")
-    _, res = _bm25(spark, d, q, 3)
+    res = _search(spark, d, q, 3)
     share = t.events.select(F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))).scalar()
     return res.select("rank", "doc_id", "chunk_id", "score", share.alias("complaint_share"))
 

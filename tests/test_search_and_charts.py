@@ -57,3 +57,19 @@ def test_respond_chart_or_table(spark, sf_dir):
     assert kind == "chart:grouped_bar" and set(pdf.series) == {"n_customers", "total_revenue"}
     kind, pdf = respond(df, "Quanti clienti per segmento?", ["segment"])
     assert kind == "table" and len(pdf) == 5 and list(pdf.columns) == ["segment", "n_customers", "total_revenue"]
+
+
+def test_stored_index_is_written_once_and_follows_its_table(spark, tmp_path):
+    rows = [(1, "alpha beta gamma delta", "en", "a"), (2, "alpha alpha epsilon zeta", "de", "b"), (3, None, "en", "b")]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(path)
+    first = S.stored_index(spark.read.parquet(path))
+    assert S.stored_index(spark.read.parquet(path)) == first
+    q = spark.createDataFrame([(1, "alpha zeta")], "query_id int, query string")
+    assert [r.doc_id for r in S.search_index(spark, first, q).orderBy("rank").collect()] == [2, 1]
+    assert [r.doc_id for r in S.search_index(spark, first, q, where="lang = 'en'").collect()] == [1]
+    spark.createDataFrame([(4, "zeta zeta zeta", "en", "a")], "doc_id long, text string, lang string, source string"
+                          ).write.mode("append").parquet(path)
+    second = S.stored_index(spark.read.parquet(path))
+    assert second != first
+    assert [r.doc_id for r in S.search_index(spark, second, q).orderBy("rank").collect()][0] == 4

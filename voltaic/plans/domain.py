@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voltaic.operators.relational import share_of_total
-from voltaic.plans.domain_model import build_domain_model
+from voltaic.plans.domain_model import DIMENSIONS, FACTS, build_domain_model
 from voltaic.plans.generated import G1_SQL, G2_SQL, G4_SQL, PRODUCTION_GRID_SQL, _draw
 from voltaic.plans.registry import register
 from voltaic.sources import generate as G
@@ -285,6 +285,59 @@ def q14d_mixed(spark, d):
     return res.select("rank", "doc_id", "chunk_id", "score", share.alias("QUOTA_RECLAMI_FATTURAZIONE"))
 
 
+def _own_key_sql(table: str) -> str:
+    """Every dimension and fact of a domain table, one row per key."""
+    def values(i, t):
+        return "[" + ", ".join(f"{t} '" + str(r[i]).replace("'", "''") + "'" for r in G.PLANTS) + f"][CAST(plant_id % {len(G.PLANTS)} AS INTEGER) + 1]"
+    special = {"consumption_id": "customer_id * 100000 + year(month) * 12 + month(month)",
+               "production_id": "plant_id * 1000000 + date_diff('day', DATE '1970-01-01', day)",
+               "town": values(2, ""), "region": values(3, ""), "in_service": values(6, "DATE"),
+               "co2_tons": f"CAST({values(8, '')} AS BIGINT)"}
+    dims = [f"{special.get(c, c)} AS {n}" for n, c, _ in DIMENSIONS[table]]
+    facts = [f"CAST({C.format(c=special.get(c, c))} AS DOUBLE) / 100 AS SOMMA_{n}" for n, c in FACTS[table]]
+    return f"{DOMAIN}\nSELECT " + ", ".join(dims + facts) + f"\nFROM {table}"
+
+
+def _own_key(table: str):
+    def run(spark, d):
+        return model(spark, d).query([f"SOMMA_{n}" for n, _ in FACTS[table]], [n for n, _, _ in DIMENSIONS[table]])
+    run.__doc__ = f"M3, M4: all facts and dimensions of {table}, at the table's own key."
+    return run
+
+
+for _t in FACTS:
+    register(f"m3_m4_domain_{_t.lower()}", _own_key_sql(_t))(_own_key(_t))
+
+
+@register("t9_domain_kpi_report_prompt", f"""{DOMAIN},
+k AS (SELECT CAST(ROUND(CAST(SUM({C.format(c='kwh')}) AS DOUBLE) / 100, 0) AS BIGINT) AS kwh,
+             CAST(ROUND(CAST(SUM({C.format(c='smc')}) AS DOUBLE) / 100, 0) AS BIGINT) AS smc,
+             CAST(ROUND(CAST(SUM({C.format(c='total_cost')}) AS DOUBLE) / 100, 0) AS BIGINT) AS tot,
+             (2 * SUM({C.format(c='total_cost')}) + COUNT(total_cost)) // (2 * COUNT(total_cost)) AS mean,
+             COUNT(DISTINCT customer_id) AS n
+      FROM CONSUMI_ENERGIA
+      WHERE month >= (SELECT CAST(date_trunc('month', max(o_orderdate)) - INTERVAL 3 MONTH AS DATE) FROM orders))
+SELECT 'Riassumi gli ultimi 3 mesi in 200 parole al massimo. Elettricità: ' || kwh || ' kWh; gas: ' || smc || ' smc; spesa: '
+       || tot || ' EUR; spesa media: ' || (mean // 100) || '.' || lpad(CAST(mean % 100 AS VARCHAR), 2, '0')
+       || ' EUR; clienti: ' || n || '. Spiega andamento e consigli.' AS prompt
+FROM k""")
+def t9d(spark, d):
+    """T9 on the domain tables: the five KPI numbers of the last 3 months in one report prompt (our own words)."""
+    t = Tables(spark, d)
+    start = F.add_months(t.orders.select(F.trunc(F.max("o_orderdate").cast("date"), "MM")).scalar(), -3)
+    k = model(spark, d).query(["CONSUMO_TOTALE_KWH", "CONSUMO_TOTALE_SMC", "FATTURATO_TOTALE",
+                               "COSTO_MEDIO_CENTESIMI", "CLIENTI_ATTIVI"],
+                              where=F.col("MESE") >= start, where_dims=["MESE"])
+    whole = lambda c: F.round(c, 0).cast("long").cast("string")
+    mean = F.col("COSTO_MEDIO_CENTESIMI").cast("long")
+    return k.select(F.concat(
+        F.lit("Riassumi gli ultimi 3 mesi in 200 parole al massimo. Elettricità: "), whole("CONSUMO_TOTALE_KWH"),
+        F.lit(" kWh; gas: "), whole("CONSUMO_TOTALE_SMC"), F.lit(" smc; spesa: "), whole("FATTURATO_TOTALE"),
+        F.lit(" EUR; spesa media: "), F.floor(mean / 100).cast("string"), F.lit("."),
+        F.lpad(F.pmod(mean, F.lit(100)).cast("string"), 2, "0"), F.lit(" EUR; clienti: "),
+        F.col("CLIENTI_ATTIVI").cast("string"), F.lit(". Spiega andamento e consigli.")).alias("prompt"))
+
+
 _DOMAIN_TABLES = ["CLIENTI", "CONSUMI_ENERGIA", "FEEDBACK_CLIENTI", "IMPIANTI", "PRODUZIONE_ENERGIA"]
 
 

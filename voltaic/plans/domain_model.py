@@ -18,6 +18,44 @@ from voltaic.sources.tables import Tables
 C = "CAST(ROUND({c} * 100) AS BIGINT)"
 
 
+# The domain's 16 facts by table, with the column behind each.
+FACTS = {
+    "CLIENTI": [("POTENZA_IMPEGNATA_KW", "power_kw")],
+    "CONSUMI_ENERGIA": [("CONSUMO_KWH", "kwh"), ("CONSUMO_SMC", "smc"), ("COSTO_ENERGIA_EUR", "energy_cost"),
+                        ("COSTO_TRASPORTO_EUR", "transport_cost"), ("COSTO_ONERI_EUR", "charges"),
+                        ("COSTO_TOTALE_EUR", "total_cost")],
+    "FEEDBACK_CLIENTI": [("TEMPO_RISOLUZIONE_ORE", "resolution_hours")],
+    "IMPIANTI": [("CAPACITA_MW", "capacity_mw"), ("EFFICIENZA_PERCENTUALE", "efficiency_pct"),
+                 ("EMISSIONI_CO2_TON", "co2_tons")],
+    "PRODUZIONE_ENERGIA": [("ENERGIA_PRODOTTA_MWH", "energy_mwh"), ("ORE_FUNZIONAMENTO", "hours"),
+                           ("DISPONIBILITA_PERCENTUALE", "availability"), ("COSTO_PRODUZIONE_EUR", "production_cost"),
+                           ("PREZZO_VENDITA_MWH_EUR", "price_mwh")],
+}
+# The domain's 38 dimensions by table, with the column behind each and further names.
+DIMENSIONS = {
+    "CLIENTI": [
+        ("CLIENTE_ID", "customer_id", []), ("NOME", "first_name", ["nome cliente"]), ("COGNOME", "last_name", []),
+        ("CODICE_FISCALE", "fiscal_code", ["codice fiscale"]), ("EMAIL", "email", []), ("TELEFONO", "phone", []),
+        ("INDIRIZZO", "address", []), ("CITTA", "city", ["città", "comune"]), ("PROVINCIA", "province", []),
+        ("CAP", "cap", ["codice postale"]), ("TIPO_CLIENTE", "customer_type", []), ("TIPO_CONTRATTO", "contract_type", []),
+        ("STATO_CONTRATTO", "contract_state", []), ("SEGMENTO", "segment", ["segmento"]),
+        ("DATA_ATTIVAZIONE", "activation_date", ["data contratto"])],
+    "CONSUMI_ENERGIA": [
+        ("CONSUMO_ID", "consumption_id", []), ("MESE", "month", ["mese"]), ("FASCIA_ORARIA", "time_band", []),
+        ("FONTE_ENERGIA", "energy_source", ["fonte"]), ("POD", "pod", ["punto di prelievo"]),
+        ("PDR", "pdr", ["punto di riconsegna"])],
+    "FEEDBACK_CLIENTI": [
+        ("FEEDBACK_ID", "ticket_id", []), ("DATA_FEEDBACK", "created_at", ["data ticket"]), ("CANALE", "channel", []),
+        ("CATEGORIA", "category", []), ("TESTO_FEEDBACK", "text", ["testo"]), ("PRIORITA", "priority", ["priorità"]),
+        ("STATO_TICKET", "state", []), ("OPERATORE", "operator", ["agente"])],
+    "IMPIANTI": [
+        ("IMPIANTO_ID", "plant_id", []), ("NOME_IMPIANTO", "name", ["nome centrale"]), ("TIPO", "kind", ["tipo impianto"]),
+        ("LOCALITA", "town", ["ubicazione"]), ("REGIONE", "region", []), ("STATO_IMPIANTO", "state", []),
+        ("DATA_ENTRATA_SERVIZIO", "in_service", ["data avvio"])],
+    "PRODUZIONE_ENERGIA": [("PRODUZIONE_ID", "production_id", []), ("DATA_PRODUZIONE", "day", ["giorno produzione"])],
+}
+
+
 def _sum(f):
     return dict(parts=[("wsum", f)], final="CAST({0} AS DOUBLE) / 100")
 
@@ -33,10 +71,16 @@ def domain_tables(spark: SparkSession, sf_dir: str) -> dict:
     cust = G.customers(t.customer, "c_custkey", as_of)
     return {
         "CLIENTI": lambda: cust,
-        "CONSUMI_ENERGIA": lambda: G.consumption(cust, as_of, 12),
+        # a row's own key as one number (customer and month; plant and day)
+        "CONSUMI_ENERGIA": lambda: G.consumption(cust, as_of, 12).withColumn(
+            "consumption_id", F.expr("customer_id * 100000 + year(month) * 12 + month(month)")),
         "FEEDBACK_CLIENTI": lambda: G.tickets(t.events),
-        "IMPIANTI": lambda: G.plants(t.part),
-        "PRODUZIONE_ENERGIA": lambda: G.production(t.part, prod_as_of, 365),
+        "IMPIANTI": lambda: G.plants(t.part).select("*", *[
+            G.pick([r[i] for r in G.PLANTS], F.col("plant_id")).alias(c)
+            for i, c in ((2, "town"), (3, "region"), (8, "co2_tons"))],
+            G.pick([r[6] for r in G.PLANTS], F.col("plant_id")).cast("date").alias("in_service")),
+        "PRODUZIONE_ENERGIA": lambda: G.production(t.part, prod_as_of, 365).withColumn(
+            "production_id", F.expr("plant_id * 1000000 + datediff(day, DATE'1970-01-01')")),
     }
 
 
@@ -64,19 +108,16 @@ def build_domain_model(spark: SparkSession, sf_dir: str) -> SemanticModel:
     m.fact("DISPONIBILITA_CENTS", "PRODUZIONE_ENERGIA", C.format(c="availability"))
     m.fact("EFFICIENZA_CENTS", "IMPIANTI", C.format(c="efficiency_pct"))
 
-    for name, table, expr, syn in [
-        ("CITTA", "CLIENTI", "city", ["città", "comune"]), ("PROVINCIA", "CLIENTI", "province", []),
-        ("SEGMENTO", "CLIENTI", "segment", ["segmento"]), ("TIPO_CLIENTE", "CLIENTI", "customer_type", []),
-        ("TIPO_CONTRATTO", "CLIENTI", "contract_type", []), ("STATO_CONTRATTO", "CLIENTI", "contract_state", []),
-        ("CLIENTE_ID", "CLIENTI", "customer_id", []), ("COGNOME", "CLIENTI", "last_name", []),
-        ("MESE", "CONSUMI_ENERGIA", "month", ["mese"]), ("FASCIA_ORARIA", "CONSUMI_ENERGIA", "time_band", []),
-        ("CATEGORIA", "FEEDBACK_CLIENTI", "category", []), ("PRIORITA", "FEEDBACK_CLIENTI", "priority", ["priorità"]),
-        ("STATO_TICKET", "FEEDBACK_CLIENTI", "state", []), ("CANALE", "FEEDBACK_CLIENTI", "channel", []),
-        ("IMPIANTO_ID", "IMPIANTI", "plant_id", []), ("TIPO", "IMPIANTI", "kind", ["tipo impianto"]),
-        ("STATO_IMPIANTO", "IMPIANTI", "state", []),
-        ("MESE_PRODUZIONE", "PRODUZIONE_ENERGIA", "trunc(day, 'MM')", ["data produzione"]),
-    ]:
-        m.dimension(name, table, expr, syn)
+    for table, facts in FACTS.items():
+        for name, column in facts:
+            m.fact(name, table, column)
+            m.fact(f"{name}_CENTS", table, C.format(c=column))
+            m.metric(f"SOMMA_{name}", table, f"CAST(SUM(CAST({name}_CENTS AS DECIMAL(38,0))) AS DOUBLE) / 100",
+                     **_sum(f"{name}_CENTS"))
+    for table, dimensions in DIMENSIONS.items():
+        for name, column, syn in dimensions:
+            m.dimension(name, table, column, syn)
+    m.dimension("MESE_PRODUZIONE", "PRODUZIONE_ENERGIA", "trunc(day, 'MM')", ["data produzione"])
 
     # The domain's metric names.
     m.metric("CONSUMO_TOTALE_KWH", "CONSUMI_ENERGIA", "CAST(SUM(CAST(KWH_CENTS AS DECIMAL(38,0))) AS DOUBLE) / 100", **_sum("KWH_CENTS"))

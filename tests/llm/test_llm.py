@@ -338,6 +338,17 @@ def test_pseudo_likelihood(spark, sf_dir):
     assert lm.score_documents(df.limit(0), empty).collect() == []
 
 
+def test_pseudo_likelihood_learns_from_every_text(spark):
+    texts = [f"alpha beta gamma delta w{k}" for k in range(24)] + [None]
+    for ids in (range(25), [None] * 25):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        vocabulary, flat = lm.fit(df)
+        assert np.abs(flat - lm.Network.fresh(vocabulary.class_mass).flat).max() > 0.01
+        for k in (0, 11, 23):                               # any text moves the model, one alone too
+            vocabulary, one = lm.fit(df.where(f"text = '{texts[k]}'"))
+            assert np.abs(one - lm.Network.fresh(vocabulary.class_mass).flat).max() > 0.01
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("just words", "just words"), ("<p>a<p>b <unfinis", "a\nb"),
     ("<article><h1>T &amp; U</h1><p>One,\n two&nbsp;<b>three<p>f&ouml;ur<br>five</article>", "T & U\nOne, two three\nför five".replace("för", "föur")),

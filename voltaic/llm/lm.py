@@ -6,9 +6,9 @@ both sides is ``p(class | two words before, two after) * p(id | class)``: classe
 (position-wise embeddings, one hidden layer, softmax) trained in numpy. Every token of every text is masked and
 predicted once; a document's score is the sum of the log-probabilities.
 
-Training is data-parallel: in each of ``ROUNDS`` rounds every task fits a copy on its share of a ``SAMPLE`` of the documents
-(a fixed fraction, so what is learned from grows with the corpus), and the copies are averaged by tokens
-in two levels, so no task gathers all of them. The broadcast model has a fixed size.
+Training is data-parallel: in each of ``ROUNDS`` rounds every task fits a copy on its share of the texts, every text that is
+not null, and the copies are averaged by tokens in two levels, so no task gathers all of them. The broadcast
+model has a fixed size.
 
 A null or wordless text has no tokens, a sum of 0 and a null mean. An empty corpus gives a uniform model. Repeated
 rows are scored each. Texts are read whole, in pieces of bounded size.
@@ -22,14 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltaic.llm import hashing as H
-from voltaic.llm.ranks import TOP, seeded
 
 VOCABULARY = 1 << 16
 CLASSES = 64
 CONTEXT = 1 << 12          # context embeddings: ids modulo this, and one for "outside the text"
 WINDOW = (-2, -1, 1, 2)
 HIDDEN = 16
-SAMPLE = 0.05
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.1
@@ -52,6 +50,7 @@ class Network:
             views.append(self.flat[at:at + n].reshape(s))
             at += n
         self.emb, self.bias, self.out, self.out_bias = views
+        self.top = self.flat[-(HIDDEN + 1) * CLASSES:].reshape(HIDDEN + 1, CLASSES)      # out and out_bias as one matrix
 
     @classmethod
     def fresh(cls, class_mass: np.ndarray) -> "Network":
@@ -61,42 +60,55 @@ class Network:
         return net
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.emb[0][context[0]]
+        h = self.emb[0].take(context[0], 0)
         for j in range(1, len(WINDOW)):
-            h += self.emb[j][context[j]]
+            h += self.emb[j].take(context[j], 0)
         h += self.bias
-        return np.tanh(h, out=h)
+        out = np.ones((len(h), HIDDEN + 1), F32)                # the last column meets out_bias
+        np.tanh(h, out=out[:, :HIDDEN])
+        return out
+
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        """(classes x tokens) logits less each token's largest: sums over classes then run along whole rows."""
+        z = self.top.T @ h.T
+        z -= z.max(0)
+        return z
 
     def log_class(self, context: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Log-probability of each token's class."""
-        z = self.hidden(context) @ self.out
-        z += self.out_bias
-        z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(z)), classes]
-        return own - np.log(np.exp(z, out=z).sum(1))
-
-    def train(self, context: np.ndarray, classes: np.ndarray, power: np.ndarray) -> None:
-        """One Adagrad step; ``power`` holds the running squares of the gradients, in the same flat order."""
-        sq = Network(power)
+        z = self.logits(self.hidden(context))
+        own = z[classes, np.arange(len(classes))]
+        return own - np.log(np.exp(z, out=z).sum(0))
+
+    def train(self, context: np.ndarray, classes: np.ndarray, sq: "Network") -> None:
+        """One Adagrad step; ``sq`` holds the running squares of the gradients."""
         h = self.hidden(context)
-        z = h @ self.out + self.out_bias
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(z)), classes] -= 1
-        z /= F32(len(z))
-        back = (z @ self.out.T) * (1 - h * h)
-        for p, s, g in ((self.out, sq.out, h.T @ z), (self.out_bias, sq.out_bias, z.sum(0)),
-                        (self.bias, sq.bias, back.sum(0))):
-            s += g * g
-            p -= F32(RATE) * g / (np.sqrt(s) + F32(1e-8))
+        z = self.logits(h)
+        np.exp(z, out=z)
+        z *= 1 / (z.sum(0) * F32(len(classes)))
+        z[classes, np.arange(len(classes))] -= F32(1 / len(classes))
+        back = self.out @ z
+        g = (z @ h).T
+        sq.top += g * g
+        self.top -= F32(RATE) * g / (np.sqrt(sq.top) + F32(1e-8))
+        h = h[:, :HIDDEN].T
+        back *= 1 - h * h
+        g = back.sum(1)
+        sq.bias += g * g
+        self.bias -= F32(RATE) * g / (np.sqrt(sq.bias) + F32(1e-8))
+        weights, columns = np.ascontiguousarray(back.T, np.float64).ravel(), np.arange(HIDDEN)
         for j in range(len(WINDOW)):
-            order = np.argsort(context[j], kind="stable")
-            at = context[j][order]
-            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            g, rows = np.add.reduceat(back[order], starts, axis=0), at[starts]
-            sq.emb[j][rows] += g * g
-            self.emb[j][rows] -= F32(RATE) * g / (np.sqrt(sq.emb[j][rows]) + F32(1e-8))
-        power[:] = sq.flat
+            rows = np.flatnonzero(np.bincount(context[j], minlength=CONTEXT + 1))
+            cell = (context[j] * HIDDEN)[:, None] + columns
+            g = np.bincount(cell.ravel(), weights, (CONTEXT + 1) * HIDDEN).reshape(-1, HIDDEN).take(rows, 0).astype(F32)
+            seen = sq.emb[j].take(rows, 0)
+            seen += g * g
+            sq.emb[j][rows] = seen
+            np.sqrt(seen, out=seen)
+            seen += F32(1e-8)
+            g /= seen
+            g *= F32(RATE)
+            self.emb[j][rows] = self.emb[j].take(rows, 0) - g
 
 
 def token_ids(words: np.ndarray) -> np.ndarray:
@@ -150,12 +162,12 @@ class Vocabulary:
 def _train(shared):
     def run(batches):
         vocabulary, flat = shared.value
-        net, power, seen = Network(flat.copy()), np.zeros(Network.SIZE, F32), 0
+        net, squares, seen = Network(flat.copy()), Network(np.zeros(Network.SIZE, F32)), 0
         for batch in batches:
             for _, _, ids, first in _texts(batch):
                 context, classes = contexts(ids, first), vocabulary.classes[ids]
                 for p in range(0, len(ids), BATCH):
-                    net.train(np.ascontiguousarray(context[:, p:p + BATCH]), classes[p:p + BATCH], power)
+                    net.train(np.ascontiguousarray(context[:, p:p + BATCH]), classes[p:p + BATCH], squares)
                 seen += len(ids)
         if seen:
             cut = range(0, Network.SIZE, SLICE)
@@ -178,18 +190,17 @@ def _average(table: pa.Table) -> pa.Table:
                      "values": pa.array([mean.astype(F32)], pa.list_(pa.float32()))})
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
     sc = docs.sparkSession.sparkContext
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    sums = texts.select("text").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    sums = texts.mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(VOCABULARY)
     counts[sums["id"].to_numpy()] = sums["n"].to_numpy()
     vocabulary = Vocabulary(counts)
     flat = Network.fresh(vocabulary.class_mass).flat
-    sample = texts.where(seeded("lm", "doc") < int(SAMPLE * TOP)).select("text")
     for _ in range(ROUNDS):
         shared = sc.broadcast((vocabulary, flat))
-        copies = sample.mapInArrow(_train(shared), AVERAGED)
+        copies = texts.mapInArrow(_train(shared), AVERAGED)
         some = copies.withColumn("copy", F.pmod("copy", F.lit(256))).groupBy("part", "copy").applyInArrow(_average, AVERAGED)
         mean = some.groupBy("part").applyInArrow(_average, AVERAGED).toArrow().sort_by("part")
         if mean.num_rows:

@@ -309,6 +309,18 @@ def test_neighbour_votes_are_exact():
         assert got == pytest.approx(vote[labels[near] == 1].sum() / vote.sum(), rel=1e-4)
 
 
+def test_quality_sees_words_of_equal_shape():
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    vocab = [[word(3 + k % 6) for k in range(60)] for _ in range(2)]
+    labels = np.arange(300) % 2
+    texts = [" ".join(rng.choice(vocab[c]) for _ in range(40)).capitalize() + "." for c in labels]
+    raw, off = hashing.string_buffers(pa.array(texts))
+    counts = quality.term_counts(raw, off)
+    model = quality.LatentVotes(counts[:200], labels[:200], {0: 100, 1: 100})
+    assert ((model.score(counts[200:]) >= 0.5) == labels[200:]).mean() > 0.95
+
+
 def test_pseudo_likelihood(spark, sf_dir):
     df = queries.table(spark, sf_dir, "documents")
     vocabulary, flat = lm.fit(df)

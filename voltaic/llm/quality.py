@@ -1,10 +1,10 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space (operator 4).
 
-Terms of a text are hashed character n-grams of its shape (letters fold to one lower and one upper class, digits to
-one, other ASCII characters stay) and marks for a word that repeats the one before or a passage of four words seen
-earlier in the text. A text's vector holds the square roots of its relative term counts times the terms'
-inverse document frequencies; a truncated singular value decomposition of the labelled vectors gives
-``RANK`` latent directions.
+Terms of a text are its words, hashed, the hashed character n-grams of its shape (letters fold to one lower and one
+upper class, digits to one, other ASCII characters stay) and marks for a word that repeats the one before or a passage
+of four words seen earlier in the text. A text's vector holds the square roots of its relative term counts times the terms'
+inverse document frequencies, the words together as long as the shape on average; a truncated singular value
+decomposition of the labelled vectors (by subspace iteration) gives ``RANK`` latent directions.
 
 ``PER_CLASS`` labelled rows of each class at most, in the order of a seeded hash, are the neighbours: a documented bound
 on what is collected and broadcast, whatever the corpus. Every text is compared with all of them by exact cosine, in
@@ -28,14 +28,16 @@ from voltaic.llm.langid import pieces
 from voltaic.llm.ranks import seeded
 
 PER_CLASS = 2000
-TERMS = 2048
+SHAPES = 2046         # slots of character n-grams
+WORDS = 2048          # slots of words
+_MARKS = 2            # last slots: repeated word, repeated passage
+TERMS = SHAPES + WORDS + _MARKS
 RANK = 48
 NEIGHBOURS = 25
 SHARPNESS = 4         # a vote weighs cosine ** SHARPNESS
 ORDERS = (1, 2, 3)
 U32, U64 = np.uint32, np.uint64
 _MUL = (H.MIX[8:16] & U64(0xFFFFFFFF)).astype(U32)
-_MARKS = 2            # last slots: repeated word, repeated passage
 
 
 def _shape() -> np.ndarray:
@@ -58,7 +60,7 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         part, off = _SHAPE[raw[a:b]], np.clip(offsets[lo:hi + 1] - a, 0, b - a)
         rows = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(off))
         stop = len(part) if b == offsets[hi] else len(part) - (max(ORDERS) - 1)
-        got = np.zeros((hi - lo) * TERMS, np.int64)
+        got = np.zeros((hi - lo) * SHAPES, np.int64)
         for k in ORDERS:
             count = min(stop, len(part) - k + 1)
             if count <= 0:
@@ -67,11 +69,15 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             for j in range(k):
                 h = (h ^ part[j:j + count]) * _MUL[j] + (h >> U32(15))
             inside = rows[:count] == rows[k - 1:k - 1 + count]
-            slot = (h >> U32(8)).astype(np.int64) % (TERMS - _MARKS)
-            got += np.bincount((rows[:count] * TERMS + slot)[inside], minlength=len(got))
-        out[lo:hi] += got.reshape(hi - lo, TERMS)
+            slot = (h >> U32(8)).astype(np.int64) % SHAPES
+            got += np.bincount((rows[:count] * SHAPES + slot)[inside], minlength=len(got))
+        out[lo:hi, :SHAPES] += got.reshape(hi - lo, SHAPES)
     for lo, hi in H.batches_by_bytes(offsets):
-        words, first = H.hash_words(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], H.SPACE_WORDS)
+        part, off = raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+        words, first = H.hash_words(part, off, H.ALNUM_WORDS)
+        cell = np.repeat(np.arange(hi - lo), np.diff(first)) * WORDS + (words >> U64(32)).astype(np.int64) % WORDS
+        out[lo:hi, SHAPES:SHAPES + WORDS] = np.bincount(cell, minlength=(hi - lo) * WORDS).reshape(hi - lo, WORDS)
+        words, first = H.hash_words(part, off, H.SPACE_WORDS)
         same = np.r_[False, words[1:] == words[:-1]]
         grams = H.gram_hashes(words, 4)
         for i in range(hi - lo):
@@ -84,13 +90,27 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def spread(counts: np.ndarray) -> np.ndarray:
-    """Square roots of relative counts, with the two marks relative to the characters as well."""
-    chars = counts[:, :TERMS - _MARKS].sum(1, keepdims=True)
-    x = np.sqrt(counts / np.maximum(chars, 1))
+    """Square roots of relative counts: character terms and the two marks relative to the character terms, words to
+    the words."""
+    chars = counts[:, :SHAPES].sum(1, keepdims=True)
+    x = counts / np.maximum(chars, 1)
+    words = counts[:, SHAPES:SHAPES + WORDS]
+    x[:, SHAPES:SHAPES + WORDS] = words / np.maximum(words.sum(1, keepdims=True), 1)
+    np.sqrt(x, out=x)
     x[:, TERMS - _MARKS:] *= 4
     return x
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of ``x`` as columns, zero beyond its rank."""
+    q = np.random.default_rng(23).standard_normal((x.shape[1], RANK + 16)).astype(np.float32)
+    for _ in range(24):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, size, turn = np.linalg.svd((x @ q).astype(np.float64), full_matrices=False)
+    turn[size < 1e-5 * size[0]] = 0
+    return (q @ turn.T.astype(np.float32))[:, :RANK]
+
+
 class LatentVotes:
     """Fitted model: idf, latent directions, labelled latent vectors, their labels and weights."""
 
@@ -102,10 +122,12 @@ class LatentVotes:
             return
         x = spread(counts)
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(1)
+        words = slice(SHAPES, SHAPES + WORDS)
+        length = [np.linalg.norm(x[:, c] * self.idf[c], axis=1).mean() for c in (slice(SHAPES), words)]
+        self.idf[words] *= np.float32(length[0] / length[1] if length[1] else 1)
         x *= self.idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.axes = vectors[:, ::-1][:, :RANK].astype(np.float32)
+        self.axes = directions(x)
         self.known = self.latent(x)
         self.labels = labels
         sampled = {c: int((labels == c).sum()) for c in (0, 1)}

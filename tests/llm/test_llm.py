@@ -374,6 +374,17 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<div><div><p>LONG</p></div><ul><li>a</ul><div><p>short last part</p></div> closing <b>words</b></div>",
+     "LONG\na\nshort last part\nclosing words"),
+    ("<div><div><div><p>LONG</p></div></div></div><div><p>with <a href=x>one</a> link</p></div>", "LONG\nwith one link"),
+    ("<div>first words <div><p>LONG</p></div><ul><li><a href=x>Home</a><li><a href=y>About us</a></ul></div>", "first words\nLONG"),
+])
+def test_main_text_keeps_the_rest_of_the_page(page, text):
+    long = "long, " * 60 + "end"
+    assert html.main_text(page.replace("LONG", long)) == text.replace("LONG", long)
+
+
 def test_pages(spark, sf_dir):
     pages = queries.table(spark, sf_dir, "pages")
     out = {r.page_id: r for r in queries.op10(spark, sf_dir).collect()}

@@ -5,8 +5,8 @@ article text go with all they hold: scripts, styles, forms, navigation, page hea
 hidden parts, and elements whose role, class or id names a menu, notice, advert or reader comments. Every block
 of text passes ``1 + commas + length / 100`` points to its parent, half of that to the grandparent and less to
 higher ancestors (five levels); a container's points are discounted by the share of its text in links. The
-best container is kept (the ``article`` or ``main`` that holds it, if any), otherwise with those siblings that
-score a fifth of it or hold a plain paragraph.
+best container is kept (the ``article`` or ``main`` that holds it, if any), otherwise with all other text of the nearest
+element above it that holds more than it, but for blocks that are links by more than half.
 
 Blocks come out in page order, character references decoded, white space collapsed, one newline apart; no
 block is shortened or left out. A line break is white space. Null or empty html, or a page without text,
@@ -160,25 +160,33 @@ def walk(node: Node):
 
 
 def blocks(node: Node):
-    """(block element, its text) of the kept text under ``node``, white space collapsed."""
+    """(block element, its text, the share of it in links) of the kept text under ``node``, white space collapsed."""
     text: list = []
     open_blocks = [node]
+    inside, size, linked = 0, 0, 0
 
     def flush():
-        got = " ".join(unescape("".join(text)).split())
+        nonlocal size, linked
+        got, share = " ".join(unescape("".join(text)).split()), linked / max(1, size)
         text.clear()
-        return got
+        size = linked = 0
+        return got, share
 
     for x, owner in walk(node):
         if isinstance(x, str):
             text.append(x)
+            n = len(x.strip())
+            size += n
+            linked += n if inside else 0
             continue
         edge = x if x is not None else owner
         if edge.tag in INLINE:
+            if edge.tag == "a":
+                inside += 1 if x is not None else -1
             continue
-        got = flush()
+        got, share = flush()
         if got:
-            yield open_blocks[-1] if open_blocks else node, got
+            yield open_blocks[-1] if open_blocks else node, got, share
         if x is not None:
             if x is not node:
                 open_blocks.append(x)
@@ -202,7 +210,7 @@ def measure(root: Node) -> list[Node]:
                 owner.parent.text += owner.text
                 owner.parent.linked += owner.linked
     scored: dict[int, Node] = {}
-    for block, text in blocks(root):
+    for block, text, _ in blocks(root):
         points, up = 1 + text.count(",") + len(text) / 100, block
         if block.tag in ("p", "pre", "td", "blockquote", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6"):
             up = block.parent or block
@@ -229,7 +237,6 @@ def main_text(html: str | None) -> str:
     if not scored:
         return ""
     best = max(scored, key=value)
-    keep = [best]
     x = best
     semantic = None
     while x is not None:
@@ -237,13 +244,12 @@ def main_text(html: str | None) -> str:
             semantic = x
         x = x.parent
     if semantic is not None:
-        keep = [semantic]
-    elif best.parent is not None:
-        limit = max(1.0, 0.2 * value(best))
-        keep = [s for s in best.parent.parts if isinstance(s, Node) and not s.drop and (
-            s is best or value(s) >= limit and s.linked < 0.25 * max(1, s.text)
-            or s.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and s.linked < 0.25 * max(1, s.text))]
-    return "\n".join(t for k in keep for _, t in blocks(k))
+        return "\n".join(t for _, t, _ in blocks(semantic))
+    top = best
+    while top.parent is not None and top.text == best.text:
+        top = top.parent
+    own = {id(x) for x, _ in walk(best) if isinstance(x, Node)}
+    return "\n".join(t for block, t, share in blocks(top) if share <= 0.5 or id(block) in own)
 
 
 def _extract(batches):

@@ -206,6 +206,14 @@ def test_embedding_links(spark, monkeypatch):
     assert pstable.embedding_dedup(df.limit(0)).collect() == []
 
 
+def test_embedding_recall_at_the_threshold():
+    rng = np.random.default_rng(9)
+    a, b = (pstable.normalise(rng.standard_normal((6000, 64))) for _ in range(2))
+    b = pstable.normalise(b - (a * b).sum(1, keepdims=True) * a)
+    met = (pstable.bucket_codes(a) == pstable.bucket_codes(0.9 * a + np.sqrt(1 - 0.81) * b)).any(1)
+    assert met.mean() > 0.98
+
+
 def test_decontamination(spark, monkeypatch):
     rng = random.Random(8)
     vocab = [f"v{k}" for k in range(60)]

@@ -22,15 +22,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Python workers may not have this package on their path (a driver started from another folder, a
-# cluster without --py-files): the functions run by the workers are shipped by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
-
 RESULT_TYPE = T.StructType([
     T.StructField("success", T.BooleanType()), T.StructField("output", T.StringType()),
     T.StructField("error", T.StringType()), T.StructField("execution_time", T.DoubleType())])

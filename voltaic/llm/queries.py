@@ -18,6 +18,7 @@ from voltaic.llm.pstable import embedding_dedup
 from voltaic.llm.quality import fit as fit_quality, score_quality
 from voltaic.llm.registry import register
 from voltaic.llm.sharding import assign_shards
+from voltaic.llm.tokenfile import read_token_files, write_token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,3 +157,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit_network(docs))
+
+
+@register("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+    files = write_token_files(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

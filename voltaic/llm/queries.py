@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltaic.llm.centroids import cluster_vectors
 from voltaic.llm.decontam import benchmark_hits, is_contaminated
 from voltaic.llm.html import extract_main_text
 from voltaic.llm.jaccard import jaccard_join
@@ -159,6 +160,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_network(docs))
 
 
+@register("op11_subvector_clusters")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256.0, seed=2)
+    return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                         F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
 @register("op13_token_files")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path

@@ -20,6 +20,7 @@ from voltaic.llm.quality import fit as fit_quality, score_quality
 from voltaic.llm.registry import register
 from voltaic.llm.sharding import assign_shards
 from voltaic.llm.tokenfile import read_token_files, write_token_files
+from voltaic.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,6 +168,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
 
 
+@register("op12_incremental_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+
+
 @register("op13_token_files")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path

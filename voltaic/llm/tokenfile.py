@@ -26,7 +26,6 @@ from __future__ import annotations
 import itertools
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voltaic.llm.graph import small_side
 from voltaic.session import cut_lineage, scratch_path
 
 SLICE_BYTES = 4 << 20          # ids of about so many bytes are coded at once
 TEXT_SLICE = 1 << 20           # characters handed to the tokenizer at once
 CACHED_WORDS = 500_000         # words kept by a task; beyond that it starts again
 LONGEST_CACHED = 48            # characters
-_ODD_SPACE = re.compile(r" (?:\s|\Z)|(?:\A|\s) ")
 _SPACE = "\u0120"               # how byte-level vocabularies write a space
 _THRESHOLDS = np.array([1 << 8, 1 << 16, 1 << 24], np.int64)
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
@@ -60,8 +59,6 @@ def words_of(text: str) -> list:
     """``text`` cut before every space that stands between two characters that are no white space: a string for a word
     that such a space precedes (without the space), a tuple of one string for any other piece."""
     parts = text.split(" ")
-    if not _ODD_SPACE.search(text):
-        return [(parts[0],), *parts[1:]]
     out, run = [], [parts[0]]
     for p in [*parts[1:], None]:
         if p is None or p and run[-1] and not p[0].isspace() and not run[-1][-1].isspace():
@@ -72,6 +69,12 @@ def words_of(text: str) -> list:
     return out
 
 
+def _odd(w) -> bool:
+    """Whether this part of a text split at its spaces does not begin and end at a cut."""
+    w = w if type(w) is str else w[0]
+    return not w or w[0].isspace() or w[-1].isspace()
+
+
 def _encoder(tokenizer_json: str, width: np.dtype):
     """A function from texts to their ids as bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"            # a task has one core
@@ -99,10 +102,18 @@ def _encoder(tokenizer_json: str, width: np.dtype):
         return got
 
     def by_words(texts):
-        cut = [words_of(t) for t in texts]
+        cut = [[(parts[0],), *parts[1:]] for parts in [t.split(" ") for t in texts]]
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = list(set(itertools.chain.from_iterable(cut)).difference(known))
+        new = set(itertools.chain.from_iterable(cut)).difference(known)
+        odd = {w for w in new if _odd(w)}                    # never known: texts with such parts are found every time
+        if odd:
+            new -= odd
+            for i, words in enumerate(cut):
+                if not odd.isdisjoint(words):
+                    cut[i] = words_of(texts[i])
+                    new.update(w for w in cut[i] if w not in known)
+        new = list(new)
         known.update(learn(new))
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
         for w in new:
@@ -273,8 +284,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     table = spark.sparkContext.broadcast(np.array([r.id for r in by_rank], np.int64))
     stored = spark.read.parquet(os.path.join(path, "tokens"))
     shards = stored.groupBy("shard").agg(F.max(F.col("before") + F.col("n_tokens")).alias("held"))
-    # one row per file: few enough for one running sum
-    starts = shards.select("shard", (F.sum("held").over(Window.partitionBy(F.lit(0)).orderBy("shard")) - F.col("held")).alias("first"))
+    # one row per file: few enough for one running sum, and to be sent to every task (checked)
+    starts = small_side(cut_lineage(shards.select("shard", (F.sum("held").over(Window.partitionBy(F.lit(0)).orderBy("shard"))
+                                                            - F.col("held")).alias("first")), "file-starts"))
     rows = stored.mapInArrow(_read(table), "shard int, slot long, before long, doc_id long, n_tokens long, ids binary")
     return rows.join(starts, "shard").select("doc_id", "shard", "slot", (F.col("first") + F.col("before")).alias("start"),
                                              "n_tokens", "ids")

@@ -14,8 +14,9 @@ control byte in a 256-row table and gathers the ranks with numpy, a few MB at a
 Documents stand in ascending ``doc_id`` order (rows without an id first; repeated ids by a hash of their ids, then
 by the ids), whatever the input's files. A null text is encoded like an empty one: just the end id. An empty table
 gives files without rows. Texts are encoded whole by the ``tokenizers`` library. Where the tokenizer cuts at every single
-space between two other characters (byte-level BPE without normaliser), a text is handed over in such words, so that a
-word is encoded once a task; other tokenizers get the text in one piece.
+space between two other characters (byte-level BPE without normaliser), the distinct words between such spaces are
+encoded once for many texts and put together again; texts with other spacing, and other tokenizers, are handed over in one
+piece.
 
 Every step is a Spark job over stored rows: tokenise, count ids, sort by range, encode. The driver holds
 the vocabulary's counts (bounded by the tokenizer's vocabulary) and nothing per document.
@@ -23,12 +24,12 @@ the vocabulary's counts (bounded by the tokenizer's vocabulary) and nothing per
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,9 +38,8 @@ from voltaic.llm.graph import small_side
 from voltaic.session import cut_lineage, scratch_path
 
 SLICE_BYTES = 4 << 20          # ids of about so many bytes are coded at once
-TEXT_SLICE = 1 << 20           # characters handed to the tokenizer at once
-CACHED_WORDS = 500_000         # words kept by a task; beyond that it starts again
-LONGEST_CACHED = 48            # characters
+TEXT_SLICE = 24 << 20          # bytes of texts whose distinct words are encoded together
+WORDS_AT_ONCE = 50_000         # words handed to the tokenizer in one text
 _SPACE = "\u0120"               # how byte-level vocabularies write a space
 _THRESHOLDS = np.array([1 << 8, 1 << 16, 1 << 24], np.int64)
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
@@ -55,71 +55,60 @@ def cuts_at_spaces(tokenizer_json: str) -> bool:
                         for t in spec.get("added_tokens", [])))
 
 
-def words_of(text: str) -> list:
-    """``text`` cut before every space that stands between two characters that are no white space: a string for a word
-    that such a space precedes (without the space), a tuple of one string for any other piece."""
-    parts = text.split(" ")
-    out, run = [], [parts[0]]
-    for p in [*parts[1:], None]:
-        if p is None or p and run[-1] and not p[0].isspace() and not run[-1][-1].isspace():
-            out.append(run[0] if len(run) == 1 and out else (" " * bool(out) + " ".join(run),))
-            run = [p]
-        else:
-            run.append(p)
-    return out
-
-
-def _odd(w) -> bool:
-    """Whether this part of a text split at its spaces does not begin and end at a cut."""
-    w = w if type(w) is str else w[0]
-    return not w or w[0].isspace() or w[-1].isspace()
-
-
 def _encoder(tokenizer_json: str, width: np.dtype):
-    """A function from texts to their ids as bytes."""
+    """A function from an Arrow array of texts to (their ids in a row, how many each has)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"            # a task has one core
     from tokenizers import Tokenizer
     tok = Tokenizer.from_str(tokenizer_json)
-    whole = lambda texts: [np.array(e.ids, width).tobytes()
-                           for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, width) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piecewise(texts: pa.Array):
+        ids = whole(texts.to_pylist())
+        return np.concatenate([np.zeros(0, width), *ids]), np.array([len(i) for i in ids], np.int64)
+
     if not cuts_at_spaces(tokenizer_json):
-        return whole
+        return piecewise
     spaced = np.zeros(tok.get_vocab_size(), bool)
     spaced[[i for t, i in tok.get_vocab().items() if t.startswith(_SPACE)]] = True
-    known: dict = {}
-
-    def learn(words: list) -> dict:
-        """Ids of words and pieces. All words go in one text; each begins at a token with a space in front."""
-        plain, odd = [w for w in words if type(w) is str], [w for w in words if type(w) is not str]
-        got = dict(zip(odd, whole([w[0] for w in odd])))
-        if plain:
-            ids, = whole([" " + " ".join(plain)])
-            cut = (np.flatnonzero(spaced[np.frombuffer(ids, width)]) * width.itemsize).tolist()
-            if len(cut) == len(plain):
-                got.update((w, ids[a:b]) for w, a, b in zip(plain, cut, [*cut[1:], len(ids)]))
-            else:
-                got.update(zip(plain, whole([" " + w for w in plain])))
-        return got
-
-    def by_words(texts):
-        cut = [[(parts[0],), *parts[1:]] for parts in [t.split(" ") for t in texts]]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = set(itertools.chain.from_iterable(cut)).difference(known)
-        odd = {w for w in new if _odd(w)}                    # never known: texts with such parts are found every time
-        if odd:
-            new -= odd
-            for i, words in enumerate(cut):
-                if not odd.isdisjoint(words):
-                    cut[i] = words_of(texts[i])
-                    new.update(w for w in cut[i] if w not in known)
-        new = list(new)
-        known.update(learn(new))
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for w in new:
-            if type(w) is tuple or len(w) > LONGEST_CACHED:
-                del known[w]
-        return out
+
+    def words(plain: list[str]):
+        """(ids in a row, where each word begins) of words with a space in front, encoded many in one text."""
+        ids, starts, done = [], [], 0
+        for lo in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain[lo:lo + WORDS_AT_ONCE]
+            got, = whole([" " + " ".join(some)])
+            cut = np.flatnonzero(spaced[got])
+            if len(cut) != len(some):                         # a word that holds such a token further on
+                each = whole([" " + w for w in some])
+                got, cut = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
+            ids.append(got)
+            starts.append(cut + done)
+            done += len(got)
+        return ids, starts, done
+
+    def by_words(texts: pa.Array):
+        parts = pc.split_pattern(texts, " ")
+        first = parts.offsets.to_numpy()[:-1].astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        of = coded.indices.to_numpy().astype(np.int64)
+        plain = coded.dictionary.to_pylist()
+        # no cut where a part is empty or has white space at an end: such texts are encoded whole
+        odd = np.array([not w or w.strip() is not w for w in plain], bool)
+        whole_text = np.bitwise_or.reduceat(odd[of], first) if len(of) else np.zeros(0, bool)
+        heads = whole([t if w else t.partition(" ")[0] for t, w in zip(texts.to_pylist(), whole_text.tolist())])
+        ids, starts, done = words(["x" if o else w for w, o in zip(plain, odd.tolist())])
+        # entries: the words, then each text's head, then nothing (for the words of a text encoded whole)
+        start = np.concatenate([*starts, [done], done + np.cumsum([0, *map(len, heads)])[:-1], [0]]).astype(np.int64)
+        length = np.concatenate([np.diff(np.concatenate([*starts, [done]])), [0], [len(h) for h in heads], [0]]).astype(np.int64)
+        per_text = np.diff(np.append(first, len(of)))
+        of[np.repeat(whole_text, per_text)] = len(length) - 1
+        of[first] = len(plain) + 1 + np.arange(len(first))
+        n = length[of]
+        ends = np.cumsum(n)
+        at = np.repeat(start[of] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.concatenate([np.zeros(0, width), *ids, *heads])[at], np.add.reduceat(n, first) if len(of) else n
     return by_words
 
 
@@ -151,14 +140,17 @@ def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 def _tokenise(shared, end_id: int, width: np.dtype):
     def run(batches):
-        encode, end = _encoder(shared.value, width), np.array([end_id], width).tobytes()
+        encode = _encoder(shared.value, width)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for lo, hi in _slices([len(t) for t in texts], TEXT_SLICE):
-                rows = [ids + end for ids in encode(texts[lo:hi])]
+            texts = pc.fill_null(batch.column("text"), "")
+            for lo, hi in _slices(pc.binary_length(texts).to_numpy(), TEXT_SLICE):
+                ids, n = encode(texts.slice(lo, hi - lo))
+                ends = np.cumsum(n)
+                ids = np.insert(ids, ends, end_id)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array([len(r) // width.itemsize for r in rows], pa.int64()),
-                     pa.array(rows, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n + 1),
+                     _binary(ids.view(np.uint8), (ends + np.arange(1, hi - lo + 1)) * width.itemsize)],
+                    names=["doc_id", "n_tokens", "ids"])
     return run
 
 
@@ -178,7 +170,10 @@ def _count(width):
 
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Streams of documents with ``counts`` ids each -> (control, ends of control, data, ends of data)."""
-    code = np.searchsorted(_THRESHOLDS, ranks, side="right").astype(np.uint8)
+    code = np.zeros(len(ranks), np.uint8)
+    for bound in _THRESHOLDS:
+        if len(ranks) and ranks.max() >= bound:
+            code += ranks >= bound
     control_ends = np.cumsum((counts + 3) // 4)
     slots = _slots(counts, control_ends)
     padded = np.zeros((int(control_ends[-1]) if len(counts) else 0) * 4, np.uint8)
@@ -187,8 +182,9 @@ def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.cumsum(code + np.int64(1))
     data = np.zeros(int(at[-1]) if len(at) else 0, np.uint8)
     first = at - code - 1
-    for j in range(4):
-        has = code >= j
+    data[first] = ranks & 255
+    for j in range(1, int(code.max(initial=0)) + 1):
+        has = np.flatnonzero(code >= j)
         data[first[has] + j] = ranks[has] >> 8 * j & 255
     return control, control_ends, data, np.concatenate([[0], at])[np.cumsum(counts)]
 
@@ -206,8 +202,8 @@ def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
     at = np.cumsum(lengths, dtype=np.int64) - lengths
     data = np.concatenate([data, np.zeros(3, np.uint8)])
     ranks = data[at].astype(np.int64)
-    for j in range(1, 4):
-        has = lengths > j
+    for j in range(1, int(lengths.max(initial=1))):
+        has = np.flatnonzero(lengths > j)
         ranks[has] |= data[at[has] + j].astype(np.int64) << 8 * j
     return ranks
 
@@ -259,8 +255,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     size = max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1)
     width = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = cut_lineage(rows.mapInArrow(_tokenise(spark.sparkContext.broadcast(spec), end_id, width),
-                                         "doc_id long, n_tokens long, ids binary"), "token-ids")
+    staged = scratch_path(spark, "token-ids")
+    (rows.mapInArrow(_tokenise(spark.sparkContext.broadcast(spec), end_id, width), "doc_id long, n_tokens long, ids binary")
+     .write.option("compression", "zstd").parquet(staged))
+    tokens = spark.read.parquet(staged)
     counts = (tokens.select("ids").mapInArrow(_count(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
               .orderBy(F.desc("n"), "id").collect())                       # at most the vocabulary
     order = np.array([r.id for r in counts], np.int64)

@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from voltaic.operators import postings as I
 from voltaic.operators import search as S
 from voltaic.operators.conversation import chart_kind, chart_series
 from voltaic.sources.tables import Tables
@@ -16,15 +17,15 @@ def test_stored_index_search_equals_on_the_fly(spark, sf_dir):
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     path = os.path.join(tempfile.mkdtemp(prefix="idx-"), "index")
     postings, stats = S.build_index(chunks)
-    S.write_index(postings, stats, path, buckets=8)
-    assert any(x.startswith("bucket=") for x in os.listdir(os.path.join(path, "postings")))
-    stored = S.bm25(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/chunk_stats"), q, 5)
+    I.write_index(postings, stats, path, buckets=8)
+    assert any(x.startswith("bucket=") for x in os.listdir(os.path.join(path, "blocks")))
+    stored = S.bm25(I.read_postings(spark, path), spark.read.parquet(f"{path}/chunk_stats"), q, 5)
     fly = S.bm25_chunks(chunks, q, 5)
     key = ["query_id", "rank", "doc_id", "chunk_id", "score"]
     want = sorted(tuple(r) for r in fly.select(key).collect())
     assert sorted(tuple(r) for r in stored.select(key).collect()) == want
     one = q.where("query_id = 3")
-    pruned = S.search_index(spark, path, one, 5, buckets=8)
+    pruned = I.search_index(spark, path, one, 5, buckets=8)
     assert sorted(tuple(r) for r in pruned.select(key).collect()) == sorted(
         tuple(r) for r in S.bm25_chunks(chunks, one, 5).select(key).collect())
     import contextlib
@@ -63,14 +64,14 @@ def test_stored_index_is_written_once_and_follows_its_table(spark, tmp_path):
     rows = [(1, "alpha beta gamma delta", "en", "a"), (2, "alpha alpha epsilon zeta", "de", "b"), (3, None, "en", "b")]
     path = str(tmp_path / "docs")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(path)
-    first = S.stored_index(spark.read.parquet(path))
-    assert S.stored_index(spark.read.parquet(path)) == first
+    first = I.stored_index(spark.read.parquet(path))
+    assert I.stored_index(spark.read.parquet(path)) == first
     q = spark.createDataFrame([(1, "alpha zeta")], "query_id int, query string")
-    assert [r.doc_id for r in S.search_index(spark, first, q).orderBy("rank").collect()] == [2, 1]
-    assert [r.doc_id for r in S.search_index(spark, first, q, where="lang = 'en'").collect()] == [1]
+    assert [r.doc_id for r in I.search_index(spark, first, q).orderBy("rank").collect()] == [2, 1]
+    assert [r.doc_id for r in I.search_index(spark, first, q, where="lang = 'en'").collect()] == [1]
     spark.createDataFrame([(4, "zeta zeta zeta", "en", "a")], "doc_id long, text string, lang string, source string"
                           ).write.mode("append").parquet(path)
-    second = S.stored_index(spark.read.parquet(path))
+    second = I.stored_index(spark.read.parquet(path))
     assert second != first
     # two terms (one of them twice) outweigh one term three times, which outweighs one term once
-    assert [r.doc_id for r in S.search_index(spark, second, q).orderBy("rank").collect()] == [2, 4, 1]
+    assert [r.doc_id for r in I.search_index(spark, second, q).orderBy("rank").collect()] == [2, 4, 1]

@@ -1,32 +1,27 @@
-"""Document search (R1-R7): fixed-size chunking, a postings index, BM25 top-k, exact vector search.
+"""Document search (R1-R7): fixed-size chunking, postings, BM25 top-k, exact and approximate vector search.
 
-Index layout (R3): ``postings(doc_id, chunk_id, token, tf, dl, attributes..)`` and ``chunk_stats(doc_id,
-chunk_id, dl, attributes..)``; document frequency and corpus statistics are aggregates of those. Written to
-parquet, the postings table is partitioned by a hash bucket of the token, so a query reads only its terms'
-buckets; chunk length and attributes stand in each posting (dictionary-encoded), so a search joins nothing
-else and filters by attribute in the scan. :func:`stored_index` writes the index of a table once and every
-later search of the session reads it.
+Postings are ``(doc_id, chunk_id, token, tf, dl, attributes..)``, chunk statistics ``(doc_id, chunk_id, dl,
+attributes..)``. :mod:`voltaic.operators.postings` stores them as an index and searches it with score bounds; the
+functions here rank straight from postings or chunks, without an index.
 
-Query plan (R4): query terms are joined to postings on the token (broadcast behind a check of their size);
-only the matched postings are aggregated. Top-k per query is ``row_number() <= k``, which Spark
+Query plan without an index: query terms are joined to postings on the token (broadcast behind a check of
+their size); only the matched postings are aggregated. Top-k per query is ``row_number() <= k``, which Spark
 plans with a partial ``WindowGroupLimit`` before the shuffle, so a query matching a hot term ships at
 most ``k`` rows per map task.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from voltaic.operators.relational import top_n_per_group
 from voltaic.operators.text import BROADCAST_MAX_ROWS, TOKEN_PATTERN, small
-from voltaic.session import checkpoint_dir, cut_lineage
+from voltaic.session import cut_lineage
 
 # Chunk size, characters per page and the section label of the domain's chunk table.
 CHUNK_SIZE = 2000
@@ -87,40 +82,7 @@ def token_bucket(c, buckets: int):
     return F.pmod(F.xxhash64(c), F.lit(buckets))
 
 
-def write_index(postings: DataFrame, stats: DataFrame, path: str, buckets: int = 64) -> None:
-    """Persist the index under ``path`` (shared storage): postings partitioned by token hash bucket.
-
-    The write is rebalanced by bucket: AQE joins small buckets in one task and splits a bucket that holds a
-    very common token over several (several files in its folder); readers still prune by bucket.
-    """
-    p = postings.withColumn("bucket", token_bucket("token", buckets))
-    p.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stats.write.mode("overwrite").parquet(f"{path}/chunk_stats")
-
-
-def stored_index(docs: DataFrame, keep: tuple[str, ...] = ("lang", "source"), buckets: int = 64) -> str:
-    """The folder of the index over ``docs`` (a plain scan of stored files), written on first use.
-
-    The folder lies under the shared checkpoint folder and is named after the files' paths, lengths and
-    modification times, so a changed table gets a new index. Spark's ``_SUCCESS`` marker of the statistics,
-    which are written last, says that an index is whole.
-    """
-    spark = docs.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    state = hashlib.sha256(repr((keep, buckets, CHUNK_SIZE)).encode())
-    for f in sorted(docs.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        state.update(f"{f}|{status.getLen()}|{status.getModificationTime()}\n".encode())
-    path = os.path.join(checkpoint_dir(spark), f"search-index-{state.hexdigest()[:24]}")
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/chunk_stats/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
-        postings, stats = build_index(chunk(docs, keep=list(keep)), keep=keep)
-        write_index(postings, stats, path, buckets)
-    return path
-
-
-def _query_terms(queries: DataFrame, qid_col: str, qtext_col: str) -> tuple[DataFrame, DataFrame, bool]:
+def query_terms(queries: DataFrame, qid_col: str, qtext_col: str) -> tuple[DataFrame, DataFrame, bool]:
     """(query and token, token, whether the tokens are few enough to broadcast)."""
     qt = (queries.select(qid_col, F.explode(F.regexp_extract_all(F.lower(F.col(qtext_col)),
                                                                   F.lit(TOKEN_PATTERN), 0)).alias("token"))
@@ -155,28 +117,13 @@ def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 5,
     chunk statistics.
     """
     id_list = list(ids)
-    qt, terms, few = _query_terms(queries, qid_col, qtext_col)
+    qt, terms, few = query_terms(queries, qid_col, qtext_col)
     hit = postings.join(terms, "token", "left_semi")
     corpus = stats.select(F.struct(F.count(F.lit(1)).alias("n"),
                                    (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl"))).scalar()
     return _score(hit, qt, few, corpus, qid_col, id_list, k, k1, b)
 
 
-def search_index(spark, path: str, queries: DataFrame, k: int = 5, buckets: int = 64,
-                 qid_col: str = "query_id", qtext_col: str = "query", k1: float = 1.2,
-                 b: float = 0.75, where=None) -> DataFrame:
-    """R4, R6 over an index stored by :func:`write_index`: only the token buckets of the query terms are
-    read (partition pruning on ``bucket``; at most ``buckets`` numbers reach the driver). ``where`` filters
-    by attributes before anything is counted, so frequencies and lengths are those of the filtered chunks."""
-    _, terms, _ = _query_terms(queries, qid_col, qtext_col)
-    wanted = [r[0] for r in terms.select(token_bucket("token", buckets)).distinct().collect()]
-    postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted))
-    stats = spark.read.parquet(f"{path}/chunk_stats")
-    if where is not None:
-        postings, stats = postings.where(where), stats.where(where)
-    return bm25(postings.drop("bucket"), stats, queries, k, qid_col, qtext_col, k1, b)
-
-
 def bm25_chunks(chunks: DataFrame, queries: DataFrame, k: int = 5, qid_col: str = "query_id",
                 qtext_col: str = "query", k1: float = 1.2, b: float = 0.75,
                 ids: tuple[str, str] = ("doc_id", "chunk_id"), text_col: str = "content",
@@ -188,7 +135,7 @@ def bm25_chunks(chunks: DataFrame, queries: DataFrame, k: int = 5, qid_col: str
     carries only matching postings.
     """
     id_list = list(ids)
-    qt, terms, few = _query_terms(queries, qid_col, qtext_col)
+    qt, terms, few = query_terms(queries, qid_col, qtext_col)
     arr = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)
     # tokenise once into a column; size and explode both read it (an inline expression would be
     # re-evaluated for every exploded token)
@@ -216,55 +163,92 @@ def cosine(a, b):
 QUERY_BLOCK = 1_024     # query vectors multiplied in one pass over the corpus
 
 
-def _normal(rows: list) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return x / np.sqrt((x * x).sum(1, keepdims=True))
+def has_direction(vector):
+    """Whether an array has a cosine: not null or empty, no null or non-finite component, not all zero."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return F.coalesce((F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def normal(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)             # no square over- or underflows
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def vectors_by_length(column):
+    """(rows, matrix) per vector length of an Arrow list column without nulls, from its flat buffer."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    off = column.offsets.to_numpy()
+    off, sizes = off[:-1] - off[0], np.diff(off)
+    for dim in np.unique(sizes):
+        rows = np.flatnonzero(sizes == dim)
+        yield rows, flat[off[rows][:, None] + np.arange(dim)]
+
+
+def query_block(rows: list) -> dict:
+    """Collected (id, vector) rows as {dimension: (ids, normalised matrix)}."""
+    by_dim: dict[int, list] = {}
+    for qid, v in rows:
+        by_dim.setdefault(len(v), []).append((qid, v))
+    return {d: ([q for q, _ in g], normal(np.array([v for _, v in g], np.float64))) for d, g in by_dim.items()}
+
+
+def best_rows(queries: np.ndarray, vectors: np.ndarray, k: int):
+    """Per query the ``k`` best rows by (cosine rounded to 6 digits, row): (row indices, cosines)."""
+    got = np.round(queries @ normal(vectors).T, 6)
+    best = np.argsort(-got, axis=1, kind="stable")[:, :k]
+    return best, np.take_along_axis(got, best, 1)
 
 
 def _block_cosines(shared, k: int, names: list[str], qid_type):
-    """Per Arrow batch and query: the ``k`` best rows by (rounded cosine, id); null vectors score nothing."""
     def run(batches):
-        ids, vectors = shared.value
-        queries = _normal(vectors)
+        queries = shared.value
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            ok = [i for i, v in enumerate(rows) if v and len(v) == queries.shape[1] and None not in v]
-            if not ok:
-                continue
-            key = np.array(batch.column(0).to_pylist(), dtype=object)[ok]
-            by_id = np.argsort(key, kind="stable")
-            got = np.round(queries @ _normal([rows[i] for i in ok])[by_id].T, 6)
-            best = np.argsort(-got, axis=1, kind="stable")[:, :k]
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[by_id][best].ravel().tolist(), batch.schema.field(0).type),
-                 pa.array([q for q in ids for _ in range(n)], qid_type),
-                 pa.array(np.take_along_axis(got, best, 1).ravel())], names=names)
+            for rows, vectors in vectors_by_length(batch.column(1)):
+                if vectors.shape[1] not in queries:
+                    continue
+                ids, unit = queries[vectors.shape[1]]
+                key = batch.column(0).take(pa.array(rows))
+                by_id = pa.compute.sort_indices(key).to_numpy()
+                best, got = best_rows(unit, vectors[by_id], k)
+                yield pa.RecordBatch.from_arrays(
+                    [key.take(pa.array(by_id[best].ravel())), pa.array([q for q in ids for _ in range(best.shape[1])], qid_type),
+                     pa.array(got.ravel())], names=names)
     return run
 
 
+def query_blocks(queries: DataFrame, qid_col: str, qvec_col: str):
+    """The query vectors that have a direction, in lists of about ``QUERY_BLOCK`` rows."""
+    q = queries.where(has_direction(F.col(qvec_col))).select(qid_col, F.col(qvec_col).cast("array<double>").alias(qvec_col))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b).collect()
+        if rows:
+            yield [(r[0], r[1]) for r in rows]
+
+
+def search_schema(corpus: DataFrame, queries: DataFrame, id_col: str, qid_col: str) -> str:
+    return ", ".join(f"{n} {f[c].dataType.simpleString()}" for n, f, c in
+                     ((id_col, corpus.schema, id_col), (qid_col, queries.schema, qid_col))) + ", cosine double"
+
+
 def vector_search(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                   vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "qvec") -> DataFrame:
     """Exact cosine top ``k`` per query vector -> ``(query_id, rank, vec_id, cosine)``.
 
-    Any number of query vectors: they are broadcast in blocks of about ``QUERY_BLOCK``, each block one pass over
-    the corpus. A task normalises both sides once, multiplies whole Arrow batches and keeps the ``k``
-    best rows per query and batch, so only those are shuffled.
+    Null, empty and zero vectors and those with null or non-finite components have no cosine: as rows they are never found,
+    as queries they find nothing. Vectors of different length never meet. Any number of query vectors: they
+    are broadcast in blocks of about ``QUERY_BLOCK``, each block one pass over the corpus. A task normalises both
+    sides once, multiplies whole Arrow batches and keeps the ``k`` best rows per query and batch, so only those
+    are shuffled.
     """
     sc = corpus.sparkSession.sparkContext
     qid_type = to_arrow_type(queries.schema[qid_col].dataType)
-    schema = ", ".join(f"{n} {f[c].dataType.simpleString()}" for n, f, c in
-                       ((id_col, corpus.schema, id_col), (qid_col, queries.schema, qid_col))) + ", cosine double"
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    schema = search_schema(corpus, queries, id_col, qid_col)
+    rows = corpus.where(has_direction(F.col(vec_col))).select(id_col, vec_col)
     out = None
-    for b in range(blocks):
-        rows = queries.where((F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b) & F.col(qvec_col).isNotNull()).select(
-            qid_col, qvec_col).collect()
-        if not rows:
-            continue
-        shared = sc.broadcast(([r[0] for r in rows], [list(map(float, r[1])) for r in rows]))
-        part = corpus.select(id_col, vec_col).mapInArrow(_block_cosines(shared, k, [id_col, qid_col, "cosine"], qid_type), schema)
+    for block in query_blocks(queries, qid_col, qvec_col):
+        shared = sc.broadcast(query_block(block))
+        part = rows.mapInArrow(_block_cosines(shared, k, [id_col, qid_col, "cosine"], qid_type), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = corpus.sparkSession.createDataFrame([], schema)

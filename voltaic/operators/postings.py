@@ -2,10 +2,10 @@
 
 Layout under an index folder:
 
-* ``blocks`` (bucket, token, attributes.., level, block, n, cf, max_tf, min_dl, postings): the postings of a token in
-  blocks of about ``BLOCK_SIZE``. A block holds one value of every attribute and one impact level (a sixteenth of the
-  term-frequency part of BM25), and stands with its largest ``tf`` and smallest ``dl``: together they bound what any of
-  its postings can add to a score, whatever subset of the chunks is searched. Partitioned by a hash bucket of the token.
+* ``blocks`` (bucket, token, level, block, n, cf, max_tf, min_dl, postings): the postings of a token (doc_id, chunk_id,
+  tf, dl, attributes..) in blocks of about ``BLOCK_SIZE``. A block holds one impact level (a sixteenth of the term-frequency
+  part of BM25) and stands with its largest ``tf`` and smallest ``dl``: together they bound what any of its postings can
+  add to a score, whatever subset of the chunks is searched. Partitioned by a hash bucket of the token.
 * ``chunk_stats`` (doc_id, chunk_id, dl, attributes..): lengths, for the corpus size and mean length of a subset.
 
 Search reads block heads first (no postings). With a query's terms ordered by their best possible contribution, a
@@ -52,15 +52,13 @@ def to_blocks(postings: DataFrame, avgdl: float, keep: tuple[str, ...] = (), k1:
     most one per ``BLOCK_SIZE`` postings) are counted first, so no task sorts or holds a common token."""
     level = F.floor(tf_part(F.col("tf"), F.col("dl"), F.lit(avgdl or 1.0), k1, b) * LEVELS).cast("int")
     p = postings.withColumn("level", level)
-    group = ["token", *keep, "level"]
-    large = small(cut_lineage(p.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_SIZE)
-                              .select(*[F.col(c).alias(f"_{c}") for c in group], F.ceil(F.col("_n") / BLOCK_SIZE).alias("_cuts"))))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c in keep else F.col(c) == F.col(f"_{c}") for c in group]
-    cut = p.join(large, same, "left").withColumn(
+    large = small(cut_lineage(p.groupBy("token", "level").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_SIZE)
+                              .select("token", "level", F.ceil(F.col("_n") / BLOCK_SIZE).alias("_cuts"))))
+    cut = p.join(large, ["token", "level"], "left").withColumn(
         "_cut", F.coalesce(F.pmod(F.xxhash64("doc_id", "chunk_id"), F.col("_cuts")), F.lit(0)))
-    return (cut.groupBy(*group, "_cut").agg(
+    return (cut.groupBy("token", "level", "_cut").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-        F.collect_list(F.struct("doc_id", "chunk_id", "tf", "dl")).alias("postings")).drop("_cut")
+        F.collect_list(F.struct("doc_id", "chunk_id", "tf", "dl", *keep)).alias("postings")).drop("_cut")
         .withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -75,13 +73,8 @@ def write_index(postings: DataFrame, stats: DataFrame, path: str, buckets: int =
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    """The postings (token, attributes.., doc_id, chunk_id, tf, dl) of a stored index."""
-    blocks = spark.read.parquet(f"{path}/blocks")
-    keep = [c for c in blocks.columns if c not in _HEAD]
-    return blocks.select("token", *keep, F.explode("postings").alias("p")).select("token", *keep, "p.*")
-
-
-_HEAD = {"bucket", "token", "level", "block", "n", "cf", "max_tf", "min_dl", "postings"}
+    """The postings (token, doc_id, chunk_id, tf, dl, attributes..) of a stored index."""
+    return spark.read.parquet(f"{path}/blocks").select("token", F.explode("postings").alias("p")).select("token", "p.*")
 
 
 def stored_term_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -133,10 +126,23 @@ def stored_index(docs: DataFrame, keep: tuple[str, ...] = ("lang", "source"), bu
     return spark.read.text(pointer.toString()).first()[0]
 
 
-def _exact(blocks: DataFrame, worth: DataFrame, pairs: DataFrame, qid: str, avgdl: float, k1: float, b: float) -> DataFrame:
+def alive(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
+    """``rows(doc_id, seg, ..)`` without documents that a later batch replaced: ``dead(doc_id, until)`` ends the versions in
+    segments before ``until``."""
+    if dead is None:
+        return rows
+    d = dead.select(F.col("doc_id").alias("_dead"), "until")
+    return rows.join(small(d), (F.col("doc_id") == F.col("_dead")) & (F.col("seg") < F.col("until")), "left_anti")
+
+
+def _open(blocks: DataFrame, cols: list[str], where, dead: DataFrame | None) -> DataFrame:
+    """The postings of blocks, one a row, that are searched."""
+    rows = blocks.select(*cols, "seg", F.explode("postings").alias("_p")).select(*cols, "seg", "_p.*")
+    return alive(rows if where is None else rows.where(where), dead)
+
+
+def _exact(hit: DataFrame, worth: DataFrame, pairs: DataFrame, qid: str, part) -> DataFrame:
     """Scores of (query, chunk) pairs: the postings of the pairs' chunks, met with the queries' terms."""
-    hit = blocks.select("token", F.explode("postings").alias("p")).select("token", "p.*")
-    part = tf_part(F.col("tf"), F.col("dl"), F.lit(avgdl), k1, b)
     return (hit.select("token", "doc_id", "chunk_id", part.alias("_part")).join(small(pairs), ["doc_id", "chunk_id"])
             .join(small(worth.select(qid, "token", "idf")), [qid, "token"])
             .groupBy(qid, "doc_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("_part")).alias("_s"))
@@ -149,30 +155,47 @@ def _kth(scored: DataFrame, qid: str, score: str, k: int, name: str) -> DataFram
     return best.where(F.col("rank") == k).select(qid, F.col(score).alias(name))
 
 
+def wanted_buckets(terms: DataFrame, buckets: int) -> list:
+    return [r[0] for r in terms.select(token_bucket("token", buckets)).distinct().collect()]       # at most ``buckets``
+
+
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, buckets: int = 64, qid_col: str = "query_id",
                  qtext_col: str = "query", k1: float = 1.2, b: float = 0.75, where=None, plan: dict | None = None) -> DataFrame:
     """Top ``k`` chunks per query by BM25 -> ``(query_id, rank, doc_id, chunk_id, score)``.
 
     Scores, rounding and ties are those of :func:`voltaic.operators.search.bm25`. ``where`` filters by
     attributes before anything is counted, so frequencies and lengths are those of the filtered chunks. Only
-    the buckets of the query terms are read. Work on the way (term weights, bounds, candidates: all far smaller than the
-    matched postings) is staged in shared storage. ``plan`` receives the staged DataFrames, for inspection.
+    the buckets of the query terms are read. ``plan`` receives the staged DataFrames, for inspection.
     """
-    order = ["doc_id", "chunk_id"]
     qt, terms, _ = query_terms(queries, qid_col, qtext_col)
-    wanted = [r[0] for r in terms.select(token_bucket("token", buckets)).distinct().collect()]     # at most ``buckets``
-    blocks = spark.read.parquet(f"{path}/blocks").where(F.col("bucket").isin(wanted))
+    blocks = spark.read.parquet(f"{path}/blocks").where(F.col("bucket").isin(wanted_buckets(terms, buckets)))
     stats = spark.read.parquet(f"{path}/chunk_stats")
-    if where is not None:
-        blocks, stats = blocks.where(where), stats.where(where)
-    n, avgdl = corpus_size(stats)
+    blocks = blocks.join(terms, "token", "left_semi").withColumn("seg", F.lit(0).cast("long"))
+    n, avgdl = corpus_size(stats if where is None else stats.where(where))
+    return search_blocks(blocks, n, avgdl, qt, k, qid_col, k1, b, where=where, plan=plan)
+
+
+def search_blocks(blocks: DataFrame, n: int, avgdl: float, qt: DataFrame, k: int, qid_col: str, k1: float, b: float, where=None,
+                  dfreq: DataFrame | None = None, dead: DataFrame | None = None, plan: dict | None = None) -> DataFrame:
+    """The search over ``blocks(token, seg, block, n, max_tf, min_dl, postings)`` of the query terms ``qt(query id, token)``.
+
+    ``n`` and ``avgdl`` are those of the chunks searched, ``dfreq(token, df)`` the terms' chunk frequencies (by default
+    counted). Postings outside ``where`` and of ``dead`` documents don't count; bounds that include them hold all the
+    same. Work on the way (term weights, bounds, candidates: all far smaller than the matched postings) is staged in
+    shared storage.
+    """
+    order = ["doc_id", "chunk_id"]
     avgdl = avgdl or 1.0
-    blocks = blocks.join(terms, "token", "left_semi")
     bound = tf_part(F.col("max_tf"), F.col("min_dl"), F.lit(avgdl), k1, b)
-    heads = blocks.select("token", "block", "n", bound.alias("bound"))
+    part = tf_part(F.col("tf"), F.col("dl"), F.lit(avgdl), k1, b)
+    heads = blocks.select("token", "block", bound.alias("bound"))
+    if dfreq is None and where is None and dead is None:
+        dfreq = blocks.groupBy("token").agg(F.sum("n").alias("df"))
+    elif dfreq is None:
+        dfreq = _open(blocks, ["token"], where, dead).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # one row per query term: weight, best contribution, and the most that all weaker terms add
     idf = F.ln(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tokens = heads.groupBy("token").agg(F.sum("n").alias("df"), F.max("bound").alias("best")).select(
+    tokens = heads.groupBy("token").agg(F.max("bound").alias("best")).join(dfreq.select("token", "df").where("df > 0"), "token").select(
         "token", idf.alias("idf"), (idf * F.col("best")).alias("ub"))
     weaker = Window.partitionBy(qid_col).orderBy("ub", "token").rowsBetween(Window.unboundedPreceding, -1)
     worth = cut_lineage(qt.join(tokens, "token").withColumn("below", F.coalesce(F.sum("ub").over(weaker), F.lit(0.0))), "terms")
@@ -180,22 +203,18 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5,
     lead = top_n_per_group(heads, ["token"], [F.desc("bound"), F.asc("block")], 2).select("token", "block", "bound")
     opened = top_n_per_group(worth.join(small(lead), "token").withColumn("_w", F.col("idf") * F.col("bound")), [qid_col],
                              [F.desc("_w"), F.asc("block")], SEED_BLOCKS).select(qid_col, "block", "idf")
-    part = tf_part(F.col("p.tf"), F.col("p.dl"), F.lit(avgdl), k1, b)
-    held = blocks.select("block", "postings")
-    first = (held.join(small(opened), "block").select(qid_col, "idf", F.explode("postings").alias("p"))
-             .groupBy(qid_col, F.col("p.doc_id").alias("doc_id"), F.col("p.chunk_id").alias("chunk_id"))
-             .agg(F.sum(F.col("idf") * part).alias("known")))
+    first = (_open(blocks.drop("n").join(small(opened), "block"), [qid_col, "idf"], where, dead)
+             .groupBy(qid_col, *order).agg(F.sum(F.col("idf") * part).alias("known")))
     first = cut_lineage(top_n_per_group(first, [qid_col], [F.desc("known"), *map(F.asc, order)], 4 * k), "first")
-    exact = _exact(blocks, worth, first.select(qid_col, *order), qid_col, avgdl, k1, b)
-    known = cut_lineage(_kth(exact, qid_col, "score", k, "known"), "known")
+    hit = _open(blocks, ["token"], where, dead)
+    known = cut_lineage(_kth(_exact(hit, worth, first.select(qid_col, *order), qid_col, part), qid_col, "score", k, "known"), "known")
     # blocks, then postings, that can still reach it
     reach = F.coalesce(F.col("known") - CLOSE, F.lit(0.0))
     live = worth.join(small(known), qid_col, "left").where(F.col("ub") + F.col("below") >= reach)
-    kept = (heads.join(small(live), "token").where(F.col("idf") * F.col("bound") + F.col("below") >= reach)
-            .select(qid_col, "block", "idf", "below", "known"))
-    met = held.join(small(cut_lineage(kept, "blocks")), "block").select(qid_col, "idf", "below", "known", F.explode("postings").alias("p"))
-    pairs = cut_lineage(met.where(F.col("idf") * part + F.col("below") >= reach)
-                        .select(qid_col, F.col("p.doc_id").alias("doc_id"), F.col("p.chunk_id").alias("chunk_id")).distinct(), "pairs")
+    kept = cut_lineage(heads.join(small(live), "token").where(F.col("idf") * F.col("bound") + F.col("below") >= reach)
+                       .select(qid_col, "block", "idf", "below", "known"), "blocks")
+    met = _open(blocks.drop("n").join(small(kept), "block"), [qid_col, "idf", "below", "known"], where, dead)
+    pairs = cut_lineage(met.where(F.col("idf") * part + F.col("below") >= reach).select(qid_col, *order).distinct(), "pairs")
     if plan is not None:
-        plan |= {"worth": worth, "known": known, "met": met, "pairs": pairs}
-    return top_n_per_group(_exact(blocks, worth, pairs, qid_col, avgdl, k1, b), [qid_col], [F.desc("score"), *map(F.asc, order)], k)
+        plan |= {"worth": worth, "known": known, "kept": kept, "met": met, "pairs": pairs, "hit": hit}
+    return top_n_per_group(_exact(hit, worth, pairs, qid_col, part), [qid_col], [F.desc("score"), *map(F.asc, order)], k)

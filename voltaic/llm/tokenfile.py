@@ -38,8 +38,8 @@ from voltaic.llm.graph import small_side
 from voltaic.session import cut_lineage, scratch_path
 
 SLICE_BYTES = 4 << 20          # ids of about so many bytes are coded at once
-TEXT_SLICE = 24 << 20          # bytes of texts whose distinct words are encoded together
-WORDS_AT_ONCE = 50_000         # words handed to the tokenizer in one text
+TEXT_SLICE = 12 << 20          # bytes of texts whose distinct words are encoded together
+WORDS_AT_ONCE = 20_000         # words handed to the tokenizer in one text
 _SPACE = "\u0120"               # how byte-level vocabularies write a space
 _THRESHOLDS = np.array([1 << 8, 1 << 16, 1 << 24], np.int64)
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
@@ -90,25 +90,26 @@ def _encoder(tokenizer_json: str, width: np.dtype):
 
     def by_words(texts: pa.Array):
         parts = pc.split_pattern(texts, " ")
-        first = parts.offsets.to_numpy()[:-1].astype(np.int64)
+        first = parts.offsets.to_numpy()[:-1]
         coded = parts.flatten().dictionary_encode()
-        of = coded.indices.to_numpy().astype(np.int64)
-        plain = coded.dictionary.to_pylist()
+        of, plain = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        per_text = np.diff(np.append(first, len(of)))
+        del parts, coded
         # no cut where a part is empty or has white space at an end: such texts are encoded whole
         odd = np.array([not w or w.strip() is not w for w in plain], bool)
         whole_text = np.bitwise_or.reduceat(odd[of], first) if len(of) else np.zeros(0, bool)
-        heads = whole([t if w else t.partition(" ")[0] for t, w in zip(texts.to_pylist(), whole_text.tolist())])
+        heads = whole([t.as_py() if w else t.as_py().partition(" ")[0] for t, w in zip(texts, whole_text.tolist())])
         ids, starts, done = words(["x" if o else w for w, o in zip(plain, odd.tolist())])
         # entries: the words, then each text's head, then nothing (for the words of a text encoded whole)
-        start = np.concatenate([*starts, [done], done + np.cumsum([0, *map(len, heads)])[:-1], [0]]).astype(np.int64)
-        length = np.concatenate([np.diff(np.concatenate([*starts, [done]])), [0], [len(h) for h in heads], [0]]).astype(np.int64)
-        per_text = np.diff(np.append(first, len(of)))
+        start = np.concatenate([*starts, [done], done + np.cumsum([0, *map(len, heads)])[:-1], [0]]).astype(np.int32)
+        length = np.concatenate([np.diff(np.concatenate([*starts, [done]])), [0], [len(h) for h in heads], [0]]).astype(np.int32)
         of[np.repeat(whole_text, per_text)] = len(length) - 1
         of[first] = len(plain) + 1 + np.arange(len(first))
         n = length[of]
-        ends = np.cumsum(n)
-        at = np.repeat(start[of] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return np.concatenate([np.zeros(0, width), *ids, *heads])[at], np.add.reduceat(n, first) if len(of) else n
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(start[of] - (ends - n), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.concatenate([np.zeros(0, width), *ids, *heads])[at], np.add.reduceat(n, first, dtype=np.int64) if len(of) else n.astype(np.int64)
     return by_words
 
 

@@ -54,9 +54,11 @@ def test_respond_chart_or_table(spark, sf_dir):
     from voltaic.operators.conversation import respond
     from voltaic.plans.utility_model import build_model
     df = build_model(spark, sf_dir).query(["n_customers", "total_revenue"], ["segment"])
-    kind, pdf = respond(df, "Mostrami un grafico a barre per segmento", ["segment"])
+    kind, shown = respond(df, "Mostrami un grafico a barre per segmento", ["segment"])
+    pdf = shown.toPandas()
     assert kind == "chart:grouped_bar" and set(pdf.series) == {"n_customers", "total_revenue"}
-    kind, pdf = respond(df, "Quanti clienti per segmento?", ["segment"])
+    kind, shown = respond(df, "Quanti clienti per segmento?", ["segment"])
+    pdf = shown.toPandas()
     assert kind == "table" and len(pdf) == 5 and list(pdf.columns) == ["segment", "n_customers", "total_revenue"]
 
 

@@ -1,19 +1,21 @@
 """Conversation logs and chart data.
 
 C1 packs a chat history into the message list a model call takes; C2 folds an agent's event log into
-(text, sql, chart, steps); C3 turns an aggregate result into long-form chart series. All are grouped
-DataFrame jobs keyed by the conversation id; per-conversation ordering uses sorted arrays of
-``(seq, value)`` structs, so the input order of rows never matters.
+(text, sql, chart, steps); C3 turns an aggregate result into long-form chart series. The input order of rows
+never matters.
 
-The output of C1 and C2 is one value per conversation built from all of its rows (that is the
-operator); each conversation is therefore held by one task while it is assembled.
+C1's output is one value per conversation holding all of its messages (that is the operator), so a conversation is
+held by one task while it is assembled. C2 folds long conversations in pieces that many tasks work on.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voltaic.functions.scalar import strip_inline_images
 from voltaic.operators.relational import assign_ids
@@ -126,49 +128,179 @@ def event_ops(event: Column, data: Column, raw: Column) -> Column:
             .otherwise(F.array().cast(_OPS)))
 
 
+PIECE_EVENTS = 100_000      # events folded into one partial state
+PIECE_CHARS = 16 << 20      # characters of text in one partial state
+
+
+class Partial:
+    """What a run of a conversation's events does, as a value that merges: ``merge(a, b)`` of two neighbouring runs is the
+    state of both, however a conversation is cut.
+
+    ``parts`` are (kind, text): text that is surely added (``ADD``), and what depends on the text before the run. Of the
+    latter little is left. The first text of a conversation is always added, whatever its kind, and text stays
+    non-empty from there on; so ``IF_EMPTY`` can only matter as a run's first part. Once ``IF_UNSAID`` was met, its
+    text is in the conversation, added or said before; so only the first of equal ones in a run can matter, and only
+    if no sure text before it in the run holds it. ``steps`` are (once, kind); a step to be recorded once matters only
+    if no step of its kind stands before it in the run.
+    """
+
+    __slots__ = ("n", "parts", "chars", "unsaid", "sql", "chart", "steps", "kinds")
+
+    def __init__(self):
+        self.n, self.parts, self.chars, self.unsaid = 0, [], 0, set()
+        self.sql, self.chart, self.steps, self.kinds = "", "", [], set()
+
+    def add(self, op: int, v: str) -> None:
+        if op == ADD:
+            if self.parts and self.parts[-1][0] == ADD:
+                self.parts[-1][1].append(v)
+            else:
+                self.parts.append((ADD, [v]))
+            self.chars += len(v)
+        elif op == IF_EMPTY:
+            if not self.parts:
+                self.parts.append((IF_EMPTY, [v]))
+                self.chars += len(v)
+        elif op == IF_UNSAID:
+            if v not in self.unsaid:
+                self.unsaid.add(v)
+                if not any(k == ADD and v in self._run(i) for i, (k, _) in enumerate(self.parts)):
+                    self.parts.append((IF_UNSAID, [v]))
+                    self.chars += len(v)
+        elif op == SQL:
+            self.sql = v
+        elif op == CHART_SPEC:
+            self.chart = v
+        elif op == STEP or v not in self.kinds:
+            self.steps.append((op == STEP_ONCE, v))
+            self.kinds.add(v)
+
+    def _run(self, i: int) -> str:
+        texts = self.parts[i][1]
+        if len(texts) > 1:
+            texts[:] = ["".join(texts)]
+        return texts[0]
+
+    def merge(self, n: int, parts, sql: str, chart: str, steps) -> None:
+        """Appends the state of the next run."""
+        self.n += n
+        for kind, text in parts:
+            self.add(kind, text)
+        self.sql, self.chart = sql or self.sql, chart or self.chart
+        for once, v in steps:
+            self.add(STEP_ONCE if once else STEP, v)
+
+    def text(self) -> str:
+        """The text of a whole conversation: what is still open is decided from the start on."""
+        out = []
+        for kind, texts in self.parts:
+            v = "".join(texts)
+            if kind == IF_UNSAID:
+                out[:] = ["".join(out)]
+                if v in out[0]:
+                    continue
+            out.append(v)
+        return "".join(out)
+
+
+def _fold_runs(kind: pa.DataType):
+    def rows(done: list, first: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array([c for c, _ in done], kind), pa.array(range(first, first + len(done)), pa.int64()),
+            pa.array([s.n for _, s in done], pa.int64()), pa.array([[k for k, _ in s.parts] for _, s in done], pa.list_(pa.int32())),
+            pa.array([["".join(t) for _, t in s.parts] for _, s in done], pa.list_(pa.string())),
+            pa.array([s.sql for _, s in done], pa.string()), pa.array([s.chart for _, s in done], pa.string()),
+            pa.array([[o for o, _ in s.steps] for _, s in done], pa.list_(pa.bool_())),
+            pa.array([[v for _, v in s.steps] for _, s in done], pa.list_(pa.string()))],
+            names=["conv", "piece", "n", "kinds", "texts", "sql", "chart", "once", "steps"])
+
+    def run(batches):
+        piece = TaskContext.get().partitionId() << 32                # runs are numbered in order: partitions are ranges
+        done, now, state = [], None, None
+        for batch in batches:
+            conv, ops = batch.column(0).to_pylist(), batch.column(1)
+            off = ops.offsets.to_pylist()
+            each = ops.flatten()
+            op, value = each.field("op").to_pylist(), each.field("v").to_pylist()
+            off = [o - off[0] for o in off]
+            for i, c in enumerate(conv):
+                if state is None or c != now or state.n >= PIECE_EVENTS or state.chars >= PIECE_CHARS:
+                    if state is not None:
+                        done.append((now, state))
+                    now, state = c, Partial()
+                    if len(done) >= 1_000 or sum(s.chars for _, s in done[-1:]) >= PIECE_CHARS:
+                        yield rows(done, piece)
+                        piece, done = piece + len(done), []
+                state.n += 1
+                for j in range(off[i], off[i + 1]):
+                    state.add(op[j], value[j])
+        if state is not None:
+            yield rows([*done, (now, state)], piece)
+    return run
+
+
+def _finish(kind: pa.DataType):
+    def rows(done: list) -> pa.RecordBatch:
+        steps = [[v for _, v in s.steps] + ["sql_execution"] * (s.sql != "") for _, s in done]
+        return pa.RecordBatch.from_arrays([
+            pa.array([c for c, _ in done], kind), pa.array([s.text() for _, s in done], pa.string()),
+            pa.array([s.sql for _, s in done], pa.string()), pa.array([s.chart for _, s in done], pa.string()),
+            pa.array([",".join(s) for s in steps], pa.string()), pa.array([s.n for _, s in done], pa.int64())],
+            names=["conv", "text", "sql", "chart_spec", "steps", "n_events"])
+
+    def run(batches):
+        now, state, done = None, None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if state is None or r["conv"] != now:
+                    if state is not None:
+                        done.append((now, state))
+                    if len(done) >= 1_000 or done and done[-1][1].chars >= PIECE_CHARS:
+                        yield rows(done)
+                        done = []
+                    now, state = r["conv"], Partial()
+                state.merge(r["n"], zip(r["kinds"], r["texts"]), r["sql"], r["chart"], zip(r["once"], r["steps"]))
+        if state is not None:
+            yield rows([*done, (now, state)])
+    return run
+
+
 def fold_events(log: DataFrame, conv_col: str = "conv_id", seq_cols: list[str] | None = None,
                 event_col: str = "event", data_col: str = "data") -> DataFrame:
     """Fold an event log ``(conv, seq.., event, data JSON)`` into ``(conv, text, sql, chart_spec,
     steps, n_events)``.
 
-    All eleven kinds count. Each event becomes a list of operations before the grouping (only what it
-    does is shuffled, not its JSON); a conversation's operations are then applied in order:
+    All eleven kinds count. Each event becomes a list of operations, and a conversation's operations are applied in order:
 
     * ``text``: text, analyst and message deltas and ``"\\nErrore: " || message`` (the whole data
       without a message) are added; a final text counts only while the text is empty; a tool result's
-      text (its SQL may also stand flat in the data) is added unless the text already holds it;
+      text (its SQL may also stand flat in the data) is added unless the text already holds it, wherever in the text
+      and across whatever parts;
     * ``sql``, ``chart_spec``: the last non-empty one (the first chart of a tool result's list);
     * ``steps``: step kinds in order, comma-joined (``thinking``, ``response`` and a chart event's
       ``chart`` only if not yet there), then ``sql_execution`` when an SQL was seen.
 
     Inline base64 images in the text are replaced by a placeholder (F21). Data that is not JSON or null
-    counts as empty; null ids form one conversation. Since later text depends on what was said before, one
-    conversation's operations are applied by one task.
+    counts as empty; null ids form one conversation; events equal in ``seq`` are ordered by kind and data.
+
+    The log is sorted by range of (conversation, seq), so a long conversation is spread over tasks; each run of its events
+    becomes one :class:`Partial` state in linear time, and a conversation's few states are merged. Only the text that is
+    the result meets in one place; what is still open there (distinct texts to be said once) is looked up in it at memory
+    speed. The log is read twice (ranges, then rows): give a stored one.
     """
     seq_cols = seq_cols or ["seq"]
-    e = log.select(conv_col, F.struct(*[F.col(c) for c in seq_cols]).alias("_seq"), F.col(event_col).alias("_event"),
-                   F.col(data_col).alias("_raw"), F.from_json(F.col(data_col), EVENT_DATA).alias("_data"))
-    e = e.select(conv_col, "_seq", event_ops(F.col("_event"), F.col("_data"), F.coalesce("_raw", F.lit(""))).alias("_ops"))
-    g = e.groupBy(conv_col).agg(
-        F.array_sort(F.collect_list(F.when(F.size("_ops") > 0, F.struct("_seq", "_ops")))).alias("_all"),
-        F.count(F.lit(1)).alias("n_events"))
-    empty = F.lit("")
-    start = F.struct(empty.alias("text"), empty.alias("sql"), empty.alias("chart"), F.array().cast("array<string>").alias("steps"))
-
-    def apply(acc, x):
-        op, v = x["op"], x["v"]
-        added = (op == ADD) | ((op == IF_EMPTY) & (acc["text"] == "")) | ((op == IF_UNSAID) & ~F.contains(acc["text"], v))
-        step = (op == STEP) | ((op == STEP_ONCE) & ~F.array_contains(acc["steps"], v))
-        return F.struct(F.when(added, F.concat(acc["text"], v)).otherwise(acc["text"]).alias("text"),
-                        F.when(op == SQL, v).otherwise(acc["sql"]).alias("sql"),
-                        F.when(op == CHART_SPEC, v).otherwise(acc["chart"]).alias("chart"),
-                        F.when(step, F.concat(acc["steps"], F.array(v))).otherwise(acc["steps"]).alias("steps"))
-
-    ops = F.flatten(F.transform("_all", lambda x: x["_ops"]))
-    g = g.select(conv_col, "n_events", F.aggregate(ops, start, apply).alias("_r"))
-    steps = F.when(F.col("_r.sql") != "", F.concat(F.col("_r.steps"), F.array(F.lit("sql_execution")))).otherwise(F.col("_r.steps"))
-    return g.select(conv_col, strip_inline_images(F.col("_r.text")).alias("text"), F.col("_r.sql").alias("sql"),
-                    F.col("_r.chart").alias("chart_spec"), F.array_join(steps, ",").alias("steps"), "n_events")
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = log.schema[conv_col].dataType
+    arrow, name = to_arrow_type(kind), kind.simpleString()
+    order = [F.col(c) for c in (conv_col, *seq_cols, event_col, data_col)]
+    e = log.select(*dict.fromkeys([conv_col, *seq_cols, event_col, data_col])).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    e = e.select(conv_col, F.col(event_col).alias("_event"), F.col(data_col).alias("_raw"), F.from_json(F.col(data_col), EVENT_DATA).alias("_data"))
+    ops = e.select(F.col(conv_col).alias("conv"), event_ops(F.col("_event"), F.col("_data"), F.coalesce("_raw", F.lit(""))).alias("ops"))
+    runs = ops.mapInArrow(_fold_runs(arrow), f"conv {name}, piece long, n long, kinds array<int>, texts array<string>, sql string, "
+                                             "chart string, once array<boolean>, steps array<string>")
+    whole = (runs.repartition(parts, "conv").sortWithinPartitions("conv", "piece")
+             .mapInArrow(_finish(arrow), f"conv {name}, text string, sql string, chart_spec string, steps string, n_events long"))
+    return whole.select(F.col("conv").alias(conv_col), strip_inline_images(F.col("text")).alias("text"), "sql", "chart_spec", "steps", "n_events")
 
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -218,13 +350,10 @@ def wants_chart(request: str) -> bool:
     return any(w in low for w in CHART_WORDS)
 
 
-def respond(df: DataFrame, request: str, order_by: list[str], max_rows: int = 50):
-    """Entry point A after the query ran: chart series (C3) when the request asks for a chart, else
-    the first ``max_rows`` rows (S9). A chart gets its whole series.
-
-    Returns ``(kind, pandas frame)`` with kind ``"chart:<shape>"`` or ``"table"``.
-    """
+def respond(df: DataFrame, request: str, order_by: list[str], max_rows: int = 50) -> tuple[str, DataFrame]:
+    """Entry point A after the query ran: chart series (C3) when the request asks for a chart, else the first
+    ``max_rows`` rows. Returns ``(kind, DataFrame)`` with kind ``"chart:<shape>"`` or ``"table"``: a chart gets its
+    whole series, which may be long, so fetching it is the caller's choice (S9)."""
     if wants_chart(request):
-        kind = chart_kind(df)[0]
-        return f"chart:{kind}", chart_series(df, order_by).orderBy("row_no", "series").toPandas()
-    return "table", df.orderBy(*order_by).limit(max_rows).toPandas()
+        return f"chart:{chart_kind(df)[0]}", chart_series(df, order_by).orderBy("row_no", "series")
+    return "table", df.orderBy(*order_by).limit(max_rows)

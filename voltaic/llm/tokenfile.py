@@ -24,8 +24,11 @@ the vocabulary's counts (bounded by the tokenizer's vocabulary) and nothing per
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ from voltaic.session import cut_lineage, scratch_path
 SLICE_BYTES = 4 << 20          # ids of about so many bytes are coded at once
 TEXT_SLICE = 24 << 20          # bytes of texts whose distinct words are encoded together
 WORDS_AT_ONCE = 20_000         # words handed to the tokenizer in one text
+KNOWN_WORDS = 300_000          # words a Python worker keeps; beyond that it starts again
+LONGEST_KNOWN = 64             # bytes of a word that is kept
 _SPACE = "\u0120"               # how byte-level vocabularies write a space
 _THRESHOLDS = np.array([1 << 8, 1 << 16, 1 << 24], np.int64)
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
@@ -73,46 +78,75 @@ def _encoder(tokenizer_json: str, width: np.dtype):
     spaced = np.zeros(tok.get_vocab_size(), bool)
     spaced[[i for t, i in tok.get_vocab().items() if t.startswith(_SPACE)]] = True
 
-    def words(plain: list[str]):
-        """(ids in a row, where each word begins) of words with a space in front, encoded many in one text."""
-        ids, starts, done = [], [], 0
-        for lo in range(0, len(plain), WORDS_AT_ONCE):
-            some = plain[lo:lo + WORDS_AT_ONCE]
+    def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, how many each has) of words with a space in front, encoded many in one text."""
+        ids, sizes = [np.zeros(0, width)], [np.zeros(0, np.int32)]
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            some = words[lo:lo + WORDS_AT_ONCE]
             got, = whole([" " + " ".join(some)])
             cut = np.flatnonzero(spaced[got])
+            n = np.diff(np.append(cut, len(got)))
             if len(cut) != len(some):                         # a word that holds such a token further on
                 each = whole([" " + w for w in some])
-                got, cut = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
+                got, n = np.concatenate(each), np.array([len(e) for e in each])
             ids.append(got)
-            starts.append(cut + done)
-            done += len(got)
-        return ids, starts, done
+            sizes.append(n.astype(np.int32))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    # words met more than once in earlier texts: (words, their ids in a row, how many each has)
+    known = [pa.array([], pa.string()), np.zeros(0, width), np.zeros(0, np.int32)]
 
     def by_words(texts: pa.Array):
         parts = pc.split_pattern(texts, " ")
         first = parts.offsets.to_numpy()[:-1]
         coded = parts.flatten().dictionary_encode()
-        of, plain = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        of, words = coded.indices.to_numpy().copy(), coded.dictionary
         per_text = np.diff(np.append(first, len(of)))
         del parts, coded
         # no cut where a part is empty or has white space at an end: such texts are encoded whole
-        odd = np.array([not w or w.strip() is not w for w in plain], bool)
+        odd = np.array([not w or w.strip() is not w for w in words.to_pylist()], bool)
         whole_text = np.bitwise_or.reduceat(odd[of], first) if len(of) else np.zeros(0, bool)
         heads = whole([t.as_py() if w else t.as_py().partition(" ")[0] for t, w in zip(texts, whole_text.tolist())])
-        ids, starts, done = words(["x" if o else w for w, o in zip(plain, odd.tolist())])
-        # entries: the words, then each text's head, then nothing (for the words of a text encoded whole)
-        start = np.concatenate([*starts, [done], done + np.cumsum([0, *map(len, heads)])[:-1], [0]]).astype(np.int32)
-        length = np.concatenate([np.diff(np.concatenate([*starts, [done]])), [0], [len(h) for h in heads], [0]]).astype(np.int32)
+        hit = pc.fill_null(pc.index_in(words, value_set=known[0]), -1).to_numpy()
+        new = np.flatnonzero((hit < 0) & ~odd)
+        ids, sizes = learn(words.take(pa.array(new)).to_pylist())
+        # entries: known words, new ones, each text's head, then nothing (for the words of a text encoded whole)
+        length = np.concatenate([known[2], sizes, [len(h) for h in heads], [0]]).astype(np.int32)
+        start = (np.cumsum(length) - length).astype(np.int32)
+        flat = np.concatenate([known[1], ids, *heads])
+        entry = hit.astype(np.int32)
+        entry[new] = len(known[2]) + np.arange(len(new))
+        entry[odd] = len(length) - 1
+        twice = new[np.bincount(of, minlength=len(words))[new] > 1]
+        of = entry[of]
         of[np.repeat(whole_text, per_text)] = len(length) - 1
-        of[first] = len(plain) + 1 + np.arange(len(first))
+        of[first] = len(known[2]) + len(new) + np.arange(len(first))
         n = length[of]
         ends = np.cumsum(n, dtype=np.int32)
         at = np.repeat(start[of] - (ends - n), n)
         at += np.arange(len(at), dtype=np.int32)
-        return np.concatenate([np.zeros(0, width), *ids, *heads])[at], np.add.reduceat(n, first, dtype=np.int64) if len(of) else n.astype(np.int64)
+        out = flat[at], np.add.reduceat(n, first, dtype=np.int64) if len(of) else n.astype(np.int64)
+        twice = twice[pc.binary_length(words.take(pa.array(twice))).to_numpy() <= LONGEST_KNOWN]
+        if len(known[2]) + len(twice) > KNOWN_WORDS:
+            known[:] = known[0].slice(0, 0), known[1][:0], known[2][:0]
+        kept = np.concatenate([np.arange(len(known[2])), entry[twice]])
+        sizes = length[kept]
+        places = np.repeat(start[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        known[:] = pa.concat_arrays([known[0], words.take(pa.array(twice))]), flat[places], sizes
+        return out
     return by_words
 
 
+def _kept_encoder(tokenizer_json: str, width: np.dtype):
+    """The encoder of this Python worker, which Spark reuses for many tasks: the tokenizer is built, and a common word encoded,
+    once a worker. What it keeps is bounded and never changes a result."""
+    home = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders"))
+    key = hashlib.sha256(tokenizer_json.encode()).digest(), str(width)
+    if getattr(home, "key", None) != key:
+        home.key, home.encode = key, _encoder(tokenizer_json, width)
+    return home.encode
+
+
 def _slices(weights, most: int):
     """(from, to) runs of rows of at most ``most`` in sum, or of one row."""
     lo, total = 0, 0
@@ -141,7 +175,7 @@ def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 def _tokenise(shared, end_id: int, width: np.dtype):
     def run(batches):
-        encode = _encoder(shared.value, width)
+        encode = _kept_encoder(shared.value, width)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for lo, hi in _slices(pc.binary_length(texts).to_numpy(), TEXT_SLICE):

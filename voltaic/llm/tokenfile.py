@@ -41,9 +41,10 @@ from voltaic.llm.graph import small_side
 from voltaic.session import cut_lineage, scratch_path
 
 SLICE_BYTES = 4 << 20          # ids of about so many bytes are coded at once
-TEXT_SLICE = 24 << 20          # bytes of texts whose distinct words are encoded together
+TEXT_SLICE = 16 << 20          # bytes of texts whose distinct words are encoded together
 WORDS_AT_ONCE = 20_000         # words handed to the tokenizer in one text
-KNOWN_WORDS = 300_000          # words a Python worker keeps; beyond that it starts again
+IDS_AT_ONCE = 1 << 19          # ids put together at once
+KNOWN_WORDS = 150_000          # words a Python worker keeps; beyond that it starts again
 LONGEST_KNOWN = 64             # bytes of a word that is kept
 _SPACE = "\u0120"               # how byte-level vocabularies write a space
 _THRESHOLDS = np.array([1 << 8, 1 << 16, 1 << 24], np.int64)
@@ -121,11 +122,17 @@ def _encoder(tokenizer_json: str, width: np.dtype):
         of = entry[of]
         of[np.repeat(whole_text, per_text)] = len(length) - 1
         of[first] = len(known[2]) + len(new) + np.arange(len(first))
-        n = length[of]
-        ends = np.cumsum(n, dtype=np.int32)
-        at = np.repeat(start[of] - (ends - n), n)
-        at += np.arange(len(at), dtype=np.int32)
-        out = flat[at], np.add.reduceat(n, first, dtype=np.int64) if len(of) else n.astype(np.int64)
+        per_ids = np.add.reduceat(length[of], first, dtype=np.int64) if len(of) else np.zeros(0, np.int64)
+        out, bounds = np.empty(int(per_ids.sum()), width), np.append(first, len(of))
+        done = 0
+        for lo, hi in _slices(per_ids, IDS_AT_ONCE):
+            some = of[bounds[lo]:bounds[hi]]
+            n = length[some]
+            ends = np.cumsum(n, dtype=np.int32)
+            at = np.repeat(start[some] - (ends - n), n)
+            at += np.arange(len(at), dtype=np.int32)
+            out[done:done + len(at)] = flat[at]
+            done += len(at)
         twice = twice[pc.binary_length(words.take(pa.array(twice))).to_numpy() <= LONGEST_KNOWN]
         if len(known[2]) + len(twice) > KNOWN_WORDS:
             known[:] = known[0].slice(0, 0), known[1][:0], known[2][:0]
@@ -133,7 +140,9 @@ def _encoder(tokenizer_json: str, width: np.dtype):
         sizes = length[kept]
         places = np.repeat(start[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         known[:] = pa.concat_arrays([known[0], words.take(pa.array(twice))]), flat[places], sizes
-        return out
+        del words
+        pa.default_memory_pool().release_unused()
+        return out, per_ids
     return by_words
 
 

@@ -25,7 +25,7 @@ def test_query_names():
 
 # -- token files
 
-ALPHABET = " \n\t  \x1c\x85 abZ'1ſé中😀.,​́st<|endoftext|>"
+ALPHABET = " \n\t  \x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000\u200b abZ'1ſé中😀.,​́st<|endoftext|>"
 
 
 def encoded(spec, texts):

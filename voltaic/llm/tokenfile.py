@@ -42,7 +42,7 @@ from voltaic.session import cut_lineage, scratch_path
 
 SLICE_BYTES = 4 << 20          # ids of about so many bytes are coded at once
 TEXT_SLICE = 16 << 20          # bytes of texts whose distinct words are encoded together
-WORDS_AT_ONCE = 20_000         # words handed to the tokenizer in one text
+WORDS_IN_TEXT, TEXTS_AT_ONCE = 100, 200     # words in a text, texts handed to the tokenizer at once
 IDS_AT_ONCE = 1 << 19          # ids put together at once
 KNOWN_WORDS = 150_000          # words a Python worker keeps; beyond that it starts again
 LONGEST_KNOWN = 64             # bytes of a word that is kept
@@ -79,16 +79,18 @@ def _encoder(tokenizer_json: str, width: np.dtype):
     spaced = np.zeros(tok.get_vocab_size(), bool)
     spaced[[i for t, i in tok.get_vocab().items() if t.startswith(_SPACE)]] = True
 
-    def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def learn(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, how many each has) of words with a space in front, encoded many in one text."""
         ids, sizes = [np.zeros(0, width)], [np.zeros(0, np.int32)]
-        for lo in range(0, len(words), WORDS_AT_ONCE):
-            some = words[lo:lo + WORDS_AT_ONCE]
-            got, = whole([" " + " ".join(some)])
+        for lo in range(0, len(words), TEXTS_AT_ONCE * WORDS_IN_TEXT):
+            some = pa.concat_arrays([words.slice(lo, TEXTS_AT_ONCE * WORDS_IN_TEXT)])
+            bounds = np.append(np.arange(0, len(some), WORDS_IN_TEXT), len(some)).astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), some), " ").to_pylist()
+            got = np.concatenate(whole([" " + t for t in joined]))
             cut = np.flatnonzero(spaced[got])
             n = np.diff(np.append(cut, len(got)))
             if len(cut) != len(some):                         # a word that holds such a token further on
-                each = whole([" " + w for w in some])
+                each = whole([" " + w for w in some.to_pylist()])
                 got, n = np.concatenate(each), np.array([len(e) for e in each])
             ids.append(got)
             sizes.append(n.astype(np.int32))
@@ -105,12 +107,12 @@ def _encoder(tokenizer_json: str, width: np.dtype):
         per_text = np.diff(np.append(first, len(of)))
         del parts, coded
         # no cut where a part is empty or has white space at an end: such texts are encoded whole
-        odd = np.array([not w or w.strip() is not w for w in words.to_pylist()], bool)
+        odd = ~pc.equal(words, pc.utf8_trim_whitespace(words)).to_numpy(zero_copy_only=False) | (pc.binary_length(words).to_numpy() == 0)
         whole_text = np.bitwise_or.reduceat(odd[of], first) if len(of) else np.zeros(0, bool)
         heads = whole([t.as_py() if w else t.as_py().partition(" ")[0] for t, w in zip(texts, whole_text.tolist())])
         hit = pc.fill_null(pc.index_in(words, value_set=known[0]), -1).to_numpy()
         new = np.flatnonzero((hit < 0) & ~odd)
-        ids, sizes = learn(words.take(pa.array(new)).to_pylist())
+        ids, sizes = learn(words.take(pa.array(new)))
         # entries: known words, new ones, each text's head, then nothing (for the words of a text encoded whole)
         length = np.concatenate([known[2], sizes, [len(h) for h in heads], [0]]).astype(np.int32)
         start = (np.cumsum(length) - length).astype(np.int32)

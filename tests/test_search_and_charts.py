@@ -77,3 +77,40 @@ def test_stored_index_is_written_once_and_follows_its_table(spark, tmp_path):
     assert second != first
     # two terms (one of them twice) outweigh one term three times, which outweighs one term once
     assert [r.doc_id for r in I.search_index(spark, second, q).orderBy("rank").collect()] == [2, 4, 1]
+
+
+def scored(spark, sf):
+    """(postings opened, candidates, postings that an unbounded search would score) for the benchmark queries."""
+    t = Tables(spark, f"/root/testdata/{sf}")
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    path, plan = I.stored_index(t.documents), {}
+    found = I.search_index(spark, path, q, 5, plan=plan).count()
+    df = I.stored_term_stats(spark, path)
+    unbounded = plan["worth"].join(df, "token").agg(F.sum("df")).first()[0]
+    return found, plan["met"].count(), plan["pairs"].count(), unbounded, q.count()
+
+
+def test_bounds_skip_most_postings_and_work_stays_near_the_size_of_the_corpus(spark):
+    found, opened, pairs, unbounded, queries = scored(spark, "sf0.01")
+    assert found == 5 * queries
+    assert opened < unbounded / 4 and pairs < unbounded / 10
+    small_found, small_opened, _, small_unbounded, small_queries = scored(spark, "sf0.001")
+    # per query, an unbounded search grows with the corpus; what bounds leave open grows no faster
+    assert opened / queries < 1.2 * (unbounded / queries) / (small_unbounded / small_queries) * (small_opened / small_queries)
+
+
+def test_bounded_search_on_ties_filters_and_missing_terms(spark, tmp_path):
+    rows = [(i, f"common word {'rare ' * (i % 3)}tail{i % 4}", "en" if i % 2 else "it", None if i % 5 else "s") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    path = str(tmp_path / "idx")
+    chunks = S.chunk(docs, keep=["lang", "source"])
+    I.write_index(*S.build_index(chunks, keep=("lang", "source")), path, 4, ("lang", "source"))
+    q = spark.createDataFrame([(1, "common"), (2, "rare rare tail1"), (3, "nowhere"), (4, ""), (5, None), (6, "tail2 nowhere word")],
+                              "query_id int, query string")
+    key = ["query_id", "rank", "doc_id", "chunk_id", "score"]
+    for where in (None, "lang = 'en'", "source is null and lang = 'it'", "lang = 'xx'"):
+        for k in (1, 7, 1000):
+            got = I.search_index(spark, path, q, k, buckets=4, where=where)
+            want = S.bm25_chunks(chunks if where is None else chunks.where(where), q, k)
+            assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+    assert spark.read.parquet(path + "/blocks").where("token = 'common'").count() > 1      # a common token: several blocks

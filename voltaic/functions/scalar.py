@@ -85,3 +85,13 @@ def strip_inline_images(c, placeholder: str = IMAGE_PLACEHOLDER) -> Column:
 def preview(c, n: int = 80) -> Column:
     """First ``n`` characters followed by ``...``."""
     return F.concat(F.substring(_c(c), 1, n), F.lit("..."))
+
+
+def fold_of(key, folds: int) -> Column:
+    """A row's fold, 0 to ``folds`` - 1, from the MD5 of its key as text (any SQL engine can repeat it)."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(folds))
+
+
+def fold_sql(key: str, folds: int) -> str:
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % {folds}"

@@ -13,6 +13,7 @@ PLAN_MODULES = [
     "voltaic.plans.conversation",
     "voltaic.plans.generated",
     "voltaic.plans.domain",
+    "voltaic.plans.storage",
 ]
 
 

@@ -248,9 +248,9 @@ def q23d(spark, d):
                     F.col("CLIENTI_ATTIVI").alias("NUM_CLIENTI"))
 
 
-# The document halves of the two mixed questions.
-SUSPENSION_Q = [(1, "Cosa dice il contratto sulle condizioni di sospensione?")]
-COMPLAINT_Q = [(1, "Cosa prevede il contratto per la gestione dei reclami sulla fatturazione?")]
+# Our own wording of the document halves of the two mixed questions.
+SUSPENSION_Q = [(1, "In quali casi la fornitura viene interrotta per un periodo?")]
+COMPLAINT_Q = [(1, "Che passi seguono quando un importo della bolletta viene contestato?")]
 
 
 def _mixed_sql(question, data_col_sql: str, alias: str) -> str:

@@ -95,6 +95,26 @@ def p10(spark, d):
     return o.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).distinct()
 
 
+# Our own requests, one for each order priority.
+REQUESTS = {"1-URGENT": "Mostra subito un GRAFICO delle forniture sospese", "2-HIGH": "Quante forniture sono aperte?",
+            "3-MEDIUM": "Plot the supplies of this quarter", "5-LOW": "Una torta dei clienti per segmento"}
+
+
+@register("p12_request_intent", f"""
+WITH r AS (SELECT o_custkey, CASE o_orderpriority {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REQUESTS.items())} ELSE 'Elenco dei clienti' END
+                             || ' numero ' || CAST(o_orderkey AS VARCHAR) AS request FROM orders)
+SELECT o_custkey AS customer_id, COUNT(*) AS n_requests,
+       CAST(SUM(CASE WHEN regexp_matches(lower(request), '{"|".join(CHART_WORDS)}') THEN 1 ELSE 0 END) AS BIGINT) AS n_chart_requests
+FROM r GROUP BY 1""")
+def p12_requests(spark, d):
+    """Intent flag of the requests that customers' orders stand for; some ask for a chart and some don't."""
+    o = Tables(spark, d).orders
+    said = F.coalesce(*[F.when(F.col("o_orderpriority") == k, v) for k, v in REQUESTS.items()], F.lit("Elenco dei clienti"))
+    request = F.lower(F.concat(said, F.lit(" numero "), F.col("o_orderkey").cast("string")))
+    return o.groupBy(F.col("o_custkey").alias("customer_id")).agg(
+        F.count(F.lit(1)).alias("n_requests"), F.count_if(request.rlike("|".join(CHART_WORDS))).alias("n_chart_requests"))
+
+
 @register("p12_chart_intent", f"""
 SELECT conv_id, COUNT(*) AS n_user_turns,
        CAST(SUM(CASE WHEN regexp_matches(lower(text), '{"|".join(CHART_WORDS)}') THEN 1 ELSE 0 END) AS BIGINT)

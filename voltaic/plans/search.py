@@ -106,12 +106,12 @@ def r6(spark, d):
         "query_id", "rank", F.col("doc_id").alias("id"), F.col("section").alias("title"), "source", "score")
 
 
-# The three document questions of the domain and the two mixed data + document ones.
-CLAUSE_QUESTIONS = [(1, "What are the conditions for withdrawal from the supply contract?"),
-                    (2, "What does the contract provide in case of late payment by the customer?"),
-                    (3, "What are the rights of the customer under the general supply conditions?")]
-SUSPENSION_QUESTION = [(1, "What does the contract say about the conditions of suspension?")]
-COMPLAINT_QUESTION = [(1, "How does the contract handle complaints about billing?")]
+# Our own wording of the domain's three document topics and of its two mixed ones.
+CLAUSE_QUESTIONS = [(1, "Ending the supply before its term: how to give notice and what it costs"),
+                    (2, "Interest, reminders and deadlines for a bill that was not paid in time"),
+                    (3, "What a customer may ask of the supplier under the general terms")]
+SUSPENSION_QUESTION = [(1, "When may the supply to a customer be cut off for a while?")]
+COMPLAINT_QUESTION = [(1, "Steps that follow after somebody disputes the amount of an invoice")]
 
 
 @register("q12_clause_search", f"""

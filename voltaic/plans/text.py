@@ -40,14 +40,22 @@ GLOSSARY = [
     ("it", "de", "grazie", "danke"), ("it", "de", "corrente", "Strom"), ("it", "de", "mese", "Monat"),
     ("it", "de", "consumi", "Verbrauch"), ("it", "de", "per", "für"), ("it", "de", "con", "mit"),
     ("it", "de", "in", "in"), ("it", "de", "un", "ein"), ("it", "de", "una", "eine"), ("it", "de", "ho", "habe"),
+    # phrases: the longest entry that begins at a place wins, "of the" over "of", "la pompa di calore" over "la"
+    ("en", "it", "of the", "del"), ("en", "it", "to the", "al"), ("en", "it", "in the", "nel"), ("en", "it", "is the", "è il"),
+    ("en", "it", "of the and", "del e anche"), ("en", "it", "and the", "e il"),
+    ("en", "de", "of the", "des"), ("en", "de", "to the", "zum"), ("en", "de", "in the", "im"), ("en", "de", "and of the", "und des"),
+    ("it", "en", "pompa di calore", "heat pump"), ("it", "en", "la pompa di calore", "the heat pump"),
+    ("it", "en", "la pompa", "the pump"), ("it", "en", "conto", "account"), ("it", "en", "sul conto", "on the account"),
+    ("it", "en", "problema tecnico", "technical problem"), ("it", "en", "problema", "problem"),
+    ("it", "de", "pompa di calore", "Wärmepumpe"), ("it", "de", "problema tecnico urgente", "dringendes technisches Problem"),
+    ("it", "de", "problema tecnico", "technisches Problem"),
 ]
 QUALITY_LABELS = ["high", "low"]
-# The two questions asked of every text in T12.
-QUESTIONS = [(1, "What is the main problem the customer reports?"),
-             (2, "Does the customer mention a specific place?")]
-PROMPT_INSTRUCTION = ("You are an expert in customer care for the energy sector. Analyse the following "
-                      "feedback and give: 1) urgency (CRITICAL/HIGH/MEDIUM/LOW) 2) a suggested action "
-                      "in one sentence. ")
+# Our own questions for T12 and our own instruction for T8.
+QUESTIONS = [(1, "Which device, meter or line needs attention?"),
+             (2, "By when should the work be finished and where?")]
+PROMPT_INSTRUCTION = ("Read the message below and answer in two lines. First line: when someone has to act (now, today, "
+                      "this week, no hurry). Second line: which team takes it and why. ")
 
 
 def _sql_values(rows) -> str:
@@ -56,6 +64,29 @@ def _sql_values(rows) -> str:
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
 
 
+def segmented_sql(text: str, phrases: str, match: str | None = None) -> str:
+    """DuckDB list of a text's pieces: tokens written as ``<token>``, cut from left to right by an alternation of phrases (in
+    the same writing, longest first), which is the longest-match segmentation; a token of no phrase is a piece of its own."""
+    tokens = f"array_to_string(list_transform({text}, lambda x: '<' || x || '>'), '')"
+    return f"regexp_extract_all({tokens}, {phrases}{match or ''})"
+
+
+def phrases_sql(table: str, phrase: str, tokens: str) -> str:
+    """The alternation of a table's phrases, longest first."""
+    return (f"(SELECT string_agg(p, '|' ORDER BY n DESC, p) FROM (SELECT DISTINCT array_to_string(list_transform(t, lambda x: '<' || x || '>'), '') AS p, "
+            f"len(t) AS n FROM (SELECT {tokens.format(c=phrase)} AS t FROM {table}) WHERE len(t) > 0))")
+
+
+def translation_ctes(src: str, dst: str, name: str, texts: str, key: str) -> str:
+    """CTEs that translate ``texts(key, text)`` into ``name(key, t)`` by the glossary ``g``."""
+    return f"""
+{name}_g AS (SELECT array_to_string(list_transform({TOK.format(c='word')}, lambda x: '<' || x || '>'), '') AS p, MIN(target) AS target,
+             len({TOK.format(c='word')}) AS n FROM g WHERE src = '{src}' AND dst = '{dst}' GROUP BY ALL),
+{name}_p AS (SELECT string_agg(p, '|' ORDER BY n DESC, p) || '|<[^>]*>' AS alt, map_from_entries(list((p, target))) AS m FROM {name}_g),
+{name} AS (SELECT {key}, array_to_string(list_transform({segmented_sql(TOK.format(c="COALESCE(text, '')"), 'alt')},
+             lambda x: COALESCE(m[x], x[2:len(x) - 1])), ' ') AS t FROM {texts}, {name}_p)"""
+
+
 def _quality_scores(spark: SparkSession, d: str):
     t = Tables(spark, d)
     lex = T.learn_lexicon(t.documents, t.labels, "doc_id", "text", "quality")
@@ -164,16 +195,12 @@ def t6(spark, d):
 
 @register("t7_translate_en", rf"""
 WITH g(src, dst, word, target) AS (VALUES {_sql_values(GLOSSARY)}),
-tok AS (SELECT doc_id, unnest({TOK.format(c='text')}) AS token,
-               generate_subscripts({TOK.format(c='text')}, 1) AS pos FROM documents WHERE lang = 'en'),
-it AS (SELECT doc_id, string_agg(COALESCE(g.target, token), ' ' ORDER BY pos) AS t FROM tok
-       LEFT JOIN g ON g.word = tok.token AND g.src = 'en' AND g.dst = 'it' GROUP BY doc_id),
-de AS (SELECT doc_id, string_agg(COALESCE(g.target, token), ' ' ORDER BY pos) AS t FROM tok
-       LEFT JOIN g ON g.word = tok.token AND g.src = 'en' AND g.dst = 'de' GROUP BY doc_id)
-SELECT d.doc_id, COALESCE(it.t, '') AS translation_it, COALESCE(de.t, '') AS translation_de
-FROM documents d LEFT JOIN it USING (doc_id) LEFT JOIN de USING (doc_id) WHERE d.lang = 'en'""")
+src AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),
+{translation_ctes('en', 'it', 'it', 'src', 'doc_id')},
+{translation_ctes('en', 'de', 'de', 'src', 'doc_id')}
+SELECT it.doc_id, it.t AS translation_it, de.t AS translation_de FROM it JOIN de USING (doc_id)""")
 def t7(spark, d):
-    """Word-level glossary translation of English texts into two languages (two passes)."""
+    """Glossary translation (words and phrases, longest first) of English texts into two languages (two passes)."""
     docs = Tables(spark, d).documents.where(F.col("lang") == "en")
     g = spark.createDataFrame(GLOSSARY, "src string, dst string, word string, target string")
     it = T.translate(docs, "doc_id", "text", g, "en", "it", "translation_it")
@@ -220,20 +247,23 @@ def t9(spark, d):
         F.lit(". Include trends and recommendations.")).alias("prompt"))
 
 
-NB_SQL = rf"""
+def nb_sql(labelled: str, labels: list[str]) -> str:
+    """CTEs of multinomial naive Bayes learned from ``labelled`` (a query for doc_id, label); the last, ``cls``, has the answer
+    for every document."""
+    values = ", ".join(f"('{x}')" for x in labels)
+    return rf"""
 tok AS (SELECT doc_id, unnest({TOK.format(c='text')}) AS token FROM documents),
-lab AS (SELECT doc_id, CASE WHEN l.quality = 1 THEN 'high' ELSE 'low' END AS label
-        FROM documents JOIN labels l USING (doc_id)),
+lab AS ({labelled}),
 cnt AS (SELECT token, label, COUNT(*) AS c FROM tok JOIN lab USING (doc_id) GROUP BY ALL),
 v AS (SELECT COUNT(DISTINCT token) AS v FROM cnt),
 tot AS (SELECT label, SUM(c) AS n FROM cnt GROUP BY label),
-grid AS (SELECT token, label FROM (SELECT DISTINCT token FROM cnt), (VALUES ('high'), ('low')) x(label)),
+grid AS (SELECT token, label FROM (SELECT DISTINCT token FROM cnt), (VALUES {values}) x(label)),
 word AS (SELECT g.token, g.label, ln((COALESCE(c, 0) + 1) / (COALESCE(n, 0) + v)) AS logp
          FROM grid g LEFT JOIN cnt USING (token, label) LEFT JOIN tot USING (label), v),
 prior AS (SELECT label, ln(COUNT(*) / (SELECT COUNT(*) FROM lab)) AS logprior FROM lab GROUP BY label),
 tf AS (SELECT doc_id, token, COUNT(*) AS tf FROM tok GROUP BY ALL),
 ll AS (SELECT doc_id, label, SUM(tf * logp) AS ll FROM tf JOIN word USING (token) GROUP BY ALL),
-dg AS (SELECT doc_id, label FROM documents, (VALUES ('high'), ('low')) x(label)),
+dg AS (SELECT doc_id, label FROM documents, (VALUES {values}) x(label)),
 s AS (SELECT dg.doc_id, dg.label, COALESCE(logprior, '-inf'::DOUBLE) + COALESCE(ll, 0) AS s
       FROM dg LEFT JOIN ll USING (doc_id, label) LEFT JOIN prior USING (label)),
 m AS (SELECT doc_id, MAX(s) AS m FROM s GROUP BY doc_id),
@@ -242,6 +272,10 @@ best AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY s
 cls AS (SELECT doc_id, label, 1.0 / z AS p FROM best JOIN z USING (doc_id) WHERE r = 1)"""
 
 
+NB_SQL = nb_sql("SELECT doc_id, CASE WHEN l.quality = 1 THEN 'high' ELSE 'low' END AS label FROM documents JOIN labels l USING (doc_id)",
+                QUALITY_LABELS)
+
+
 def _classified(spark, d):
     t = Tables(spark, d)
     lab = t.labels.select("doc_id", F.when(F.col("quality") == 1, "high").otherwise("low").alias("label"))
@@ -258,14 +292,77 @@ def t11(spark, d):
     return c.select("doc_id", "label", F.round("score", 3).alias("score"))
 
 
+# Our own conditions for T14 (the driver's texts are invented words, so they name what such a text is made of).
+CONDITIONS = [(1, "the text is of the kind that is written for an English reader"), (2, "ein Text, der nicht auf Englisch ist und der Sätze mit der, die und das hat"),
+              (3, "un texte pour les lecteurs de la France, dans une langue que je lis"), (4, "el texto que se escribe para los lectores de la lengua en la que hablo"),
+              (5, "all rights reserved, licensed under the Apache License")]
+
+
+def ai_filter_ctes(texts: str, key: str, conditions) -> str:
+    """CTEs of the free-condition filter over ``texts(key, text)``: the last, ``answer``, has a row per text and condition."""
+    return rf"""
+cond(condition_id, condition) AS (VALUES {_sql_values(conditions)}),
+doc_t AS (SELECT DISTINCT {key}, unnest({TOK.format(c='text')}) AS token FROM {texts}),
+ct AS (SELECT DISTINCT condition_id, unnest({TOK.format(c='condition')}) AS token FROM cond),
+cond_hit AS (SELECT * FROM doc_t WHERE token IN (SELECT token FROM ct)),
+cond_idf AS (SELECT token, ln(1 + (SELECT COUNT(*) FROM {texts}) / COUNT(*)) AS idf FROM cond_hit GROUP BY token),
+weighed AS (SELECT condition_id, token, idf FROM ct JOIN cond_idf USING (token)),
+total AS (SELECT condition_id, SUM(idf) AS total FROM weighed GROUP BY condition_id),
+met AS (SELECT {key}, condition_id, CAST(ROUND(ROUND(SUM(idf) / ANY_VALUE(total), 6) * 1000) AS BIGINT) AS score
+        FROM cond_hit JOIN weighed USING (token) JOIN total USING (condition_id) GROUP BY ALL),
+scores AS (SELECT x.{key}, c.condition_id, COALESCE(met.score, 0) AS score FROM {texts} x CROSS JOIN cond c
+           LEFT JOIN met ON met.{key} = x.{key} AND met.condition_id = c.condition_id),
+steps AS (SELECT condition_id, score, COUNT(*) AS n FROM scores GROUP BY ALL),
+parts AS (SELECT condition_id, score,
+                 CAST(SUM(n) OVER below AS DOUBLE) AS n0, SUM(CAST(n * score AS DOUBLE)) OVER below AS s0,
+                 CAST(SUM(n) OVER whole AS DOUBLE) AS n, SUM(CAST(n * score AS DOUBLE)) OVER whole AS s FROM steps
+          WINDOW whole AS (PARTITION BY condition_id),
+                 below AS (PARTITION BY condition_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+gaps AS (SELECT condition_id, score, ROUND(n0 / n * ((n - n0) / n) * (s0 / n0 - (s - s0) / (n - n0)) * (s0 / n0 - (s - s0) / (n - n0)), 6) AS gap
+         FROM parts WHERE n0 IS NOT NULL),
+cuts AS (SELECT condition_id, score AS threshold FROM gaps
+         QUALIFY row_number() OVER (PARTITION BY condition_id ORDER BY gap DESC, score) = 1),
+answer AS (SELECT scores.*, COALESCE(score >= threshold, FALSE) AS holds FROM scores LEFT JOIN cuts USING (condition_id))"""
+
+
 @register("t14_semantic_filter", f"""
-WITH {NB_SQL}
-SELECT d.doc_id, d.source FROM documents d JOIN cls USING (doc_id) WHERE cls.label = 'high' AND cls.p >= 0.9""")
+WITH {ai_filter_ctes('documents', 'doc_id', CONDITIONS)}
+SELECT doc_id, condition_id, score, holds FROM answer""")
 def t14(spark, d):
-    """Semantic filter as a ``where`` on the classifier's label and score."""
+    """Five free conditions asked of every document in one pass, each with the natural cut of its scores."""
+    c = spark.createDataFrame(CONDITIONS, "condition_id int, condition string")
+    return T.ai_filter(Tables(spark, d).documents, "doc_id", "text", c)
+
+
+@register("t14_filtered_by_source", f"""
+WITH {ai_filter_ctes('documents', 'doc_id', CONDITIONS)}
+SELECT source, condition_id, COUNT(*) AS n_docs FROM answer JOIN documents USING (doc_id) WHERE holds GROUP BY ALL""")
+def t14_by_source(spark, d):
+    """T14 as a ``where``: documents per source for which each condition holds."""
     docs = Tables(spark, d).documents
-    c = _classified(spark, d).where((F.col("label") == "high") & (F.col("score") >= 0.9))
-    return docs.select("doc_id", "source").join(c.select("doc_id"), "doc_id")
+    c = spark.createDataFrame(CONDITIONS, "condition_id int, condition string")
+    a = T.ai_filter(docs, "doc_id", "text", c).where("holds")
+    return docs.select("doc_id", "source").join(a, "doc_id").groupBy("source", "condition_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+# A label with several outcomes: the language of a text. One of five folds is held out of training.
+LANGUAGES = ["de", "en", "es", "fr"]
+_FOLD = X.fold_sql("doc_id", 5)
+
+
+@register("t11_classify_held_out", f"""
+WITH {nb_sql(f"SELECT doc_id, lang AS label FROM documents WHERE lang IN ({', '.join(repr(x) for x in LANGUAGES)}) AND {_FOLD} <> 0", LANGUAGES)}
+SELECT cls.doc_id, cls.label, ROUND(p, 3) AS score, d.lang AS truth
+FROM cls JOIN documents d USING (doc_id) WHERE {_FOLD} = 0 AND d.lang IN ({", ".join(repr(x) for x in LANGUAGES)})""")
+def t11_held_out(spark, d):
+    """Naive Bayes learned from four folds of the documents with a language, answers and truth for the fifth."""
+    docs = Tables(spark, d).documents.where(F.col("lang").isin(LANGUAGES))
+    lab = docs.where(X.fold_of("doc_id", 5) != 0).select("doc_id", F.col("lang").alias("label"))
+    word, prior = T.naive_bayes_tables(docs.select("doc_id", "text"), lab, "doc_id", "text", "label", LANGUAGES)
+    held = docs.where(X.fold_of("doc_id", 5) == 0)
+    c = T.classify(held, "doc_id", "text", word, prior, LANGUAGES)
+    return c.join(held.select("doc_id", F.col("lang").alias("truth")), "doc_id").select(
+        "doc_id", "label", F.round("score", 3).alias("score"), "truth")
 
 
 @register("t12_extract_answer", rf"""
@@ -277,7 +374,7 @@ st AS (SELECT DISTINCT doc_id, spos, unnest({TOK.format(c='sentence')}) AS token
 dfq AS (SELECT token, COUNT(DISTINCT doc_id) AS df FROM st GROUP BY token),
 qt AS (SELECT DISTINCT question_id, unnest({TOK.format(c='question')}) AS token FROM q),
 qw AS (SELECT question_id, token, ln((SELECT COUNT(*) FROM documents) / df) AS idf FROM qt JOIN dfq USING (token)),
-sc AS (SELECT doc_id, question_id, spos, SUM(idf) AS score FROM st JOIN qw USING (token) GROUP BY ALL),
+sc AS (SELECT doc_id, question_id, spos, ROUND(SUM(idf), 9) AS score FROM st JOIN qw USING (token) GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, question_id ORDER BY score DESC, spos) AS r FROM sc)
 SELECT d.doc_id, q.question_id, s2.sentence AS answer, ROUND(b.score, 3) AS score
 FROM documents d CROSS JOIN (SELECT question_id FROM q) q
@@ -295,24 +392,63 @@ def _ent_sql(p: str, group: int = 0) -> str:
     return f"list_sort(list_distinct(regexp_extract_all(text, '{p}', {group})))"
 
 
-def _ent_cols(name: str, p: str, group: int = 0) -> str:
-    return f"array_to_string({_ent_sql(p, group)}, ';') AS {name}, len({_ent_sql(p, group)}) AS n_{name}"
+def _ent_cols(name: str, arr: str) -> str:
+    return f"array_to_string({arr}, ';') AS {name}, len({arr}) AS n_{name}"
 
 
-@register("t13_entities", f"""
-SELECT doc_id, {_ent_cols('emails', T.EMAIL_PATTERN)}, {_ent_cols('phones', T.PHONE_PATTERN)},
-       {_ent_cols('links', T.URL_PATTERN)}, {_ent_cols('streets', T.STREET_PATTERN)},
-       {_ent_cols('places', T.PLACE_PATTERN, 1)}
-FROM documents""")
-def t13(spark, d):
-    """Entity extraction (e-mail, phone, link, street, place) by pattern, distinct and sorted."""
-    return T.entities(Tables(spark, d).documents, "doc_id", "text")
+AS_WRITTEN = r"regexp_extract_all({c}, '[\p{{L}}\p{{N}}]+')"
+
+
+def entities_sql(texts: str, key: str, places: str) -> str:
+    """DuckDB entities of ``texts(key, text)`` with the place names of ``places(place)``."""
+    enc = "array_to_string(list_transform({t}, lambda x: '<' || x || '>'), '')"
+    return rf"""
+place_p AS (SELECT {enc.format(t=AS_WRITTEN.format(c='place'))} AS p, MIN(place) AS place, len({AS_WRITTEN.format(c='place')}) AS n
+            FROM {places} GROUP BY ALL),
+place_alt AS (SELECT string_agg(p, '|' ORDER BY n DESC, p) AS alt, map_from_entries(list((p, place))) AS m FROM place_p WHERE n > 0),
+ents AS (SELECT {key}, {_ent_cols('emails', _ent_sql(T.EMAIL_PATTERN))}, {_ent_cols('phones', _ent_sql(T.PHONE_PATTERN))},
+       {_ent_cols('links', _ent_sql(T.URL_PATTERN))}, {_ent_cols('streets', _ent_sql(T.STREET_PATTERN))},
+       {_ent_cols('places', f"list_sort(list_distinct(list_transform({segmented_sql(AS_WRITTEN.format(c='text'), 'alt')}, lambda x: m[x])))")}
+       FROM {texts}, place_alt)"""
 
 
-@register("t15_embed")
+_SLOT = "CAST('0x' || substr(md5(token), {a}, {n}) AS BIGINT)"
+
+
+@register("t15_embed", rf"""
+WITH tok AS (SELECT doc_id, unnest({TOK.format(c='text')}) AS token FROM documents),
+tf AS (SELECT doc_id, token, COUNT(*) AS tf FROM tok GROUP BY ALL),
+w AS (SELECT token, CAST({_SLOT.format(a=1, n=12)} % 64 AS INTEGER) AS slot,
+             CASE WHEN {_SLOT.format(a=13, n=4)} % 2 = 0 THEN 1 ELSE -1 END * ln(((SELECT COUNT(*) FROM documents) + 1) / (COUNT(*) + 1)) AS w
+      FROM tf GROUP BY token),
+cells AS (SELECT doc_id, slot, SUM(tf * w) AS x FROM tf JOIN w USING (token) GROUP BY ALL),
+norm AS (SELECT doc_id, sqrt(SUM(x * x)) AS norm FROM cells GROUP BY doc_id),
+dense AS (SELECT d.doc_id, s.slot, CASE WHEN norm > 0 THEN ROUND(COALESCE(x, 0) / norm, 6) + 0.0 ELSE 0.0 END AS v
+          FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS slot) s LEFT JOIN norm USING (doc_id)
+          LEFT JOIN cells ON cells.doc_id = d.doc_id AND cells.slot = s.slot)
+SELECT doc_id, list(CAST(v AS DOUBLE) ORDER BY slot) AS embedding FROM dense GROUP BY doc_id""")
 def t15(spark, d):
-    """Hashed TF x IDF embedding, L2-normalised (Spark ML); rows-only check."""
-    return T.embed(Tables(spark, d).documents, "doc_id", "text", 256)
+    """Signed hashed TF x IDF embedding in 64 dimensions, L2-normalised."""
+    return T.embed(Tables(spark, d).documents, "doc_id", "text", 64)
+
+
+@register("t10_bigram_completion", rf"""
+WITH RECURSIVE t AS (SELECT doc_id, {TOK.format(c='text')} AS t FROM documents),
+pairs AS (SELECT unnest(t[1:len(t) - 1]) AS token, unnest(t[2:len(t)]) AS next FROM t WHERE len(t) > 1),
+model AS (SELECT token, next FROM (SELECT token, next, COUNT(*) AS n FROM pairs GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY token ORDER BY n DESC, next) = 1),
+asked AS (SELECT item_id, {TOK.format(c='text')} AS t FROM benchmark),
+chain(item_id, k, token, said) AS (
+  SELECT item_id, 0, t[len(t)], '' FROM asked
+  UNION ALL
+  SELECT c.item_id, k + 1, m.next, CASE WHEN said = '' THEN m.next ELSE said || ' ' || m.next END
+  FROM chain c JOIN model m USING (token) WHERE k < 5)
+SELECT item_id, said AS completion FROM chain QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY k DESC) = 1""")
+def t10_bigrams(spark, d):
+    """Every benchmark text as a prompt, continued by five words of a bigram model trained on all documents."""
+    t = Tables(spark, d)
+    model = T.next_words(t.documents, "doc_id", "text")
+    return T.complete_by_bigrams(t.benchmark, "item_id", "text", model, 5)
 
 
 def _html_sql() -> str:
@@ -366,11 +502,11 @@ def t11b(spark, d):
 SELECT token, COUNT(DISTINCT doc_id) AS df
 FROM (SELECT doc_id, unnest({TOK.format(c='text')}) AS token FROM documents) GROUP BY token""")
 def t1b(spark, d):
-    """Document frequency of every word over whole documents (distinct (doc, token) pairs
-    first, map-side, then a count per token)."""
-    docs = Tables(spark, d).documents
-    pairs = T.tokens(docs, ["doc_id"], "text", pos=False).distinct()
-    return pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    """Document frequency of every word over whole documents: a document's words are made distinct before they are
+    exploded (``doc_id`` is the key), so only partial counts per word are shuffled."""
+    docs = Tables(spark, d).documents.where("doc_id is not null")
+    arr = F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN_PATTERN), 0)
+    return docs.select(F.explode(F.array_distinct(arr)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 @register("t6_t7_summary_translated", rf"""
@@ -385,11 +521,9 @@ sc AS (SELECT st.doc_id, st.spos, CAST(SUM(dtf) AS DOUBLE) / COUNT(*) AS score
 top AS (SELECT doc_id, spos, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, spos) AS r FROM sc),
 summ AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY spos) AS summary
          FROM top JOIN s2 USING (doc_id, spos) WHERE r <= 3 GROUP BY doc_id),
-tok AS (SELECT doc_id, unnest({TOK.format(c='summary')}) AS token,
-               generate_subscripts({TOK.format(c='summary')}, 1) AS pos FROM summ),
-it AS (SELECT doc_id, string_agg(COALESCE(g.target, token), ' ' ORDER BY pos) AS t FROM tok
-       LEFT JOIN g ON g.word = tok.token AND g.src = 'en' AND g.dst = 'it' GROUP BY doc_id)
-SELECT summ.doc_id, summ.summary, COALESCE(it.t, '') AS summary_it FROM summ LEFT JOIN it USING (doc_id)""")
+src AS (SELECT doc_id, summary AS text FROM summ),
+{translation_ctes('en', 'it', 'it', 'src', 'doc_id')}
+SELECT summ.doc_id, summ.summary, it.t AS summary_it FROM summ JOIN it USING (doc_id)""")
 def t6_t7(spark, d):
     """T6 then T7 (nested calls): extractive summary of each English text, translated to Italian."""
     docs = Tables(spark, d).documents.where(F.col("lang") == "en")

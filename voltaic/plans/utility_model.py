@@ -113,6 +113,9 @@ def build_model(spark: SparkSession, sf_dir: str) -> SemanticModel:
              "(2 * SUM(CAST(bill_cents AS DECIMAL(38,0))) + COUNT(bill_cents)) DIV (2 * COUNT(bill_cents))",
              parts=[("wsum", "bill_cents"), ("count", "bill_cents")], final="(2 * {0} + {1}) DIV (2 * {1})")
     m.metric("n_active_customers", "supplies", "COUNT(DISTINCT o_custkey)", ["clienti attivi"])
+    # mergeable form for very large keys: partial sketches instead of a shuffle of distinct keys
+    m.metric("n_active_customers_approx", "supplies", "HLL_SKETCH_ESTIMATE(HLL_SKETCH_AGG(o_custkey, 14))", ["clienti attivi stimati"],
+             parts=[("distinct", "o_custkey")], final="HLL_SKETCH_ESTIMATE({0})")
     m.metric("avg_kwh", "consumption", AVG_PLAIN.format(f="kwh"), ["consumo medio"],
              parts=[('sum', 'kwh'), ('count', 'kwh')], final='CAST({0} AS DOUBLE) / {1}')
     m.metric("n_customers", "customers", "COUNT(c_custkey)", ["numero clienti"],

@@ -30,3 +30,17 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int = 64) -> DataFrame:
+    """``CREATE TABLE .. AS SELECT`` bucketed and sorted by ``keys`` under ``path`` (shared storage); returns the table.
+
+    Tables bucketed by the same keys into the same number of buckets are co-located: they join and group on these
+    keys bucket by bucket, without a shuffle of either side, as often as they are used. Rows are dealt to the
+    buckets before the write, so each bucket is one file. A key that holds a large part of all rows makes one
+    large bucket: join such tables unbucketed, where AQE splits it.
+    """
+    # the bucket of a row is pmod(hash(keys), buckets), the partition that repartition(buckets, keys) deals it to
+    (df.repartition(buckets, *keys).write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys)
+     .format("parquet").saveAsTable(table))
+    return df.sparkSession.table(table)

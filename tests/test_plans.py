@@ -40,7 +40,11 @@ def test_star_join_broadcasts_dimensions_after_measuring(spark, sf_dir):
 
 
 def test_no_cartesian_products_anywhere(spark, sf_dir):
-    skip = {"x1_incremental_index_refresh", "s5_ctas_chunks", "v1_row_function_batch", "t10_v2_batch_completion"}
+    skip = {"x1_incremental_index_refresh", "s5_ctas_chunks", "v1_row_function_batch", "t10_v2_batch_completion",
+            # these write tables first; r4 stands for the other searches
+            "x1_refreshed_search", "r3_index_term_stats", "r5_vector_index_search", "j3_s5_colocated_join", "s7_document_files",
+            "s8_documents_from_files", "r6_filtered_search", "q12_clause_search", "q13_r7_suspended_and_clause",
+            "q14_complaint_share_and_clause", "q13_domain_suspended_and_clause", "q14_domain_billing_share_and_clause"}
     for name, fn in load_all()[0].items():
         if name in skip:
             continue

@@ -10,10 +10,11 @@ Layout under an index folder:
 
 Search reads block heads first (no postings). With a query's terms ordered by their best possible contribution, a
 chunk whose strongest matching term is ``t`` scores at most ``t``'s block bound plus the bounds of all weaker
-terms. So once some ``k`` chunks are known to reach a score, every block below it is skipped, and so is every posting of an
-opened block; common words usually open no block at all. The known score runs up in two steps: partial sums over each
-query's most promising blocks, then exact scores of the best of those. What is left is scored exactly. Nothing is
-approximate: a skipped chunk can't reach the first ``k``, equal scores included.
+terms. So once some ``k`` chunks are known to reach a score, every block below it is skipped; common words usually open no
+block at all. A chunk met in opened blocks scores at most the sum of what they say plus, for every other term of the query,
+the best of the skipped blocks: few chunks are left, and these are scored exactly. The known score runs up in
+steps: exact scores of the chunks that stand best in each query's most promising blocks, then of those that stand best in
+all opened blocks. Nothing is approximate: a skipped chunk can't reach the first ``k``, equal scores included.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from voltaic.operators.relational import top_n_per_group
 from voltaic.operators.search import CHUNK_SIZE, build_index, chunk, query_terms, token_bucket
-from voltaic.operators.text import small
+from voltaic.operators.text import BROADCAST_MAX_ROWS, small
 from voltaic.session import checkpoint_dir, cut_lineage
 
 BLOCK_SIZE = 128
@@ -143,8 +144,8 @@ def _open(blocks: DataFrame, cols: list[str], where, dead: DataFrame | None) ->
 
 def _exact(hit: DataFrame, worth: DataFrame, pairs: DataFrame, qid: str, part) -> DataFrame:
     """Scores of (query, chunk) pairs: the postings of the pairs' chunks, met with the queries' terms."""
-    return (hit.select("token", "doc_id", "chunk_id", part.alias("_part")).join(small(pairs), ["doc_id", "chunk_id"])
-            .join(small(worth.select(qid, "token", "idf")), [qid, "token"])
+    return (hit.select("token", "doc_id", "chunk_id", part.alias("_part")).join(pairs, ["doc_id", "chunk_id"])
+            .join(worth.select(qid, "token", "idf"), [qid, "token"])
             .groupBy(qid, "doc_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("_part")).alias("_s"))
             .withColumn("score", F.round("_s", 6)).drop("_s"))
 
@@ -199,22 +200,41 @@ def search_blocks(blocks: DataFrame, n: int, avgdl: float, qt: DataFrame, k: int
         "token", idf.alias("idf"), (idf * F.col("best")).alias("ub"))
     weaker = Window.partitionBy(qid_col).orderBy("ub", "token").rowsBetween(Window.unboundedPreceding, -1)
     worth = cut_lineage(qt.join(tokens, "token").withColumn("below", F.coalesce(F.sum("ub").over(weaker), F.lit(0.0))), "terms")
+    few = worth.count() <= BROADCAST_MAX_ROWS
+    near = F.broadcast if few else (lambda df: df)             # sides of at most a row per query term
     # a first bound: what the postings of each query's best blocks add up to
     lead = top_n_per_group(heads, ["token"], [F.desc("bound"), F.asc("block")], 2).select("token", "block", "bound")
-    opened = top_n_per_group(worth.join(small(lead), "token").withColumn("_w", F.col("idf") * F.col("bound")), [qid_col],
+    opened = top_n_per_group(near(worth).join(lead, "token").withColumn("_w", F.col("idf") * F.col("bound")), [qid_col],
                              [F.desc("_w"), F.asc("block")], SEED_BLOCKS).select(qid_col, "block", "idf")
-    first = (_open(blocks.drop("n").join(small(opened), "block"), [qid_col, "idf"], where, dead)
+    first = (_open(blocks.drop("n").join(near(opened), "block"), [qid_col, "idf"], where, dead)
              .groupBy(qid_col, *order).agg(F.sum(F.col("idf") * part).alias("known")))
     first = cut_lineage(top_n_per_group(first, [qid_col], [F.desc("known"), *map(F.asc, order)], 4 * k), "first")
     hit = _open(blocks, ["token"], where, dead)
-    known = cut_lineage(_kth(_exact(hit, worth, first.select(qid_col, *order), qid_col, part), qid_col, "score", k, "known"), "known")
-    # blocks, then postings, that can still reach it
+    seeds = _exact(hit, near(worth), small(first.select(qid_col, *order)), qid_col, part)
+    known = cut_lineage(_kth(seeds, qid_col, "score", k, "known"), "known")
+    # blocks that can still reach it, and the most that the others of their term add
     reach = F.coalesce(F.col("known") - CLOSE, F.lit(0.0))
-    live = worth.join(small(known), qid_col, "left").where(F.col("ub") + F.col("below") >= reach)
-    kept = cut_lineage(heads.join(small(live), "token").where(F.col("idf") * F.col("bound") + F.col("below") >= reach)
-                       .select(qid_col, "block", "idf", "below", "known"), "blocks")
-    met = _open(blocks.drop("n").join(small(kept), "block"), [qid_col, "idf", "below", "known"], where, dead)
-    pairs = cut_lineage(met.where(F.col("idf") * part + F.col("below") >= reach).select(qid_col, *order).distinct(), "pairs")
+    goal = worth.join(near(known), qid_col, "left").withColumn("live", F.col("ub") + F.col("below") >= reach)
+    asked = heads.join(near(goal.where("live")), "token").select(
+        qid_col, "token", "block", "idf", (F.col("idf") * F.col("bound")).alias("most"),
+        (F.col("idf") * F.col("bound") + F.col("below") >= reach).alias("kept"))
+    asked = cut_lineage(asked, "blocks")
+    shut = asked.groupBy(qid_col, "token").agg(F.coalesce(F.max(F.when(~F.col("kept"), F.col("most"))), F.lit(0.0)).alias("shut"))
+    shut = cut_lineage(goal.join(shut, [qid_col, "token"], "left").withColumn("shut", F.when(F.col("live"), F.coalesce("shut", F.lit(0.0)))
+                                                                              .otherwise(F.col("ub"))), "shut")
+    # a chunk adds up what its opened postings say, plus the most of every term it was not seen with
+    rest = shut.groupBy(qid_col).agg(F.sum("shut").alias("rest"))
+    kept = asked.where("kept").join(near(shut.select(qid_col, "token", "shut")), [qid_col, "token"]).select(qid_col, "block", "idf", "shut")
+    met = _open(blocks.drop("n").join(small(kept), "block"), [qid_col, "idf", "shut"], where, dead)
+    sums = cut_lineage(met.groupBy(qid_col, *order).agg(F.sum(F.col("idf") * part).alias("said"), F.sum(F.col("idf") * part - F.col("shut")).alias("seen")),
+                       "sums")
+    # the best of these raise the known score, which few other chunks can reach
+    best = top_n_per_group(sums, [qid_col], [F.desc("said"), *map(F.asc, order)], 4 * k).select(qid_col, *order)
+    raised = _kth(_exact(hit, near(worth), small(cut_lineage(best, "best")), qid_col, part), qid_col, "score", k, "raised")
+    goal = cut_lineage(rest.join(near(known), qid_col, "left").join(near(raised), qid_col, "left").select(
+        qid_col, "rest", F.greatest("known", "raised").alias("known")), "goals")
+    pairs = cut_lineage(sums.join(near(goal), qid_col).where(F.col("seen") + F.col("rest") >= reach).select(qid_col, *order), "pairs")
     if plan is not None:
         plan |= {"worth": worth, "known": known, "kept": kept, "met": met, "pairs": pairs, "hit": hit}
-    return top_n_per_group(_exact(hit, worth, pairs, qid_col, part), [qid_col], [F.desc("score"), *map(F.asc, order)], k)
+    return top_n_per_group(_exact(hit, near(worth), small(pairs), qid_col, part), [qid_col],
+                           [F.desc("score"), *map(F.asc, order)], k)

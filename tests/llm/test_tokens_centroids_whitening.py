@@ -180,14 +180,15 @@ def plain_whitening(rows, components, scale):
 
 
 def compare(got, rows, components, scale=256.0):
-    got = sorted(got, key=lambda r: (r[0], r[1]))
-    n, deviation, white, explained = plain_whitening(sorted(rows), components, scale)
-    assert [r[0] for r in got] == [i for i, _ in sorted(rows) for _ in range(components)]
-    assert [r[1] for r in got] == list(range(1, components + 1)) * len(rows)
-    assert {r[2] for r in got} == {n} and [r[3] for r in got[::components]] == deviation.tolist()
-    mine = np.array([r[4] for r in got]).reshape(-1, components)
-    assert np.abs(mine - white * np.sign((mine * white).sum(0))).max() < 1e-9
-    assert np.allclose([r[5] for r in got[:components]], explained, rtol=1e-10)
+    """Repeated ids must have equal vectors here, so that rows can be set against each other by (id, component)."""
+    got, rows = sorted(got, key=lambda r: r[:2]), sorted(rows)
+    n, deviation, white, explained = plain_whitening(rows, components, scale)
+    want = sorted((i, c + 1, int(deviation[j]), float(white[j, c])) for j, (i, _) in enumerate(rows) for c in range(components))
+    assert [(r[0], r[1], r[3]) for r in got] == [w[:3] for w in want] and {r[2] for r in got} == {n}
+    for c in range(1, components + 1):
+        mine, theirs = (np.array([r[k] for r in side if r[1] == c]) for side, k in ((got, 4), (want, 3)))
+        assert np.abs(mine - theirs * np.sign((mine * theirs).sum())).max() < 1e-9
+        assert np.allclose([r[5] for r in got if r[1] == c], explained[c - 1], rtol=1e-10)
     assert len({r[6] for r in got}) == 1 and got[0][6] < 1e-9
 
 

@@ -84,7 +84,7 @@ def scored(spark, sf):
     t = Tables(spark, f"/root/testdata/{sf}")
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     path, plan = I.stored_index(t.documents), {}
-    found = I.search_index(spark, path, q, 5, plan=plan).count()
+    found = I.search_index(spark, path, q, 5, plan=plan, direct=0).count()
     df = I.stored_term_stats(spark, path)
     unbounded = plan["worth"].join(df, "token").agg(F.sum("df")).first()[0]
     return found, plan["met"].count(), plan["pairs"].count(), unbounded, q.count()
@@ -93,6 +93,10 @@ def scored(spark, sf):
 def test_bounds_skip_most_postings_and_work_stays_near_the_size_of_the_corpus(spark):
     found, opened, pairs, unbounded, queries = scored(spark, "sf0.01")
     assert found == 5 * queries
+    t = Tables(spark, "/root/testdata/sf0.01")
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    both = [sorted(map(tuple, I.search_index(spark, I.stored_index(t.documents), q, 5, direct=d).collect())) for d in (0, I.DIRECT)]
+    assert both[0] == both[1]
     assert opened < unbounded / 4 and pairs < unbounded / 10
     small_found, small_opened, _, small_unbounded, small_queries = scored(spark, "sf0.001")
     # per query, an unbounded search grows with the corpus; what bounds leave open grows no faster
@@ -109,8 +113,9 @@ def test_bounded_search_on_ties_filters_and_missing_terms(spark, tmp_path):
                               "query_id int, query string")
     key = ["query_id", "rank", "doc_id", "chunk_id", "score"]
     for where in (None, "lang = 'en'", "source is null and lang = 'it'", "lang = 'xx'"):
-        for k in (1, 7, 1000):
-            got = I.search_index(spark, path, q, k, buckets=4, where=where)
-            want = S.bm25_chunks(chunks if where is None else chunks.where(where), q, k)
-            assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+        for k in (1, 30):
+            want = sorted(map(tuple, S.bm25_chunks(chunks if where is None else chunks.where(where), q, k).select(key).collect()))
+            for direct in (0, I.DIRECT):
+                got = I.search_index(spark, path, q, k, buckets=4, where=where, direct=direct)
+                assert sorted(map(tuple, got.select(key).collect())) == want
     assert spark.read.parquet(path + "/blocks").where("token = 'common'").count() > 1      # a common token: several blocks

@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from voltaic.operators.relational import top_n_per_group
 from voltaic.operators.search import CHUNK_SIZE, build_index, chunk, query_terms, token_bucket
 from voltaic.operators.text import BROADCAST_MAX_ROWS, small
-from voltaic.session import checkpoint_dir, cut_lineage
+from voltaic.session import checkpoint_dir, cut_lineage, spread
 
 BLOCK_SIZE = 128
 LEVELS = 16             # impact levels per unit of the term-frequency part
 SEED_BLOCKS = 16        # blocks a query opens to find its first bound
 CLOSE = 2e-6            # scores are rounded to six digits
+DIRECT = 20_000_000     # (query, posting) pairs up to which scoring all of them is cheaper than the steps of the bounded plan
 
 
 def tf_part(tf, dl, avgdl, k1: float, b: float):
@@ -99,7 +100,7 @@ def _files(docs: DataFrame) -> list[str]:
 def build_stored_index(docs: DataFrame, keep: tuple[str, ...] = ("lang", "source"), buckets: int = 64) -> str:
     """Writes an index of ``docs`` to a fresh folder of the shared storage and returns it."""
     path = os.path.join(checkpoint_dir(docs.sparkSession), f"search-index-{uuid.uuid4().hex[:16]}")
-    postings, stats = build_index(chunk(docs, keep=list(keep)), keep=keep)
+    postings, stats = build_index(chunk(spread(docs.select("doc_id", "text", *keep)), keep=list(keep)), keep=keep)
     write_index(postings, stats, path, buckets, keep)
     return path
 
@@ -144,12 +145,19 @@ def _open(blocks: DataFrame, cols: list[str], where, dead: DataFrame | None) ->
 
 def _exact(hit: DataFrame, worth: DataFrame, pairs: DataFrame, qid: str, part) -> DataFrame:
     """Scores of (query, chunk) pairs: the postings of the pairs' chunks, met with the queries' terms."""
-    return (hit.select("token", "doc_id", "chunk_id", part.alias("_part")).join(pairs, ["doc_id", "chunk_id"])
-            .join(worth.select(qid, "token", "idf"), [qid, "token"])
-            .groupBy(qid, "doc_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("_part")).alias("_s"))
+    return _summed(hit.select("token", "doc_id", "chunk_id", part.alias("_part")).join(pairs, ["doc_id", "chunk_id"])
+                   .join(worth.select(qid, "token", "idf"), [qid, "token"]), qid)
+
+
+def _summed(rows: DataFrame, qid: str) -> DataFrame:
+    return (rows.groupBy(qid, "doc_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("_part")).alias("_s"))
             .withColumn("score", F.round("_s", 6)).drop("_s"))
 
 
+def _best(scored: DataFrame, qid: str, k: int) -> DataFrame:
+    return top_n_per_group(scored, [qid], [F.desc("score"), F.asc("doc_id"), F.asc("chunk_id")], k)
+
+
 def _kth(scored: DataFrame, qid: str, score: str, k: int, name: str) -> DataFrame:
     """The k-th best score of every query that has so many."""
     best = top_n_per_group(scored, [qid], [F.desc(score), F.asc("doc_id"), F.asc("chunk_id")], k)
@@ -161,23 +169,27 @@ def wanted_buckets(terms: DataFrame, buckets: int) -> list:
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, buckets: int = 64, qid_col: str = "query_id",
-                 qtext_col: str = "query", k1: float = 1.2, b: float = 0.75, where=None, plan: dict | None = None) -> DataFrame:
+                 qtext_col: str = "query", k1: float = 1.2, b: float = 0.75, where=None, plan: dict | None = None,
+                 direct: int = DIRECT) -> DataFrame:
     """Top ``k`` chunks per query by BM25 -> ``(query_id, rank, doc_id, chunk_id, score)``.
 
     Scores, rounding and ties are those of :func:`voltaic.operators.search.bm25`. ``where`` filters by
     attributes before anything is counted, so frequencies and lengths are those of the filtered chunks. Only
-    the buckets of the query terms are read. ``plan`` receives the staged DataFrames, for inspection.
+    the buckets of the query terms are read. The postings that the queries' terms have in all are known from the block heads;
+    up to ``direct`` they are scored at once, beyond it under bounds, with the same result. ``plan`` receives the staged
+    DataFrames of the bounded plan, for inspection.
     """
     qt, terms, _ = query_terms(queries, qid_col, qtext_col)
     blocks = spark.read.parquet(f"{path}/blocks").where(F.col("bucket").isin(wanted_buckets(terms, buckets)))
     stats = spark.read.parquet(f"{path}/chunk_stats")
     blocks = blocks.join(terms, "token", "left_semi").withColumn("seg", F.lit(0).cast("long"))
     n, avgdl = corpus_size(stats if where is None else stats.where(where))
-    return search_blocks(blocks, n, avgdl, qt, k, qid_col, k1, b, where=where, plan=plan)
+    return search_blocks(blocks, n, avgdl, qt, k, qid_col, k1, b, where=where, plan=plan, direct=direct)
 
 
 def search_blocks(blocks: DataFrame, n: int, avgdl: float, qt: DataFrame, k: int, qid_col: str, k1: float, b: float, where=None,
-                  dfreq: DataFrame | None = None, dead: DataFrame | None = None, plan: dict | None = None) -> DataFrame:
+                  dfreq: DataFrame | None = None, dead: DataFrame | None = None, plan: dict | None = None,
+                  direct: int = DIRECT) -> DataFrame:
     """The search over ``blocks(token, seg, block, n, max_tf, min_dl, postings)`` of the query terms ``qt(query id, token)``.
 
     ``n`` and ``avgdl`` are those of the chunks searched, ``dfreq(token, df)`` the terms' chunk frequencies (by default
@@ -197,11 +209,15 @@ def search_blocks(blocks: DataFrame, n: int, avgdl: float, qt: DataFrame, k: int
     # one row per query term: weight, best contribution, and the most that all weaker terms add
     idf = F.ln(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tokens = heads.groupBy("token").agg(F.max("bound").alias("best")).join(dfreq.select("token", "df").where("df > 0"), "token").select(
-        "token", idf.alias("idf"), (idf * F.col("best")).alias("ub"))
+        "token", "df", idf.alias("idf"), (idf * F.col("best")).alias("ub"))
     weaker = Window.partitionBy(qid_col).orderBy("ub", "token").rowsBetween(Window.unboundedPreceding, -1)
     worth = cut_lineage(qt.join(tokens, "token").withColumn("below", F.coalesce(F.sum("ub").over(weaker), F.lit(0.0))), "terms")
-    few = worth.count() <= BROADCAST_MAX_ROWS
-    near = F.broadcast if few else (lambda df: df)             # sides of at most a row per query term
+    size = worth.agg(F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
+    near = F.broadcast if size.terms <= BROADCAST_MAX_ROWS else (lambda df: df)     # sides of at most a row per query term
+    hit = _open(blocks, ["token"], where, dead)
+    if size.postings <= direct:
+        return _best(_summed(hit.select("token", *order, part.alias("_part")).join(near(worth.select(qid_col, "token", "idf")), "token"),
+                             qid_col), qid_col, k)
     # a first bound: what the postings of each query's best blocks add up to
     lead = top_n_per_group(heads, ["token"], [F.desc("bound"), F.asc("block")], 2).select("token", "block", "bound")
     opened = top_n_per_group(near(worth).join(lead, "token").withColumn("_w", F.col("idf") * F.col("bound")), [qid_col],
@@ -209,7 +225,6 @@ def search_blocks(blocks: DataFrame, n: int, avgdl: float, qt: DataFrame, k: int
     first = (_open(blocks.drop("n").join(near(opened), "block"), [qid_col, "idf"], where, dead)
              .groupBy(qid_col, *order).agg(F.sum(F.col("idf") * part).alias("known")))
     first = cut_lineage(top_n_per_group(first, [qid_col], [F.desc("known"), *map(F.asc, order)], 4 * k), "first")
-    hit = _open(blocks, ["token"], where, dead)
     seeds = _exact(hit, near(worth), small(first.select(qid_col, *order)), qid_col, part)
     known = cut_lineage(_kth(seeds, qid_col, "score", k, "known"), "known")
     # blocks that can still reach it, and the most that the others of their term add
@@ -236,5 +251,4 @@ def search_blocks(blocks: DataFrame, n: int, avgdl: float, qt: DataFrame, k: int
     pairs = cut_lineage(sums.join(near(goal), qid_col).where(F.col("seen") + F.col("rest") >= reach).select(qid_col, *order), "pairs")
     if plan is not None:
         plan |= {"worth": worth, "known": known, "kept": kept, "met": met, "pairs": pairs, "hit": hit}
-    return top_n_per_group(_exact(hit, near(worth), small(pairs), qid_col, part), [qid_col],
-                           [F.desc("score"), *map(F.asc, order)], k)
+    return _best(_exact(hit, near(worth), small(pairs), qid_col, part), qid_col, k)

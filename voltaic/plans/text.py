@@ -9,6 +9,7 @@ from voltaic.functions import scalar as X
 from voltaic.operators import text as T
 from voltaic.operators.relational import top_n
 from voltaic.plans.registry import register
+from voltaic.session import spread
 from voltaic.sources.tables import Tables
 
 TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
@@ -506,7 +507,7 @@ def t1b(spark, d):
     exploded (``doc_id`` is the key), so only partial counts per word are shuffled."""
     docs = Tables(spark, d).documents.where("doc_id is not null")
     arr = F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN_PATTERN), 0)
-    return docs.select(F.explode(F.array_distinct(arr)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return spread(docs.select("text")).select(F.explode(F.array_distinct(arr)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 @register("t6_t7_summary_translated", rf"""

@@ -71,6 +71,15 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its input fits one file split, which a single task would read; else as it is. For costly
+    work per row on small inputs; it never changes a result."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= split else df
+
+
 def cluster_conf(total_cores: int, checkpoint_dir: str) -> dict[str, str]:
     """Settings for a large cluster run (pass to ``get_session(extra=...)`` or spark-submit).
 

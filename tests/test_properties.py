@@ -82,7 +82,8 @@ def test_entities_on_a_known_text(spark):
     df = spark.createDataFrame([(1, "Scrivi a mario.rossi@email.it o chiama +39 02 1234567. Guasto in Via Roma 15, "
                                     "Milano; vedi https://example.com/x?y=1 e Piazza Duomo a Monza. Milanese no.")],
                                "id long, text string")
-    r = entities(df, "id", "text").first()
+    places = spark.createDataFrame([("Milano",), ("Monza",), ("Roma Nord",)], "place string")
+    r = entities(df, "id", "text", places).first()
     assert r.emails == "mario.rossi@email.it" and r.n_emails == 1
     assert r.phones == "+39 02 1234567"
     assert r.links == "https://example.com/x?y=1"

@@ -427,10 +427,11 @@ norm AS (SELECT doc_id, sqrt(SUM(x * x)) AS norm FROM cells GROUP BY doc_id),
 dense AS (SELECT d.doc_id, s.slot, CASE WHEN norm > 0 THEN ROUND(COALESCE(x, 0) / norm, 6) + 0.0 ELSE 0.0 END AS v
           FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS slot) s LEFT JOIN norm USING (doc_id)
           LEFT JOIN cells ON cells.doc_id = d.doc_id AND cells.slot = s.slot)
-SELECT doc_id, list(CAST(v AS DOUBLE) ORDER BY slot) AS embedding FROM dense GROUP BY doc_id""")
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(v AS DOUBLE) AS value FROM dense""")
 def t15(spark, d):
-    """Signed hashed TF x IDF embedding in 64 dimensions, L2-normalised."""
-    return T.embed(Tables(spark, d).documents, "doc_id", "text", 64)
+    """Signed hashed TF x IDF embedding in 64 dimensions, L2-normalised, one row per component."""
+    e = T.embed(Tables(spark, d).documents, "doc_id", "text", 64)
+    return e.select("doc_id", F.posexplode("embedding").alias("slot", "value"))
 
 
 @register("t10_bigram_completion", rf"""

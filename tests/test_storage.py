@@ -47,3 +47,16 @@ def test_sketched_distinct_counts_merge_within_their_error(spark):
         close = {tuple(r[d] for d in dims): r.n_active_customers_approx for r in m.query(["n_active_customers_approx"], dims).collect()}
         assert set(exact) == set(close)
         assert all(abs(close[k] - n) <= max(1, 0.04 * n) for k, n in exact.items())
+
+
+def test_staged_tables_are_dropped_on_request(spark, monkeypatch):
+    import os
+
+    from voltaic import session
+    monkeypatch.setattr(session, "_made", [])
+    staged = session.cut_lineage(spark.range(10), "stage-to-drop")
+    kept = session.checkpoint_dir(spark)
+    assert staged.count() == 10 and any(f.startswith("stage-to-drop") for f in os.listdir(kept))
+    session.scratch_path(spark, "never-written")
+    assert session.drop_scratch(spark) == 1 and session.drop_scratch(spark) == 0
+    assert not any(f.startswith("stage-to-drop") for f in os.listdir(kept))

@@ -57,9 +57,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_made: list[str] = []          # scratch paths handed out by this process
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _made.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes what this process staged under :func:`scratch_path` and returns how many paths there were. For the end of a
+    job: a DataFrame that reads a staged table can't be run again afterwards. Indexes that are published for later
+    sessions stay."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

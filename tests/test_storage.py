@@ -43,15 +43,16 @@ def test_documents_as_files(spark, tmp_path):
 def test_documents_lie_in_few_folders(spark, tmp_path):
     """A file per document, but no folder per document: the listing was 10,000 tasks, the write mostly folders."""
     path = tmp_path / "page_id=root" / "docs"
-    rows = spark.range(0, 600, 1, 3).selectExpr("id AS page_id", "concat('text ', id) AS html")
+    rows = spark.range(0, 1200, 1, 3).selectExpr("id AS page_id", "concat('text ', id) AS html")
     D.write_documents(rows, str(path), "page_id", "html")
     files = list(path.rglob("*.txt"))
-    assert len(files) == 600 and len({f.parent for f in files}) <= 3 * D.FOLDERS
+    assert len(files) == 1200 and len({f.parent for f in files}) <= 3 * D.FOLDERS
     assert not any(f.name.startswith("_temporary") for f in path.iterdir())
     got = D.read_documents(spark, str(path), "page_id", "html").collect()
-    assert sorted((int(r.page_id), r.html) for r in got) == [(i, f"text {i}\n") for i in range(600)]
+    assert sorted((int(r.page_id), r.html) for r in got) == [(i, f"text {i}\n") for i in range(1200)]
+    assert D.read_documents(spark, str(path), "page_id").rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     listed = D.list_documents(spark, str(path), "page_id").collect()
-    assert sorted((int(r.page_id), r.length) for r in listed) == [(i, len(f"text {i}") + 1) for i in range(600)]
+    assert sorted((int(r.page_id), r.length) for r in listed) == [(i, len(f"text {i}") + 1) for i in range(1200)]
 
 
 def test_document_names_copies_and_modes(spark, tmp_path):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDERS = 16                    # folders a writing task deals its files to: a later listing is dealt to tasks by folder
+TASK_BYTES = 32 << 20           # of files that a task reads
 # what Spark escapes in a folder of a partition, and "+", which url_decode reads as a space
 _ESCAPED = {c: f"%{c:02X}" for c in [*range(32), 127, *b"\"#%'*/:=?\\{[]^+"]}
 _NO_NAME = "__HIVE_DEFAULT_PARTITION__"
@@ -68,8 +69,11 @@ def _write_files(rows: DataFrame, fs, to, name_col: str, mode: str) -> None:
     fs.createNewFile(new_path(to, "_SUCCESS"))
 
 
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
+def _files(spark: SparkSession, path: str, glob: str, cols: list) -> DataFrame:
+    """``cols`` of the files. Spark counts a small file as 4 MB when it deals files to tasks; here a task takes about 32 MB."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return files.select(*cols).coalesce(max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES))
 
 
 def _name(name_col: str):
@@ -78,10 +82,10 @@ def _name(name_col: str):
 
 def list_documents(spark: SparkSession, path: str, name_col: str, glob: str = "*.txt") -> DataFrame:
     """``(name, length, modificationTime, path)`` of every file, without reading any."""
-    return _files(spark, path, glob).select(_name(name_col).alias(name_col), "length", "modificationTime", "path")
+    return _files(spark, path, glob, [_name(name_col).alias(name_col), "length", "modificationTime", "path"])
 
 
 def read_documents(spark: SparkSession, path: str, name_col: str, content_col: str = "content", glob: str = "*.txt") -> DataFrame:
     """``(name, content)`` of every file, read whole as UTF-8. A file is one value, so it must fit a task (2 GB)."""
-    return _files(spark, path, glob).select(_name(name_col).alias(name_col), F.col("content").cast("string").alias(content_col))
+    return _files(spark, path, glob, [_name(name_col).alias(name_col), F.col("content").cast("string").alias(content_col)])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voltaic.session import cut_lineage
 
 BROADCAST_BYTES = 8 << 20      # parquet bytes of a stored table up to which it may be broadcast
+IDS_BROADCAST = 2_000_000      # ids (one long each, some 80 MB as a hash table) that may be broadcast to keep rows from a shuffle
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -26,6 +27,16 @@ def small_side(stored: DataFrame) -> DataFrame:
     return F.broadcast(stored) if stored_bytes(stored) <= BROADCAST_BYTES else stored
 
 
+def met_ids(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``stored`` on a long ``key``. If ``stored`` is too large to broadcast, its ids alone (while they are few
+    enough) first drop the rows that meet none, so only rows that are in the result are shuffled."""
+    if stored_bytes(stored) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(stored), key)
+    if stored.count() <= IDS_BROADCAST:
+        rows = rows.join(F.broadcast(stored.select(key).distinct()), key, "left_semi")
+    return rows.join(stored, key)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores added until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -10,6 +10,8 @@ Documents are sets of distinct word shingles; two link when ``den * |A and B| >=
    k - D - 1 smallest slices as keys; the largest equal slice of a linked pair is a key of both, so no
    link is lost. Keys hold three or four shingles each, so a passage or line that many documents share
    seldom fills one and does not bring those documents together. Classes with an equal key are connected.
+   Components of over ``BLOCK`` classes are parted by parity sketches: sets that differ in d shingles have sketches that
+   differ in d bits at most, so classes with sketches too far apart can't link, and no link is lost.
 3. **Signature trees.** Each connected part is split into blocks of about ``BLOCK`` classes. For every pair
    of blocks a task builds one tree over either block: leaves carry token bitmaps, inner nodes the OR of
    their children's bitmaps with ranges of size. A dual traversal from both roots drops a pair of nodes
@@ -30,11 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltaic.llm import hashing as H
-from voltaic.llm.graph import connected_components, small_side
+from voltaic.llm.graph import connected_components, met_ids, small_side
 from voltaic.session import cut_lineage
 
 BLOCK = 256           # classes per block: bounds the rows of one task's group to two blocks
 SEEN = 100_000        # set hashes a task remembers, to give the routing keys of a repeated set once
+PACK = 1 << 18        # routing keys a task packs at once
+PART_SHINGLES = 8_000_000    # shingles whose routing keys (a third of them, or fewer) meet in one task
+CELL = 2048           # classes per cell, of which two meet in a task: sketches are small
+SKETCH_BITS = 1 << 15
 FANOUT = 8
 U64 = np.uint64
 I64 = np.int64
@@ -95,26 +101,65 @@ def _texts(batch, column: str, shingle: int):
         yield lo, hi, [H.shingle_set(words[first[i]:first[i + 1]], shingle) for i in range(hi - lo)]
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """One bit per place, flipped by each shingle whose hash falls there; at least as many places as shingles (a power of two, up
+    to ``SKETCH_BITS``). Sets that differ in d shingles differ in d bits at most. A sketch folds to half its places by XOR."""
+    bits = 64
+    while bits < min(len(s), SKETCH_BITS):
+        bits *= 2
+    odd = (np.bincount((H.finalise(s) & U64(bits - 1)).astype(I64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
 def _sign(shingle: int):
-    """Size and set hash of every document."""
+    """Size, set hash and parity sketch of every document."""
     def run(batches):
         for batch in batches:
             for lo, hi, sets in _texts(batch, "text", shingle):
                 hashes = [set_hash(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())],
-                    names=["id", "n", "h1", "h2"])
+                     pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()),
+                     pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())],
+                    names=["id", "n", "h1", "h2", "sk"])
     return run
 
 
-def _route(shingle: int, num: int, den: int):
-    """(routing key, set) rows; a set that the task has met before is left out."""
+def _links_of(keys: np.ndarray, owners: np.ndarray):
+    """Of (key, set) rows: the distinct keys, ascending, the least set of each, and the distinct (least set, other set) links."""
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    least = owners[first]
+    hub = least[np.cumsum(first) - 1]
+    other = hub != owners
+    return keys[first], least, np.unique(np.stack([hub[other], owners[other]]), axis=1)
+
+
+def _packed(keys: np.ndarray, owners: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Routing keys as rows (part, linked, x, y), a row per range of the key space: its distinct keys, byte by byte in order of
+    their weight (sorted keys start alike, so this packs well), and the least set of each. Sets that share a key here are linked
+    here and travel as links (``linked``: hubs and sets)."""
+    keys, least, links = _links_of(keys, owners)
+    cuts = np.searchsorted((keys >> U64(32)) * U64(parts) >> U64(32), np.arange(parts + 1).astype(U64), "left")
+    part = np.flatnonzero(np.diff(cuts))
+    rows = [(int(p), False, keys[cuts[p]:cuts[p + 1]].astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes(),
+             least[cuts[p]:cuts[p + 1]].tobytes()) for p in part]
+    if links.shape[1]:
+        place = int(H.finalise(links.view(U64)).sum(dtype=U64)) % parts
+        rows.append((place, True, links[0].tobytes(), links[1].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(
+        (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["part", "linked", "x", "y"])
+
+
+def _route(shingle: int, num: int, den: int, parts: int):
+    """Packed routing keys (:func:`_packed`) of the sets; a set that the task has met before is left out."""
     def run(batches):
         seen: dict = {}
+        keys, owners, held = [], [], 0
         for batch in batches:
             for _, _, sets in _texts(batch, "text", shingle):
-                owners, keys = [], []
                 for s in sets:
                     h = set_hash(s)
                     if len(s) and h not in seen:
@@ -123,12 +168,114 @@ def _route(shingle: int, num: int, den: int):
                         seen[h] = None
                         keys.append(slice_keys(s, num, den))
                         owners.append(np.full(len(keys[-1]), h[0], I64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(I64)),
-                                                      pa.array(np.concatenate(owners))], names=["key", "h1"])
+                        held += len(keys[-1])
+                if held >= PACK:
+                    yield _packed(np.concatenate(keys), np.concatenate(owners), parts)
+                    keys, owners, held = [], [], 0
+        if held:
+            yield _packed(np.concatenate(keys), np.concatenate(owners), parts)
+    return run
+
+
+def _meet():
+    """Links (a, b) of the sets that share a key, from the packed rows of one range of the key space."""
+    def pairs(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        keys, owners = [], []
+        for batch in batches:
+            for linked, x, y in zip(*(batch.column(c).to_pylist() for c in ("linked", "x", "y"))):
+                if linked:
+                    yield pairs(np.frombuffer(x, I64), np.frombuffer(y, I64))
+                else:
+                    keys.append(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(">u8").ravel().astype(U64))
+                    owners.append(np.frombuffer(y, I64))
+        if keys:
+            links = _links_of(np.concatenate(keys), np.concatenate(owners))[2]
+            if links.shape[1]:
+                yield pairs(links[0], links[1])
     return run
 
 
+def sketch_pairs(n: np.ndarray, maps: list, m: np.ndarray, others: list, num: int, den: int):
+    """Pairs (x, y) of two lists of sizes and sketches (as words) whose sets may link: sets over the threshold differ in at most
+    ``(den - num) / (den + num)`` of their shingles. No linked pair is lost."""
+    found = [(np.zeros(0, I64), np.zeros(0, I64))]
+    wide, high = np.array([len(w) for w in maps]), np.array([len(w) for w in others])
+    for a in np.unique(wide):
+        for b in np.unique(high):
+            x, y, least = np.flatnonzero(wide == a), np.flatnonzero(high == b), min(a, b)
+            x, y = x[np.argsort(n[x], kind="stable")], y[np.argsort(m[y], kind="stable")]
+            p, q = (np.bitwise_xor.reduce(np.stack([side[i] for i in at]).reshape(len(at), -1, least), 1)
+                    for at, side in ((x, maps), (y, others)))
+            step = max(1, (8 << 20) // (8 * least * len(y)))
+            for at in range(0, len(x), step):
+                own = n[x[at:at + step]]
+                lo = int(np.searchsorted(den * m[y], num * own[0], "left"))
+                hi = int(np.searchsorted(num * m[y], den * own[-1], "right"))
+                if lo < hi:
+                    apart = np.bitwise_count(p[at:at + step, None] ^ q[None, lo:hi]).sum(2, dtype=I64)
+                    i, j = np.nonzero((den + num) * apart <= (den - num) * (own[:, None] + m[y[lo:hi]][None]))
+                    found.append((x[at + i], y[lo + j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _sketch_links(num: int, den: int):
+    """Groups (comp, i, j) of sketches arrive sorted, each of at most two cells: (set, least set of its local group) rows."""
+    def group(rows: list) -> pa.RecordBatch | None:
+        rows = list({r[0]: r for r in rows}.values())                 # a repeated row is one class
+        left, right = ([r for r in rows if r[3] == r[c]] for c in (4, 5))
+        one = rows[0][4] == rows[0][5]
+        if not left or not right:
+            return None
+        n, m = (np.array([r[1] for r in side], I64) for side in (left, right))
+        x, y = sketch_pairs(n, [r[2] for r in left], m, [r[2] for r in right], num, den)
+        y = y if one else y + len(left)
+        members = left if one else left + right
+        h1 = np.array([r[0] for r in members], I64)
+        low = local_groups(len(members), x, y)
+        least = np.full(len(members), np.iinfo(I64).max)
+        np.minimum.at(least, low, h1)
+        linked = np.flatnonzero(least[low] != h1)
+        return pa.RecordBatch.from_arrays([pa.array(h1[linked]), pa.array(least[low][linked])], names=["a", "b"])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "h1", "n", "sk", "cell")]
+            for comp, i, j, h1, n, sk, cell in zip(*cols):
+                if (comp, i, j) != now:
+                    if rows and (out := group(rows)) is not None:
+                        yield out
+                    now, rows = (comp, i, j), []
+                rows.append((h1, n, np.frombuffer(sk, U64), cell, i, j))
+        if rows and (out := group(rows)) is not None:
+            yield out
+    return run
+
+
+def _refined(spark, signed: DataFrame, classes: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """``comps(h1, comp)`` with the large components parted: there, only classes whose sketches are near enough stay connected.
+
+    A common passage fills a routing key now and then, so components grow faster than the corpus, and all sets of one would be
+    dealt to all its pairs of blocks. Sketches are a fiftieth of the sets' bytes and are dealt in larger cells."""
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK)
+    large = cut_lineage(comps.join(sizes, "comp").select("h1", "comp", F.ceil(F.col("_n") / CELL).cast("int").alias("cells")), "large")
+    if large.isEmpty():
+        return comps
+    held = cut_lineage(classes.join(small_side(large), "h1").select("h1", "h2", F.col("rep").alias("id"), "comp", "cells"), "held")
+    dealt = (signed.select("id", "h1", "h2", "n", "sk").join(small_side(held), ["h1", "h2", "id"])
+             .withColumn("cell", F.pmod(F.xxhash64("h1"), F.col("cells")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+             .select("comp", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "h1", "n", "sk"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = cut_lineage(dealt.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+                       .mapInArrow(_sketch_links(num, den), "a long, b long"), "near")
+    parted = connected_components(near, "a", "b").select(F.col("node").alias("h1"), F.col("root").alias("comp"))
+    return cut_lineage(comps.join(small_side(large.select("h1")), "h1", "left_anti").select("h1", "comp").unionByName(parted), "parted")
+
+
 def _sets(shingle: int):
     """Shingle sets of the member documents; a row whose text is not the member's (a repeated id) goes."""
     def run(batches):
@@ -321,28 +468,29 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut_lineage(texts.mapInArrow(_sign(shingle), "id long, n long, h1 long, h2 long"), "signed")
+    signed = cut_lineage(texts.mapInArrow(_sign(shingle), "id long, n long, h1 long, h2 long, sk binary"), "signed")
     classes = cut_lineage(signed.where("n > 0 and id is not null").groupBy("h1", "h2")
                           .agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    # computed twice, for the hubs and for their members: keys are more bytes than the texts' shuffled share
-    # of them is worth, so they are not stored
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shingles = signed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = max(parts, -(-shingles // PART_SHINGLES))
+    # the keys are the bulk of what is stored on the way: they are shuffled once, packed, and only the links are staged
     keys = texts.where("id is not null and text is not null").select("text").mapInArrow(
-        _route(shingle, num, den), "key long, h1 long")
-    hubs = keys.groupBy("key").agg(F.min("h1").alias("hub"), F.max("h1").alias("top")).where("hub <> top")
-    routed = connected_components(keys.join(hubs.select("key", "hub"), "key"), "hub", "h1")
+        _route(shingle, num, den, ranges), "part int, linked boolean, x binary, y binary")
+    routed = connected_components(keys.repartitionById(ranges, "part").mapInArrow(_meet(), "a long, b long"), "a", "b")
     comps = cut_lineage(routed.select(F.col("node").alias("h1"), F.col("root").alias("comp")), "routed")
+    comps = _refined(spark, signed, classes, comps, num, den)
     blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = cut_lineage(classes.join(comps, "h1").join(blocks, "comp")
                           .select("comp", "blocks", "h1", "h2", F.col("rep").alias("id"), "copies"), "members")
 
-    sets = texts.where("text is not null").join(small_side(members), "id").mapInArrow(
+    sets = met_ids(texts.where("text is not null"), members, "id").mapInArrow(
         _sets(shingle), "comp long, blocks int, id long, copies long, s array<long>")
     dealt = (sets.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("comp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"),
                      "blk", "id", "copies", "s"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     linked = cut_lineage(dealt.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
                          .mapInArrow(_link(num, den), "id long, low long, links long"), "linked")
 
@@ -352,7 +500,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .where("copies > 1 or links is not null")
              .select("h1", "h2", F.coalesce("root", "rep").alias("comp"),
                      (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
-    return signed.join(found, ["h1", "h2"], "left").select(
+    return signed.drop("sk").join(found, ["h1", "h2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")))
         .alias("component_id"),

@@ -261,7 +261,7 @@ def _refined(spark, signed: DataFrame, classes: DataFrame, comps: DataFrame, num
     A common passage fills a routing key now and then, so components grow faster than the corpus, and all sets of one would be
     dealt to all its pairs of blocks. Sketches are a fiftieth of the sets' bytes and are dealt in larger cells."""
     sizes = comps.groupBy("comp").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK)
-    large = cut_lineage(comps.join(sizes, "comp").select("h1", "comp", F.ceil(F.col("_n") / CELL).cast("int").alias("cells")), "large")
+    large = cut_lineage(comps.join(small_side(cut_lineage(sizes, "sizes")), "comp").select("h1", "comp", F.ceil(F.col("_n") / CELL).cast("int").alias("cells")), "large")
     if large.isEmpty():
         return comps
     held = cut_lineage(classes.join(small_side(large), "h1").select("h1", "h2", F.col("rep").alias("id"), "comp", "cells"), "held")

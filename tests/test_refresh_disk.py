@@ -62,3 +62,15 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     with session.shuffles_freed(spark):
         seen.append(spark.conf.get(session._FREE_SHUFFLES))
     assert seen == ["true"] and spark.conf.get(session._FREE_SHUFFLES, None) == before
+
+
+def test_many_ended_documents_are_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dead = session.cut_lineage(spark.range(150_000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("until")))
+        rows = spark.range(300_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("seg"))
+        live = I.alive(rows, dead)
+        assert "hashpartitioning" not in plan(live) and live.count() == 225_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
